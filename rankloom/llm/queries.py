@@ -89,10 +89,10 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, (epochs * size + g
 
 TOP_K_SQL = """
 WITH c AS (
-  SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) = 64),
 p AS (
-  SELECT q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.bits, b.bits), z -> CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT AS distance
+  SELECT q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.bits, b.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT AS distance
   FROM c q JOIN c b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
 SELECT query_id, rank::BIGINT AS rank, vec_id, distance FROM r WHERE rank <= 10
