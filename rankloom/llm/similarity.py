@@ -28,14 +28,15 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.where(out == 1 << 16, 0, np.maximum(out, 1)).astype(np.uint16)
 
 
-def chosen(tokens: np.ndarray, runs: int, fan: float) -> np.ndarray:
-    """First steps of a set's paths: the tokens whose hash in a run falls below fan / size, marked by the run."""
+def chosen(tokens: np.ndarray, runs: int, fan: float) -> tuple[np.ndarray, np.ndarray]:
+    """First steps of a set's paths, of the first run and of the others: the tokens whose hash in a run falls below
+    fan / size, marked by the run."""
     n = len(tokens)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     least = np.uint64(min((1 << 64) - 1, int(fan / n * 2.0**64)))
     with_seed = mix(tokens[None, :] ^ SEEDS[:runs, None])
-    return np.unique(mix(with_seed[with_seed <= least]))
+    return np.unique(mix(with_seed[0][with_seed[0] <= least])), np.unique(mix(with_seed[1:][with_seed[1:] <= least]))
 
 
 def alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, threshold: float) -> np.ndarray:
@@ -99,8 +100,10 @@ def tiles(df: DataFrame, key: str, size: str, node: str, most: int) -> DataFrame
     return df.withColumn("tile", F.xxhash64(F.col(key), F.least("_block", "_other"), F.greatest("_block", "_other"))).withColumn("side", F.when(F.col("_block") == F.col("_other"), -1).otherwise((F.col("_block") > F.col("_other")).cast("int"))).drop("_block", "_other")
 
 
-def candidate_edges(reps: DataFrame, runs: int, fan: float, threshold: float, most: int, levels: int) -> DataFrame:
-    """Edges (a, b) between sets that share a path and whose sketches are alike; a star for each group, never all pairs."""
+def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, most: int, levels: int) -> DataFrame:
+    """Edges (a, b) between the labels of sets that share a path and whose sketches are alike; a star for each group,
+    never all pairs. Sets of one label are connected already: a bucket of one label only is left out, and only sets of
+    different labels are compared."""
     least = threshold - 0.25
 
     def deeper(batches: Iterator) -> Iterator:
@@ -126,38 +129,41 @@ def candidate_edges(reps: DataFrame, runs: int, fan: float, threshold: float, mo
         for rows in grouped(batches):
             if len(rows) < 2:
                 continue
-            nodes = [r[1] for r in rows]
             sizes = np.array([r[2] for r in rows])
             sk = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, SKETCH)
             side = np.array([r[4] for r in rows])
+            label = np.array([r[5] for r in rows])
             forest = Forest(len(rows))
+            first: dict[int, int] = {}
+            for i, x in enumerate(label.tolist()):
+                forest.join(first.setdefault(x, i), i)
             for at in range(0, len(rows), 256):
                 hit = alike(sk[at : at + 256], sk, sizes[at : at + 256], sizes, least, threshold)
-                hit &= (side[at : at + 256, None] != side[None, :]) | (side[None, :] == -1)
+                hit &= ((side[at : at + 256, None] != side[None, :]) | (side[None, :] == -1)) & (label[at : at + 256, None] != label[None, :])
                 for i, j in zip(*np.nonzero(np.triu(hit, at + 1)), strict=True):
                     forest.join(at + int(i), int(j))
-            out += forest.stars(nodes)
+            out += set(forest.stars(label.tolist()))
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    light = reps.select("node", "n_tokens", "sketch")
-    front = reps.select(F.explode("paths").alias("path"), "node")
+    light = reps.select("node", "n_tokens", "sketch", "label")
+    front = reps.select(F.explode(paths).alias("path"), "node", "label")
     ready = []
     for level in range(levels + 1):
-        sizes = front.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = front.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("path", "n")
         front = materialize(front.join(sizes, "path"), f"near-front{level}")
         small = front if level == levels else front.where(F.col("n") <= most)
         ready.append(small)
         if level == levels or not front.where(F.col("n") > most).limit(1).count():
             break
         large = front.where(F.col("n") > most).join(light.select("node", "sketch"), "node").select("path", "node", "sketch")
-        front = large.mapInArrow(deeper, "path long, node long")
+        front = large.mapInArrow(deeper, "path long, node long").join(light.select("node", "label"), "node")
     buckets = ready[0]
     for x in ready[1:]:
         buckets = buckets.unionByName(x)
-    buckets = tiles(buckets.join(light, "node"), "path", "n", "node", most).select("tile", "node", "n_tokens", "sketch", "side")
+    buckets = tiles(buckets.drop("label").join(light, "node"), "path", "n", "node", most).select("tile", "node", "n_tokens", "sketch", "side", "label")
     return buckets.repartition("tile").sortWithinPartitions("tile").mapInArrow(brute, "a long, b long").distinct()
 
 
@@ -204,7 +210,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
 
     Chosen-path join: in each of enough independent runs for the target recall (see runs_for) a set goes to the buckets
     of its sampled tokens; buckets of over `most` sets are split by the next sampled shared token, `levels` deep;
-    buckets are compared by brute force. What stays large (families of near copies) is compared in tiles. Groups of
+    buckets are compared by brute force. What the first run connects needn't be found again by the others. What stays large (families of near copies) is compared in tiles. Groups of
     equal sets go in once. A bucket reports a star of the sets that look alike, not their pairs; the sets a star
     connects are then compared with each other, every pair once, on their whole shingle sets; links are counted there.
 
@@ -217,24 +223,29 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
     def first_steps(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["doc_id", "row", "text_key", "set_key", "n_tokens", "paths", "sketch"]
+        names = ["doc_id", "row", "text_key", "set_key", "n_tokens", "first_paths", "more_paths", "sketch"]
         for batch in batches:
-            keys, sets, sizes, paths, sketches = [], [], [], [], []
+            keys, sets, sizes, paths, more, sketches = [], [], [], [], [], []
             column = batch.column(2)
             for k, words in word_hashes(column):
                 tokens = shingles(words)
                 keys.append(hashlib.blake2b(column[k].as_buffer(), digest_size=16).digest() if column[k].is_valid else b"")
                 sets.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 sizes.append(len(tokens))
-                paths.append(chosen(tokens, runs, fan).view(np.int64))
+                one, rest = chosen(tokens, runs, fan)
+                paths.append(one.view(np.int64))
+                more.append(rest.view(np.int64))
                 sketches.append(sketch(tokens).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=names)
 
-    rows = materialize(base.mapInArrow(first_steps, "doc_id long, row long, text_key binary, set_key binary, n_tokens int, paths array<long>, sketch binary"), "near-rows")
-    texts = materialize(rows.groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("row").alias("row"), F.first(F.struct("n_tokens", "paths", "sketch")).alias("x")), "near-texts")
+    rows = materialize(base.mapInArrow(first_steps, "doc_id long, row long, text_key binary, set_key binary, n_tokens int, first_paths array<long>, more_paths array<long>, sketch binary"), "near-rows")
+    texts = materialize(rows.groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("row").alias("row"), F.first(F.struct("n_tokens", "first_paths", "more_paths", "sketch")).alias("x")), "near-texts")
     reps = materialize(texts.groupBy("set_key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n_texts"), F.first("x").alias("x")).select("set_key", "node", "n_texts", "x.*"), "near-reps")
-    edges = candidate_edges(reps.where("n_tokens > 0"), runs, fan, 0.8, most, levels)
-    comps = connected(edges, "near-c")
+    sets = reps.where("n_tokens > 0")
+    known = connected(candidate_edges(sets.withColumn("label", F.col("node")), "first_paths", fan, 0.8, most, levels), "near-a")
+    sets = materialize(sets.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-sets")
+    edges = candidate_edges(sets, "more_paths", fan, 0.8, most, levels)
+    comps = connected(edges.union(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-b")
     comps = comps.join(reps.select("node", "n_texts"), "node")
     comps = materialize(comps.join(comps.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label"), "near-comps")
 
