@@ -152,13 +152,13 @@ def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, m
     front = reps.select(F.explode(paths).alias("path"), "node", "label")
     ready = []
     for level in range(levels + 1):
-        sizes = front.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("path", "n")
+        sizes = front.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("n"), (F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("cross")).where("cross > 0")
         front = materialize(front.join(sizes, "path"), f"near-front{level}")
-        small = front if level == levels else front.where(F.col("n") <= most)
-        ready.append(small)
-        if level == levels or not front.where(F.col("n") > most).limit(1).count():
+        large = F.col("cross") > most * most
+        ready.append((front if level == levels else front.where(~large)).drop("cross"))
+        if level == levels or not front.where(large).limit(1).count():
             break
-        large = front.where(F.col("n") > most).join(light.select("node", "sketch"), "node").select("path", "node", "sketch")
+        large = front.where(large).join(light.select("node", "sketch"), "node").select("path", "node", "sketch")
         front = large.mapInArrow(deeper, "path long, node long").join(light.select("node", "label"), "node")
     buckets = ready[0]
     for x in ready[1:]:
@@ -201,7 +201,7 @@ def _exact(rows: list[tuple], over: int) -> tuple[np.ndarray, Forest]:
     return hit @ weight, forest
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, most: int = 512, levels: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, most: int = 2048, levels: int = 3, tile: int = 1024) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for every document.
 
     Two texts are linked if the Jaccard likeness of their sets of five-word shingles is 0.8 or more. class_id is the
@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
     n_copies the rows with the very same text.
 
     Chosen-path join: in each of enough independent runs for the target recall (see runs_for) a set goes to the buckets
-    of its sampled tokens; buckets of over `most` sets are split by the next sampled shared token, `levels` deep;
-    buckets are compared by brute force. What the first run connects needn't be found again by the others. What stays large (families of near copies) is compared in tiles. Groups of
+    of its sampled tokens; buckets with over `most` squared pairs that aren't connected yet are split by the next sampled
+    shared token, `levels` deep; the others are compared by brute force. What the first run connects needn't be found again by the others. What stays large (families of near copies) is compared in tiles. Groups of
     equal sets go in once. A bucket reports a star of the sets that look alike, not their pairs; the sets a star
     connects are then compared with each other, every pair once, on their whole shingle sets; links are counted there.
 
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
 
     bodies = base.select(F.col("row").alias("node"), "text").join(comps, "node").dropDuplicates(["node"]).select("label", "node", "n", "n_texts", "text")
     sets = bodies.mapInArrow(full_sets, "label long, node long, n long, n_texts long, tokens binary")
-    sets = tiles(sets, "label", "n", "node", 2 * most).select("tile", "node", "n_texts", "tokens", "side")
+    sets = tiles(sets, "label", "n", "node", tile).select("tile", "node", "n_texts", "tokens", "side")
     found = materialize(sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(links, "node long, to long, n long"), "near-links")
     counts = found.where("node = to").groupBy("node").agg(F.sum("n").alias("linked"))
     labels = connected(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")), "near-l")
