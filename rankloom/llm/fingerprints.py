@@ -77,13 +77,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(df: DataFrame, key: str, cols: list[str], rows_a_cell: int = 500) -> DataFrame:
-    """Adds next_<c>: c of the row that follows in descending key order (null keys last, ties by the columns' hash);
+    """Adds next_<c>: c of the row that follows in descending key order (null keys last, ties by the hash of the first column);
     the first row follows the last. Keys are laid into cells by a piecewise linear map through 64 quantiles, so that no
     task sorts more than about its share; the first row of each cell is also sent to the cell before it."""
     n, knots, top = df.agg(F.count(F.lit(1)), F.percentile_approx(key, [i / 64 for i in range(65)], 2000), F.max(key)).first()
     knots = sorted(set(knots or []))
     cells = max(1, n // rows_a_cell)
-    tie = F.xxhash64(*cols)
+    tie = F.xxhash64(cols[0])
     if len(knots) > 1:
         k = F.col(key).cast("double")
         parts = F.lit(0.0)
