@@ -107,21 +107,24 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
         import pyarrow as pa
 
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = _bytes(value)
                 parts = [d for *_, d in runs(data, depth)]
-                row = (doc, hashlib.sha256(data).hexdigest(), hashlib.blake2b(data, digest_size=16).digest(), len(data), np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
+                digits, times = np.unique(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64), return_counts=True)
+                row = (doc, hashlib.sha256(data).hexdigest(), hashlib.blake2b(data, digest_size=16).digest(), len(data), digits[times == 1], digits[times > 1])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "sha256", "uid", "n_bytes", "digits"])
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "sha256", "uid", "n_bytes", "once", "often"])
 
-    rows = materialize(base.mapInArrow(first_digits, "doc_id long, sha256 string, uid binary, n_bytes long, digits array<long>"), "rep-digits")
+    rows = materialize(base.mapInArrow(first_digits, "doc_id long, sha256 string, uid binary, n_bytes long, once array<long>, often array<long>"), "rep-digits")
     texts = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"))
-    single = rows.where(F.col("n_bytes") >= depth).select("uid", "digits").dropDuplicates(["uid"]).select("uid", F.explode("digits").alias("digit"))
+    single = rows.where(F.col("n_bytes") >= depth).select("uid", "once", "often").dropDuplicates(["uid"])
+    mark = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("digit"), F.lit(n).alias("times")))
+    single = single.select("uid", F.explode(F.concat(mark("once", 1), mark("often", 2))).alias("x")).select("uid", "x.*")
     single = materialize(single, "rep-single")
-    again = single.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
+    again = single.groupBy("digit").agg(F.sum("times").alias("n")).where("n > 1").select("digit")
     picked = single.join(again, "digit", "left_semi").groupBy("uid").agg(F.collect_set("digit").alias("digits"))
 
     def identify(batches: Iterator) -> Iterator:
