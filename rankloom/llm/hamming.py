@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +24,7 @@ def codes(vectors: DataFrame, width: int = 64) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.array(*words).alias("code"))
 
 
+@functools.cache
 def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT), radius)], dtype=np.int64)
 
@@ -43,7 +45,10 @@ class Index:
         rows, dist = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for r in range(SEGMENT + 1):
             new = []
-            for s in range(m):
+            every = m * len(masks(r)) >= n  # more values to try than rows: the rest is looked at as a whole
+            if every:
+                new.append(np.flatnonzero(~seen))
+            for s in range(0 if every else m):
                 values = masks(r) ^ int(code[s])
                 a, b = self.start[s][values], self.start[s][values + 1]
                 full = np.flatnonzero(b > a)
@@ -56,12 +61,12 @@ class Index:
                 rows, dist = np.concatenate([rows, found]), np.concatenate([dist, d])
                 best = np.lexsort((self.ids[rows], dist))[:k]
                 rows, dist = rows[best], dist[best]
-            if len(rows) >= k and dist[-1] <= m * (r + 1) - 1:
+            if every or len(rows) >= k and dist[-1] <= m * (r + 1) - 1:
                 break
         return dist, self.ids[rows]
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = 16_384, block_queries: int = 4_096) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = 8_192, block_queries: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, distance: for each row whose id is divisible by `every`, the k rows of the least Hamming
     distance (then the least id) among all others.
 
@@ -102,7 +107,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = 1
         if key is not None:
             yield search()
 
-    found = both.repartition("block", "share").sortWithinPartitions("block", "share", "asks").mapInArrow(run, "query_id long, vec_id long, distance long")
+    found = both.repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "asks").mapInArrow(run, "query_id long, vec_id long, distance long")
     # A block gives at most k rows for a query: the merge keeps the k best while it adds up, as a bounded array.
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, k)
     return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.distance").alias("distance"))
