@@ -22,7 +22,7 @@ MARKER_LINE = r"(?i)^(?:rewritten\s+query|search\s+query|better\s+bm25\s+query)\
 MARKER_INLINE = r"(?i)(?:rewritten\s+query|search\s+query|better\s+bm25\s+query)\s*:\s*([^\n\r]+)"
 LABEL_LINES = ("assistant:", "search query:", "rewritten query:", "better bm25 query:", "better bm25 query", "better bm25", "better bm2")
 NOISE = r"(?i)(user query|better bm25|example|bm25 rules)"
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def strings(values) -> Column:
