@@ -162,7 +162,7 @@ def candidates(t: Column) -> Column:
         return F.when(line.rlike(MARKER_LINE), F.when(tail != "", tail).otherwise(F.get(lines, i + 1))).when(line.rlike(MARKER_INLINE), F.regexp_extract(line, MARKER_INLINE, 1)).when(skip, F.lit(None)).otherwise(line)
 
     found = F.concat(F.transform(lines, one), F.regexp_extract_all(t, F.lit(MARKER_INLINE), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(F.filter(found, lambda x: x.isNotNull()), candidate_text), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: candidate_text(x)), lambda x: x != ""))
 
 
 def best_candidate(found: Column, source: Column) -> Column:

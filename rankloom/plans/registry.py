@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
 from ..operators import cohort, groups, logs, retrieval as R
+from ..sources import io
+from ..streaming import logs as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -381,6 +386,69 @@ query(EARLY, "early_stop")(lambda s, d: logs.early_stop(steps(s, d), "epoch", "s
 query(L + " SELECT (epoch - (SELECT min(epoch) FROM l))::INT AS day, count(*) AS n, least(23, floor((max(reward_mean) - min(reward_mean)) / 1000 * 24))::INT AS bin FROM l GROUP BY epoch", "plot_histogram")(lambda s, d: (lambda t: t.crossJoin(t.agg(F.min("epoch").alias("e0"))).groupBy((F.col("epoch") - F.col("e0")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(23), F.floor((F.max("reward_mean") - F.min("reward_mean")) / 1000 * 24)).cast("int").alias("bin")))(steps(s, d)))
 
 
+# ---- sources, sinks, streams ------------------------------------------------------------------
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one of spark.checkpoint.dir (or a temporary one, where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "rankloom-checkpoints")
+    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS contents FROM benchmark")
+def jsonl_roundtrip(spark, d):
+    path = scratch(spark)
+    io.write_jsonl(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("contents")), path)
+    return io.read_jsonl(spark, path, "id string, contents string", strict=True)
+
+
+@query("SELECT lang AS qid, doc_id::VARCHAR AS docid FROM documents")
+def qrels_json_scan(spark, d):
+    path = scratch(spark)
+    by = table(spark, d, "documents").groupBy("lang").agg(F.collect_list(F.col("doc_id").cast("string")).alias("docs"))
+    by.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("lang", "docs")))).alias("value")).write.text(path)
+    return io.read_qrels_json(spark, path)
+
+
+@query("SELECT event_type AS run_id, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def history_append(spark, d):
+    path = scratch(spark)
+    e = table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.col("user_id").cast("string").alias("prompt_id"), F.col("value").alias("metric"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("at"))
+    io.append_history(e.where("metric < 50"), path)
+    io.append_history(e.where("metric >= 50 or metric is null"), path)
+    return io.history(spark, path).select("run_id", F.size("results").cast("long").alias("n"))
+
+
+def event_log(spark, d, path):
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.dayofyear("ts").alias("epoch"), F.hour("ts").alias("step"), "ts", F.col("value").alias("metric"))
+    io.write_jsonl(e, path)
+    return stream.read_log(spark, path)
+
+
+def drained(df: DataFrame, path: str, mode: str) -> DataFrame:
+    """What a stream gives once it has read all that is there."""
+    spark, name = df.sparkSession, f"s{uuid.uuid4().hex}"
+    if mode == "append":
+        df.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{path}-out")
+    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT dayofyear(ts)::INT AS epoch, hour(ts)::INT AS step, round(avg(value), 6) AS metric_mean, round(max(value), 6) AS metric_max, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_step_rollup(spark, d):
+    path = scratch(spark)
+    out = drained(stream.step_rollup(event_log(spark, d, path)), path, "complete")
+    return out.select("epoch", "step", F.round("metric_mean", 6).alias("metric_mean"), F.round("metric_max", 6).alias("metric_max"), "n")
+
+
+@query("WITH e AS (SELECT event_type AS run, event_id, value AS m FROM events WHERE value IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) AS n, max(m) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e), f AS (SELECT *, b IS NOT NULL AND m < b AND n > 3 AND b - m >= 5 AS dropped FROM o), g AS (SELECT *, sum((NOT dropped)::INT) OVER (PARTITION BY run ORDER BY event_id) AS grp FROM f) SELECT run, event_id AS step, (CASE WHEN dropped THEN sum(dropped::INT) OVER (PARTITION BY run, grp ORDER BY event_id) ELSE 0 END)::INT AS streak FROM g")
+def stream_early_stop(spark, d):
+    path = scratch(spark)
+    e = table(spark, d, "events").where("value is not null").select(F.col("event_type").alias("run"), F.lit(1).alias("epoch"), F.col("event_id").cast("int").alias("step"), "ts", F.col("value").alias("metric"))
+    io.write_jsonl(e.coalesce(1), path)
+    return drained(stream.early_stop(stream.read_log(spark, path), threshold=5.0), path, "append").select("run", "step", "streak")
+
+
 def entry_query(spark, d):
     """Mean reciprocal rank and recall of every benchmark query, judged or not."""
     return rounded(all_metrics(spark, d).where("strategy = 'original'"), ["qid", "hit_rank"], ["mrr", "recall", "recall_aux", "rank_bonus"])
