@@ -74,7 +74,9 @@ def hashed(words: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def estimate(patterns: list[str], counts: list[int], rounds: int = 100, prior: float = 0.8) -> tuple[dict[str, float], list[dict[str, float]]]:
     """Posterior of "good" for each pattern of votes and each labeller's accuracies, by expectation-maximisation over
     how often each pattern occurs; labellers are taken as independent given the true class."""
-    n = len(patterns[0]) if patterns else 0
+    if not patterns:
+        return {}, []
+    n = len(patterns[0])
     x = np.array([["bg-".index(c) for c in p] for p in patterns]).reshape(-1, n)
     c = np.array(counts, dtype=float)
     q = np.array([(1 + p.count("g")) / (2 + p.count("g") + 2 * p.count("b")) for p in patterns])
