@@ -80,9 +80,14 @@ def acronyms(t: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(ACRONYM), F.lit(0)), F.lower))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once per row even where body uses it in a loop over an array."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def keywords(t: Column) -> Column:
-    drop = F.array_union(F.array_union(strings(STOPWORDS + NEGATIONS), numeric_tokens(t)), acronyms(t))
-    return F.filter(tokens(t), lambda w: ~F.array_contains(drop, w) & (F.length(w) > 1))
+    locked = F.array_union(numeric_tokens(t), acronyms(t))
+    return let(locked, lambda drop: F.filter(tokens(t), lambda w: ~w.isin(*STOPWORDS, *NEGATIONS) & ~F.array_contains(drop, w) & (F.length(w) > 1)))
 
 
 def negations(t: Column) -> Column:
@@ -90,8 +95,12 @@ def negations(t: Column) -> Column:
 
 
 def preserve_ratio(source: Column, rewrite: Column) -> Column:
-    kept = F.aggregate(F.array_distinct(source), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(source, lambda x: x == t)), F.size(F.filter(rewrite, lambda x: x == t))))
-    return F.when(F.size(source) == 0, 1.0).otherwise(kept / F.greatest(F.size(source), F.lit(1)))
+    def ratio(p):
+        s, r = p.getField("s"), p.getField("r")
+        kept = F.aggregate(F.array_distinct(s), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(s, lambda x: x == t)), F.size(F.filter(r, lambda x: x == t))))
+        return F.when(F.size(s) == 0, 1.0).otherwise(kept / F.greatest(F.size(s), F.lit(1)))
+
+    return let(F.struct(source.alias("s"), rewrite.alias("r")), ratio)
 
 
 def keyword_preserve(source: Column, rewrite: Column) -> Column:

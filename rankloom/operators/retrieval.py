@@ -27,8 +27,13 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, df: a term counts once in each document, and counts are added up before the shuffle."""
+    return docs.select(F.explode(F.array_distinct(tokens_ascii(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def idf_table(docs: DataFrame, variant: str = "okapi", epsilon: float = 0.25) -> DataFrame:
-    df = term_stats(docs).crossJoin(F.broadcast(corpus_size(docs)))  # one row
+    df = document_frequencies(docs).crossJoin(F.broadcast(corpus_size(docs)))  # one row
     if variant == "lucene":
         return df.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -43,7 +48,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, variant: str = "okapi", k
     k1, b = (0.9, 0.4) if variant == "lucene" else (1.5, 0.75)
     texts = queries.select("text").distinct()
     q = texts.select("text", F.explode(tokens_ascii(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    s = q.join(idf_table(docs, variant), "term").join(postings(docs), "term")
+    # Only the queries' own terms enter the postings; the join is broadcast where their measured size allows it.
+    own = docs.select("doc_id", tokens_ascii(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    own = own.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    s = q.join(idf_table(docs, variant), "term").join(own, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     s = s.groupBy("text", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "doc_id"))
@@ -54,10 +62,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, variant: str = "okapi", k
 def containment_qrels(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, doc_id where the document contains the query's text: candidates by the text's rarest inner word, then the
     containment itself."""
-    stats = term_stats(docs).select("term", "df")
+    stats = document_frequencies(docs)
     words = queries.select("qid", "text", F.posexplode(F.array_distinct(F.slice(tokens_ascii(F.col("text")), 2, F.greatest(F.size(tokens_ascii(F.col("text"))) - 2, F.lit(0))))).alias("p", "term"))
     rare = words.join(stats, "term").groupBy("qid", "text").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = rare.join(postings(docs).select("term", "doc_id"), "term")
+    found = docs.select("doc_id", F.explode(F.array_distinct(tokens_ascii(F.col("text")))).alias("term"))
+    pairs = rare.join(found, "term")
     return pairs.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", "text")).select("qid", "doc_id").distinct()
 
 

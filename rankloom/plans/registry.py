@@ -58,7 +58,7 @@ tok = lambda x: f"regexp_extract_all(lower({x}), {q(r'[\p{L}\p{N}_]+')})"  # noq
 explains = lambda x: f"(regexp_matches({x}, {q(T.EXPLANATION)}) OR (contains({x}, ':') AND list_contains({sql_list(T.LABELS_BEFORE_COLON)}, lower(trim(split_part({x}, ':', 1))))))"
 polluted = lambda x: f"regexp_matches({x}, {q(T.POLLUTION)})"
 numbers = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, {q(T.NUMERIC)}), lambda n: lower(n)))"
-caps = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, {q(T.ACRONYM)}), lambda n: lower(n)))"
+caps = lambda x: f"list_distinct(list_transform(list_filter(regexp_extract_all({x}, {q(r'[\p{L}\p{N}_]+')}), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')), lambda n: lower(n)))"
 negs = lambda x: f"list_filter({tok(x)}, lambda t: list_contains({sql_list(T.NEGATIONS)}, t))"
 words = lambda x: f"list_filter({tok(x)}, lambda t: length(t) > 1 AND NOT list_contains({sql_list(T.STOPWORDS + T.NEGATIONS)}, t) AND NOT list_contains({numbers(x)}, t) AND NOT list_contains({caps(x)}, t))"
 over = lambda a, b: f"(CASE WHEN len({tok(a)}) = 0 OR len({tok(b)}) = 0 THEN 0.0 ELSE len(list_intersect({tok(a)}, {tok(b)}))::DOUBLE / len(list_distinct(list_concat({tok(a)}, {tok(b)}))) END)"
@@ -70,36 +70,35 @@ ready = lambda x: f"(len({tok(x)}) BETWEEN 2 AND 8 AND NOT contains({x}, '?') AN
 locked = lambda a, b: f"coalesce(((CASE WHEN len({numbers(a)}) > 0 THEN {kept(numbers(a), numbers(b))} ELSE 0 END) + (CASE WHEN len({caps(a)}) > 0 THEN {kept(caps(a), tok(b))} ELSE 0 END) + (CASE WHEN len({negs(a)}) > 0 THEN {kept(negs(a), tok(b))} ELSE 0 END)) / nullif((len({numbers(a)}) > 0)::INT + (len({caps(a)}) > 0)::INT + (len({negs(a)}) > 0)::INT, 0), 1.0)"
 length_sql = lambda x: f"(CASE WHEN len({tok(x)}) <= 1 OR len({tok(x)}) >= 20 THEN 0.0 WHEN len({tok(x)}) < 4 THEN (len({tok(x)}) - 1) / 3.0 WHEN len({tok(x)}) <= 12 THEN 1.0 ELSE (20 - len({tok(x)})) / 8.0 END)::DOUBLE"
 
-S, W = F.col("source"), F.col("raw")
 SIMPLE = {
-    "normalize_text": (T.normalize(W), norm("raw")),
-    "tokenize_ascii": (F.array_join(T.tokens_ascii(W), " "), "array_to_string(regexp_extract_all(lower(raw), '[a-z0-9_]+'), ' ')"),
-    "tokenize_unicode": (F.array_join(T.tokens(W), " "), f"array_to_string({tok('raw')}, ' ')"),
-    "lexical_overlap": (F.round(T.overlap(S, W), 6), f"round({over('source', 'raw')}, 6)"),
-    "copy_penalty": (F.round(T.copy_penalty(T.overlap(S, W), 0.05), 6), f"round(greatest(0.0, {over('source', 'raw')} - 0.05::DOUBLE), 6)"),
-    "unreadable_ratio": (F.round(T.unreadable_ratio(W), 6), f"round({unread('raw')}, 6)"),
-    "english_ratio": (F.round(T.english_ratio(W), 6), f"round({english('raw')}, 6)"),
-    "explanation_flag": (T.is_explanation(W), explains("raw")),
-    "pollution_flag": (T.is_polluted(W), polluted("raw")),
-    "numeric_tokens": (F.array_join(F.array_sort(T.numeric_tokens(W)), " "), f"array_to_string(list_sort({numbers('raw')}), ' ')"),
-    "acronym_tokens": (F.array_join(F.array_sort(T.acronyms(W)), " "), f"array_to_string(list_sort({caps('raw')}), ' ')"),
-    "keyword_terms": (F.array_join(T.keywords(S), " "), f"array_to_string({words('source')}, ' ')"),
-    "keyword_preserve": (F.round(T.keyword_preserve(S, W), 6), f"round({kept(words('source'), tok('raw'))}, 6)"),
-    "locked_preserve": (F.round(T.locked_preserve(S, W), 6), f"round({locked('source', 'raw')}, 6)"),
-    "term_preserve": (F.round(T.term_preserve(S, W), 6), f"round(0.5 * {kept(words('source'), tok('raw'))} + 0.5 * {locked('source', 'raw')}, 6)"),
-    "length_score": (F.round(T.length_score(W), 6), f"round({length_sql('raw')}, 6)"),
-    "bad_format_penalty": (F.round(T.bad_format_penalty(W), 6), f"round({bad('raw')}, 6)"),
-    "clean_format_score": (F.when(T.bad_format_penalty(W) == 0, 1.0).otherwise(0.0), f"(CASE WHEN {bad('raw')} = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE"),
-    "exact_copy_penalty": (T.exact_copy_penalty(S, W), f"(CASE WHEN lower({norm('source')}) = lower({norm('raw')}) AND {norm('source')} <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE"),
-    "unsafe_copy_penalty": (T.unsafe_copy_penalty(S, S), f"(CASE WHEN {norm('source')} <> '' AND NOT {ready('source')} THEN 1.0 ELSE 0.0 END)::DOUBLE"),
-    "retrieval_ready": (T.is_retrieval_ready(S), ready("source")),
-    "doc_id_sha1": (F.concat(F.lit("D"), F.sha1(T.normalize(W).cast("binary"))), f"'D' || sha1({norm('raw')})"),
-    "truncate_generation": (T.truncate_generation(W), "split_part(raw, chr(10), 1)"),
-    "postprocess_single_line": (T.first_line(W), f"coalesce(list_filter(list_transform(regexp_split_to_array(split_part(raw, chr(10) || chr(10), 1), {q(chr(13) + chr(10) + '|[' + chr(10) + chr(13) + ']')}), lambda x: {norm('x')}), lambda x: x <> '')[1], '')"),
-    "sanitize_name": (T.slug(F.substring(W, 1, 40)), f"coalesce(nullif(trim(regexp_replace(substr(raw, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'summary')"),
+    "normalize_text": (lambda S, W: T.normalize(W), norm("raw")),
+    "tokenize_ascii": (lambda S, W: F.array_join(T.tokens_ascii(W), " "), "array_to_string(regexp_extract_all(lower(raw), '[a-z0-9_]+'), ' ')"),
+    "tokenize_unicode": (lambda S, W: F.array_join(T.tokens(W), " "), f"array_to_string({tok('raw')}, ' ')"),
+    "lexical_overlap": (lambda S, W: F.round(T.overlap(S, W), 6), f"round({over('source', 'raw')}, 6)"),
+    "copy_penalty": (lambda S, W: F.round(T.copy_penalty(T.overlap(S, W), 0.05), 6), f"round(greatest(0.0, {over('source', 'raw')} - 0.05::DOUBLE), 6)"),
+    "unreadable_ratio": (lambda S, W: F.round(T.unreadable_ratio(W), 6), f"round({unread('raw')}, 6)"),
+    "english_ratio": (lambda S, W: F.round(T.english_ratio(W), 6), f"round({english('raw')}, 6)"),
+    "explanation_flag": (lambda S, W: T.is_explanation(W), explains("raw")),
+    "pollution_flag": (lambda S, W: T.is_polluted(W), polluted("raw")),
+    "numeric_tokens": (lambda S, W: F.array_join(F.array_sort(T.numeric_tokens(W)), " "), f"array_to_string(list_sort({numbers('raw')}), ' ')"),
+    "acronym_tokens": (lambda S, W: F.array_join(F.array_sort(T.acronyms(W)), " "), f"array_to_string(list_sort({caps('raw')}), ' ')"),
+    "keyword_terms": (lambda S, W: F.array_join(T.keywords(S), " "), f"array_to_string({words('source')}, ' ')"),
+    "keyword_preserve": (lambda S, W: F.round(T.keyword_preserve(S, W), 6), f"round({kept(words('source'), tok('raw'))}, 6)"),
+    "locked_preserve": (lambda S, W: F.round(T.locked_preserve(S, W), 6), f"round({locked('source', 'raw')}, 6)"),
+    "term_preserve": (lambda S, W: F.round(T.term_preserve(S, W), 6), f"round(0.5 * {kept(words('source'), tok('raw'))} + 0.5 * {locked('source', 'raw')}, 6)"),
+    "length_score": (lambda S, W: F.round(T.length_score(W), 6), f"round({length_sql('raw')}, 6)"),
+    "bad_format_penalty": (lambda S, W: F.round(T.bad_format_penalty(W), 6), f"round({bad('raw')}, 6)"),
+    "clean_format_score": (lambda S, W: F.when(T.bad_format_penalty(W) == 0, 1.0).otherwise(0.0), f"(CASE WHEN {bad('raw')} = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE"),
+    "exact_copy_penalty": (lambda S, W: T.exact_copy_penalty(S, W), f"(CASE WHEN lower({norm('source')}) = lower({norm('raw')}) AND {norm('source')} <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE"),
+    "unsafe_copy_penalty": (lambda S, W: T.unsafe_copy_penalty(S, S), f"(CASE WHEN {norm('source')} <> '' AND NOT {ready('source')} THEN 1.0 ELSE 0.0 END)::DOUBLE"),
+    "retrieval_ready": (lambda S, W: T.is_retrieval_ready(S), ready("source")),
+    "doc_id_sha1": (lambda S, W: F.concat(F.lit("D"), F.sha1(T.normalize(W).cast("binary"))), f"'D' || sha1({norm('raw')})"),
+    "truncate_generation": (lambda S, W: T.truncate_generation(W), "split_part(raw, chr(10), 1)"),
+    "postprocess_single_line": (lambda S, W: T.first_line(W), f"coalesce(list_filter(list_transform(regexp_split_to_array(split_part(raw, chr(10) || chr(10), 1), {q(chr(13) + chr(10) + '|[' + chr(10) + chr(13) + ']')}), lambda x: {norm('x')}), lambda x: x <> '')[1], '')"),
+    "sanitize_name": (lambda S, W: T.slug(F.substring(W, 1, 40)), f"coalesce(nullif(trim(regexp_replace(substr(raw, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'summary')"),
 }
 for _name, (_column, _sql) in SIMPLE.items():
-    query(f"{P} SELECT conv_id, turn, {_sql} AS value FROM p", _name)(lambda s, d, c=_column: pairs(s, d).select("conv_id", "turn", c.alias("value")))
+    query(f"{P} SELECT conv_id, turn, {_sql} AS value FROM p", _name)(lambda s, d, c=_column: pairs(s, d).select("conv_id", "turn", c(F.col("source"), F.col("raw")).alias("value")))
 
 LINES = f"list_filter(list_transform(string_split(replace(raw, chr(13), chr(10)), chr(10)), lambda x: {norm('x')}), lambda x: x <> '')"
 CAND = lambda x: f"{norm('regexp_replace(regexp_replace(regexp_replace(regexp_replace(' + strip(x) + ', ' + q(chr(94) + chr(39) + '+|' + chr(39) + '+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^\"+|\"+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^`+|`+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^[-*0-9.)' + chr(92) + 's]+') + ', ' + q('') + ')')}"
@@ -118,12 +117,12 @@ k AS (SELECT conv_id, turn, x, row_number() OVER (PARTITION BY conv_id, turn ORD
 
 @query(f"{CLEAN} SELECT p.conv_id, p.turn, CASE WHEN {norm('raw')} = '' THEN '' ELSE coalesce(k.x, {CAND('raw')}) END AS value FROM p LEFT JOIN k ON p.conv_id = k.conv_id AND p.turn = k.turn AND k.r = 1")
 def clean_query(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", T.clean_query(W, T.normalize(S)).alias("value"))
+    return pairs(spark, d).select("conv_id", "turn", T.clean_query(F.col("raw"), T.normalize(F.col("source"))).alias("value"))
 
 
 @query(f"{CLEAN} SELECT conv_id, turn, array_to_string(list(x ORDER BY i), ' / ') AS value FROM k GROUP BY conv_id, turn")
 def candidate_extract(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", F.array_join(T.candidates(W), " / ").alias("value")).where("value <> ''")
+    return pairs(spark, d).select("conv_id", "turn", F.array_join(T.candidates(F.col("raw")), " / ").alias("value")).where("value <> ''")
 
 
 STAB = f"{CLEAN}, z AS (SELECT p.*, {norm('source')} AS own, {norm(f'CASE WHEN {norm(chr(114) + chr(97) + chr(119))} = {q(str())} THEN {q(str())} ELSE coalesce(k.x, {CAND(chr(114) + chr(97) + chr(119))}) END')} AS clean FROM p LEFT JOIN k ON p.conv_id = k.conv_id AND p.turn = k.turn AND k.r = 1), y AS (SELECT *, CASE WHEN clean = '' THEN own ELSE clean END AS final FROM z)"
@@ -131,13 +130,13 @@ STAB = f"{CLEAN}, z AS (SELECT p.*, {norm('source')} AS own, {norm(f'CASE WHEN {
 
 @query(f"{STAB} SELECT conv_id, turn, final AS final_query, clean = '' AS fallback_to_original, {polluted('raw')} AS raw_contains_label, contains(raw, chr(10)) OR contains(raw, chr(13)) AS raw_multiline, round({bad('raw')}, 6) AS raw_format_penalty, round({over('own', 'final')}, 6) AS final_overlap, len({tok('final')})::INT AS final_term_count FROM y")
 def stabilize_rewrite(spark, d):
-    x = pairs(spark, d).select("conv_id", "turn", T.stabilized(W, S).alias("x"))
+    x = pairs(spark, d).select("conv_id", "turn", T.stabilized(F.col("raw"), F.col("source")).alias("x"))
     return x.select("conv_id", "turn", "x.final_query", "x.fallback_to_original", "x.raw_contains_label", "x.raw_multiline", F.round("x.raw_format_penalty", 6).alias("raw_format_penalty"), F.round("x.final_overlap", 6).alias("final_overlap"), "x.final_term_count")
 
 
 @query(f"{STAB} SELECT count(*) AS n, round(avg((final <> own)::INT), 6) AS changed_rate, round(avg((clean = '')::INT), 6) AS fallback_rate, round(avg((contains(raw, chr(10)) OR contains(raw, chr(13)))::INT), 6) AS multiline_rate, round(avg({polluted('raw')}::INT), 6) AS label_rate, round(avg({over('own', 'final')}), 6) AS mean_overlap, round(avg(len({tok('final')})), 6) AS mean_terms FROM y")
 def rewrite_diagnostics(spark, d):
-    x = pairs(spark, d).select(T.normalize(S).alias("own"), T.stabilized(W, S).alias("x"))
+    x = pairs(spark, d).select(T.normalize(F.col("source")).alias("own"), T.stabilized(F.col("raw"), F.col("source")).alias("x"))
     rate = lambda c: F.round(F.avg(c.cast("int")), 6)
     return x.agg(F.count(F.lit(1)).alias("n"), rate(F.col("x.final_query") != F.col("own")).alias("changed_rate"), rate(F.col("x.fallback_to_original")).alias("fallback_rate"), rate(F.col("x.raw_multiline")).alias("multiline_rate"), rate(F.col("x.raw_contains_label")).alias("label_rate"), F.round(F.avg("x.final_overlap"), 6).alias("mean_overlap"), F.round(F.avg("x.final_term_count"), 6).alias("mean_terms"))
 
@@ -345,7 +344,7 @@ def rollouts(spark, d):
 query(G + " SELECT grp, idx, round(CASE WHEN stddev_pop(reward) OVER (PARTITION BY grp) < 1e-8 THEN 0 ELSE (reward - avg(reward) OVER (PARTITION BY grp)) / (stddev_pop(reward) OVER (PARTITION BY grp) + 1e-8) END, 4) AS advantage FROM g", "advantages")(lambda s, d: groups.advantages(rollouts(s, d), "grp", "reward").select("grp", "idx", F.round("advantage", 4).alias("advantage")))
 query(G + ", q AS (SELECT grp, query, max(reward) AS hi, min(reward) AS lo FROM g GROUP BY ALL), a AS (SELECT grp, round(CASE WHEN count(*) < 2 THEN 0 ELSE max(hi) - min(lo) END, 4) AS reward_gap, count(*) = 1 AS collapsed FROM q GROUP BY grp), b AS (SELECT grp, max(reward) = min(reward) AS flat_reward, max(mrr) = min(mrr) AS flat_mrr, first(mrr ORDER BY reward DESC, idx) = max(mrr) AS best_reward_hits_best_mrr FROM g GROUP BY grp) SELECT * FROM a JOIN b USING (grp)", "group_flags")(lambda s, d: groups.flags(rollouts(s, d), "grp", "query", "reward", "mrr", "idx").withColumn("reward_gap", F.round("reward_gap", 4)))
 query(G + ", r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY reward DESC, idx) AS k FROM g) SELECT grp, idx, query, reward FROM r WHERE k = 1", "best_rewrite")(lambda s, d: groups.best(rollouts(s, d), "grp", "reward", "idx", ["idx", "query", "reward"]))
-query(G + ", r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx) AS n, max(reward) OVER w - min(reward) OVER w AS gap FROM g WINDOW w AS (PARTITION BY grp ORDER BY idx ROWS UNBOUNDED PRECEDING)), h AS (SELECT grp, min(n) FILTER (n >= 2 AND gap >= 60) AS at, max(n) AS last FROM r WHERE n <= 8 GROUP BY grp) SELECT grp, coalesce(at, last)::INT AS generated, at IS NOT NULL AS gap_met, CASE WHEN at IS NOT NULL THEN 'reward_gap_met' ELSE 'max_group_size_reached' END AS stop_reason FROM h", "gap_stop_index")(lambda s, d: groups.gap_stop(rollouts(s, d), "grp", "query", "reward", "idx", 60.0, 2, 8))
+query(G + ", r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx) AS n, max(reward) OVER w - min(reward) OVER w AS gap FROM g WINDOW w AS (PARTITION BY grp ORDER BY idx ROWS UNBOUNDED PRECEDING)), h AS (SELECT grp, min(n) FILTER (n >= 2 AND gap >= 60) AS hit_at, max(n) AS last FROM r WHERE n <= 8 GROUP BY grp) SELECT grp, coalesce(hit_at, last)::INT AS generated, hit_at IS NOT NULL AS gap_met, CASE WHEN hit_at IS NOT NULL THEN 'reward_gap_met' ELSE 'max_group_size_reached' END AS stop_reason FROM h", "gap_stop_index")(lambda s, d: groups.gap_stop(rollouts(s, d), "grp", "query", "reward", "idx", 60.0, 2, 8))
 query(G + " SELECT grp, array_to_string(list(query ORDER BY idx), ',') AS queries, count(*) AS n FROM g GROUP BY grp", "nest_group_trace")(lambda s, d: groups.nest(rollouts(s, d), "grp", "idx", ["query", "reward"]).select("grp", F.array_join("group_query", ",").alias("queries"), F.size("group_query").cast("long").alias("n")))
 query(G + " SELECT grp, (row_number() OVER (PARTITION BY grp ORDER BY idx) - 1)::INT AS idx, query, reward FROM g", "unnest_group_trace")(lambda s, d: groups.unnest(groups.nest(rollouts(s, d), "grp", "idx", ["query", "reward"]), "grp", ["query", "reward"]))
 query("SELECT vec_id, round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: least(exp(z[1]::DOUBLE - z[2]::DOUBLE), least(greatest(exp(z[1]::DOUBLE - z[2]::DOUBLE), 0.8), 1.2)))) / 32, 5) AS objective, round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: z[1]::DOUBLE - z[2]::DOUBLE)) / 32, 5) AS kl FROM embeddings", "clipped_objective")(lambda s, d: (lambda n, o: table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(scores.clipped_objective(n, o, F.lit(1.0)), F.lit(0.0), lambda a, x: a + x) / 32, 5).alias("objective"), F.round(F.aggregate(F.zip_with(n, o, lambda x, y: x - y), F.lit(0.0), lambda a, x: a + x) / 32, 5).alias("kl")))(F.slice("embedding", 1, 32).cast("array<double>"), F.slice("embedding", 33, 32).cast("array<double>")))
