@@ -1,6 +1,7 @@
 """Every query with SQL gives the same rows as DuckDB, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def tidy(df, cols):
     def text(v):
         return str(round(v, 4)).removesuffix(".0") if isinstance(v, float) else str(v)
 
-    return sorted(tuple("None" if v is None or v != v else text(v) for v in row) for row in df[cols].astype(object).itertuples(index=False))
+    return sorted(tuple("None" if pd.isna(v) else text(v) for v in row) for row in df[cols].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", NAMES)
