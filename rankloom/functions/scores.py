@@ -50,3 +50,33 @@ def clipped_objective(new: Column, old: Column, advantage: Column, eps: float =
 
 def sampling_schedule(n: Column, temperature: float, top_p: float, dt: float = 0.05, dp: float = 0.01) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.round(F.least(F.lit(1.35), temperature + dt * i), 6).alias("temperature"), F.round(F.least(F.lit(0.995), top_p + dp * i), 6).alias("top_p")))
+
+
+def retry_temperature(base: Column, step: float, turn: Column, most: float = 1.35) -> Column:
+    return F.round(F.least(F.lit(most), base + step * turn), 6)
+
+
+def epochs_for(max_steps: Column, rows: Column, batch: Column, least: Column) -> Column:
+    """Epochs that max_steps (0: no limit) take with this many rows in batches, but no fewer than asked for."""
+    a_epoch = F.greatest(F.lit(1), F.ceil(F.try_divide(rows, batch)))
+    return F.when(max_steps > 0, F.greatest(least, F.ceil(max_steps / a_epoch))).otherwise(least).cast("long")
+
+
+def phase_metric(phase: Column, recall: Column, mrr: Column, fallback: Column) -> Column:
+    """What a phase is judged by: recall in phase1, reciprocal rank in phase2; the fallback where that is null."""
+    known = F.when(phase == "phase1", recall).when(phase == "phase2", mrr)
+    return F.when(phase.isin("phase1", "phase2"), F.coalesce(known, fallback)).otherwise(F.raise_error(F.concat(F.lit("unknown phase "), F.coalesce(phase, F.lit("null")))).cast("double"))
+
+
+def mean_of(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def sample_loss(new: Column, old: Column, ref: Column, advantage: Column, beta: float, eps: float = 0.2) -> Column:
+    """struct(loss, loss_pg, loss_kl) over the common length; null if that is 0 or the loss isn't finite."""
+    n = F.least(F.size(new), F.size(old), F.size(ref))
+    cut = lambda v: F.slice(v, F.lit(1), n)
+    pg = -mean_of(clipped_objective(cut(new), cut(old), advantage, eps))
+    kl = beta * mean_of(F.zip_with(cut(new), cut(ref), lambda a, b: a - b))
+    finite = (n > 0) & ~F.isnan(pg + kl) & (F.abs(pg + kl) < float("inf"))
+    return F.when(finite, F.struct((pg + kl).alias("loss"), pg.alias("loss_pg"), kl.alias("loss_kl")))

@@ -174,22 +174,37 @@ def candidates(t: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: candidate_text(x)), lambda x: x != ""))
 
 
-def best_candidate(found: Column, source: Column) -> Column:
-    """The first of the cleanest candidates with the highest overlap that don't end in a dangling word."""
+def candidate_keys(found: Column, source: Column) -> Column:
+    """Each candidate with its rank key: clean, overlap with the source, not ending in a dangling word, earlier first."""
 
     def key(c, i):
         w = tokens(c)
         return F.struct(F.when(c.rlike(NOISE) | is_explanation(c), 0).otherwise(1).alias("clean"), overlap(source, c).alias("overlap"), F.when(F.coalesce(F.get(w, F.size(w) - 1), F.lit("")).isin(*PARTIAL_TAILS), 0).otherwise(1).alias("whole"), (-i).alias("order"), c.alias("c"))
 
-    return F.array_max(F.transform(found, key)).getField("c")
+    return F.transform(found, key)
+
+
+def best_candidate(found: Column, source: Column) -> Column:
+    """The first of the cleanest candidates with the highest overlap that don't end in a dangling word."""
+    return F.array_max(candidate_keys(found, source)).getField("c")
+
+
+def ranked_candidates(found: Column, source: Column) -> Column:
+    """All candidates, best first."""
+    return F.transform(F.sort_array(candidate_keys(found, source), asc=False), lambda x: x.getField("c"))
 
 
 def clean_query(raw: Column, source: Column) -> Column:
     return F.when(normalize(raw) == "", "").otherwise(F.coalesce(best_candidate(candidates(raw), source), candidate_text(raw)))
 
 
-def stabilized(raw: Column, source: Column) -> Column:
-    """A cleaned rewrite that falls back to the source when cleaning leaves nothing, with its diagnostics."""
+def stabilized(raw: Column, source: Column, stop: str | None = None) -> Column:
+    """A cleaned rewrite that falls back to the source when cleaning leaves nothing, with its diagnostics. The raw text
+    is trimmed first, and cut at the stop marker where one other than a line break is given."""
+    edges = rf"^{SPACE}|{SPACE}$"
+    raw = F.regexp_replace(raw, edges, "")
+    if stop and stop != "\n":
+        raw = F.regexp_replace(F.substring_index(raw, stop, 1), edges, "")
     clean, own = normalize(clean_query(raw, normalize(source))), normalize(source)
     final = F.when(clean == "", own).otherwise(clean)
     return F.struct(
@@ -212,3 +227,51 @@ def first_line(t: Column, marker: str = "\n\n") -> Column:
 
 def slug(t: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(t, "[^A-Za-z0-9._-]+", "_"), F.lit("_")), F.lit("")), F.lit("summary"))
+
+
+# ---- cohorts, prompts, names --------------------------------------------------------------------
+
+def is_learnable(t: Column) -> Column:
+    """Whether a query that finds nothing may still be improved: one clean line, mostly English, 3 to 12 tokens of which
+    at least 40% aren't stopwords, with two keywords or one number, acronym or negation."""
+    x = normalize(t)
+    w = tokens(x)
+    content = F.size(F.filter(w, lambda v: ~v.isin(*STOPWORDS)))
+    locked = F.size(numeric_tokens(x)) + F.size(acronyms(x)) + F.size(negations(x))
+    return (
+        ~t.rlike("[\n\r]") & (x != "") & ~is_polluted(x) & (english_ratio(x) >= 0.70) & (unreadable_ratio(x) <= 0.25)
+        & F.size(w).between(3, 12) & (content >= 0.40 * F.size(w)) & ((F.size(keywords(x)) >= 2) | (locked >= 1))
+    )
+
+
+def unique_nonempty(values: Column) -> Column:
+    """Number of different texts that aren't blank."""
+    return F.size(F.array_distinct(F.filter(F.transform(values, normalize), lambda x: x != "")))
+
+
+def prompt(system: str, template: str, query: Column) -> Column:
+    """System text, an empty line, and the template with {query} filled in."""
+    before, _, after = template.partition("{query}")
+    return F.concat(F.lit(f"{system}\n\n{before}"), normalize(query), F.lit(after))
+
+
+def retry_prompt(base: Column, previous: Column, constraint: str, heading: str, suffix: str, most: int = 8) -> Column:
+    """base with a list of up to `most` previous rewrites to avoid (different in any case, in order) ahead of the suffix;
+    base itself if there is none."""
+    texts = F.filter(F.transform(previous, normalize), lambda x: x != "")
+    first = F.filter(F.transform(texts, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.lower(x).alias("k"))), lambda s: F.array_position(F.transform(texts, lambda y: F.lower(y)), s.getField("k")) == s.getField("i") + 1)
+    head = F.regexp_replace(base, rf"{SPACE}$", "")
+    head = F.when(head.endswith(suffix), F.regexp_replace(F.left(head, F.length(head) - len(suffix)), rf"{SPACE}$", "")).otherwise(head)
+    items = F.array_join(F.transform(F.slice(first, 1, most), lambda s: F.concat(F.lit("- "), s.getField("x"))), "\n")
+    return F.when(F.size(first) == 0, base).otherwise(F.concat(head, F.lit(f"\n{constraint}\n{heading}\n"), items, F.lit(f"\n{suffix}")))
+
+
+def model_key(name: Column) -> Column:
+    return F.lower(F.rtrim(F.replace(F.trim(name), F.lit("\\"), F.lit("/")), F.lit("/")))
+
+
+def same_model(a: Column, b: Column) -> Column:
+    """Whether two model names or paths mean the same: equal, one the tail of the other, or the same last part."""
+    x, y = model_key(a), model_key(b)
+    last = lambda v: F.substring_index(v, "/", -1)
+    return (x != "") & (y != "") & ((x == y) | x.endswith(F.concat(F.lit("/"), y)) | y.endswith(F.concat(F.lit("/"), x)) | (last(x) == last(y)))

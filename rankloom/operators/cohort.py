@@ -10,14 +10,26 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def hash_rank(df: DataFrame, by: list[str], order: Column, key: str, out: str) -> DataFrame:
+    """Adds out: 1 to n in ascending order of a hex hash within groups `by` (no nulls there), ties by key.
+
+    Rows are numbered inside the 4096 cells of the hash's first three digits and the counts of the cells before are
+    added, so neither the whole table nor a group with a third of its rows is ever one task."""
+    df = df.withColumn("_hash", order).withColumn("_cell", F.substring("_hash", 1, 3))
+    cells = df.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by, F.lit(1)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*by, "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_hash", key))
+    return df.withColumn(out, inside).join(cells, [*by, "_cell"]).withColumn(out, F.col(out) + F.col("_before")).drop("_hash", "_cell", "_before")
+
+
 def split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """Adds part: 'train' for the first int(n * ratio) rows (1 to n - 1) in hash order, else 'validation'."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.orderBy(hash_order(F.col(key), seed), key))
-    cut = F.least(F.greatest(F.floor(n * ratio), F.lit(1)), n - 1)
-    return df.withColumn("part", F.when(place <= cut, "train").otherwise("validation"))
+    cut = df.agg(F.least(F.greatest(F.floor(F.count(F.lit(1)) * ratio), F.lit(1)), F.count(F.lit(1)) - 1).alias("_cut"))
+    ranked = hash_rank(df, [], hash_order(F.col(key), seed), key, "_place").crossJoin(F.broadcast(cut))  # one row
+    return ranked.withColumn("part", F.when(F.col("_place") <= F.col("_cut"), "train").otherwise("validation")).drop("_place", "_cut")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -46,8 +58,29 @@ def quotas(weights: DataFrame, total: int) -> DataFrame:
 
 def cyclic_draw(items: DataFrame, quota: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """For each bucket its quota of items: reshuffled and repeated in rounds until enough are drawn."""
-    sized = items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).join(quota.select("bucket", "quota"), "bucket").where("quota > 0")
-    rounds = sized.withColumn("round", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("quota") / F.col("n")) - 1).cast("int"))))
+    sizes = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(quota.select("bucket", "quota"), "bucket").where("quota > 0")
+    rounds = items.join(sizes, "bucket").withColumn("round", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("quota") / F.col("n")) - 1).cast("int"))))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("round").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary"))
-    slot = F.row_number().over(Window.partitionBy("bucket").orderBy("round", order, key))
-    return rounds.withColumn("slot", slot).where("slot <= quota").select("bucket", "slot", "round", key)
+    ranked = hash_rank(rounds, ["bucket", "round"], order, key, "slot").withColumn("slot", F.col("slot") + F.col("round") * F.col("n"))
+    return ranked.where("slot <= quota").select("bucket", "slot", "round", key)
+
+
+def epoch_sample(items: DataFrame, weights: dict[str, float], key: str, seed: int = 42) -> DataFrame:
+    """place, bucket, key: one epoch of as many rows as there are in the buckets with a weight.
+
+    Weights of the buckets that have items are scaled to 1 and turned into quotas by largest remainder; each bucket is
+    drawn cyclically; a schedule of buckets in hash order says which bucket's next item comes at which place. Without
+    any item in a weighted bucket all items come, in order of key."""
+    spark = items.sparkSession
+    some = items.where(F.col("bucket").isin(*weights))
+    counts = {r["bucket"]: r["n"] for r in some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a bucket
+    if not counts:
+        return items.select(F.row_number().over(Window.orderBy(key)).cast("long").alias("place"), "bucket", key)
+    table = spark.createDataFrame([(b, float(w)) for b, w in weights.items() if b in counts], "bucket string, weight double")
+    quota = quotas(table, sum(counts.values()))
+    draws = cyclic_draw(some.select("bucket", key), quota, key, seed)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("bucket"), F.lit(":"), F.col("slot").cast("string")).cast("binary"))
+    # A schedule's slots in a bucket come in order, so the i-th place of a bucket takes its i-th draw.
+    slots = quota.where("quota > 0").select("bucket", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("slot"))
+    places = hash_rank(hash_rank(slots, [], order, "bucket", "place"), ["bucket"], order, "bucket", "nth")
+    return places.select("bucket", F.col("nth").alias("slot"), "place").join(draws, ["bucket", "slot"]).select(F.col("place").cast("long").alias("place"), "bucket", key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,34 @@ def nest(df: DataFrame, group: str, idx: str, cols: list[str]) -> DataFrame:
 
 def unnest(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     return df.select(group, F.posexplode(F.arrays_zip(*[F.col(f"group_{c}") for c in cols])).alias("idx", "r")).select(group, "idx", *[F.col(f"r.group_{c}").alias(c) for c in cols])
+
+
+def reward_gap(df: DataFrame, group: str, query: str, reward: str) -> DataFrame:
+    """Highest less lowest reward over a group's different queries; 0 with fewer than two of them."""
+    distinct = df.groupBy(group, query).agg(F.max(reward).alias("hi"), F.min(reward).alias("lo"))
+    return distinct.groupBy(group).agg(F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.max("hi") - F.min("lo")).alias("reward_gap"))
+
+
+def regenerate(df: DataFrame, group: str, query: str, source: str, polluted: str, idx: str) -> DataFrame:
+    """Adds is_duplicate, is_copy and regenerate: rows that repeat an earlier query of the group, are polluted, or copy
+    the source (in any case)."""
+    again = F.row_number().over(Window.partitionBy(group, query).orderBy(idx)) > 1
+    copy = F.lower(F.trim(query)) == F.lower(F.trim(source))
+    return df.withColumn("is_duplicate", again).withColumn("is_copy", copy).withColumn("regenerate", F.col("is_duplicate") | F.col("is_copy") | F.col(polluted))
+
+
+def accept_retry(final: Column, others: Column, polluted: tuple[Column, Column], copied: tuple[Column, Column], fell_back: tuple[Column, Column]) -> Column:
+    """Whether a new sample takes the old one's place: a query that no other sample has, or freed of a fault the old one
+    had. Pairs are (old, new)."""
+    better = lambda p: p[0] & ~p[1]
+    return ((final != "") & ~F.array_contains(others, final)) | better(polluted) | better(copied) | better(fell_back)
+
+
+def skip_reason(collapsed: Column, flat_reward: Column, flat_main: Column, valid_samples: Column) -> Column:
+    """Why a group takes no part in an update; null if it does."""
+    return F.when(collapsed, "collapsed").when(flat_reward & flat_main, "flat_reward_and_main").when(flat_reward, "flat_reward").when(valid_samples == 0, "no_valid_samples")
+
+
+def kl_dominance(df: DataFrame, pg: str, kl: str) -> DataFrame:
+    """Share of the divergence term in the mean absolute losses; rows without a loss don't count."""
+    return df.agg((F.avg(F.abs(kl)) / (F.avg(F.abs(pg)) + F.avg(F.abs(kl)) + 1e-12)).alias("kl_dominance"), F.count(pg).alias("n"))

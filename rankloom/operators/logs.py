@@ -5,9 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import mean_of
+from ..functions.text import unique_nonempty
+
 
 def with_step_index(steps: DataFrame) -> DataFrame:
-    return steps.withColumn("global_step_idx", F.row_number().over(Window.orderBy("epoch", "step")))
+    """Adds global_step_idx, 1 to n by (epoch, step): numbered within each epoch, after the counts of the epochs before."""
+    epochs = steps.groupBy("epoch").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("epoch").orderBy("step"))
+    return steps.withColumn("_i", inside).join(epochs.select("epoch", before.alias("_before")), "epoch").select(*steps.columns, (F.col("_i") + F.col("_before")).cast("int").alias("global_step_idx"))
+
+
+# Arrays of a group trace and the name of their mean over all samples of a step (fixed values).
+SAMPLE_MEANS = {
+    "group_rewards": "trace_reward_mean", "group_mrr": "trace_mrr_mean", "group_recall": "trace_recall_mean", "group_recall_dense": "trace_recall_dense_mean",
+    "group_orig_mrr": "trace_orig_mrr20_mean", "group_delta_mrr": "trace_delta_mrr20_mean", "group_main_rewards": "trace_main_reward_mean",
+    "group_anchor_bonus": "trace_anchor_bonus_mean", "group_recall_drop_penalties": "trace_recall_drop_penalty_mean", "group_overedit_penalties": "trace_overedit_penalty_mean",
+    "group_term_preserve": "trace_term_preserve_mean", "group_keyword_preserve": "trace_keyword_preserve_mean", "group_locked_term_preserve": "trace_locked_term_preserve_mean",
+    "group_length_scores": "trace_length_score_mean", "group_clean_format_scores": "trace_clean_format_mean", "group_bad_format_penalties": "trace_bad_format_penalty_mean",
+    "group_unsafe_copy_penalties": "trace_unsafe_copy_penalty_mean",
+}
+
+
+def group_steps(trace: DataFrame) -> DataFrame:
+    """One row of each (epoch, step) of a group trace (a row for each query, an array element for each sample).
+
+    Sample means are sums over sizes of the arrays, so nothing is exploded and sums are taken before the one shuffle.
+    Means of nothing are null; missing flags count as false and missing numbers as 0. Older copy penalties stand in for
+    unsafe-copy ones only where a step has none of these; a missing flat-main ratio takes the flat-reward one. Arrays
+    that the trace lacks give no column."""
+    has = set(trace.columns)
+    none = F.array().cast("array<double>")
+    arr = lambda c: F.coalesce(F.col(c).cast("array<double>"), none) if c in has else none
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
+    count = lambda c: F.sum(F.size(c))
+    positive = lambda c: F.sum(F.size(F.filter(c, lambda x: x > 0)))
+    flat = lambda c: (F.array_max(c) == F.array_min(c)).cast("double")
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("double") if c in has else F.lit(0.0)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in has else F.lit(0.0)
+    rewards, mrr, main = arr("group_rewards"), arr("group_mrr"), arr("group_main_rewards")
+    some = F.size(rewards) > 0
+    queries = F.coalesce(F.col("group_final_queries"), F.array().cast("array<string>")) if "group_final_queries" in has else F.array().cast("array<string>")
+    unique = unique_nonempty(queries)
+    fell_back = F.coalesce(F.col("group_fallback_to_original"), F.array().cast("array<boolean>")) if "group_fallback_to_original" in has else F.array().cast("array<boolean>")
+    best = F.array_position(rewards, F.array_max(rewards)).cast("int") - 1
+    means = [F.try_divide(total(arr(c)), count(arr(c))).alias(n) for c, n in SAMPLE_MEANS.items() if c in has and n != "trace_unsafe_copy_penalty_mean"]
+    new, old = arr("group_unsafe_copy_penalties"), arr("group_copy_penalties")
+    if has & {"group_unsafe_copy_penalties", "group_copy_penalties"}:
+        means.append(F.when(count(new) > 0, F.try_divide(total(new), count(new))).otherwise(F.try_divide(total(old), count(old))).alias("trace_unsafe_copy_penalty_mean"))
+    anchor, drop = arr("group_anchor_bonus"), arr("group_recall_drop_penalties")
+    flat_reward = F.avg(F.when(some, flat(rewards)))
+    out = trace.groupBy("epoch", "step").agg(
+        F.count(F.lit(1)).alias("qid_rows"), *means,
+        F.avg(F.when(some, mean_of(rewards))).alias("trace_row_reward_mean_avg"), F.avg(F.when(some, F.array_max(rewards))).alias("trace_row_reward_max_avg"),
+        F.avg(unique).alias("trace_unique_final_query_mean"), F.avg((unique <= 1).cast("double")).alias("trace_all_same_final_query_ratio"),
+        F.avg(F.when(F.size(fell_back) > 0, F.size(F.filter(fell_back, lambda x: x)) / F.greatest(F.size(fell_back), F.lit(1)))).alias("trace_fallback_ratio"),
+        flat_reward.alias("trace_flat_reward_group_ratio"), F.avg(F.when(some & (F.size(mrr) > 0), flat(mrr))).alias("trace_flat_mrr20_group_ratio"),
+        F.coalesce(F.avg(F.when(some & (F.size(main) > 0), flat(main))), flat_reward).alias("trace_flat_main_reward_group_ratio"),
+        F.avg(F.when(some & (F.size(mrr) > 0), (F.get(mrr, best) == F.array_max(mrr)).cast("double"))).alias("trace_best_reward_hit_best_mrr20_ratio"),
+        F.try_divide(positive(anchor), count(anchor)).alias("trace_anchor_hit_ratio"), F.try_divide(positive(drop), count(drop)).alias("trace_recall_drop_ratio"),
+        F.avg(flag("collapsed_group")).alias("collapsed_group_ratio"), F.avg(flag("reward_gap_met")).alias("reward_gap_met_ratio"),
+        F.avg(F.coalesce(F.col("reward_gap_stop_reason") == "max_group_size_reached", F.lit(False)).cast("double") if "reward_gap_stop_reason" in has else F.lit(0.0)).alias("max_group_size_hit_ratio"),
+        F.avg(number("reward_gap_raw")).alias("reward_gap_raw_mean"), F.avg(number("reward_gap_threshold")).alias("reward_gap_threshold_mean"),
+        F.avg(number("initial_group_size")).alias("initial_group_size_mean"), F.avg(number("generated_sample_count")).alias("generated_sample_count_mean"),
+        F.avg(number("extra_sample_count")).alias("extra_sample_count_mean"), F.try_divide(F.sum(number("extra_sample_count")), F.sum(number("generated_sample_count"))).alias("extra_sample_ratio"))
+    return with_step_index(out)
 
 
 def merge_steps(left: DataFrame, right: DataFrame) -> DataFrame:

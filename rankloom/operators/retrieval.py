@@ -59,6 +59,20 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, variant: str = "okapi", k
     return queries.join(s, "text").select(*keys, "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
+def padded(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """hits (keys..., doc_id, score, rank; scores above 0) of queries with fewer than k matches, filled up to k with
+    documents that match nothing, at score 0 in corpus order (doc_id). Queries or documents without tokens take no part.
+
+    Of n hits and k - n fillers no filler lies beyond the first k documents of the corpus: only those are looked at."""
+    first = lengths(docs).select("doc_id").orderBy("doc_id").limit(k)  # k rows: a bound
+    found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    short = queries.where(F.size(tokens_ascii(F.col("text"))) > 0).select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    fill = short.crossJoin(F.broadcast(first)).join(hits.select(*keys, "doc_id"), [*keys, "doc_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")) + F.col("n")
+    fill = fill.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+    return hits.unionByName(fill.select(*keys, "doc_id", F.lit(0.0).alias("score"), "rank"))
+
+
 def containment_qrels(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, doc_id where the document contains the query's text: candidates by the text's rarest inner word, then the
     containment itself."""

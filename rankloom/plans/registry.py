@@ -69,6 +69,7 @@ bad = lambda x: f"(CASE WHEN {strip(x)} = '' THEN 1.0 ELSE least(1.5, (CASE WHEN
 ready = lambda x: f"(len({tok(x)}) BETWEEN 2 AND 8 AND NOT contains({x}, '?') AND NOT list_has_any({tok(x)}, {sql_list(T.QUESTION_WORDS)}))"
 locked = lambda a, b: f"coalesce(((CASE WHEN len({numbers(a)}) > 0 THEN {kept(numbers(a), numbers(b))} ELSE 0 END) + (CASE WHEN len({caps(a)}) > 0 THEN {kept(caps(a), tok(b))} ELSE 0 END) + (CASE WHEN len({negs(a)}) > 0 THEN {kept(negs(a), tok(b))} ELSE 0 END)) / nullif((len({numbers(a)}) > 0)::INT + (len({caps(a)}) > 0)::INT + (len({negs(a)}) > 0)::INT, 0), 1.0)"
 length_sql = lambda x: f"(CASE WHEN len({tok(x)}) <= 1 OR len({tok(x)}) >= 20 THEN 0.0 WHEN len({tok(x)}) < 4 THEN (len({tok(x)}) - 1) / 3.0 WHEN len({tok(x)}) <= 12 THEN 1.0 ELSE (20 - len({tok(x)})) / 8.0 END)::DOUBLE"
+learnable_sql = lambda x: f"(NOT regexp_matches({x}, {q('[' + chr(10) + chr(13) + ']')}) AND {norm(x)} <> '' AND NOT {polluted(norm(x))} AND {english(norm(x))} >= 0.7 AND {unread(norm(x))} <= 0.25 AND len({tok(x)}) BETWEEN 3 AND 12 AND len(list_filter({tok(x)}, lambda t: NOT list_contains({sql_list(T.STOPWORDS)}, t))) >= 0.4 * len({tok(x)}) AND (len({words(norm(x))}) >= 2 OR len({numbers(norm(x))}) + len({caps(norm(x))}) + len({negs(norm(x))}) >= 1))"
 
 SIMPLE = {
     "normalize_text": (lambda S, W: T.normalize(W), norm("raw")),
@@ -95,6 +96,7 @@ SIMPLE = {
     "doc_id_sha1": (lambda S, W: F.concat(F.lit("D"), F.sha1(T.normalize(W).cast("binary"))), f"'D' || sha1({norm('raw')})"),
     "truncate_generation": (lambda S, W: T.truncate_generation(W), "split_part(raw, chr(10), 1)"),
     "postprocess_single_line": (lambda S, W: T.first_line(W), f"coalesce(list_filter(list_transform(regexp_split_to_array(split_part(raw, chr(10) || chr(10), 1), {q(chr(13) + chr(10) + '|[' + chr(10) + chr(13) + ']')}), lambda x: {norm('x')}), lambda x: x <> '')[1], '')"),
+    "learnable_flag": (lambda S, W: T.is_learnable(S), learnable_sql("source")),
     "sanitize_name": (lambda S, W: T.slug(F.substring(W, 1, 40)), f"coalesce(nullif(trim(regexp_replace(substr(raw, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'summary')"),
 }
 for _name, (_column, _sql) in SIMPLE.items():
@@ -128,13 +130,13 @@ def candidate_extract(spark, d):
 STAB = f"{CLEAN}, z AS (SELECT p.*, {norm('source')} AS own, {norm(f'CASE WHEN {norm(chr(114) + chr(97) + chr(119))} = {q(str())} THEN {q(str())} ELSE coalesce(k.x, {CAND(chr(114) + chr(97) + chr(119))}) END')} AS clean FROM p LEFT JOIN k ON p.conv_id = k.conv_id AND p.turn = k.turn AND k.r = 1), y AS (SELECT *, CASE WHEN clean = '' THEN own ELSE clean END AS final FROM z)"
 
 
-@query(f"{STAB} SELECT conv_id, turn, final AS final_query, clean = '' AS fallback_to_original, {polluted('raw')} AS raw_contains_label, contains(raw, chr(10)) OR contains(raw, chr(13)) AS raw_multiline, round({bad('raw')}, 6) AS raw_format_penalty, round({over('own', 'final')}, 6) AS final_overlap, len({tok('final')})::INT AS final_term_count FROM y")
+@query(f"{STAB} SELECT conv_id, turn, final AS final_query, clean = '' AS fallback_to_original, {polluted('raw')} AS raw_contains_label, contains({strip('raw')}, chr(10)) OR contains({strip('raw')}, chr(13)) AS raw_multiline, round({bad('raw')}, 6) AS raw_format_penalty, round({over('own', 'final')}, 6) AS final_overlap, len({tok('final')})::INT AS final_term_count FROM y")
 def stabilize_rewrite(spark, d):
     x = pairs(spark, d).select("conv_id", "turn", T.stabilized(F.col("raw"), F.col("source")).alias("x"))
     return x.select("conv_id", "turn", "x.final_query", "x.fallback_to_original", "x.raw_contains_label", "x.raw_multiline", F.round("x.raw_format_penalty", 6).alias("raw_format_penalty"), F.round("x.final_overlap", 6).alias("final_overlap"), "x.final_term_count")
 
 
-@query(f"{STAB} SELECT count(*) AS n, round(avg((final <> own)::INT), 6) AS changed_rate, round(avg((clean = '')::INT), 6) AS fallback_rate, round(avg((contains(raw, chr(10)) OR contains(raw, chr(13)))::INT), 6) AS multiline_rate, round(avg({polluted('raw')}::INT), 6) AS label_rate, round(avg({over('own', 'final')}), 6) AS mean_overlap, round(avg(len({tok('final')})), 6) AS mean_terms FROM y")
+@query(f"{STAB} SELECT count(*) AS n, round(avg((final <> own)::INT), 6) AS changed_rate, round(avg((clean = '')::INT), 6) AS fallback_rate, round(avg((contains({strip('raw')}, chr(10)) OR contains({strip('raw')}, chr(13)))::INT), 6) AS multiline_rate, round(avg({polluted('raw')}::INT), 6) AS label_rate, round(avg({over('own', 'final')}), 6) AS mean_overlap, round(avg(len({tok('final')})), 6) AS mean_terms FROM y")
 def rewrite_diagnostics(spark, d):
     x = pairs(spark, d).select(T.normalize(F.col("source")).alias("own"), T.stabilized(F.col("raw"), F.col("source")).alias("x"))
     rate = lambda c: F.round(F.avg(c.cast("int")), 6)
@@ -309,13 +311,11 @@ query(METRICS + " SELECT strategy, round(avg(mrr), 6) AS avg_reward, round(avg((
 H = "md5('42:' || {0}::VARCHAR)"
 query(f"SELECT item_id, CASE WHEN row_number() OVER (ORDER BY {H.format('item_id')}, item_id) <= least(greatest(floor(count(*) OVER () * 0.8::DOUBLE), 1), count(*) OVER () - 1) THEN 'train' ELSE 'validation' END AS part FROM benchmark", "split_queries")(lambda s, d: cohort.split(table(s, d, "benchmark").select("item_id"), "item_id", 0.8))
 query(f"SELECT item_id FROM benchmark ORDER BY {H.format('item_id')}, item_id LIMIT 20", "sample_queries")(lambda s, d: cohort.sample(table(s, d, "benchmark").select("item_id"), "item_id", 20))
-BUCKETS = METRICS + f", bk AS (SELECT qid, strategy, CASE WHEN recall_aux > 0 AND mrr < 0.35 THEN 'A' WHEN mrr >= 0.35 THEN 'C' WHEN recall_aux = 0 AND {english('text')} >= 0.7 AND len({tok('text')}) BETWEEN 3 AND 12 AND len({words('text')}) >= 2 THEN 'B' ELSE 'DROP' END AS bucket FROM me)"
+BUCKETS = METRICS + f", bk AS (SELECT qid, strategy, CASE WHEN recall_aux > 0 AND mrr < 0.35 THEN 'A' WHEN mrr >= 0.35 THEN 'C' WHEN recall_aux = 0 AND {learnable_sql('text')} THEN 'B' ELSE 'DROP' END AS bucket FROM me)"
 
 
 def bucketed(spark, d):
-    t = F.col("text")
-    learnable = (T.english_ratio(t) >= 0.7) & F.size(T.tokens(t)).between(3, 12) & (F.size(T.keywords(t)) >= 2)
-    return all_metrics(spark, d).select("qid", "strategy", cohort.bucket(F.col("mrr"), F.col("recall_aux"), learnable).alias("bucket"))
+    return all_metrics(spark, d).select("qid", "strategy", cohort.bucket(F.col("mrr"), F.col("recall_aux"), T.is_learnable(F.col("text"))).alias("bucket"))
 
 
 query(BUCKETS + " SELECT qid, strategy, bucket FROM bk", "curriculum_buckets")(bucketed)
