@@ -32,9 +32,9 @@ def _tables(n: int) -> list[np.ndarray]:
     return _KEPT
 
 
-def runs(data: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For the windows of `depth` bytes that start in one block after the other: anchor, first start, last start, side
-    and digit of each run of windows.
+def runs(data: np.ndarray, depth: int) -> Iterator[tuple]:
+    """For the windows of `depth` bytes that start in one block after the other: (start of the block, its sums and inverse
+    powers), first start, last start, start and end of the digit, and the digit of each run of windows.
 
     The anchor of a window is its 64-byte stretch of least hash (leftmost if equal), so equal windows have it at the
     same offset. The windows of an anchor fall in two: those with more of their bytes behind the anchor share the
@@ -61,7 +61,24 @@ def runs(data: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
         lo = np.where(right, a, a - half)
         hi = np.where(right, a + depth - half, a + GRAM)
         digit = mix((total[hi] - total[lo]) * down[lo] + right.astype(np.uint64))
-        yield a + at, first + at, last + at, right, digit
+        yield (at, total, down), first + at, last + at, lo + at, hi + at, digit
+
+
+def quarters(block: tuple, first: np.ndarray, last: np.ndarray, lo: np.ndarray, hi: np.ndarray, digit: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """The next digit of runs: (first start, last start, digit) of up to four parts of each run.
+
+    A window has x bytes ahead of its run's digit and the rest behind it. The part with x from q k to q (k + 1) - 1 shares
+    q k more bytes ahead and rest - q (k + 1) + 1 more behind; equal windows have the same x, so they fall in equal parts."""
+    at, total, down = block
+    rest = depth - (hi - lo)
+    q = rest // 4 + 1
+    out = []
+    for k in range(4):
+        s0, s1 = np.maximum(first, lo - q * (k + 1) + 1), np.minimum(last, lo - q * k)
+        some = s0 <= s1
+        a, b = (lo - q * k)[some] - at, (hi + np.maximum(0, rest - q * (k + 1) + 1))[some] - at
+        out.append((s0[some], s1[some], mix(((total[b] - total[a]) * down[a]) ^ mix(digit[some] + np.uint64(k)))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def windows(data: np.ndarray, depth: int) -> np.ndarray:
@@ -89,14 +106,61 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_000) -> DataFrame:
+def hot_windows(hot: DataFrame, depth: int) -> DataFrame:
+    """(uid, s, e) of the windows that repeat among the runs of hot digits; hot: (uid, body, hot) with a text's hot digits.
+
+    The runs are told apart by their next digit, counted before any shuffle, so parts that occur once drop out; of the
+    parts left every window is counted by all its bytes (128-bit hashes). Rows of one window meet only in counts and in
+    a semi-join that can be split, never as one task's group."""
+
+    def wanted(body, digits) -> Iterator[tuple]:
+        data, digits = _bytes(body), np.asarray(digits.values, dtype=np.int64)
+        for block, first, last, lo, hi, digit in runs(data, depth):
+            i = np.flatnonzero(np.isin(digit.view(np.int64), digits))
+            if len(i):
+                yield data, block, *quarters(block, first[i], last[i], lo[i], hi[i], digit[i], depth)
+
+    def next_digits(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for uid, body, digits in zip(*batch.columns, strict=True):
+                found = [d for *_, d in wanted(body, digits)]
+                values, times = np.unique(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.repeat(uid, len(values)), pa.array(values), pa.array(np.minimum(times, 2))], names=["uid", "part", "times"])
+
+    def part_windows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for uid, body, digits, parts in zip(*batch.columns, strict=True):
+                keep = np.asarray(parts.values, dtype=np.int64)
+                for data, (at, *_), s0, s1, part in wanted(body, digits):
+                    i = np.flatnonzero(np.isin(part.view(np.int64), keep))
+                    if not len(i):
+                        continue
+                    n = s1[i] - s0[i] + 1
+                    starts = np.repeat(s0[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    h = windows(data[at : at + BLOCK + depth - 1], depth)[starts - at].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(uid, len(h)), pa.array(starts), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["uid", "s", "h1", "h2"])
+
+    parts = materialize(hot.mapInArrow(next_digits, "uid binary, part long, times long"), "rep-parts")
+    again = parts.groupBy("part").agg(F.sum("times").alias("n")).where("n > 1").select("part")
+    left = parts.join(again, "part", "left_semi").groupBy("uid").agg(F.collect_list("part").alias("parts"))
+    found = materialize(hot.join(left, "uid").select("uid", "body", "hot", "parts").mapInArrow(part_windows, "uid binary, s long, h1 long, h2 long"), "rep-windows")
+    twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    return found.join(twice, ["h1", "h2"], "left_semi").select("uid", "s", (F.col("s") + depth).alias("e"))
+
+
+def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_000, hot_texts: int = 1_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document.
 
     Suffixes are told apart by most significant digits and only `depth` bytes deep. The first pass takes suffixes at
     anchors alone (content-chosen, every window has exactly one) with a digit of 232 bytes; groups of one drop out.
     The second pass orders the windows of the groups that are left by all their bytes; equal windows are the repeats.
     Every window takes part in exactly one group and equal windows in the same, so this is the full radix order's
-    result. Windows are compared by 128-bit hashes.
+    result. Windows are compared by 128-bit hashes. The groups of digits found in over `hot_texts` texts, which could
+    each fill a task, are ordered by their next digit and then by counts (see hot_windows), with the same result.
 
     Copies of a whole text are counted first and one of them goes on; all of a copied text of `depth` bytes or more is
     removed. Null text counts as empty (0 bytes, SHA-256 of nothing); equal rows are copies; null ids stay null; texts
@@ -124,8 +188,9 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
     mark = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("digit"), F.lit(n).alias("times")))
     single = single.select("uid", F.explode(F.concat(mark("once", 1), mark("often", 2))).alias("x")).select("uid", "x.*")
     single = materialize(single, "rep-single")
-    again = single.groupBy("digit").agg(F.sum("times").alias("n")).where("n > 1").select("digit")
-    picked = single.join(again, "digit", "left_semi").groupBy("uid").agg(F.collect_set("digit").alias("digits"))
+    again = single.groupBy("digit").agg(F.sum("times").alias("n")).where("n > 1").select("digit", (F.col("n") > hot_texts).alias("is_hot"))
+    either = lambda hot: F.collect_list(F.when(F.col("is_hot") == hot, F.col("digit")))
+    picked = single.join(again, "digit").groupBy("uid").agg(either(False).alias("digits"), either(True).alias("hot"))
 
     def identify(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -145,7 +210,7 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
             for k in range(batch.num_rows):
                 data = _bytes(batch.column(1)[k])
                 uid, wanted = batch.column(0)[k].as_py(), np.asarray(batch.column(2)[k].values, dtype=np.int64)
-                for _, lo, hi, _, digit in runs(data, depth):
+                for _, lo, hi, _, _, digit in runs(data, depth):
                     digit = digit.view(np.int64)
                     for i in np.flatnonzero(np.isin(digit, wanted)):
                         for c, v in zip(cols, (int(digit[i]), uid, int(lo[i]), data[lo[i] : hi[i] + depth].tobytes()), strict=True):
@@ -190,8 +255,11 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
         if held_rows:
             yield resolve()
 
-    stretches = held.mapInArrow(second_digits, "digit long, uid binary, lo long, body binary")
+    stretches = held.where(F.size("digits") > 0).select("uid", "body", "digits").mapInArrow(second_digits, "digit long, uid binary, lo long, body binary")
     spans = stretches.repartition("digit").sortWithinPartitions("digit").mapInArrow(equal_windows, "uid binary, s long, e long")
+    hot = held.where(F.size("hot") > 0).select("uid", "body", "hot")
+    if hot.limit(1).count():
+        spans = spans.unionByName(hot_windows(hot, depth))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def cut(batches: Iterator) -> Iterator:
