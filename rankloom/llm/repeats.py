@@ -110,8 +110,8 @@ def hot_windows(hot: DataFrame, depth: int) -> DataFrame:
     """(uid, s, e) of the windows that repeat among the runs of hot digits; hot: (uid, body, hot) with a text's hot digits.
 
     The runs are told apart by their next digit, counted before any shuffle, so parts that occur once drop out; of the
-    parts left every window is counted by all its bytes (128-bit hashes). Rows of one window meet only in counts and in
-    a semi-join that can be split, never as one task's group."""
+    parts left every window is counted by all its bytes (128-bit hashes), once a text. Rows of one window meet only in
+    counts and in a semi-join that can be split, never as one task's group."""
 
     def wanted(body, digits) -> Iterator[tuple]:
         data, digits = _bytes(body), np.asarray(digits.values, dtype=np.int64)
@@ -141,15 +141,24 @@ def hot_windows(hot: DataFrame, depth: int) -> DataFrame:
                         continue
                     n = s1[i] - s0[i] + 1
                     starts = np.repeat(s0[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    h = windows(data[at : at + BLOCK + depth - 1], depth)[starts - at].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(uid, len(h)), pa.array(starts), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["uid", "s", "h1", "h2"])
+                    h = np.ascontiguousarray(windows(data[at : at + BLOCK + depth - 1], depth)[starts - at])
+                    _, one, which, times = np.unique(h.view("V16").ravel(), return_index=True, return_inverse=True, return_counts=True)
+                    known = _merged([(int(x), int(x) + depth) for x in starts[times[which] > 1]])
+                    ends = np.concatenate([starts[one] + depth, [e for _, e in known]]).astype(np.int64)
+                    begins = np.concatenate([starts[one], [b for b, _ in known]]).astype(np.int64)
+                    count = np.concatenate([times, np.zeros(len(known))]).astype(np.int64)
+                    pad = np.zeros((len(known), 2), np.uint64)
+                    both = np.concatenate([h[one], pad]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(uid, len(count)), *map(pa.array, (begins, ends, count, both[:, 0].copy(), both[:, 1].copy()))], names=["uid", "s", "e", "times", "h1", "h2"])
 
     parts = materialize(hot.mapInArrow(next_digits, "uid binary, part long, times long"), "rep-parts")
     again = parts.groupBy("part").agg(F.sum("times").alias("n")).where("n > 1").select("part")
     left = parts.join(again, "part", "left_semi").groupBy("uid").agg(F.collect_list("part").alias("parts"))
-    found = materialize(hot.join(left, "uid").select("uid", "body", "hot", "parts").mapInArrow(part_windows, "uid binary, s long, h1 long, h2 long"), "rep-windows")
-    twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    return found.join(twice, ["h1", "h2"], "left_semi").select("uid", "s", (F.col("s") + depth).alias("e"))
+    found = materialize(hot.join(left, "uid").select("uid", "body", "hot", "parts").mapInArrow(part_windows, "uid binary, s long, e long, times long, h1 long, h2 long"), "rep-windows")
+    single = found.where("times > 0")
+    twice = single.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
+    # What repeats inside its own text is known already (times = 0).
+    return single.where("times = 1").join(twice, ["h1", "h2"], "left_semi").select("uid", "s", "e").unionByName(found.where("times = 0").select("uid", "s", "e"))
 
 
 def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_000, hot_texts: int = 1_000) -> DataFrame:
@@ -203,20 +212,35 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
     held = materialize(bodies.join(picked, "uid"), "rep-bodies")
 
     def second_digits(batches: Iterator) -> Iterator:
+        """Stretches of bytes by digit. Of equal stretches of a text one goes on; all of them repeat, so they are spans
+        already (body null), as many rows as there are gaps between them."""
         import pyarrow as pa
 
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for k in range(batch.num_rows):
                 data = _bytes(batch.column(1)[k])
                 uid, wanted = batch.column(0)[k].as_py(), np.asarray(batch.column(2)[k].values, dtype=np.int64)
+                seen: dict[bytes, tuple[int, int]] = {}
+                known: list[tuple[int, int]] = []
+                rows = []
                 for _, lo, hi, _, _, digit in runs(data, depth):
                     digit = digit.view(np.int64)
                     for i in np.flatnonzero(np.isin(digit, wanted)):
-                        for c, v in zip(cols, (int(digit[i]), uid, int(lo[i]), data[lo[i] : hi[i] + depth].tobytes()), strict=True):
-                            c.append(v)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["digit", "uid", "lo", "body"])
+                        s, e = int(lo[i]), int(hi[i]) + depth
+                        body = data[s:e].tobytes()
+                        mine = hashlib.blake2b(body, digest_size=16).digest()
+                        if mine in seen:
+                            known += [(s, e), seen[mine]]
+                            continue
+                        seen[mine] = (s, e)
+                        rows.append((int(digit[i]), uid, s, e, body))
+                home = int.from_bytes(uid[:8], "little", signed=True)
+                for row in rows + [(home, uid, s, e, None) for s, e in _merged(known)]:
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["digit", "uid", "lo", "hi", "body"])
 
     def equal_windows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -244,18 +268,22 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
 
         for batch in batches:
             digits = batch.column(0).to_pylist()
+            known = batch.filter(batch.column(4).is_null())
+            yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), known.column(3)], names=["uid", "s", "e"])
             for k, digit in enumerate(digits):
+                if not batch.column(4)[k].is_valid:
+                    continue
                 if digit != last and size >= group_windows:
                     yield resolve()
                     held_rows, size = [], 0
                 last = digit
-                body = batch.column(3)[k].as_py()
+                body = batch.column(4)[k].as_py()
                 held_rows.append((batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), body))
                 size += len(body) - depth + 1
         if held_rows:
             yield resolve()
 
-    stretches = held.where(F.size("digits") > 0).select("uid", "body", "digits").mapInArrow(second_digits, "digit long, uid binary, lo long, body binary")
+    stretches = held.where(F.size("digits") > 0).select("uid", "body", "digits").mapInArrow(second_digits, "digit long, uid binary, lo long, hi long, body binary")
     spans = stretches.repartition("digit").sortWithinPartitions("digit").mapInArrow(equal_windows, "uid binary, s long, e long")
     hot = held.where(F.size("hot") > 0).select("uid", "body", "hot")
     if hot.limit(1).count():
