@@ -153,7 +153,8 @@ def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, m
     ready = []
     for level in range(levels + 1):
         sizes = front.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("n"), (F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("cross")).where("cross > 0")
-        front = materialize(front.join(sizes, "path"), f"near-front{level}")
+        # Sizes are written first: a join of two plain exchanges can be split where one path has very many sets.
+        front = materialize(front.join(materialize(sizes, f"near-paths{level}"), "path"), f"near-front{level}")
         large = F.col("cross") > most * most
         ready.append((front if level == levels else front.where(~large)).drop("cross"))
         if level == levels or not front.where(large).limit(1).count():
