@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 END_ID = 1
+LONG_GAP = 100_000
+GAPS = re.compile(rf"(?<!\s)\s{{{LONG_GAP}}}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long, cost double"
 
 
@@ -18,9 +21,11 @@ def load_encoder(path: str):
     """An encoder for a byte-level BPE tokenizer file (JSON), as a function text -> ids.
 
     The ranks and the splitting rule come from the file itself; the merges run in tiktoken, which gives the same ids
-    about five times faster. Special tokens' strings in a text are ordinary text."""
+    about five times faster. Special tokens' strings in a text are ordinary text. A text with a gap of over 100,000
+    white-space characters goes to tokenizers, as tiktoken's splitting rule runs out of stack there."""
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
@@ -28,7 +33,18 @@ def load_encoder(path: str):
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(kept))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    slow: list = []
+
+    def encode(text: str) -> list[int]:
+        if len(text) <= LONG_GAP or not GAPS.search(text):
+            return fast(text)
+        if not slow:
+            slow.append(Tokenizer.from_file(path))
+            slow[0].encode_special_tokens = True
+        return list(slow[0].encode(text, add_special_tokens=False).ids)
+
+    return encode
 
 
 def attention_cost(length, linear: float, quadratic: float):
