@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -108,6 +108,6 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = 8
             yield search()
 
     found = both.repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "asks").mapInArrow(run, "query_id long, vec_id long, distance long")
-    # A block gives at most k rows for a query: the merge keeps the k best while it adds up, as a bounded array.
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.distance").alias("distance"))
+    # Spark keeps k rows a query in each task before the shuffle, too, so a query's rows grow with neither blocks nor rows.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "distance")
