@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize
+from .shared import WORD, fresh, materialize
 
 CYCLE = (5.0, 2.0, 1.0)
 CELLS = 4096
@@ -86,8 +86,9 @@ def take(docs: DataFrame, **how) -> DataFrame:
 
     Rows that share an id (or a null id) and text are told apart by nothing and so share a count: their copies are
     taken alike."""
+    ident, tie, source, copies, text, n = own = fresh(docs, "_id", "_tie", "_source", "_copies", "_text", "_n")
     plan = mix(docs, boundary="documents", **how).where("copies > 0")
-    keyed = plan.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    out = rows.join(keyed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_tie")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_n")).drop("_n")
+    keyed = plan.groupBy(F.col("doc_id").alias(ident), F.col("tie").alias(tie), F.col("source").alias(source)).agg(F.max("copies").alias(copies))
+    rows = docs.withColumn(text, F.xxhash64("text"))
+    out = rows.join(keyed, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.col(text) == F.col(tie)) & rows["source"].cast("string").eqNullSafe(F.col(source)))
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(*own)

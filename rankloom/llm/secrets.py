@@ -8,11 +8,15 @@ import hashlib
 import html
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from .shared import map_rows
+
 # Patterns of the base scan (fixed values); letters of the first stand for either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -21,11 +25,12 @@ KINDS = ("assign", "access", "hex")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-PERCENT = re.compile(r"(?:[A-Za-z0-9._~+/=:&?-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=:&?-]*")
+# Possessive runs that begin at a run's first character: a long run is read once, not once from each of its characters.
+PERCENT = re.compile(r"(?<![A-Za-z0-9._~+/=:&?-])(?:[A-Za-z0-9._~+/=:&?-]*+%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=:&?-]*")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#\d{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]{1,7};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-SPACED = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})+={0,2}")
+SPACED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:\r?\n[A-Za-z0-9+/]{4,}+)+={0,2}")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
 
@@ -103,12 +108,14 @@ def layers(text: str, most: int) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), m.end(), found
 
 
-def _substitute(text: str, most: int) -> tuple[str, list[tuple[int, int, int, int]]] | None:
+def _substitute(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     """The layer with its percent and Unicode escapes undone in place, and (new start, new end, start, end) of each."""
-    spans = sorted((m.start(), m.end(), _percent(m[0])) for m in PERCENT.finditer(text)) if "%" in text else []
+    spans = [(m.start(), m.end(), _percent(m[0])) for m in PERCENT.finditer(text)] if "%" in text else []
     if "\\" in text or "&#" in text:
-        taken = spans
-        spans = sorted(spans + [(m.start(), m.end(), _escape(m[0])) for m in ESCAPES.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in taken)])
+        ends = [b for _, b, _ in spans]
+        at = lambda m: bisect_right(ends, m.start())  # noqa: E731  (the first percent stretch that could overlap)
+        free = [m for m in ESCAPES.finditer(text) if at(m) == len(spans) or spans[at(m)][0] >= m.end()]
+        spans = sorted(spans + [(m.start(), m.end(), _escape(m[0])) for m in free])
     if not spans:
         return None
     out, at, marks, size = [], 0, [], 0
@@ -123,18 +130,27 @@ def _substitute(text: str, most: int) -> tuple[str, list[tuple[int, int, int, in
     return "".join(out), marks
 
 
-def _back(marks: list[tuple[int, int, int, int]], s: int, e: int) -> tuple[int, int]:
-    """A span of a substituted layer as a span of the layer below."""
-    shift, start, end = 0, None, None
-    for a, b, x, y in marks:
-        if start is None and s < b:
-            start = s + shift if s < a else x
-        if end is None and e <= b:
-            end = e + shift if e <= a else y
-        if start is not None and end is not None:
-            return start, end
-        shift = y - b
-    return (s + shift if start is None else start), (e + shift if end is None else end)
+@dataclass(frozen=True)
+class Way:
+    """The way from a layer back to the text: through the marks of one substitution to the layer below, or, without
+    marks, to one span of the text. Ways are followed in a loop, so nesting may be of any depth."""
+
+    marks: list[tuple[int, int, int, int]] | None
+    ends: list[int]
+    below: Way | None
+    span: tuple[int, int]
+
+    def back(self, s: int, e: int) -> tuple[int, int]:
+        way: Way | None = self
+        while way is not None:
+            if way.marks is None:
+                return way.span
+            marks, i, j = way.marks, bisect_right(way.ends, s), bisect_left(way.ends, e)
+            shift = [marks[k - 1][3] - marks[k - 1][1] if k else 0 for k in (i, j)]
+            inside = i < len(marks) and s >= marks[i][0], j < len(marks) and e > marks[j][0]
+            s, e = marks[i][2] if inside[0] else s + shift[0], marks[j][3] if inside[1] else e + shift[1]
+            way = way.below
+        return s, e
 
 
 def unwrap(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -146,27 +162,28 @@ def unwrap(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, str]],
     stretch; in an escaped one to the characters it came from. Found spans that equal one already there add nothing."""
     base = scan(text)
     found = set(base)
-    work: deque[tuple[str, object]] = deque()
+    work: deque[tuple[str, Way | None]] = deque()
     seen: set[tuple[bytes, int, int]] = set()
 
-    def put(layer: str, back, origin: tuple[int, int]):
+    def put(layer: str, way: Way | None, origin: tuple[int, int]):
         key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *origin)
         if key not in seen:
             seen.add(key)
-            work.append((layer, back))
+            work.append((layer, way))
 
-    put(text, lambda s, e: (s, e), (0, len(text)))
+    put(text, None, (0, len(text)))
     while work:
-        layer, back = work.popleft()
-        if layer is not text:
+        layer, way = work.popleft()
+        back = way.back if way else lambda s, e: (s, e)
+        if way:
             found |= {(*back(s, e), kind) for s, e, kind in scan(layer)}
-        changed = _substitute(layer, most)
+        changed = _substitute(layer)
         if changed and changed[0] != layer:
-            put(changed[0], lambda s, e, marks=changed[1], back=back: back(*_back(marks, s, e)), back(0, len(layer)))
+            put(changed[0], Way(changed[1], [b for _, b, *_ in changed[1]], way, (0, 0)), back(0, len(layer)))
         for a, b, inner in layers(layer, most):
             origin = back(a, b)
             if inner and inner != layer[a:b]:
-                put(inner, lambda s, e, origin=origin: origin, origin)
+                put(inner, Way(None, [], None, origin), origin)
     rank = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(found, key=lambda x: (x[0], rank[x[2]], x[1]))
 
@@ -204,8 +221,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """documents with each found span replaced by mask (overlapping spans count as one); all columns and rows are kept,
     n_chars (where there is one) is counted anew. Null texts stay null."""
-    schema = docs.schema
-    at, size = schema.fieldNames().index("text"), "n_chars" in schema.fieldNames()
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         import pyarrow as pa
@@ -224,9 +240,8 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                         text = text[:s] + mask + text[e:]
                 out.append(text)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-            if size:
-                k = batch.schema.get_field_index("n_chars")
-                batch = batch.set_column(k, batch.schema.field(k), pa.array([None if x is None else len(x) for x in out], batch.schema.field(k).type))
+            if size is not None:
+                batch = batch.set_column(size, batch.schema.field(size), pa.array([None if x is None else len(x) for x in out], batch.schema.field(size).type))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)

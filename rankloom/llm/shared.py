@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # Bytes that separate words (fixed values): space and the five ASCII controls 9..13.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -38,6 +39,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until none is a column of df in any case of letters."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_rows(df: DataFrame, run, extra: dict[str, str] | None = None) -> DataFrame:
+    """df.mapInArrow(run) with df's columns, and `extra` ones (name: type) after them. Columns go to run as c0, c1, ...,
+    so any names do, dotted ones too."""
+    names = [f"c{i}" for i in range(len(df.columns) + len(extra or {}))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=False)])
+    for name, kind in zip(names[len(df.columns) :], (extra or {}).values(), strict=True):
+        schema = schema.add(name, kind)
+    return df.toDF(*names[: len(df.columns)]).mapInArrow(run, schema).toDF(*df.columns, *(extra or {}))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """doc_id, or for a null id a negative hash of the text."""
     return F.coalesce(F.col(doc_id).cast("long"), -F.abs(F.xxhash64(F.col(text)) / 2).cast("long") - 1)

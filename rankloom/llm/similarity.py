@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, materialize, mix, row_key, shingles, word_hashes
+from .shared import connected, fresh, materialize, mix, row_key, shingles, word_hashes
 
 SKETCH = 64
 SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -286,6 +286,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """documents with one row of each class: the one of the least id (null ids last); equal rows count once."""
-    found = near_duplicates(docs, **how).select(F.col("class_id").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) / 2).cast("long") - 1))
-    return keyed.join(found, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    (row,) = fresh(docs, "_row")
+    found = near_duplicates(docs, **how).select(F.col("class_id").alias(row)).distinct()
+    keyed = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) / 2).cast("long") - 1))
+    return keyed.join(found, row, "left_semi").dropDuplicates([row]).drop(row)

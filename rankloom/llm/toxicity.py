@@ -10,9 +10,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import materialize
+from .shared import fresh, map_rows, materialize
 
 WORDS = re.compile(r"[^\W_]+(?:[0-9@$!*]+[^\W\d_]+)*")
 # Quotation marks and reporting words that set a quoted word apart from abuse (fixed values).
@@ -261,23 +260,24 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, most_terms
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def scored(docs: DataFrame, model: Model, keep: bool = False, threshold: float = 0.3) -> DataFrame:
-    """Scores of all documents, or (keep) the documents' own columns with `score` added."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def scored(docs: DataFrame, model: Model, keep: str | None = None, threshold: float = 0.3) -> DataFrame:
+    """Scores of all documents, or the documents' own columns with the score added under the name `keep`."""
 
-        lexicon = Lexicon(model.terms)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            score = pa.array([model.score(lexicon.features(t.as_py() or "")) for t in texts], pa.float64())
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), score], names=["doc_id", "score"])
+    def add(at: int, kept: list[int]):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            lexicon = Lexicon(model.terms)
+            for batch in batches:
+                score = pa.array([model.score(lexicon.features(t.as_py() or "")) for t in batch.column(at)], pa.float64())
+                columns = [batch.column(k) for k in kept]
+                yield pa.RecordBatch.from_arrays([*columns, score], names=[f"c{k}" for k in range(len(kept) + 1)])
+
+        return run
 
     if keep:
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+        return map_rows(docs, add(docs.columns.index("text"), list(range(len(docs.columns)))), {keep: "double"})
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(add(1, [0]), "c0 long, c1 double").toDF("doc_id", "score")
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
 
@@ -291,4 +291,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit) -> DataFrame:
     """documents without those that score at least threshold; columns as they were."""
-    return scored(docs, train(docs, labels, **fit), keep=True).where(F.col("score") < threshold).drop("score")
+    (score,) = fresh(docs, "score")
+    return scored(docs, train(docs, labels, **fit), keep=score).where(F.col(score) < threshold).drop(score)

@@ -10,6 +10,7 @@ from urllib.parse import quote
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rankloom.llm import fingerprints, hamming, licenses, mixing, packing, quality, queries, repeats, secrets, similarity, toxicity
@@ -108,6 +109,16 @@ def test_packing(spark, docs, texts):
     assert used >= 0.98 * padded
 
 
+def test_packing_long_gaps():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    tok.encode_special_tokens = True
+    encode = packing.load_encoder(queries.tokenizer_path())
+    for text in ("a" + " " * 2_000_000 + "b", "\n" * 1_500_000, "x\t" * 60_000, "y" * 300_000):
+        assert encode(text) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -155,6 +166,16 @@ def test_secrets_base_and_layers():
     assert secrets.unwrap("secret = token: abcdefgh")[0] == []
 
 
+def test_secrets_long_and_deep():
+    """Time grows with a text's length, not its square; nesting may be deep; spans map through many substitutions."""
+    assert secrets.unwrap("q" * 1_000_000 + " %41 %zz") == ([], [])
+    deep = "%" + "25" * 1200 + "41"
+    assert (2, 2 + len(deep) + 19, "access") in secrets.unwrap(f"é {deep}KIA{'Q' * 16} .")[1]
+    many = "%41 \\u0042 " * 3000
+    text = f"{many}password%3dabcdefgh {many}"
+    assert (len(many), len(many) + 19, "assign") in secrets.unwrap(text)[1]
+
+
 def test_hamming(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
     con = duckdb.connect()
@@ -235,6 +256,20 @@ def test_odd_rows(spark, rows):
     assert mixing.take(df).columns == df.columns and toxicity.drop_toxic(df, labels).columns == df.columns
 
 
+def test_clashing_names(spark):
+    """Columns named like those the operators add stay as they were."""
+    names = "score _row _n _text _id _tie _source _copies _cell key size taken label node path a.b Packed".split()
+    df = spark.createDataFrame([(i, f"some words of text number {i} " * 9, "s", 99, *[f"{c}{i}" for c in names]) for i in range(8)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    steps = {"tox": toxicity.drop_toxic(df, labels, threshold=0.6), "near": similarity.keep_one(df), "sec": secrets.redact(df), "mix": mixing.take(df)}
+    for name, out in steps.items():
+        assert out.columns == df.columns, name
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.withColumn("n_chars", df.n_chars if name != "sec" else F.length("text").cast("long")).collect()}, name
+    assert steps["tox"].count() == 8
+    for f in (quality.score_quality, fingerprints.fingerprint_pairs, mixing.mix, similarity.near_duplicates, secrets.find_secrets, repeats.strip_repeats, lambda d: licenses.scan_licenses(licenses.as_files(d.withColumn("lang", F.lit("en")))), lambda d: packing.pack(d, queries.tokenizer_path())):
+        assert len(f(df).collect()) >= 8
+
+
 def test_odd_vectors(spark):
     v = [float(i % 3 - 1) for i in range(64)]
     df = spark.createDataFrame([(100, v), (100, v), (1, v), (2, None), (None, v), (3, v[:5]), (4, [None, *v[1:]])], "vec_id long, embedding array<float>")
