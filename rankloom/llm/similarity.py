@@ -167,41 +167,49 @@ def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, m
     return buckets.repartition("tile").sortWithinPartitions("tile").mapInArrow(brute, "a long, b long").distinct()
 
 
-def _exact(rows: list[tuple], over: int) -> tuple[np.ndarray, Forest]:
+def _exact(rows: list[tuple], at_once: int = 1_000_000) -> tuple[np.ndarray, Forest]:
     """Number of linked texts of each row and the forest of the links, by exact intersections. rows: (tile, node,
-    texts, tokens, side); a link holds if over * |a and b| >= (over - 1)/2... as whole numbers: 9 i >= 4 (a + b) at 0.8."""
+    texts, tokens, side); whole numbers decide: a link holds if 9 |a and b| >= 4 (|a| + |b|), a likeness of 0.8.
+
+    Shared tokens are counted range by range of hashes, about `at_once` tokens each, and pairs are judged 256 rows at a
+    time: beside the sets, memory is one count for each pair of the tile."""
     tokens = [np.frombuffer(r[3], np.uint64) for r in rows]
-    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    sizes = np.array([len(t) for t in tokens], dtype=np.int32)
     weight = np.array([r[2] for r in rows], dtype=np.int64)
     side = np.array([r[4] for r in rows])
     n = len(rows)
-    everything = np.concatenate(tokens)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(everything, kind="stable")
-    everything, owner = everything[order], owner[order]
-    new = np.concatenate([[True], everything[1:] != everything[:-1]])
-    ids = np.cumsum(new) - 1
-    shared = np.bincount(ids) > 1
-    keep = shared[ids]
-    owner, ids = owner[keep], np.cumsum(shared)[ids[keep]] - 1
-    both = np.zeros((n, n), dtype=np.float32)
-    step = max(64, (1 << 22) // max(n, 1))
-    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, step):
-        a, b = np.searchsorted(ids, lo), np.searchsorted(ids, lo + step)
-        block = np.zeros((n, step), dtype=np.float32)
-        block[owner[a:b], ids[a:b] - lo] = 1
-        both += block @ block.T
-    hit = 9 * both.astype(np.int64) >= 4 * (sizes[:, None] + sizes[None, :])
-    hit &= (side[:, None] != side[None, :]) | (side[None, :] == -1)
-    np.fill_diagonal(hit, False)
-    forest = Forest(n)
-    for i in range(n):
-        for j in np.flatnonzero(hit[i, i + 1 :]):
-            forest.join(i, i + 1 + int(j))
-    return hit @ weight, forest
-
-
-def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, most: int = 2048, levels: int = 3, tile: int = 1024) -> DataFrame:
+    both, more = np.zeros((n, n), dtype=np.float32), np.zeros((n, n), dtype=np.float32)
+    step = max(64, (1 << 20) // n)
+    ranges = max(1, -(-int(sizes.sum(dtype=np.int64)) // at_once))
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(t, bounds), [len(t)]]) for t in tokens]
+    for k in range(ranges):
+        parts = [t[c[k] : c[k + 1]] for t, c in zip(tokens, cuts, strict=True)]
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in parts])
+        everything = np.concatenate(parts)
+        order = np.argsort(everything, kind="stable")
+        everything, owner = everything[order], owner[order]
+        ids = np.cumsum(np.concatenate([[False], everything[1:] != everything[:-1]])[: len(everything)])
+        shared = np.bincount(ids) > 1
+        keep = shared[ids]
+        owner, ids = owner[keep], np.cumsum(shared)[ids[keep]] - 1
+        for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, step):
+            a, b = np.searchsorted(ids, [lo, lo + step])
+            block = np.zeros((n, step), dtype=np.float32)
+            block[owner[a:b], ids[a:b] - lo] = 1
+            both += np.dot(block, block.T, out=more)
+    forest, linked = Forest(n), np.zeros(n, dtype=np.int64)
+    for at in range(0, n, 256):
+        hit = 9 * both[at : at + 256].astype(np.int32) >= 4 * (sizes[at : at + 256, None] + sizes[None, :])
+        hit &= (side[at : at + 256, None] != side[None, :]) | (side[None, :] == -1)
+        hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+        linked[at : at + 256] = hit @ weight
+        for i, j in zip(*np.nonzero(np.triu(hit, at + 1)), strict=True):
+            forest.join(at + int(i), int(j))
+    return linked, forest
+
+
+def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, most: int = 2048, levels: int = 3, tile: int = 1024, tokens_a_set: int = 4096) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for every document.
 
     Two texts are linked if the Jaccard likeness of their sets of five-word shingles is 0.8 or more. class_id is the
@@ -246,8 +254,10 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
     sets = materialize(sets.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-sets")
     edges = candidate_edges(sets, "more_paths", fan, 0.8, most, levels)
     comps = connected(edges.union(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-b")
-    comps = comps.join(reps.select("node", "n_texts"), "node")
-    comps = materialize(comps.join(comps.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label"), "near-comps")
+    comps = comps.join(reps.select("node", "n_texts", "n_tokens"), "node")
+    # Long sets count as several, so that a block of a tile is bounded in tokens as in sets.
+    weigh = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_tokens") / tokens_a_set)).alias("n")
+    comps = materialize(comps.join(comps.groupBy("label").agg(weigh), "label").drop("n_tokens"), "near-comps")
 
     def full_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -263,7 +273,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
         make = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["node", "to", "n"])
         for group in grouped(batches):
             if len(group) > 1:
-                count, forest = _exact(group, 9)
+                count, forest = _exact(group)
                 nodes = [r[1] for r in group]
                 out += [(node, node, int(c)) for node, c in zip(nodes, count, strict=True) if c]
                 out += [(a, b, 0) for a, b in forest.stars(nodes)]

@@ -62,7 +62,7 @@ def test_repeats_periodic(spark, limits):
     assert got == brute_removed(texts)
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 4, "levels": 2, "tile": 4}])
+@pytest.mark.parametrize("limits", [{}, {"most": 4, "levels": 2, "tile": 4}, {"tokens_a_set": 2, "tile": 16}])
 def test_near_duplicates(spark, limits):
     base = " ".join(f"w{i}" for i in range(120))
     rows = {i: base.replace(f"w{i * 3} ", f"v{i} ") for i in range(30)} | {100 + i: base for i in range(4)} | {200: "", 201: "  ", 202: "one two", 203: "one two"}
@@ -79,6 +79,19 @@ def test_near_duplicates(spark, limits):
     assert len({got[300 + i]["class_id"] for i in range(20)}) == 20
 
 
+def test_exact_links_by_ranges():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    pool = draw.integers(0, 1 << 64, 400, dtype=np.uint64, endpoint=False)
+    sets = [np.unique(np.concatenate([pool[: 100 + draw.integers(0, 40)], draw.choice(pool, 12)])) for _ in range(300)]
+    rows = [(0, i, 1 + i % 3, t.tobytes(), int(draw.integers(-1, 2))) for i, t in enumerate(sets)]
+    links = [[9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) and i != j and (rows[j][4] == -1 or rows[i][4] != rows[j][4]) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for at_once in (10_000_000, 5_000):
+        got, _ = similarity._exact(rows, at_once)
+        assert got.tolist() == [sum(r[2] for r, hit in zip(rows, x, strict=True) if hit) for x in links]
+
+
 def test_packing(spark, docs, texts):
     import numpy as np
     from tokenizers import Tokenizer
