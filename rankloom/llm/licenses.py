@@ -60,9 +60,8 @@ class Matcher:
         self.idf = {t: math.log((1 + documents) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
         self.other = max(self.idf.values(), default=1.0)
         self.templates = [(name, self.vector(Counter(tokens(x)))) for name, x in TEMPLATES]
-        # Every template has words of two letters or more that aren't in a fifth of all texts; few texts have any.
-        self.rare = frozenset(t for t in VOCABULARY if len(t) > 1 and 5 * df.get(t, 0) <= documents and not t.isdigit()) or VOCABULARY
-        self.any_rare = re.compile("|".join(map(re.escape, sorted(self.rare))))
+        # No cosine of a unit is over the root of its words' sum of these, whichever template it is held against.
+        self.most = {t: max(v.get(t, 0.0) ** 2 for _, v in self.templates) for t in VOCABULARY}
 
     def vector(self, count: Counter) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf.get(t, self.other) for t, n in count.items()}
@@ -72,13 +71,12 @@ class Matcher:
     def best(self, text: str) -> tuple[str | None, float, int, int]:
         """(licence, cosine, start, end) of the unit nearest to any template; the earliest of equals."""
         out: tuple = (None, 0.0, -1, -1)
-        low = text.lower()
-        if not self.any_rare.search(low):
-            return out
         for s, e in units(text):
-            count = Counter(tokens(text[s:e]))
-            if len(count.keys() & VOCABULARY) < 2 or not count.keys() & self.rare:
+            words = tokens(text[s:e])
+            known = VOCABULARY.intersection(words)
+            if not known or sum(self.most[t] for t in known) <= out[1] ** 2:
                 continue
+            count = Counter(words)
             v = self.vector(count)
             for name, template in self.templates:
                 cosine = sum(x * template[t] for t, x in v.items() if t in template)

@@ -251,6 +251,14 @@ ODD = [(1, "same text here", "en", "s", 9, "t"), (1, "same text here", "en", "s"
 ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, packed string"
 
 
+def test_licenses_in_every_file(spark):
+    notice = "Licensed under the Apache License, Version 2.0"
+    for n in (1, 3, 40):
+        rows = [(i, f"d{i}/a", f"Some words of file {i}.\n{notice}", False) for i in range(n)] + [(n, "b/LICENSE", notice, True), (n + 1, "b/c", "plain", False)]
+        got = {r["doc_id"]: (r["license"], r["inherited_from"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string, is_license_file boolean")).collect()}
+        assert got == {**{i: ("Apache-2.0", None) for i in range(n + 1)}, n + 1: ("Apache-2.0", "b")}
+
+
 @pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
 def test_odd_rows(spark, rows):
     df = spark.createDataFrame(rows, ODD_SCHEMA)
