@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import html
 import re
@@ -29,9 +28,15 @@ KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 PERCENT = re.compile(r"(?<![A-Za-z0-9._~+/=:&?-])(?:[A-Za-z0-9._~+/=:&?-]*+%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=:&?-]*")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#\d{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]{1,7};)")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-SPACED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:\r?\n[A-Za-z0-9+/]{4,}+)+={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+SPACED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n(?!--)[A-Za-z0-9+/_-]{4,}+)+={0,2}")
+PIECES = (re.compile(r"[^/]{16,}"), re.compile(r"[^/+_-]{16,}"))
+# Secrets and encodings are all of these characters, and none is shorter.
+READABLE = re.compile(r"[\t\n\r\x20-\x7e]{12,}")
+LEGIBLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+STANDARD = str.maketrans("-_", "+/", "\r\n=")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+ARCHIVE = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -78,15 +83,53 @@ def _escape(s: str) -> str:
     return ONE_ESCAPE.sub(one, s)
 
 
-def _base64(s: str, most: int) -> str | None:
-    s = s.replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/").rstrip("=")
-    if len(s) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    return _inflate(raw, most) or _plain(raw)
+def _bytes(s: str) -> bytes:
+    """The whole groups of a stretch without padding, of either alphabet, and the rest of two or three characters."""
+    s = s[:-1] if len(s) % 4 == 1 else s
+    return base64.b64decode(s + "=" * (-len(s) % 4))
+
+
+def _readings(s: str, most: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, decoded) of what a base64 stretch holds: all of it as one text or archive, or else its pieces
+    between separators that are one, and in every case the legible parts and archives at all four alignments."""
+    body = s.translate(STANDARD)
+    flat = len(body) == len(s.rstrip("="))
+    at = (lambda i, j: (i, len(s) if j >= len(body) else j)) if flat else (lambda i, j: (0, len(s)))
+    taken: list[tuple[int, int]] = []
+
+    def whole(i: int, j: int) -> str | None:
+        if (j - i) % 4 == 1:
+            return None
+        raw = _bytes(body[i:j])
+        return _inflate(raw, most) or _plain(raw)
+
+    found = whole(0, len(body))
+    if found is not None:
+        yield 0, len(s), found
+        taken.append((0, len(body)))
+    elif flat:
+        for pattern in PIECES:
+            for m in pattern.finditer(s, 0, len(body)):
+                i, j = m.span()
+                if (i, j) != (0, len(body)) and not any(x <= i and j <= y for x, y in taken) and (inner := whole(i, j)) is not None:
+                    yield *at(i, j), inner
+                    taken.append((i, j))
+    for k in range(4):
+        if len(body) - k < 16:
+            break
+        raw = _bytes(body[k:])
+        done = [(x, y) for x, y in taken if x % 4 == k]
+        parts = [(m.start(), m.end(), m[0].decode("ascii")) for m in LEGIBLE.finditer(raw)]
+        for m in ARCHIVE.finditer(raw):
+            if any(b <= k + m.start() * 4 // 3 < e for b, e in done):
+                continue
+            inner = _inflate(raw[m.start() :], most)
+            if inner and READABLE.search(inner):
+                parts.append((m.start(), len(raw), inner))
+        for x, y, inner in parts:
+            i, j = k + x // 3 * 4 + x % 3, min(k + -(-y * 4 // 3), len(body))
+            if not any(b <= i and j <= e for b, e in done):
+                yield *at(i, j), inner
 
 
 def layers(text: str, most: int) -> Iterator[tuple[int, int, str]]:
@@ -103,9 +146,8 @@ def layers(text: str, most: int) -> Iterator[tuple[int, int, str]]:
             s = m[0]
             if s.isalpha() and (s.islower() or s[1:].islower() or s.isupper()):
                 continue
-            found = _base64(s, most)
-            if found is not None:
-                yield m.start(), m.end(), found
+            for a, b, found in _readings(s, most):
+                yield m.start() + a, m.start() + b, found
 
 
 def _substitute(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:

@@ -179,6 +179,21 @@ def test_secrets_base_and_layers():
     assert secrets.unwrap("secret = token: abcdefgh")[0] == []
 
 
+def test_secrets_base64_alphabets_and_pieces():
+    secret = "password=hunter22"
+    plain = base64.b64encode(secret.encode()).decode()
+    for i in range(200):
+        packed = base64.urlsafe_b64encode(zlib.compress(f"{secret}{i} {hashlib.sha256(str(i).encode()).hexdigest().upper()}".encode())).decode()
+        for text in (f"é {packed} x", f"é https://h.example/download/{packed} x"):
+            found = secrets.unwrap(text)[1]
+            assert any(k == "assign" and text.index(packed) in range(s, e) for s, e, k in found), text
+    for left, right in (("https://h.example/download/", ""), ("key-", "-end"), ("a_", "/b"), ("word", ""), ("w", "word"), ("ab", ""), ("", "abc/defg")):
+        text = f"é {left}{plain.rstrip('=')}{right} x"
+        at = text.index(plain[:-1])
+        assert any(k == "assign" and s <= at + 2 and at + len(plain) - 2 <= e <= len(text) - 2 for s, e, k in secrets.unwrap(text)[1]), text
+    assert secrets.unwrap(f"https://h.example/download/{plain} x")[1] == [(27, 27 + len(plain), "assign")]
+
+
 def test_secrets_long_and_deep():
     """Time grows with a text's length, not its square; nesting may be deep; spans map through many substitutions."""
     assert secrets.unwrap("q" * 1_000_000 + " %41 %zz") == ([], [])
