@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -41,6 +46,8 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+# Comment marks that are words; the others aren't tokens.
+MARKS = frozenset(("dnl", "rem"))
 VOCABULARY = frozenset(t for _, x in TEMPLATES for t in tokens(x))
 
 
@@ -56,20 +63,28 @@ def units(text: str) -> Iterator[tuple[int, int]]:
 
 
 class Matcher:
-    def __init__(self, documents: int, df: dict[str, int]):
+    def __init__(self, documents: int, df: dict[str, int], threshold: float = 0.75):
+        self.threshold = threshold
         self.idf = {t: math.log((1 + documents) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
         self.other = max(self.idf.values(), default=1.0)
         self.templates = [(name, self.vector(Counter(tokens(x)))) for name, x in TEMPLATES]
         # No cosine of a unit is over the root of its words' sum of these, whichever template it is held against.
         self.most = {t: max(v.get(t, 0.0) ** 2 for _, v in self.templates) for t in VOCABULARY}
 
+        self.sizes = [len(tokens(x)) for _, x in TEMPLATES]
+        self.ids = {t: i for i, t in enumerate(sorted(VOCABULARY))}
+        self.squares = np.zeros((len(TEMPLATES), len(self.ids) + 1))
+        for k, (_, v) in enumerate(self.templates):
+            for t, x in v.items():
+                self.squares[k, self.ids[t]] = x * x
+
     def vector(self, count: Counter) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf.get(t, self.other) for t, n in count.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / norm for t, x in v.items()}
 
     def best(self, text: str) -> tuple[str | None, float, int, int]:
-        """(licence, cosine, start, end) of the unit nearest to any template; the earliest of equals."""
+        """(licence, cosine, start, end) of the unit or window nearest to any template; units first, the earliest of equals."""
         out: tuple = (None, 0.0, -1, -1)
         for s, e in units(text):
             words = tokens(text[s:e])
@@ -82,6 +97,35 @@ class Matcher:
                 cosine = sum(x * template[t] for t, x in v.items() if t in template)
                 if cosine > out[1] + 1e-12:
                     out = (name, cosine, s, e)
+        return self.windows(text, out)
+
+    def windows(self, text: str, out: tuple) -> tuple:
+        """out, or what is nearer to a template than it: a stretch of as many words as the template has, over line ends
+        and comment marks. A window is passed over only if the bound of its cosine isn't over the best so far, or doesn't
+        reach the threshold."""
+        low = text.replace("\u0130", "i").lower()
+        words = [t for t in TOKEN.findall(low) if t not in MARKS]
+        unknown = len(self.ids)
+        ids = np.fromiter((self.ids.get(t, unknown) for t in words), np.intp, len(words))
+        present = np.zeros(unknown + 1)
+        present[ids] = 1
+        spans = None
+        first = len(text)
+        least = lambda: max(out[1], self.threshold) ** 2 - 1e-9
+        for k in np.flatnonzero(self.squares @ present > least()):
+            (name, template), size = self.templates[k], min(self.sizes[k], len(words))
+            total = np.concatenate(([0.0], np.cumsum(self.squares[k][ids])))
+            bound = total[size:] - total[:-size]
+            at = np.flatnonzero(bound > least())
+            for i in at[np.argsort(-bound[at], kind="stable")]:
+                if bound[i] < least():
+                    break
+                v = self.vector(Counter(words[i : i + size]))
+                cosine = sum(x * template[t] for t, x in v.items() if t in template)
+                if cosine > out[1] + 1e-12 or (first < len(text) and cosine > out[1] - 1e-12 and spans[i][0] < first):
+                    spans = spans or [m.span() for m in TOKEN.finditer(low) if m[0] not in MARKS]
+                    first = spans[i][0]
+                    out = (name, cosine, first, spans[i + size - 1][1])
         return out
 
 
@@ -109,8 +153,8 @@ def scan_licenses(files: DataFrame, threshold: float = 0.75) -> DataFrame:
     """files: doc_id, path, text, is_license_file. Returns doc_id, path, own_license, cosine, start, end, license,
     inherited_from.
 
-    A file's own licence is the template nearest to any of its lines or sentences, if their TF-IDF cosine reaches
-    threshold; document frequencies come from all files. A directory has the licence of its licence file with the
+    A file's own licence is the template nearest to any of its lines, sentences or windows of a template's length, if
+    their TF-IDF cosine reaches threshold (cosine is that of the nearest line or sentence where none does); document frequencies come from all files. A directory has the licence of its licence file with the
     highest cosine (then the first path). A file without one of its own takes that of its nearest directory upwards;
     inherited_from names the directory ('' is the root), null for an own licence or none. A null path is the root's;
     null texts have no licence of their own; equal rows give equal results; empty input gives no rows."""
@@ -120,7 +164,7 @@ def scan_licenses(files: DataFrame, threshold: float = 0.75) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matcher = Matcher(documents, df)
+        matcher = Matcher(documents, df, threshold)
         for batch in batches:
             found = [matcher.best(t.as_py() or "") for t in batch.column(3)]
             found = [f if f[1] >= threshold else (None, round(f[1], 6), -1, -1) for f in found]

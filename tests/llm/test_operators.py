@@ -262,6 +262,21 @@ def test_licenses(spark):
     assert got == {1: ("Apache-2.0", None), 2: ("Apache-2.0", "p"), 3: ("MIT", None), 4: ("MIT", "p/y"), 5: (None, None), 6: ("CC-BY-NC-4.0", None)}
 
 
+def test_licenses_wrapped(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction.\n"
+    marked = lambda text, mark: "".join(f"{mark} {line}\n" for line in text.splitlines())
+    own = [("BSD-3-Clause", bsd), ("GPL-3.0", gpl.format("", 3)), ("GPL-2.0", gpl.format("", 2)), ("AGPL-3.0", gpl.format("Affero ", 3)), ("MIT", mit), ("MIT", mit.replace("\n", " "))]
+    texts = [(name, "é Copyright (c) 2020 A. Writer\n\n" + marked(x, mark) + "\nint main() { return 0; }\n") for name, x in own for mark in ("", " *", "#", "dnl")]
+    rows = [(i, f"d{i}/LICENSE", x, True) for i, (_, x) in enumerate(texts)] + [(100 + i, f"d{i}/src/a", "words", False) for i in range(len(texts))] + [(200 + i, f"e{i}", f"plain text of file {i}", False) for i in range(60)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string, is_license_file boolean")).collect()}
+    for i, (name, x) in enumerate(texts):
+        assert (got[i]["own_license"], got[100 + i]["license"]) == (name, name), x
+        assert x[got[i]["start"] : got[i]["end"]].strip() and got[i]["cosine"] >= 0.75
+    assert all(got[200 + i]["license"] is None for i in range(60))
+
+
 ODD = [(1, "same text here", "en", "s", 9, "t"), (1, "same text here", "en", "s", 9, "t"), (2, None, None, None, None, None), (3, "", "en", None, 0, "x"), (None, "no id at all, but words", "de", "s", 5, "y"), (4, "long " * 60_000, "en", "s", 300_000, "z")]
 ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, packed string"
 
