@@ -257,10 +257,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, most_terms
     return Model(terms, mean.tolist(), scale.tolist(), w.tolist(), b)
 
 
+# Scores from here on are predicted toxic, by the operator and by the pipeline's stage alike.
+DECISION = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def scored(docs: DataFrame, model: Model, keep: str | None = None, threshold: float = 0.3) -> DataFrame:
+def scored(docs: DataFrame, model: Model, keep: str | None = None, threshold: float = DECISION) -> DataFrame:
     """Scores of all documents, or the documents' own columns with the score added under the name `keep`."""
 
     def add(at: int, kept: list[int]):
@@ -289,7 +291,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     return scored(docs, train(docs, labels, **fit))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = DECISION, **fit) -> DataFrame:
     """documents without those that score at least threshold; columns as they were."""
     (score,) = fresh(docs, "score")
     return scored(docs, train(docs, labels, **fit), keep=score).where(F.col(score) < threshold).drop(score)

@@ -1,9 +1,10 @@
 """The pipeline's stages against plain checks of what each must do."""
 
+import math
 import re
 
 import corpus_pipeline as cp
-from rankloom.llm import secrets
+from rankloom.llm import secrets, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -32,3 +33,14 @@ def test_stages(spark):
     packed = cp.packing_stage(spark, mixed, DATA)
     assert packed.selectExpr("max(length + offset) m").first()["m"] <= 2048
     assert re.fullmatch("[a-z_]+", cp.STAGES[0][0])
+
+
+def test_toxicity_stage_drops_what_the_operator_predicts(spark, monkeypatch):
+    """A model whose score is 0.4, or 0.2, for every text: the stage and the operator must judge alike."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    n = len(toxicity.FEATURES)
+    for score, predicted in ((0.4, 1), (0.2, 0)):
+        model = toxicity.Model({}, [0.0] * n, [1.0] * n, [0.0] * n, math.log(score / (1 - score)))
+        monkeypatch.setattr(toxicity, "train", lambda *a, m=model, **k: m)
+        assert {r["predicted"] for r in toxicity.score_toxicity(docs, labels).collect()} == {predicted}
+        assert cp.toxicity_stage(spark, docs, "/root/testdata/sf0.001").count() == (0 if predicted else docs.count())
