@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -30,9 +33,11 @@ ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]{1,7};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
 SPACED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n(?!--)[A-Za-z0-9+/_-]{4,}+)+={0,2}")
+# In no secret and no encoding: texts may be parted behind them.
+APART = re.compile(r"""[^A-Za-z0-9_.=:&?~%\\#;"'\x20\r\n+/-]""")
+STEP, LONGEST = 1 << 18, 1 << 26
 PIECES = (re.compile(r"[^/]{16,}"), re.compile(r"[^/+_-]{16,}"))
 # Secrets and encodings are all of these characters, and none is shorter.
-READABLE = re.compile(r"[\t\n\r\x20-\x7e]{12,}")
 LEGIBLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 STANDARD = str.maketrans("-_", "+/", "\r\n=")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
@@ -51,21 +56,53 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 def _plain(raw: bytes) -> str | None:
+    """UTF-8 that is mostly text; the legible parts of anything else are read apart."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _inflate(raw: bytes, most: int) -> str | None:
-    """Text of a gzip or zlib stream; an archive that unpacks to over `most` bytes is read up to there."""
-    if not raw.startswith(MAGIC):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(raw, most).decode("utf-8", "replace")
-    except zlib.error:
-        return None
+    return text if 5 * sum(c.isprintable() or c.isspace() or unicodedata.category(c) == "Cf" for c in text) >= 4 * max(len(text), 1) else None
+
+
+def _after_last(text: str) -> int:
+    """The end of the last character at which a text may be parted; 0 if there is none."""
+    for i in range(len(text), 0, -4096):
+        found = [m.end() for m in APART.finditer(text, max(0, i - 4096), i)]
+        if found:
+            return found[-1]
+    return 0
+
+
+def _inflate(raw: bytes, most: int) -> Iterator[str]:
+    """Text of gzip or zlib streams, one after another, in pieces of about `most` bytes. A piece ends at a character that
+    is in no secret and no encoding; where there is none in `most` characters, the next piece begins with its last half."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    held, rest, cut = "", raw, 0
+    while rest.startswith(MAGIC):
+        d = zlib.decompressobj(47)
+        try:
+            while not d.eof:
+                out = d.decompress(rest, STEP)
+                rest = d.unconsumed_tail
+                if not out and not rest:
+                    break
+                new = decode(out)
+                last = _after_last(new)
+                cut = len(held) + last if last else cut
+                held += new
+                if len(held) >= most:
+                    if cut:
+                        yield held[:cut]
+                        held, cut = held[cut:], 0
+                    elif len(held) >= LONGEST:
+                        yield held
+                        held = held[len(held) // 2 :]
+        except zlib.error:
+            break
+        rest = d.unused_data.lstrip(b"\0")
+    held += decode(b"", True)
+    if held:
+        yield held
 
 
 def _percent(s: str) -> str:
@@ -89,7 +126,7 @@ def _bytes(s: str) -> bytes:
     return base64.b64decode(s + "=" * (-len(s) % 4))
 
 
-def _readings(s: str, most: int) -> Iterator[tuple[int, int, str]]:
+def _readings(s: str, most: int) -> Iterator[tuple[int, int, str | Iterator[str]]]:
     """(start, end, decoded) of what a base64 stretch holds: all of it as one text or archive, or else its pieces
     between separators that are one, and in every case the legible parts and archives at all four alignments."""
     body = s.translate(STANDARD)
@@ -97,11 +134,13 @@ def _readings(s: str, most: int) -> Iterator[tuple[int, int, str]]:
     at = (lambda i, j: (i, len(s) if j >= len(body) else j)) if flat else (lambda i, j: (0, len(s)))
     taken: list[tuple[int, int]] = []
 
-    def whole(i: int, j: int) -> str | None:
+    def whole(i: int, j: int) -> str | Iterator[str] | None:
         if (j - i) % 4 == 1:
             return None
         raw = _bytes(body[i:j])
-        return _inflate(raw, most) or _plain(raw)
+        pieces = _inflate(raw, most)
+        first = next(pieces, "")
+        return chain([first], pieces) if first else _plain(raw)
 
     found = whole(0, len(body))
     if found is not None:
@@ -123,17 +162,17 @@ def _readings(s: str, most: int) -> Iterator[tuple[int, int, str]]:
         for m in ARCHIVE.finditer(raw):
             if any(b <= k + m.start() * 4 // 3 < e for b, e in done):
                 continue
-            inner = _inflate(raw[m.start() :], most)
-            if inner and READABLE.search(inner):
-                parts.append((m.start(), len(raw), inner))
+            pieces = _inflate(raw[m.start() :], most)
+            if first := next(pieces, ""):
+                parts.append((m.start(), len(raw), chain([first], pieces)))
         for x, y, inner in parts:
             i, j = k + x // 3 * 4 + x % 3, min(k + -(-y * 4 // 3), len(body))
             if not any(b <= i and j <= e for b, e in done):
                 yield *at(i, j), inner
 
 
-def layers(text: str, most: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, decoded) of the encoded stretches of one layer."""
+def layers(text: str, most: int) -> Iterator[tuple[int, int, str | Iterator[str]]]:
+    """(start, end, decoded) of the encoded stretches of one layer; archives as pieces, inflated when they are asked for."""
     if "%" in text:
         for m in PERCENT.finditer(text):
             yield m.start(), m.end(), _percent(m[0])
@@ -195,7 +234,7 @@ class Way:
         return s, e
 
 
-def unwrap(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def unwrap(text: str, most: int = 1 << 24) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans): the base scan of the text, and with it what every decoded layer holds.
 
     Work list of (layer, way back to the text). Each layer is scanned, its escapes are undone in place, and its base64
@@ -204,7 +243,7 @@ def unwrap(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, str]],
     stretch; in an escaped one to the characters it came from. Found spans that equal one already there add nothing."""
     base = scan(text)
     found = set(base)
-    work: deque[tuple[str, Way | None]] = deque()
+    work: deque[tuple[str | Iterator[str], Way | None]] = deque()
     seen: set[tuple[bytes, int, int]] = set()
 
     def put(layer: str, way: Way | None, origin: tuple[int, int]):
@@ -216,6 +255,13 @@ def unwrap(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, str]],
     put(text, None, (0, len(text)))
     while work:
         layer, way = work.popleft()
+        if not isinstance(layer, str):
+            # One piece of an archive; the next one comes after what this one holds.
+            piece = next(layer, None)
+            if piece is not None:
+                put(piece, way, way.span)
+                work.append((layer, way))
+            continue
         back = way.back if way else lambda s, e: (s, e)
         if way:
             found |= {(*back(s, e), kind) for s, e, kind in scan(layer)}
@@ -224,7 +270,9 @@ def unwrap(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, str]],
             put(changed[0], Way(changed[1], [b for _, b, *_ in changed[1]], way, (0, 0)), back(0, len(layer)))
         for a, b, inner in layers(layer, most):
             origin = back(a, b)
-            if inner and inner != layer[a:b]:
+            if not isinstance(inner, str):
+                work.append((inner, Way(None, [], None, origin)))
+            elif inner and inner != layer[a:b]:
                 put(inner, Way(None, [], None, origin), origin)
     rank = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(found, key=lambda x: (x[0], rank[x[2]], x[1]))

@@ -194,6 +194,20 @@ def test_secrets_base64_alphabets_and_pieces():
     assert secrets.unwrap(f"https://h.example/download/{plain} x")[1] == [(27, 27 + len(plain), "assign")]
 
 
+def test_secrets_odd_characters_and_long_archives():
+    secret = "password=hunter22"
+    for odd in ("\u00a0", "\u200b", "\ufeff", "\x1b", "\x0c", "\0" * 40, "\udce9"):
+        raw = f"mot {odd} de passe {secret} fin".encode("utf-8", "surrogateescape")
+        text = f"see {base64.b64encode(raw).decode()} x"
+        assert any(k == "assign" for *_, k in secrets.unwrap(text)[1]), odd
+    filler = b"some words, and more. " * 4_000_000
+    for packed in (gzip.compress(filler + secret.encode(), 1), gzip.compress(b"first, ") + gzip.compress(secret.encode()), gzip.compress(b"pass") + gzip.compress(secret[4:].encode())):
+        text = f"see {base64.b64encode(packed).decode()} x"
+        assert (4, len(text) - 2, "assign") in secrets.unwrap(text)[1]
+    cut = secrets._inflate(zlib.compress(b"," + secret.encode() * 9 + b", " + secret.encode()), 20)
+    assert "".join(cut) == "," + secret * 9 + ", " + secret
+
+
 def test_secrets_long_and_deep():
     """Time grows with a text's length, not its square; nesting may be deep; spans map through many substitutions."""
     assert secrets.unwrap("q" * 1_000_000 + " %41 %zz") == ([], [])
