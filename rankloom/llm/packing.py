@@ -18,30 +18,32 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def load_encoder(path: str):
-    """An encoder for a byte-level BPE tokenizer file (JSON), as a function text -> ids.
+    """An encoder for a byte-level BPE tokenizer file (JSON), as a function text -> ids, equal to
+    Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids.
 
     The ranks and the splitting rule come from the file itself; the merges run in tiktoken, which gives the same ids
-    about five times faster. Special tokens' strings in a text are ordinary text. A text with a gap of over 100,000
-    white-space characters goes to tokenizers, as tiktoken's splitting rule runs out of stack there."""
+    about five times faster. Two kinds of text go to tokenizers itself: those with the string of one of the file's added
+    tokens (<|endoftext|>), which stands for that token's id there, and those with a gap of over 100,000 white-space
+    characters, where tiktoken's splitting rule runs out of stack."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], [x["content"] for x in whole["added_tokens"]]
     # Byte-level alphabet, by its published rule: printable bytes stand for themselves, the rest follow from 256.
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(kept))}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token) and not token.startswith("<|")}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
     fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     slow: list = []
 
     def encode(text: str) -> list[int]:
-        if len(text) <= LONG_GAP or not GAPS.search(text):
+        if not any(x in text for x in added) and (len(text) <= LONG_GAP or not GAPS.search(text)):
             return fast(text)
         if not slow:
             slow.append(Tokenizer.from_file(path))
-            slow[0].encode_special_tokens = True
         return list(slow[0].encode(text, add_special_tokens=False).ids)
 
     return encode
