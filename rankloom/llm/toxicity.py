@@ -171,6 +171,7 @@ class Model:
     scale: list[float]
     weights: list[float]
     bias: float
+    fitted: bool = True
 
     def score(self, features: list[float]) -> float:
         z = self.bias + sum(w * (x - m) / s for w, x, m, s in zip(self.weights, features, self.mean, self.scale, strict=True))
@@ -205,16 +206,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, most_terms
     these, the terms (words, openings of words) with the highest likelihood ratio statistic for toxic documents make
     the lexicon: at most `most_terms`, in at least `least_docs` different texts. Counts are added up on the executors;
     the driver gets the chosen terms and one feature row per sampled document. Every label counts once per different
-    text. Without labels of both kinds the model scores 0.5 throughout."""
+    text; an id with labels of both kinds counts as toxic, and stands for all texts of that id. Without labels of both
+    kinds nothing can be learnt: the model isn't fitted and scores 0.5 throughout."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~is_held_out(F.col("doc_id")))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(fit_rows)
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(fit_rows)
     # at most fit_rows rows of two numbers: a proven bound
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = materialize(sample.withColumn("same", F.xxhash64("text")), "tox-sample").dropDuplicates(["same", "toxic"])
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = totals.get(1, 0), totals.get(0, 0)
     if not p or not n:
-        return Model({}, [0.0] * len(FEATURES), [1.0] * len(FEATURES), [0.0] * len(FEATURES), 0.0)
+        return Model({}, [0.0] * len(FEATURES), [1.0] * len(FEATURES), [0.0] * len(FEATURES), 0.0, fitted=False)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -292,6 +294,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = DECISION, **fit) -> DataFrame:
-    """documents without those that score at least threshold; columns as they were."""
+    """documents without those that score at least threshold; columns as they were.
+
+    Without labels of both kinds there is no model to reject by, and every document stays. Null and empty texts are
+    judged as texts without hits; repeated rows are judged alike and all kept or dropped; null ids are kept or dropped
+    by their text; empty input gives no rows; a column named score stays as it was."""
+    model = train(docs, labels, **fit)
+    if not model.fitted:
+        return docs
     (score,) = fresh(docs, "score")
-    return scored(docs, train(docs, labels, **fit), keep=score).where(F.col(score) < threshold).drop(score)
+    return scored(docs, model, keep=score).where(F.col(score) < threshold).drop(score)
