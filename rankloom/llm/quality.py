@@ -119,7 +119,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 4.
 
 def train(docs: DataFrame, fit_rows: int = 3_000) -> Model:
     """Accuracies from how often each pattern of votes occurs over all documents (at most 3^8 patterns); the linear
-    scorer from a bounded sample: the `fit_rows` documents of the lowest MD5 of their id."""
+    scorer from a bounded sample: the `fit_rows` documents of the lowest MD5 of their id (each different text of an id
+    is a document of its own)."""
     base = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
     def vote(batches: Iterator) -> Iterator:
@@ -142,9 +143,10 @@ def train(docs: DataFrame, fit_rows: int = 3_000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.float64())], names=["x", "y"])
 
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    ids = base.select("doc_id", row_key().alias("row")).distinct().orderBy(order, "row").limit(fit_rows).select("row")
-    # at most fit_rows numbers: a proven bound
-    sample = base.withColumn("row", row_key()).join(F.broadcast(ids), "row").dropDuplicates(["row"]).select("text")
+    own = base.select("doc_id", F.xxhash64("text").alias("same"), row_key().alias("row"), "text")
+    ids = own.select("doc_id", "same", "row").distinct().orderBy(order, "row", "same").limit(fit_rows).select("row", "same")
+    # at most fit_rows pairs of numbers: a proven bound
+    sample = own.join(F.broadcast(ids), ["row", "same"]).dropDuplicates(["row", "same"]).select("text")
     rows = sorted((bytes(r["x"]), r["y"]) for r in sample.mapInArrow(features, "x binary, y double").collect())
     x = np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(-1, SIZE)
     w, b = fit_linear(x, np.array([r[1] for r in rows], dtype=np.float32)) if len(rows) else (np.zeros(SIZE, np.float32), 0.0)
