@@ -181,11 +181,7 @@ def layers(text: str, most: int) -> Iterator[tuple[int, int, str | Iterator[str]
             yield m.start(), m.end(), _escape(m[0])
     for pattern in (BASE64, SPACED):
         for m in pattern.finditer(text):
-            # Words of one case without a digit don't come out of base64.
-            s = m[0]
-            if s.isalpha() and (s.islower() or s[1:].islower() or s.isupper()):
-                continue
-            for a, b, found in _readings(s, most):
+            for a, b, found in _readings(m[0], most):
                 yield m.start() + a, m.start() + b, found
 
 
@@ -326,8 +322,8 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                             merged[-1][1] = max(merged[-1][1], e)
                         else:
                             merged.append([s, e])
-                    for s, e in reversed(merged):
-                        text = text[:s] + mask + text[e:]
+                    ends = [0, *(e for _, e in merged)]
+                    text = mask.join(text[a:b] for a, b in zip(ends, [*(s for s, _ in merged), len(text)], strict=True))
                 out.append(text)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
             if size is not None:
