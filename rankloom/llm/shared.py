@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,12 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; on a cluster
+    that is an error, as executors don't share the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "rankloom-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,7 +36,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more. Only for tables whose readers are written themselves:
+    what a returned frame still reads must stay."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,15 +192,18 @@ def connected(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
     """(node, label): label is the least node reachable over edges (a, b). Nodes without an edge are absent.
 
     Every round takes the least label among neighbours and then jumps to that label's own label, so chains halve;
-    each round is a written table, and nothing but one count reaches the driver."""
+    each round is a written table, and nothing but one count reaches the driver. Tables of earlier rounds are deleted."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{tag}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"), f"{tag}-labels")
+    labels = step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"), f"{tag}-labels")
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
         low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = materialize(low.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), f"{tag}-labels")
+        before, step = step, materialize(low.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), f"{tag}-labels")
+        discard(before)
         labels = step.select("node", "label")
         if not step.where("was <> label").limit(1).count():
+            discard(both)
+            labels.written_to = step.written_to
             return labels
     raise RuntimeError("labels did not settle")

@@ -6,19 +6,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected, fresh, materialize, mix, row_key, shingles, word_hashes
+from .shared import connected, discard, fresh, materialize, mix, row_key, shingles, word_hashes
 
 SKETCH = 64
 SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def runs_for(recall: float, threshold: float, fan: float) -> int:
-    """Independent runs after which a pair at the threshold shares a path with at least this probability. In one run
-    such a pair shares Poisson(fan * 2t/(1+t)) chosen tokens."""
-    return max(1, int(np.ceil(-np.log(1 - recall) / (fan * 2 * threshold / (1 + threshold)))))
+    """Independent runs after which a pair at the threshold shares a path with at least this probability. A pair shares
+    the fewest where one set holds the other: in one run Poisson(fan * threshold) of the chosen tokens, as the larger
+    set's rate fan / size decides (sets of equal size share more, fan * 2t/(1+t))."""
+    return max(1, int(np.ceil(-np.log(1 - recall) / (fan * threshold))))
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -100,10 +101,13 @@ def tiles(df: DataFrame, key: str, size: str, node: str, most: int) -> DataFrame
     return df.withColumn("tile", F.xxhash64(F.col(key), F.least("_block", "_other"), F.greatest("_block", "_other"))).withColumn("side", F.when(F.col("_block") == F.col("_other"), -1).otherwise((F.col("_block") > F.col("_other")).cast("int"))).drop("_block", "_other")
 
 
-def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, most: int, levels: int) -> DataFrame:
+def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, most: int, levels: int, crowd: int, written: list[DataFrame]) -> DataFrame:
     """Edges (a, b) between the labels of sets that share a path and whose sketches are alike; a star for each group,
     never all pairs. Sets of one label are connected already: a bucket of one label only is left out, and only sets of
-    different labels are compared."""
+    different labels are compared.
+
+    Paths of over `crowd` sets are told apart first, by counts; only these are split and laid into tiles. So no task that
+    is dealt by path holds more than `crowd` rows of one. Tables that the edges read are added to `written`."""
     least = threshold - 0.25
 
     def deeper(batches: Iterator) -> Iterator:
@@ -150,10 +154,19 @@ def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, m
 
     light = reps.select("node", "n_tokens", "sketch", "label")
     front = reps.select(F.explode(paths).alias("path"), "node", "label")
+    crowded = materialize(front.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("path"), "near-crowded")
+    written.append(crowded)
+    own = Window.partitionBy("path")
+    few = front.join(crowded, "path", "left_anti").withColumn("low", F.min("label").over(own)).withColumn("high", F.max("label").over(own)).where("low < high")
+    few = few.select(F.col("path").alias("tile"), "node").join(light, "node").select("tile", "node", "n_tokens", "sketch", F.lit(-1).alias("side"), "label")
+    front = front.join(crowded, "path", "left_semi")
     ready = []
     for level in range(levels + 1):
-        sizes = front.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("n"), (F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("cross")).where("cross > 0")
+        # Written first: the join below then knows their size, and can split a path's rows.
+        sizes = materialize(front.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("n"), (F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("cross")).where("cross > 0"), f"near-sizes{level}")
         front = materialize(front.join(sizes, "path"), f"near-front{level}")
+        discard(sizes)
+        written.append(front)
         large = F.col("cross") > most * most
         ready.append((front if level == levels else front.where(~large)).drop("cross"))
         if level == levels or not front.where(large).limit(1).count():
@@ -164,7 +177,7 @@ def candidate_edges(reps: DataFrame, paths: str, fan: float, threshold: float, m
     for x in ready[1:]:
         buckets = buckets.unionByName(x)
     buckets = tiles(buckets.drop("label").join(light, "node"), "path", "n", "node", most).select("tile", "node", "n_tokens", "sketch", "side", "label")
-    return buckets.repartition("tile").sortWithinPartitions("tile").mapInArrow(brute, "a long, b long").distinct()
+    return few.unionByName(buckets).repartition("tile").sortWithinPartitions("tile").mapInArrow(brute, "a long, b long").distinct()
 
 
 def _exact(rows: list[tuple], at_once: int = 1_000_000) -> tuple[np.ndarray, Forest]:
@@ -209,32 +222,19 @@ def _exact(rows: list[tuple], at_once: int = 1_000_000) -> tuple[np.ndarray, For
     return linked, forest
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, most: int = 2048, levels: int = 3, tile: int = 1024, tokens_a_set: int = 4096) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for every document.
-
-    Two texts are linked if the Jaccard likeness of their sets of five-word shingles is 0.8 or more. class_id is the
-    least doc_id connected by links or equal texts; n_links counts the other different texts linked to a text;
-    n_copies the rows with the very same text.
-
-    Chosen-path join: in each of enough independent runs for the target recall (see runs_for) a set goes to the buckets
-    of its sampled tokens; buckets with over `most` squared pairs that aren't connected yet are split by the next sampled
-    shared token, `levels` deep; the others are compared by brute force. What the first run connects needn't be found again by the others. What stays large (families of near copies) is compared in tiles. Groups of
-    equal sets go in once. A bucket reports a star of the sets that look alike, not their pairs; the sets a star
-    connects are then compared with each other, every pair once, on their whole shingle sets; links are counted there.
-
-    Null text counts as empty; texts without words are only linked to texts equal to them or without words. A text of
-    fewer than five words has one shingle. Rows that repeat an id with the same text are copies; a null id is one of
-    a negative number made from its text, in class_id too. Empty input gives no rows; other columns are dropped."""
+def classes(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, most: int = 2048, levels: int = 3, tile: int = 1024, tokens_a_set: int = 4096, crowd: int = 256) -> DataFrame:
+    """near_duplicates() with the least (no_id, row, same) of each row's class, which tells its first document."""
     runs = runs_for(recall, 0.8, fan)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", row_key().alias("row"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = base.select("doc_id", row_key().alias("row"), F.xxhash64("text").alias("same"), "text")
 
     def first_steps(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["doc_id", "row", "text_key", "set_key", "n_tokens", "first_paths", "more_paths", "sketch"]
+        names = ["doc_id", "row", "same", "text_key", "set_key", "n_tokens", "first_paths", "more_paths", "sketch"]
         for batch in batches:
             keys, sets, sizes, paths, more, sketches = [], [], [], [], [], []
-            column = batch.column(2)
+            column = batch.column(3)
             for k, words in word_hashes(column):
                 tokens = shingles(words)
                 keys.append(hashlib.blake2b(column[k].as_buffer(), digest_size=16).digest() if column[k].is_valid else b"")
@@ -244,20 +244,25 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
                 paths.append(one.view(np.int64))
                 more.append(rest.view(np.int64))
                 sketches.append(sketch(tokens).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=names)
-
-    rows = materialize(base.mapInArrow(first_steps, "doc_id long, row long, text_key binary, set_key binary, n_tokens int, first_paths array<long>, more_paths array<long>, sketch binary"), "near-rows")
-    texts = materialize(rows.groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("row").alias("row"), F.first(F.struct("n_tokens", "first_paths", "more_paths", "sketch")).alias("x")), "near-texts")
-    reps = materialize(texts.groupBy("set_key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n_texts"), F.first("x").alias("x")).select("set_key", "node", "n_texts", "x.*"), "near-reps")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=names)
+
+    rows = materialize(base.mapInArrow(first_steps, "doc_id long, row long, same long, text_key binary, set_key binary, n_tokens int, first_paths array<long>, more_paths array<long>, sketch binary"), "near-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "row", "same")).alias("first")
+    texts = materialize(rows.groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n_copies"), first, F.first(F.struct("n_tokens", "first_paths", "more_paths", "sketch")).alias("x")), "near-texts")
+    reps = texts.groupBy("set_key").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n_texts"), F.first("x").alias("x"))
+    # Sets are numbered anew, as several may share an id; the numbers are those of the written table.
+    reps = materialize(reps.select("set_key", F.monotonically_increasing_id().alias("node"), "first", "n_texts", "x.*"), "near-reps")
     sets = reps.where("n_tokens > 0")
-    known = connected(candidate_edges(sets.withColumn("label", F.col("node")), "first_paths", fan, 0.8, most, levels), "near-a")
+    done: list[DataFrame] = []
+    known = connected(candidate_edges(sets.withColumn("label", F.col("node")), "first_paths", fan, 0.8, most, levels, crowd, done), "near-a")
     sets = materialize(sets.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-sets")
-    edges = candidate_edges(sets, "more_paths", fan, 0.8, most, levels)
-    comps = connected(edges.union(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-b")
-    comps = comps.join(reps.select("node", "n_texts", "n_tokens"), "node")
+    edges = candidate_edges(sets, "more_paths", fan, 0.8, most, levels, crowd, done)
+    comps = joined = connected(edges.union(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-b")
+    comps = comps.join(reps.select("node", "first.row", "first.same", "n_texts", "n_tokens"), "node")
     # Long sets count as several, so that a block of a tile is bounded in tokens as in sets.
     weigh = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_tokens") / tokens_a_set)).alias("n")
     comps = materialize(comps.join(comps.groupBy("label").agg(weigh), "label").drop("n_tokens"), "near-comps")
+    discard(known, sets, joined, *done)
 
     def full_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -282,21 +287,49 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, m
                 out = []
         yield make()
 
-    bodies = base.select(F.col("row").alias("node"), "text").join(comps, "node").dropDuplicates(["node"]).select("label", "node", "n", "n_texts", "text")
+    bodies = base.select("row", "same", "text").join(comps, ["row", "same"]).dropDuplicates(["node"]).select("label", "node", "n", "n_texts", "text")
     sets = bodies.mapInArrow(full_sets, "label long, node long, n long, n_texts long, tokens binary")
     sets = tiles(sets, "label", "n", "node", tile).select("tile", "node", "n_texts", "tokens", "side")
     found = materialize(sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(links, "node long, to long, n long"), "near-links")
     counts = found.where("node = to").groupBy("node").agg(F.sum("n").alias("linked"))
     labels = connected(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")), "near-l")
-    by_set = reps.select("set_key", "node", "n_texts").join(counts, "node", "left").join(labels, "node", "left")
-    by_set = by_set.select("set_key", F.coalesce("label", "node").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
-    by_text = texts.select("set_key", "text_key", "n_copies").join(by_set, "set_key").select("text_key", "class_id", "n_links", "n_copies")
-    return rows.select("doc_id", "text_key").join(materialize(by_text, "near-by-text"), "text_key").select("doc_id", "class_id", "n_links", "n_copies")
+    least = labels.join(reps.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("least"))
+    by_set = reps.select("set_key", "node", "first", "n_texts").join(counts, "node", "left").join(labels, "node", "left").join(least, "label", "left")
+    by_set = by_set.select("set_key", F.coalesce("least", "first").alias("least"), (F.coalesce("linked", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
+    by_text = texts.select("set_key", "text_key", "n_copies").join(by_set, "set_key").select("text_key", "least", "n_links", "n_copies")
+    by_text = materialize(by_text, "near-by-text")
+    discard(texts, reps, comps, found, labels)
+    return rows.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", "least", "n_links", "n_copies")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies for every document.
+
+    Two texts are linked if the Jaccard likeness of their sets of five-word shingles is 0.8 or more. class_id is the
+    least doc_id connected by links or equal texts; n_links counts the other different texts linked to a text;
+    n_copies the rows with the very same text.
+
+    Chosen-path join: in each of enough independent runs for the target recall (see runs_for) a set goes to the buckets
+    of its sampled tokens; buckets of over `crowd` sets with over `most` squared pairs that aren't connected yet are split
+    by the next sampled shared token, `levels` deep; the others are compared by brute force. What the first run connects
+    needn't be found again by the others. What stays large (families of near copies) is compared in tiles. Groups of
+    equal sets go in once. A bucket reports a star of the sets that look alike, not their pairs; the sets a star
+    connects are then compared with each other, every pair once, on their whole shingle sets; links are counted there.
+
+    Null text counts as empty; texts without words are only linked to texts equal to them or without words. A text of
+    fewer than five words has one shingle. Rows that repeat an id with the same text are copies; with another text they
+    are documents of their own, so an id may be in several classes. class_id is a class's least id that isn't null; a
+    class of null ids alone has a negative number made from its text. Empty input gives no rows; other columns are
+    dropped. Settings: see classes()."""
+    return classes(docs, **how).select("doc_id", F.col("least.row").alias("class_id"), "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """documents with one row of each class: the one of the least id (null ids last); equal rows count once."""
-    (row,) = fresh(docs, "_row")
-    found = near_duplicates(docs, **how).select(F.col("class_id").alias(row)).distinct()
-    keyed = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) / 2).cast("long") - 1))
-    return keyed.join(found, row, "left_semi").dropDuplicates([row]).drop(row)
+    """documents with one row of each class: the one of the least id (null ids last; of equal ids, that of the lowest hash
+    of the text). Rows equal in id and text count once. A different text that shares an id stays, as it is of another
+    class. Null and empty texts are one class; empty input gives no rows; all columns are kept, whatever their names."""
+    row, same = own = fresh(docs, "_row", "_same")
+    found = classes(docs, **how).select(F.col("least.row").alias(row), F.col("least.same").alias(same)).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn(same, F.xxhash64(text)).withColumn(row, F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(text) / 2).cast("long") - 1))
+    return keyed.join(found, own, "left_semi").dropDuplicates(own).drop(*own)
