@@ -62,7 +62,7 @@ def test_repeats_periodic(spark, limits):
     assert got == brute_removed(texts)
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 4, "levels": 2, "tile": 4}, {"tokens_a_set": 2, "tile": 16}])
+@pytest.mark.parametrize("limits", [{}, {"most": 4, "levels": 2, "tile": 4, "crowd": 2}, {"tokens_a_set": 2, "tile": 16}, {"crowd": 1}])
 def test_near_duplicates(spark, limits):
     base = " ".join(f"w{i}" for i in range(120))
     rows = {i: base.replace(f"w{i * 3} ", f"v{i} ") for i in range(30)} | {100 + i: base for i in range(4)} | {200: "", 201: "  ", 202: "one two", 203: "one two"}
@@ -97,7 +97,6 @@ def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     rows = packing.pack(docs, queries.tokenizer_path()).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -126,9 +125,8 @@ def test_packing_long_gaps():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     encode = packing.load_encoder(queries.tokenizer_path())
-    for text in ("a" + " " * 2_000_000 + "b", "\n" * 1_500_000, "x\t" * 60_000, "y" * 300_000):
+    for text in ("a" + " " * 2_000_000 + "b", "\n" * 1_500_000, "x\t" * 60_000, "y" * 300_000, "one <|endoftext|> two", "<|endoftext|><|endoftext|>", "<|endoftext", "a<|b|>", "<|"):
         assert encode(text) == tok.encode(text, add_special_tokens=False).ids
 
 
@@ -223,7 +221,7 @@ def test_hamming(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
     want = sorted(con.execute(queries.TOP_K_SQL).fetchall())
-    for blocks in ({}, {"block_rows": 60, "block_queries": 2}):
+    for blocks in ({}, {"group_rows": 30, "candidates": 1}, {"group_rows": 7}):
         assert sorted(tuple(r) for r in hamming.top_k(df, **blocks).select("query_id", "rank", "vec_id", "distance").collect()) == want
 
 
