@@ -287,7 +287,8 @@ def classes(docs: DataFrame, recall: float = 0.9999, fan: float = 1.5, most: int
                 out = []
         yield make()
 
-    bodies = base.select("row", "same", "text").join(comps, ["row", "same"]).dropDuplicates(["node"]).select("label", "node", "n", "n_texts", "text")
+    # Always dealt by key: the sets to compare are a share of the documents, so they are no table to broadcast.
+    bodies = base.select("row", "same", "text").join(comps.hint("merge"), ["row", "same"]).dropDuplicates(["node"]).select("label", "node", "n", "n_texts", "text")
     sets = bodies.mapInArrow(full_sets, "label long, node long, n long, n_texts long, tokens binary")
     sets = tiles(sets, "label", "n", "node", tile).select("tile", "node", "n_texts", "tokens", "side")
     found = materialize(sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(links, "node long, to long, n long"), "near-links")
