@@ -78,31 +78,36 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(df: DataFrame, key: str, cols: list[str], rows_a_cell: int = 500) -> DataFrame:
     """Adds next_<c>: c of the row that follows in descending key order (null keys last, ties by the hash of the first column);
-    the first row follows the last. Keys are laid into cells by a piecewise linear map through 64 quantiles, so that no
-    task sorts more than about its share; the first row of each cell is also sent to the cell before it."""
-    n, knots, top = df.agg(F.count(F.lit(1)), F.percentile_approx(key, [i / 64 for i in range(65)], 2000), F.max(key)).first()
-    knots = sorted(set(knots or []))
-    cells = max(1, n // rows_a_cell)
-    tie = F.xxhash64(cols[0])
-    if len(knots) > 1:
-        k = F.col(key).cast("double")
-        parts = F.lit(0.0)
-        for a, b in zip(knots, knots[1:], strict=False):
-            parts = parts + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - float(a)) / float(b - a)))
-        cell = cells - 1 - F.floor(parts / (len(knots) - 1) * (cells - 1)).cast("long")
-    else:
-        cell = F.lit(0).cast("long")
-    df = df.withColumn("_cell", F.when(F.col(key).isNull(), F.lit(cells).cast("long")).otherwise(cell)).withColumn("_tie", tie)
+    the first row follows the last. Rows are laid into cells by a piecewise linear map through 64 quantiles, so that no
+    task sorts more than about its share; the first row of each cell is also sent to the cell before it. A key that holds
+    several quantiles, and null keys, are laid out by the tie hash; only rows equal in key and text share a place."""
+    n, some, knots = df.agg(F.count(F.lit(1)), F.count(key), F.percentile_approx(key, [i / 64 for i in range(65)], 2000)).first()
+    knots = knots or []
+    cells, empty = max(1, some // rows_a_cell), max(1, (n - some) // rows_a_cell)
+    df = df.withColumn("_tie", F.xxhash64(cols[0]))
+    after = F.col("_tie") / 2.0**64 + 0.5
+    k, parts, width = F.col(key).cast("double"), F.lit(0.0), 0
+    for a, b in zip(knots, knots[1:], strict=False):
+        step = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - float(a)) / float(b - a))) if b > a else F.when(F.col(key) > a, 1.0).when(F.col(key) == a, 1 - after).otherwise(0.0)
+        parts, width = parts + step, width + 1
+    cell = cells - 1 - F.least(F.floor(parts / max(width, 1) * cells), F.lit(cells - 1))
+    df = df.withColumn("_cell", F.when(F.col(key).isNull(), cells + F.least(F.floor(after * empty), F.lit(empty - 1))).otherwise(cell).cast("long"))
     first = df.groupBy("_cell").agg(F.min(F.struct(F.col(key).isNull().alias("n"), (-F.col(key)).alias("k"), F.col("_tie").alias("t"))).alias("first"))
-    ahead = F.lag("_cell").over(Window.orderBy("_cell"))
-    last = F.max("_cell").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = materialize(first.select("_cell", F.coalesce(ahead, last).alias("_to"), F.col("first.t").alias("_first")), "next")
-    both = df.join(first, "_cell").withColumn("_copies", F.when(F.col("_tie") == F.col("_first"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    # The cell before each: within stretches of 4096 cells, and for the first of a stretch the last of those before it.
+    first = first.withColumn("_stretch", F.floor(F.col("_cell") / 4096))
+    ends = first.groupBy("_stretch").agg(F.max("_cell").alias("_end"))
+    over = Window.orderBy("_stretch")
+    whole = F.max("_end").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ends.select("_stretch", F.coalesce(F.lag("_end").over(over), whole).alias("_back"))
+    ahead = F.coalesce(F.lag("_cell").over(Window.partitionBy("_stretch").orderBy("_cell")), F.col("_back"))
+    first = materialize(first.join(ends, "_stretch").select("_cell", ahead.alias("_to"), F.col("first.t").alias("_first"), F.col("first.k").alias("_key")), "next")
+    opens = (F.col("_tie") == F.col("_first")) & (-F.col(key)).eqNullSafe(F.col("_key"))
+    both = df.join(first, "_cell").withColumn("_copies", F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
     both = both.select("*", F.explode("_copies").alias("_guest")).withColumn("_home", F.when(F.col("_guest"), F.col("_to")).otherwise(F.col("_cell")))
     w = Window.partitionBy("_home").orderBy(F.col("_guest"), F.col(key).desc_nulls_last(), F.col("_tie"))
     for c in cols:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.where(~F.col("_guest")).drop("_cell", "_tie", "_to", "_first", "_copies", "_guest", "_home")
+    return both.where(~F.col("_guest")).drop("_cell", "_tie", "_to", "_first", "_key", "_copies", "_guest", "_home")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:

@@ -260,6 +260,18 @@ def test_fingerprints(spark, docs, texts):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+@pytest.mark.parametrize("cell", [2, 3, 500])
+def test_next_rows_of_repeated_and_null_ids(spark, cell):
+    """Every row's next one by a plain sort; rows equal in id and text may stand in any order."""
+    rows = [(7, f"hot {i}") for i in range(60)] + [(None, f"none {i}") for i in range(40)] + [(i, f"own {i}") for i in range(0, 400, 9)] + [(5, "same")] * 5
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    tie = {r["t"]: r["h"] for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = sorted((str(k), t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
+    got = sorted((str(r["k"]), r["t"], r["next_t"]) for r in fingerprints.with_next(df, "k", ["t"], cell).collect())
+    assert got == want
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
