@@ -12,27 +12,41 @@ from rankloom.llm.shared import shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go.
+
+    Without labels of both kinds every document stays. Null and empty texts are judged as texts without hits, repeated
+    rows alike; an empty table stays empty; columns of any name stay as they are."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the least id."""
+    """One document of each group of near duplicates stays: that of the least id, null ids last.
+
+    Null, empty and blank texts are one group; rows that share an id but not the text are documents of their own; equal
+    rows count once; an empty table stays empty; columns of any name stay as they are."""
     return similarity.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
+    """Secrets are replaced in the texts and n_chars is counted anew; every row stays, repeated ones too.
+
+    Null texts stay null, an empty table stays empty; other columns of any name stay as they are."""
     return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0 to 3 times. Only whole documents are taken."""
+    """Each document as often as the mix takes it: 0 to 3 times. Only whole documents are taken.
+
+    Texts without words (null, empty) are never taken; null sources are one source; repeated rows are taken alike; an
+    empty table stays empty; columns of any name stay as they are."""
     return mixing.take(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of 2048 tokens."""
+    """Pieces of the documents, packed into sequences of 2048 tokens; the last stage, so not in the columns of documents.
+
+    Null texts count as empty and still have their end id; a document that comes several times is packed as often; an
+    empty table gives no pieces; other columns are dropped."""
     return packing.pack(docs, queries.tokenizer_path())
 
 
