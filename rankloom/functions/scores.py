@@ -41,15 +41,30 @@ def anchor_bonus(mrr: Column, recall: Column, mrr0: Column, recall0: Column, val
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
+    """a / b; null if either is null or b is 0."""
     return F.try_divide(a, b)
 
 
+def maybe_float(t: Column) -> Column:
+    """A number, or null for what isn't one."""
+    return t.try_cast("double")
+
+
+def clean_format(penalty: Column) -> Column:
+    return F.when(penalty == 0, 1.0).otherwise(0.0)
+
+
 def clipped_objective(new: Column, old: Column, advantage: Column, eps: float = 0.2) -> Column:
     return F.zip_with(new, old, lambda n, o: F.least(F.exp(n - o) * advantage, F.least(F.greatest(F.exp(n - o), F.lit(1 - eps)), F.lit(1 + eps)) * advantage))
 
 
 def sampling_schedule(n: Column, temperature: float, top_p: float, dt: float = 0.05, dp: float = 0.01) -> Column:
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.round(F.least(F.lit(1.35), temperature + dt * i), 6).alias("temperature"), F.round(F.least(F.lit(0.995), top_p + dp * i), 6).alias("top_p")))
+    """Temperature and top_p of each of n samples (at least 1): both rise by their strides up to 1.35 and 0.995. Without
+    sampling (temperature 0 or below), for one sample, or where a stride isn't above 0, they stay as given."""
+    one = lambda i, base, step, most: F.round(F.least(F.lit(most), base + step * i), 6) if temperature > 0 and step > 0 else F.lit(float(base))
+    rising = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(one(i, temperature, dt, 1.35).alias("temperature"), one(i, top_p, dp, 0.995).alias("top_p")))
+    alone = F.array(F.struct(F.lit(float(temperature)).alias("temperature"), F.lit(float(top_p)).alias("top_p")))
+    return F.when(n <= 1, alone).otherwise(rising)
 
 
 def retry_temperature(base: Column, step: float, turn: Column, most: float = 1.35) -> Column:

@@ -13,15 +13,19 @@ STOPWORDS = QUESTION_WORDS + FUNCTION_WORDS
 PARTIAL_TAILS = ("a", "an", "and", "by", "for", "in", "of", "on", "or", "the", "to", "with")
 SPACE = r"[\s\x1C-\x1F\x85\p{Z}]+"
 EXPLANATION = r"(?i)\b(because|therefore|explanation|reasoning|step[- ]?by[- ]?step|user query|search query|rewritten query|i (?:think|believe)|let(?:'s| us))\b"
-LABELS_BEFORE_COLON = ("user query", "search query", "rewritten query", "better bm25 query", "explanation", "reasoning")
+LABELS_BEFORE_COLON = ("query", "search query", "rewritten query", "explanation", "reasoning")
 POLLUTION = r"(?i)(<think|thinking process|analysis:|assistant:|search query:|rewritten query:)"
 NUMERIC = r"(?i)\b\d+(?:\.\d+)?(?:%|[a-z]+)?\b"
 ACRONYM = r"\b[A-Z]{2,}\b"
-UNREADABLE = r"""[^\s\p{L}\p{N}\-_.,:;!?()/\[\]'"]"""
+UNREADABLE = r"""[^\s\x1C-\x1F\x85\p{Z}\p{L}\p{N}\-_.,:;!?()/\[\]'"]"""
 MARKER_LINE = r"(?i)^(?:rewritten\s+query|search\s+query|better\s+bm25\s+query)\s*:\s*(.*)$"
 MARKER_INLINE = r"(?i)(?:rewritten\s+query|search\s+query|better\s+bm25\s+query)\s*:\s*([^\n\r]+)"
 LABEL_LINES = ("assistant:", "search query:", "rewritten query:", "better bm25 query:", "better bm25 query", "better bm25", "better bm2")
 NOISE = r"(?i)(user query|better bm25|example|bm25 rules)"
+# Strings at which a generated answer ends: as they stand, in lower case anywhere, and in lower case at its beginning.
+STOP_STRINGS = ("\nUser query:", "\nBetter BM25 query:", "\nSearch query:", "\nRewritten query:", "\nExample")
+STOP_MARKERS = ("\nuser query:", "\nbetter bm25 query:", "\nsearch query:", "\nrewritten query:", "\nexample\n")
+STOP_PREFIXES = ("user query:", "better bm25 query:", "search query:", "rewritten query:", "example\n")
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -29,6 +33,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def strip(t: Column) -> Column:
+    """t without white space (Unicode's) at its ends."""
+    return F.regexp_replace(t, rf"^{SPACE}|{SPACE}$", "")
+
+
 def normalize(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, SPACE, " "))
 
@@ -65,19 +74,28 @@ def english_ratio(t: Column) -> Column:
 
 
 def is_explanation(t: Column) -> Column:
-    return t.rlike(EXPLANATION) | (F.contains(t, F.lit(":")) & F.lower(F.trim(F.substring_index(t, ":", 1))).isin(*LABELS_BEFORE_COLON))
+    return t.rlike(EXPLANATION) | (F.contains(t, F.lit(":")) & F.lower(strip(F.substring_index(t, ":", 1))).isin(*LABELS_BEFORE_COLON))
 
 
 def is_polluted(t: Column) -> Column:
     return t.rlike(POLLUTION)
 
 
+def all_numbers(t: Column) -> Column:
+    """Numeric tokens as often as they occur."""
+    return F.transform(F.regexp_extract_all(t, F.lit(NUMERIC), F.lit(0)), F.lower)
+
+
+def all_acronyms(t: Column) -> Column:
+    return F.transform(F.regexp_extract_all(t, F.lit(ACRONYM), F.lit(0)), F.lower)
+
+
 def numeric_tokens(t: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(NUMERIC), F.lit(0)), F.lower))
+    return F.array_distinct(all_numbers(t))
 
 
 def acronyms(t: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(ACRONYM), F.lit(0)), F.lower))
+    return F.array_distinct(all_acronyms(t))
 
 
 def let(value: Column, body) -> Column:
@@ -107,13 +125,24 @@ def keyword_preserve(source: Column, rewrite: Column) -> Column:
     return preserve_ratio(keywords(source), tokens(rewrite))
 
 
+def preserve_parts(source: Column, rewrite: Column) -> Column:
+    """struct(locked, number, acronym, negation): shares of the source's numbers, acronyms and negations, counted as often
+    as they occur, that the rewrite keeps (1 where the source has none), and the mean of those that apply."""
+    words = tokens(rewrite)
+    pairs = {"number": (all_numbers(source), all_numbers(rewrite)), "acronym": (all_acronyms(source), words), "negation": (negations(source), words)}
+    shares = F.struct(*[preserve_ratio(own, other).alias(k) for k, (own, other) in pairs.items()], *[(F.size(own) > 0).alias(f"has_{k}") for k, (own, _) in pairs.items()])
+
+    def mean(p):
+        has = [p.getField(f"has_{k}") for k in pairs]
+        total = sum((F.when(h, p.getField(k)).otherwise(0.0) for k, h in zip(pairs, has, strict=True)), F.lit(0.0))
+        n = sum((h.cast("int") for h in has), F.lit(0))
+        return F.struct(F.coalesce(F.try_divide(total, n), F.lit(1.0)).alias("locked"), *[p.getField(k).alias(k) for k in pairs])
+
+    return let(shares, mean)
+
+
 def locked_preserve(source: Column, rewrite: Column) -> Column:
-    total, n = F.lit(0.0), F.lit(0)
-    for own, other in ((numeric_tokens(source), numeric_tokens(rewrite)), (acronyms(source), tokens(rewrite)), (negations(source), tokens(rewrite))):
-        has = F.size(own) > 0
-        total = total + F.when(has, preserve_ratio(own, other)).otherwise(0.0)
-        n = n + F.when(has, 1).otherwise(0)
-    return F.coalesce(F.try_divide(total, n), F.lit(1.0))
+    return preserve_parts(source, rewrite).getField("locked")
 
 
 def term_preserve(source: Column, rewrite: Column) -> Column:
@@ -126,10 +155,10 @@ def length_score(t: Column, low: int = 1, best_low: int = 4, best_high: int = 12
 
 
 def bad_format_penalty(t: Column, cap: float = 1.5, most_tokens: int = 12, least_english: float = 0.85, most_unreadable: float = 0.20) -> Column:
-    x = F.regexp_replace(t, rf"^{SPACE}|{SPACE}$", "")
+    x = strip(t)
     n, english, unreadable = F.size(tokens(x)), english_ratio(x), unreadable_ratio(x)
     total = (
-        F.when(F.contains(x, F.lit("\n")), 0.5).otherwise(0.0)
+        F.when(x.rlike("[\n\r]"), 0.5).otherwise(0.0)
         + F.when(is_explanation(x) | is_polluted(x), 0.5).otherwise(0.0)
         + F.when(n > most_tokens, F.least(F.lit(0.5), (n - most_tokens) * 0.03)).otherwise(0.0)
         + F.when(english < least_english, F.least(F.lit(0.5), 0.5 * (least_english - english) / least_english)).otherwise(0.0)
@@ -151,11 +180,11 @@ def unsafe_copy_penalty(source: Column, rewrite: Column) -> Column:
 
 def candidate_text(t: Column, strip_list_prefix: bool = True) -> Column:
     """A candidate without quotes around it, bullets or numbers before it, and with single spaces."""
-    x = F.regexp_replace(t, rf"^{SPACE}|{SPACE}$", "")
+    x = strip(t)
     for q in ("'", '"', "`"):
         x = F.regexp_replace(x, f"^{q}+|{q}+$", "")
     if strip_list_prefix:
-        x = F.regexp_replace(x, r"^[\-\*\d\.\)\s]+", "")
+        x = F.regexp_replace(x, r"^[\-\*\p{Nd}\.\)\]\s\x1C-\x1F\x85\p{Z}]+", "")
     return normalize(x)
 
 
@@ -201,10 +230,9 @@ def clean_query(raw: Column, source: Column) -> Column:
 def stabilized(raw: Column, source: Column, stop: str | None = None) -> Column:
     """A cleaned rewrite that falls back to the source when cleaning leaves nothing, with its diagnostics. The raw text
     is trimmed first, and cut at the stop marker where one other than a line break is given."""
-    edges = rf"^{SPACE}|{SPACE}$"
-    raw = F.regexp_replace(raw, edges, "")
+    raw = strip(raw)
     if stop and stop != "\n":
-        raw = F.regexp_replace(F.substring_index(raw, stop, 1), edges, "")
+        raw = strip(F.substring_index(raw, stop, 1))
     clean, own = normalize(clean_query(raw, normalize(source))), normalize(source)
     final = F.when(clean == "", own).otherwise(clean)
     return F.struct(
@@ -214,10 +242,19 @@ def stabilized(raw: Column, source: Column, stop: str | None = None) -> Column:
         raw.rlike("[\n\r]").alias("raw_multiline"), bad_format_penalty(raw).alias("raw_format_penalty"), overlap(own, final).alias("final_overlap"), F.size(tokens(final)).alias("final_term_count"))
 
 
-def truncate_generation(t: Column, stops=("\n",), markers=("Explanation:", "Reasoning:")) -> Column:
-    """The text up to the first stop string, or marker in any case."""
-    at = [F.nullif(F.instr(t, s), F.lit(0)) for s in stops] + [F.nullif(F.instr(F.lower(t), m.lower()), F.lit(0)) for m in markers]
-    return F.coalesce(F.substring(t, F.lit(1), F.least(*at) - 1), t)
+def stop_strings(stop_on: str | None = None, configured=()) -> tuple[str, ...]:
+    """What ends an answer: the marker, the configured strings and the fixed ones, each once, in this order."""
+    return tuple(dict.fromkeys(x for x in (stop_on, *configured, *STOP_STRINGS) if x))
+
+
+def truncate_generation(t: Column, stop_on: str | None = None, configured=(), single_line: bool = False) -> Column:
+    """The trimmed text up to the first line break (single_line), stop string (as it stands) or fixed marker (in any
+    case); empty if it begins with a label. Null counts as empty."""
+    t = F.coalesce(t, F.lit(""))
+    breaks = ("\n", "\r") if single_line else ()
+    at = [F.nullif(F.instr(t, x), F.lit(0)) for x in (*breaks, *stop_strings(stop_on, configured))] + [F.nullif(F.instr(F.lower(t), x), F.lit(0)) for x in STOP_MARKERS]
+    label = F.lower(t).rlike("^(?:" + "|".join(STOP_PREFIXES) + ")")
+    return F.when(label, "").otherwise(strip(F.coalesce(F.substring(t, F.lit(1), F.least(*at) - 1), t)))
 
 
 def first_line(t: Column, marker: str = "\n\n") -> Column:
@@ -226,7 +263,8 @@ def first_line(t: Column, marker: str = "\n\n") -> Column:
 
 
 def slug(t: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(t, "[^A-Za-z0-9._-]+", "_"), F.lit("_")), F.lit("")), F.lit("summary"))
+    """Lower case, with an underscore for each run of other than ASCII letters and digits; "summary" if nothing is left."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(strip(t)), "[^a-z0-9]+", "_"), F.lit("_")), F.lit("")), F.lit("summary"))
 
 
 # ---- cohorts, prompts, names --------------------------------------------------------------------
@@ -245,8 +283,8 @@ def is_learnable(t: Column) -> Column:
 
 
 def unique_nonempty(values: Column) -> Column:
-    """Number of different texts that aren't blank."""
-    return F.size(F.array_distinct(F.filter(F.transform(values, normalize), lambda x: x != "")))
+    """Number of different texts that aren't blank, trimmed at their ends; a null counts as the text None."""
+    return F.size(F.array_distinct(F.filter(F.transform(values, lambda x: strip(F.coalesce(x, F.lit("None")))), lambda x: x != "")))
 
 
 def prompt(system: str, template: str, query: Column) -> Column:

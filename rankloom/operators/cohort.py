@@ -40,6 +40,40 @@ def bucket(mrr: Column, recall_wide: Column, learnable: Column) -> Column:
     return F.when((recall_wide > 0) & (mrr < 0.35), "A").when(mrr >= 0.35, "C").when((recall_wide == 0) & learnable, "B").otherwise("DROP")
 
 
+METADATA = "qid long, text string, orig_mrr20 double, orig_recall20 double, orig_recall100 double, orig_best_hit_rank int, bucket string"
+
+
+def build_metadata(index, queries: DataFrame, qrels: DataFrame, variant: str = "okapi") -> DataFrame:
+    """qid, text and the metrics (METADATA) of original queries, from one retrieval of 100 documents each."""
+    from ..functions.text import is_learnable
+    from . import retrieval as R
+
+    m = R.metrics(queries, R.top_k(index, queries, 100, variant), qrels, ("qid",), 20, 20, 100)
+    own = bucket(F.col("mrr"), F.col("recall_aux"), is_learnable(F.col("text")))
+    return queries.select("qid", "text").join(m, "qid").select("qid", "text", F.col("mrr").alias("orig_mrr20"), F.col("recall").alias("orig_recall20"), F.col("recall_aux").alias("orig_recall100"), F.col("hit_rank").alias("orig_best_hit_rank"), own.alias("bucket"))
+
+
+def ensure_metadata(queries: DataFrame, path: str, build) -> DataFrame:
+    """The metadata below path for these queries where it covers them all; else that of build() for all of them, written
+    there. build() is only called if there is something to build."""
+    from pyspark.errors import AnalysisException
+
+    spark = queries.sparkSession
+    try:
+        found = spark.read.parquet(path)
+        if not queries.select("qid").join(found, "qid", "left_anti").limit(1).count():
+            return found.join(queries.select("qid").distinct(), "qid", "left_semi")
+    except AnalysisException:
+        pass  # nothing written yet
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def with_buckets(queries: DataFrame, metadata: DataFrame) -> DataFrame:
+    """queries with their bucket; one without metadata is DROP."""
+    return queries.join(metadata.select("qid", "bucket"), "qid", "left").withColumn("bucket", F.coalesce("bucket", F.lit("DROP")))
+
+
 def bucket_counts(df: DataFrame, domain=("A", "B", "C", "DROP")) -> DataFrame:
     """bucket, n with zeros for those absent; a null bucket counts as DROP."""
     all_ = df.sparkSession.createDataFrame([(b,) for b in domain], "bucket string")

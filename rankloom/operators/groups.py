@@ -25,12 +25,16 @@ def best(df: DataFrame, group: str, reward: str, idx: str, keep: list[str]) -> D
 
 
 def gap_stop(df: DataFrame, group: str, query: str, reward: str, idx: str, threshold: float, initial: int, most: int) -> DataFrame:
-    """How many samples a group takes until max - min of its rewards reaches the threshold (from `initial`, at most `most`)."""
+    """How many samples a group takes until max - min of its queries' rewards reaches the threshold (from `initial`, at most
+    `most`). A query counts once, with the reward of its first sample; under two different queries the gap is 0."""
     w = Window.partitionBy(group).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(Window.partitionBy(group, query).orderBy(idx)) == 1
     n = F.row_number().over(Window.partitionBy(group).orderBy(idx))
-    run = df.withColumn("n", n).withColumn("gap", F.max(reward).over(w) - F.min(reward).over(w)).where(F.col("n") <= most)
+    own = F.when(F.col("first"), F.col(reward))
+    gap = F.when(F.count_if("first").over(w) < 2, 0.0).otherwise(F.max(own).over(w) - F.min(own).over(w))
+    run = df.withColumn("first", first).withColumn("n", n).withColumn("gap", gap).where(F.col("n") <= most)
     hit = run.groupBy(group).agg(F.min(F.when((F.col("n") >= initial) & (F.col("gap") >= threshold), F.col("n"))).alias("at"), F.max("n").alias("last"))
-    return hit.select(group, F.coalesce("at", "last").alias("generated"), F.col("at").isNotNull().alias("gap_met"), F.when(F.col("at").isNotNull(), "reward_gap_met").otherwise("max_group_size_reached").alias("stop_reason"))
+    return hit.select(group, F.coalesce("at", "last").alias("generated"), F.col("at").isNotNull().alias("gap_met"), F.when(F.col("at").isNotNull(), "threshold_reached").otherwise("max_group_size_reached").alias("stop_reason"))
 
 
 def nest(df: DataFrame, group: str, idx: str, cols: list[str]) -> DataFrame:

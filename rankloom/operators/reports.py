@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Means of a breakdown summary and the scored columns they are taken of; shares of rows above 0 (fixed values).
@@ -51,6 +51,21 @@ def pick(specs: DataFrame, key: str, ids: list[str] | None = None, most: int | N
     return out if most is None else out.where(F.col("place") < most)
 
 
+def three_way(original: DataFrame, zero: DataFrame, tuned: DataFrame, key: str = "qid") -> DataFrame:
+    """The rows of original with zero's and tuned's columns (names must differ); a key that either lacks is an error."""
+    for name, other in (("zero", zero), ("tuned", tuned)):
+        lost = original.select(key).join(other, key, "left_anti").limit(1).collect()
+        if lost:
+            raise KeyError(f"{name} has no {key} {lost[0][0]}")
+    return original.join(zero, key).join(tuned, key)
+
+
+def leaderboard(rows: DataFrame, by: list[str], name: str, name_descending: bool = False) -> DataFrame:
+    """Adds rank, from 1: by the columns (9 decimals), each from the highest on, then by name. One row a variant."""
+    order = [F.desc(F.round(c, 9)) for c in by] + [F.desc(name) if name_descending else F.asc(name)]
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def numeric_first(key: Column) -> list[Column]:
     """Sort keys: whole numbers by value (of any length), then other texts."""
     digits = key.rlike("^[0-9]+$")

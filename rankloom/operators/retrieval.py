@@ -1,70 +1,147 @@
-"""BM25 as ordinary tables: postings, lengths, term statistics, top-k, and retrieval metrics."""
+"""BM25 as ordinary tables: a written index of postings, lengths and term statistics, top-k, and retrieval metrics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import scores, text as T
 from ..functions.text import tokens_ascii
 
-
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, dl. Documents without tokens are absent. dl rides along, so scoring joins once only."""
-    t = docs.select("doc_id", tokens_ascii(F.col("text")).alias("w")).where(F.size("w") > 0)
-    return t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
-def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(tokens_ascii(F.col("text"))).alias("dl")).where("dl > 0")
-
-
-def corpus_size(docs: DataFrame) -> DataFrame:
-    return lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def term_stats(docs: DataFrame) -> DataFrame:
-    return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term, df: a term counts once in each document, and counts are added up before the shuffle."""
-    return docs.select(F.explode(F.array_distinct(tokens_ascii(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def idf_table(docs: DataFrame, variant: str = "okapi", epsilon: float = 0.25) -> DataFrame:
-    df = document_frequencies(docs).crossJoin(F.broadcast(corpus_size(docs)))  # one row
-    if variant == "lucene":
-        return df.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = df.select("term", raw.alias("raw"), "avgdl")
-    floor = df.agg((epsilon * F.avg("raw")).alias("floor"))
-    return df.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-
-
-def top_k(docs: DataFrame, queries: DataFrame, k: int, variant: str = "okapi", keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+# k1 and b of the variants (fixed values).
+VARIANTS = {"okapi": (1.5, 0.75), "lucene": (0.9, 0.4)}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A written BM25 index: postings (term, doc_id, tf, dl, df, shard; in order of term), terms (term, df, cf), lengths
+    (doc_id, dl) and numbers of the whole corpus. All counts are as they were when it was built."""
+
+    postings: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    n: int
+    avgdl: float
+    mean_raw: float
+    shards: int
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, shard_rows: int = 1_000_000) -> Index:
+        """Write the index of docs (doc_id, text) below path, anew. Documents without tokens have no length and no posting.
+
+        Texts are read and split once; a document's tokens are counted before the shuffle. Postings are dealt by ranges
+        of (term, doc_id), so a term that every document has is no task's own, and carry its document frequency, so that
+        scoring joins once; terms in over `shard_rows` documents are marked by shards, by which a join can split them."""
+        spark = docs.sparkSession
+        _remove(spark, path)
+        t = docs.select("doc_id", tokens_ascii(F.col("text")).alias("w")).where(F.size("w") > 0)
+        t = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        t.write.parquet(f"{path}/raw")
+        raw = spark.read.parquet(f"{path}/raw")
+        raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{path}/terms")
+        raw.groupBy("doc_id").agg(F.first("dl").alias("dl")).write.parquet(f"{path}/lengths")
+        terms = spark.read.parquet(f"{path}/terms")
+        shard = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / shard_rows)).cast("int").alias("shard")
+        whole = raw.join(terms.select("term", "df"), "term").select("term", "doc_id", "tf", "dl", "df", shard)
+        whole.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        n, avgdl = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)), F.avg("dl")).first()
+        mean_raw, shards = terms.agg(F.avg(raw_idf(n)), F.ceil(F.max("df") / shard_rows)).first()
+        spark.createDataFrame([(n, avgdl, mean_raw, shards)], "n long, avgdl double, mean_raw double, shards long").write.parquet(f"{path}/corpus")  # last: it makes the index whole
+        _remove(spark, f"{path}/raw")
+        return Index.open(spark, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Index:
+        """The index below path; an error if none was written there, or not to its end."""
+        try:
+            n, avgdl, mean_raw, shards = spark.read.parquet(f"{path}/corpus").first()
+        except AnalysisException as e:
+            raise FileNotFoundError(f"no whole index in {path}") from e
+        postings, terms, lengths = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "lengths"))
+        return Index(postings, terms, lengths, n, avgdl or 0.0, mean_raw or 0.0, shards or 1)
+
+    @staticmethod
+    def ensure(docs: DataFrame, path: str) -> Index:
+        """The index below path where there is a whole one, else a new one of docs. It is built beside its place and moved
+        there, so another session never meets half of it; the first to be moved stays."""
+        spark = docs.sparkSession
+        try:
+            return Index.open(spark, path)
+        except FileNotFoundError:
+            made = f"{path}-{uuid.uuid4().hex}"
+            index = Index.build(docs, made)
+            old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (made, path))
+            fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+            return Index.open(spark, path) if not fs.exists(new) and fs.rename(old, new) else index
+
+    @staticmethod
+    def of(docs: DataFrame, folder: str) -> Index:
+        """The index of a table of files, kept in folder under the files' names, sizes and times: it is built once and
+        found again as long as the files are the same."""
+        files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        count, mark = files.agg(F.count(F.lit(1)), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.hex(F.xxhash64(*files.columns))))), 256)).first()
+        return Index.ensure(docs, f"{folder}/bm25-{count}-{mark[:24]}")
+
+    def idf(self, variant: str = "okapi", epsilon: float = 0.25) -> Column:
+        """Of a term's df: Okapi's, where negative ones become a share of the mean over all terms, or Lucene's."""
+        if variant == "lucene":
+            return F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        if variant == "okapi":
+            return F.when(raw_idf(self.n) < 0, epsilon * self.mean_raw).otherwise(raw_idf(self.n))
+        raise ValueError(f"unknown variant {variant}")
+
+    def idf_table(self, variant: str = "okapi") -> DataFrame:
+        return self.terms.select("term", "df", self.idf(variant).alias("idf"))
+
+    def candidates(self, terms: DataFrame) -> DataFrame:
+        """Postings of terms (term and other columns), joined by term and shard, so that a term with very many
+        documents is as many keys as it has shards."""
+        if self.shards < 2:
+            return terms.join(self.postings.drop("shard"), "term")
+        shard_rows = self.postings.where("shard > 0").groupBy("term").agg(F.max("shard").alias("last"))
+        spread = terms.join(shard_rows, "term", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
+        return spread.join(self.postings, ["term", "shard"]).drop("shard")
+
+
+def raw_idf(n) -> Column:
+    return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """text, term, qtf of the different texts of queries."""
+    return queries.select("text").distinct().select("text", F.explode(tokens_ascii(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def top_k(index: Index, queries: DataFrame, k: int, variant: str = "okapi", keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Ranked hits of queries (keys..., text): documents that share a term, by score (6 decimals), then doc_id. Equal query
-    texts are searched once. The k best of each query are kept before the final shuffle (window group limit)."""
-    k1, b = (0.9, 0.4) if variant == "lucene" else (1.5, 0.75)
-    texts = queries.select("text").distinct()
-    q = texts.select("text", F.explode(tokens_ascii(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # Only the queries' own terms enter the postings; the join is broadcast where their measured size allows it.
-    own = docs.select("doc_id", tokens_ascii(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    own = own.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    s = q.join(idf_table(docs, variant), "term").join(own, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    texts are searched once; blank ones find nothing. The k best of each query are kept before the final shuffle (window
+    group limit)."""
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant}")
+    k1, b = VARIANTS[variant]
+    s = index.candidates(query_terms(queries))
+    part = F.col("qtf") * index.idf(variant) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
     s = s.groupBy("text", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "doc_id"))
     s = s.withColumn("rank", rank).where(F.col("rank") <= k)
     return queries.join(s, "text").select(*keys, "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-def padded(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+def padded(hits: DataFrame, index: Index, queries: DataFrame, k: int, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """hits (keys..., doc_id, score, rank; scores above 0) of queries with fewer than k matches, filled up to k with
     documents that match nothing, at score 0 in corpus order (doc_id). Queries or documents without tokens take no part.
 
     Of n hits and k - n fillers no filler lies beyond the first k documents of the corpus: only those are looked at."""
-    first = lengths(docs).select("doc_id").orderBy("doc_id").limit(k)  # k rows: a bound
+    first = index.lengths.select("doc_id").orderBy("doc_id").limit(k)  # k rows: a bound
     found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     short = queries.where(F.size(tokens_ascii(F.col("text"))) > 0).select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
     fill = short.crossJoin(F.broadcast(first)).join(hits.select(*keys, "doc_id"), [*keys, "doc_id"], "left_anti")
@@ -73,17 +150,33 @@ def padded(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int, keys: t
     return hits.unionByName(fill.select(*keys, "doc_id", F.lit(0.0).alias("score"), "rank"))
 
 
-def containment_qrels(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, doc_id where the document contains the query's text: candidates by the text's rarest inner word, then the
-    containment itself."""
-    stats = document_frequencies(docs)
-    words = queries.select("qid", "text", F.posexplode(F.array_distinct(F.slice(tokens_ascii(F.col("text")), 2, F.greatest(F.size(tokens_ascii(F.col("text"))) - 2, F.lit(0))))).alias("p", "term"))
-    rare = words.join(stats, "term").groupBy("qid", "text").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = docs.select("doc_id", F.explode(F.array_distinct(tokens_ascii(F.col("text")))).alias("term"))
-    pairs = rare.join(found, "term")
+def containment_qrels(index: Index, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, doc_id where the document contains the query's text: candidates by a word, then the containment itself.
+
+    Words between others in the text are whole words in the document: the rarest is looked up. A text of two words has
+    none; its first word ends some word of the document. A single word lies somewhere in one. These are found by the
+    endings, and by the stretches of the words' lengths, of the vocabulary. A text without an ASCII letter, digit or
+    underscore has no word to look up and no judgements."""
+    words = queries.select("qid", "text", tokens_ascii(F.col("text")).alias("w"))
+    inner = words.where(F.size("w") > 2).select("qid", "text", F.explode(F.array_distinct(F.expr("slice(w, 2, size(w) - 2)"))).alias("term"))
+    wanted = inner.join(index.terms, "term").groupBy("qid", "text").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    short = words.where(F.size("w").isin(1, 2)).select("qid", "text", F.col("w")[0].alias("part"), (F.size("w") == 2).alias("ends"))
+    sizes = [r["n"] for r in short.select(F.length("part").alias("n")).distinct().collect()]  # lengths of words: few
+    if sizes:
+        spans = F.flatten(F.transform(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: F.when(F.length("term") >= n, F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.struct(F.substring(F.col("term"), i, n).alias("part"), (i + n - 1 == F.length("term")).alias("at_end")))).otherwise(F.array().cast("array<struct<part:string,at_end:boolean>>"))))
+        known = index.terms.select("term", F.explode(F.array_distinct(spans)).alias("x")).select("term", "x.*")
+        wanted = wanted.unionByName(short.join(known, "part").where("at_end or not ends").select("qid", "text", "term").distinct())
+    pairs = index.candidates(wanted).select("qid", "text", "doc_id").distinct()
     return pairs.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", "text")).select("qid", "doc_id").distinct()
 
 
+def reciprocal_rank(hits: DataFrame, qrels: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """keys, hit_rank, reward: one over the rank of the first relevant hit, however deep; 0 where none is relevant."""
+    marked = hits.join(qrels.select("qid", "doc_id").distinct().withColumn("rel", F.lit(1)), ["qid", "doc_id"], "left")
+    first = F.min(F.when(F.col("rel") == 1, F.col("rank")))
+    return marked.groupBy(*keys).agg(first.alias("hit_rank")).select(*keys, "hit_rank", F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0)).alias("reward"))
+
+
 def metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, keys: tuple[str, ...] = ("qid",), mrr_k: int = 20, recall_k: int = 20, aux_k: int = 50) -> DataFrame:
     """hit_rank, mrr, recall, recall_aux, counts and rank_bonus for each query; no relevant documents give zeros."""
     marked = hits.join(qrels.withColumn("rel", F.lit(1)), ["qid", "doc_id"])
@@ -94,13 +187,45 @@ def metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, keys: tuple[s
     return out.select(*keys, "hit_rank", F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0)).alias("mrr"), share("found").alias("recall"), share("found_aux").alias("recall_aux"), F.coalesce("found", F.lit(0)).alias("retrieved_relevant"), F.coalesce("total", F.lit(0)).alias("relevant_total"), scores.rank_bonus(F.col("hit_rank")).alias("rank_bonus"))
 
 
-def reward(scored: DataFrame, baseline: DataFrame, cfg: scores.RewardConfig = scores.RewardConfig()) -> DataFrame:
+def reward(scored: DataFrame, baseline: DataFrame | None, cfg: scores.RewardConfig = scores.RewardConfig()) -> DataFrame:
     """Adds the reward and its parts to scored rows (qid, mrr, recall, recall_aux, rank_bonus and text qualities) against
-    the original query's metrics (o_mrr, o_recall, o_recall_aux; missing: 0)."""
-    df = scored.join(baseline, "qid", "left").fillna(0.0, ["o_mrr", "o_recall", "o_recall_aux"])
+    the original query's metrics (o_mrr, o_recall, o_recall_aux; missing: 0; without a baseline they are scored's own columns)."""
+    df = scored if baseline is None else scored.join(baseline, "qid", "left").fillna(0.0, ["o_mrr", "o_recall", "o_recall_aux"])
     df = df.withColumn("delta_mrr", F.col("mrr") - F.col("o_mrr")).withColumn("delta_recall", F.col("recall") - F.col("o_recall")).withColumn("delta_recall_aux", F.col("recall_aux") - F.col("o_recall_aux"))
     main = cfg.mrr_weight * F.col("delta_mrr") + cfg.recall_weight * F.col("delta_recall") + cfg.recall_aux_weight * F.col("delta_recall_aux") + cfg.rank_bonus_weight * F.col("rank_bonus")
     df = df.withColumn("main_reward", main).withColumn("anchor_bonus", scores.anchor_bonus(F.col("mrr"), F.col("recall"), F.col("o_mrr"), F.col("o_recall"), cfg.anchor))
     df = df.withColumn("recall_drop_penalty", scores.recall_drop_penalty(F.col("o_recall"), F.col("recall"), cfg.recall_drop)).withColumn("overedit_penalty", scores.overedit_penalty(F.col("keyword_preserve"), cfg.keyword_floor))
     total = F.col("main_reward") + F.col("anchor_bonus") - cfg.bad_format_weight * F.col("bad_format_penalty") - cfg.unsafe_copy_weight * F.col("unsafe_copy_penalty") - cfg.overedit_weight * F.col("overedit_penalty") - F.col("recall_drop_penalty")
     return df.withColumn("total", total)
+
+
+# Fields of a scored rewrite (fixed names), beside the keys and the cleaned query.
+BREAKDOWN = (
+    "total", "mrr", "recall", "recall_dense", "rank_bonus", "overlap", "keyword_preserve", "locked_term_preserve", "number_preserve", "acronym_preserve", "negation_preserve",
+    "main_reward", "orig_mrr", "orig_recall", "orig_recall_aux", "orig_rank_bonus", "delta_mrr", "delta_recall", "delta_recall_aux", "delta_rank_bonus", "anchor_bonus",
+    "recall_drop_penalty", "overedit_penalty", "bad_format_penalty", "unsafe_copy_penalty", "hit_rank", "retrieved_relevant_count", "relevant_total",
+)
+
+
+def score_rewrites(index: Index, qrels: DataFrame, rewrites: DataFrame, key: str = "idx", variant: str = "okapi", cfg: scores.RewardConfig = scores.RewardConfig()) -> DataFrame:
+    """rewrites (qid, key, source, raw) -> qid, key, rewritten_query and the fields of BREAKDOWN.
+
+    An answer is cleaned against its source first and then retrieved. The source's own metrics are the baseline; a blank
+    or null source has none (zeros) and its rewrite keeps everything. Equal texts, the source's too, are searched once."""
+    source = F.coalesce(T.normalize(F.col("source")), F.lit(""))
+    asked = rewrites.select("qid", key, source.alias("source"), T.normalize(T.clean_query(F.coalesce(F.col("raw"), F.lit("")), source)).alias("text"))
+    texts = asked.select("qid", "text").union(asked.select("qid", "source")).distinct()
+    both = ("qid", "text")
+    measured = metrics(texts, top_k(index, texts.where("text <> ''"), 50, variant, both), qrels, both)
+    own = measured.select("qid", F.col("text").alias("source"), F.col("mrr").alias("o_mrr"), F.col("recall").alias("o_recall"), F.col("recall_aux").alias("o_recall_aux"), F.col("rank_bonus").alias("o_rank_bonus")).where("source <> ''")
+    x = asked.join(measured, ["qid", "text"]).join(own, ["qid", "source"], "left").fillna(0.0, ["o_mrr", "o_recall", "o_recall_aux", "o_rank_bonus"])
+    has, s, t = F.col("source") != "", F.col("source"), F.col("text")
+    parts = T.preserve_parts(s, t)
+    x = x.select("*", T.overlap(s, t).alias("overlap"), F.when(has, T.keyword_preserve(s, t)).otherwise(1.0).alias("keyword_preserve"), parts.alias("parts"), T.bad_format_penalty(t).alias("bad_format_penalty"), T.unsafe_copy_penalty(s, t).alias("unsafe_copy_penalty"))
+    x = reward(x, None, cfg)
+    return x.select(
+        "qid", key, F.col("text").alias("rewritten_query"), "total", "mrr", "recall", F.col("recall_aux").alias("recall_dense"), "rank_bonus", "overlap", "keyword_preserve",
+        F.col("parts.locked").alias("locked_term_preserve"), F.col("parts.number").alias("number_preserve"), F.col("parts.acronym").alias("acronym_preserve"), F.col("parts.negation").alias("negation_preserve"),
+        "main_reward", F.col("o_mrr").alias("orig_mrr"), F.col("o_recall").alias("orig_recall"), F.col("o_recall_aux").alias("orig_recall_aux"), F.col("o_rank_bonus").alias("orig_rank_bonus"),
+        "delta_mrr", "delta_recall", "delta_recall_aux", (F.col("rank_bonus") - F.col("o_rank_bonus")).alias("delta_rank_bonus"), "anchor_bonus", "recall_drop_penalty", "overedit_penalty",
+        "bad_format_penalty", "unsafe_copy_penalty", "hit_rank", F.col("retrieved_relevant").alias("retrieved_relevant_count"), "relevant_total")

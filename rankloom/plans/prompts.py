@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cohort, reports
 from ..operators import retrieval as R
+from ..operators.ranks import placed
 from ..sources import io
-from .registry import BM, BUCKETS, CLEAN, HITS, KEYS, METRICS, P, QUERIES, REWARD, STAB, D, all_hits, all_metrics, all_rewards, bucketed, norm, pairs, prepared, q, query, scratch, strategies, table
+from .registry import BM, BUCKETS, CLEAN, HITS, KEYS, METRICS, P, QUERIES, REWARD, STAB, D, all_hits, all_metrics, all_rewards, bucketed, norm, pairs, prepared, index, q, query, strategies, strip, table
 
 SYSTEM, TEMPLATE = "Rewrite the query for lexical search.", "Query: {query}\nRewritten:"
 CONSTRAINT, HEADING, SUFFIX = "Keep entities and numbers; don't repeat earlier rewrites.", "Earlier rewrites:", "Rewritten:"
@@ -22,17 +23,17 @@ query(f"{P} SELECT conv_id, turn, {q(SYSTEM)} || chr(10) || chr(10) || 'Query: '
     lambda s, d: pairs(s, d).select("conv_id", "turn", T.prompt(SYSTEM, TEMPLATE, F.col("source")).alias("value")))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {norm("text[1:24]")} AS x FROM conversations), u AS (SELECT conv_id, x, turn, row_number() OVER (PARTITION BY conv_id, lower(x) ORDER BY turn) AS k FROM t WHERE x <> ''),
+@query(f"""WITH t AS (SELECT conv_id, turn, {norm("text")} AS x FROM conversations), u AS (SELECT conv_id, x, turn, row_number() OVER (PARTITION BY conv_id, lower(x) ORDER BY turn) AS k FROM t WHERE x <> ''),
 v AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM u WHERE k = 1)
 SELECT conv_id, 'Query: ' || conv_id::VARCHAR || chr(10) || {q(CONSTRAINT)} || chr(10) || {q(HEADING)} || chr(10) || string_agg('- ' || x, chr(10) ORDER BY turn) || chr(10) || {q(SUFFIX)} AS value FROM v WHERE n <= 8 GROUP BY conv_id""")
 def retry_prompt(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 24).alias("x")))).alias("r"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x")))).alias("r"))
     base = F.concat(F.lit("Query: "), F.col("conv_id").cast("string"), F.lit("\n" + SUFFIX))
     return c.select("conv_id", T.retry_prompt(base, F.col("r.x"), CONSTRAINT, HEADING, SUFFIX).alias("value"))
 
 
-query(f"SELECT conv_id, count(DISTINCT {norm('role')}) FILTER ({norm('role')} <> '')::INT AS n FROM conversations GROUP BY conv_id", "unique_nonempty")(
-    lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r")).select("conv_id", T.unique_nonempty(F.col("r")).alias("n")))
+query(f"SELECT conv_id, count(DISTINCT {strip("coalesce(role || '  ' || turn % 2, 'None')")}) FILTER ({strip("coalesce(role, 'None')")} <> '')::INT AS n FROM conversations GROUP BY conv_id", "unique_nonempty")(
+    lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.concat(F.col("role"), F.lit("  "), (F.col("turn") % 2).cast("string"))).alias("r")).select("conv_id", T.unique_nonempty(F.col("r")).alias("n")))
 
 PATTERNS = "WITH p AS (SELECT 'p' || r_regionkey::VARCHAR AS code, r_name AS name FROM region), f AS (SELECT * FROM (VALUES ('a', 'Short', 'terse', 0.2), ('b', 'Wide', 'broad', 0.7)) f(suffix, fname, frame, temperature))"
 
@@ -48,8 +49,19 @@ query(PATTERNS + " SELECT code || '_' || suffix AS prompt_id, upper(code) || ' '
 query(PATTERNS + " SELECT place::BIGINT AS place, code || '_' || suffix AS prompt_id FROM p, f JOIN (VALUES (0, 'p3_b'), (1, 'p0_a'), (2, 'p2_b')) w(place, id) ON w.id = code || '_' || suffix", "prompt_filter")(
     lambda s, d: reports.pick(prompts(s, d), "prompt_id", ["p3_b", "p0_a", "p2_b", "p1_a"], 3).select("place", "prompt_id"))
 query("SELECT page_id, regexp_replace(url, '^https?://blog', 'https://mirror') AS url FROM pages", "url_rewrite")(lambda s, d: table(s, d, "pages").select("page_id", io.rewrite_host(F.col("url"), "blog", "https://mirror").alias("url")))
-query("WITH u AS (SELECT page_id, lower(rtrim(url, '/')) AS a, split_part(lower(url), '/', -1) AS b FROM pages) SELECT page_id, a <> '' AND b <> '' AS same FROM u", "same_model")(
-    lambda s, d: table(s, d, "pages").select("page_id", T.same_model(F.upper("url"), F.substring_index("url", "/", -1)).alias("same")))
+SAME = """WITH m AS (SELECT page_id, page_id % 6 AS k, lower(rtrim(url, '/')) AS u FROM pages), n AS (SELECT *, split_part(u, '/', -1) AS tail FROM m)
+SELECT page_id, u <> '' AND CASE k WHEN 0 THEN tail <> '' WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false ELSE tail = 'base' END AS same FROM n"""
+
+
+@query(SAME)
+def same_model(spark, d):
+    """The tail of a path, other letters and slashes, another folder with the same tail; another name, nothing, a fixed name."""
+    url, k = F.col("url"), F.col("page_id") % 6
+    tail = F.substring_index(F.rtrim(url, F.lit("/")), "/", -1)
+    other = F.when(k == 0, tail).when(k == 1, F.replace(F.upper(url), F.lit("/"), F.lit("\\"))).when(k == 2, F.concat(F.lit("cache/"), tail, F.lit("/"))).when(k == 3, F.concat(url, F.lit("-merged"))).when(k == 4, F.lit(" ")).otherwise(F.lit("models/Base"))
+    return table(spark, d, "pages").select("page_id", T.same_model(url, other).alias("same"))
+
+
 query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND trim(role) <> '' THEN trim(role) WHEN trim(text) <> '' THEN trim(text) END AS value FROM conversations", "topic_text")(
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", io.topic_text(F.create_map(F.lit("title"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("  "), F.lit("other"), F.col("text"))).alias("value")))
 query("WITH k AS (SELECT item_id::VARCHAR AS qid FROM benchmark UNION ALL SELECT lang || doc_id::VARCHAR FROM documents) SELECT qid, row_number() OVER (ORDER BY TRY_CAST(qid AS BIGINT) IS NULL, TRY_CAST(qid AS BIGINT), qid)::BIGINT AS place FROM k", "numeric_sort")(
@@ -57,17 +69,22 @@ query("WITH k AS (SELECT item_id::VARCHAR AS qid FROM benchmark UNION ALL SELECT
 
 
 def ordered_ids(ids: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return ids.select("qid", F.row_number().over(Window.orderBy(*reports.numeric_first(F.col("qid")))).cast("long").alias("place"))
+    return placed(ids, reports.numeric_first(F.col("qid")), "place").select("qid", "place")
 
 
 # ---- cleaning ---------------------------------------------------------------------------------
 
 query(f"{CLEAN} SELECT conv_id, turn, r AS rank, x AS candidate FROM k", "candidate_rank")(
     lambda s, d: pairs(s, d).select("conv_id", "turn", F.posexplode(T.ranked_candidates(T.candidates(F.col("raw")), T.normalize(F.col("source")))).alias("p", "candidate")).select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("rank"), "candidate"))
-query(f"{STAB} SELECT CASE WHEN clean = '' THEN 'empty_after_clean' END AS reason, count(*) AS n FROM y GROUP BY 1", "reason_histogram")(
-    lambda s, d: pairs(s, d).select(F.explode_outer(T.stabilized(F.col("raw"), F.col("source")).getField("fallback_reasons")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+# Every third answer holds nothing but marks that cleaning takes away.
+BLANKED = P.replace("b.text AS raw", "CASE WHEN a.conv_id % 3 = 0 THEN ' - 1) ]' ELSE b.text END AS raw")
+
+
+@query(STAB.replace(P, BLANKED) + " SELECT CASE WHEN clean = '' THEN 'empty_after_clean' END AS reason, count(*) AS n FROM y GROUP BY 1")
+def reason_histogram(spark, d):
+    raw = F.when(F.col("conv_id") % 3 == 0, " - 1) ]").otherwise(F.col("raw"))
+    reasons = pairs(spark, d).select(F.explode_outer(T.stabilized(raw, F.col("source")).getField("fallback_reasons")).alias("reason"))
+    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- judgements and retrieval -----------------------------------------------------------------
@@ -94,8 +111,8 @@ sc AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::D
 al AS (SELECT rq.qid, dl.doc_id, coalesce(score, 0)::DOUBLE AS score FROM rq CROSS JOIN dl LEFT JOIN sc ON sc.qid = rq.qid AND sc.doc_id = dl.doc_id)
 SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM al) WHERE rank <= 5""")
 def bm25_topk_padded(spark, d):
-    docs, asked = table(spark, d, "documents"), rare_queries(spark, d)
-    return R.padded(R.top_k(docs, asked, 5), docs, asked, 5)
+    asked, found = rare_queries(spark, d), index(spark, d)
+    return R.padded(R.top_k(found, asked, 5), found, asked, 5)
 
 
 SUMMARY = REWARD + ", w AS (SELECT a.*, o.rank_bonus AS o_rank_bonus, a.rank_bonus - o.rank_bonus AS delta_rank_bonus FROM al a JOIN al o ON a.qid = o.qid AND o.strategy = 'original')"
@@ -144,7 +161,7 @@ query(BUCKETS + " SELECT bucket, strategy, count(*) AS n FROM bk GROUP BY ROLLUP
 
 @query("SELECT n_nationkey AS id, n_name AS name, NULL::VARCHAR AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")
 def csv_union_header(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     a = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     b = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("region"))
     both = io.union_rows([a, b])

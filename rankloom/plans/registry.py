@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
-from ..operators import cohort, groups, logs, retrieval as R
+from ..operators import cohort, groups, logs, reports, retrieval as R
 from ..sources import io
 from ..streaming import logs as stream
 
@@ -50,26 +47,52 @@ def sql_list(values) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
 
 
+# The SQL has its own fixed values, written out apart from those of the engine, so that a wrong one shows as different rows.
+SQL_EXPLAIN = r"(?i)\b(because|therefore|explanation|reasoning|step[- ]?by[- ]?step|user query|search query|rewritten query|i (?:think|believe)|let(?:'s| us))\b"
+SQL_PREFIXES = "['query', 'search query', 'rewritten query', 'explanation', 'reasoning']"
+SQL_POLLUTION = r"(?i)(<think|thinking process|analysis:|assistant:|search query:|rewritten query:)"
+SQL_NUMBER = r"(?i)\b\d+(?:\.\d+)?(?:%|[a-z]+)?\b"
+SQL_UNREADABLE = r"""[^\s\x1C-\x1F\x{85}\p{Z}\p{L}\p{N}\-_.,:;!?()/\[\]'"]"""
+SQL_QUESTIONS = "['what', 'when', 'where', 'which', 'who', 'whom', 'whose', 'why', 'how', 'can', 'could', 'would', 'should', 'please']"
+SQL_NEGATIONS = "['no', 'not', 'without', 'except', 'excluding', 'exclude']"
+SQL_STOPWORDS = SQL_QUESTIONS[:-1] + ", 'a', 'an', 'and', 'are', 'as', 'at', 'be', 'been', 'being', 'between', 'but', 'by', 'for', 'from', 'if', 'in', 'into', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'their', 'them', 'then', 'there', 'these', 'those', 'to', 'was', 'were', 'will', 'with']"
+SQL_TAILS = "['a', 'an', 'and', 'by', 'for', 'in', 'of', 'on', 'or', 'the', 'to', 'with']"
+SQL_MARKER_LINE = r"(?i)^(?:rewritten\s+query|search\s+query|better\s+bm25\s+query)\s*:\s*(.*)$"
+SQL_MARKER_INLINE = r"(?i)(?:rewritten\s+query|search\s+query|better\s+bm25\s+query)\s*:\s*([^\n\r]+)"
+SQL_LABEL_LINES = "['assistant:', 'search query:', 'rewritten query:', 'better bm25 query:', 'better bm25 query', 'better bm25', 'better bm2']"
+SQL_NOISE = "(?i)(user query|better bm25|example|bm25 rules)"
+SQL_STOPS = ["\nUser query:", "\nBetter BM25 query:", "\nSearch query:", "\nRewritten query:", "\nExample"]
+SQL_STOP_MARKERS = ["\nuser query:", "\nbetter bm25 query:", "\nsearch query:", "\nrewritten query:", "\nexample\n"]
+
 P = "WITH p AS (SELECT a.conv_id, a.turn, a.text AS source, b.text AS raw FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
 SPACES = q(r"[\s\x1C-\x1F\x{85}\p{Z}]+")
 norm = lambda x: f"trim(regexp_replace({x}, {SPACES}, ' ', 'g'))"
 strip = lambda x: f"regexp_replace({x}, {q(r'^[\s\x1C-\x1F\x{85}\p{Z}]+|[\s\x1C-\x1F\x{85}\p{Z}]+$')}, '', 'g')"
 tok = lambda x: f"regexp_extract_all(lower({x}), {q(r'[\p{L}\p{N}_]+')})"
-explains = lambda x: f"(regexp_matches({x}, {q(T.EXPLANATION)}) OR (contains({x}, ':') AND list_contains({sql_list(T.LABELS_BEFORE_COLON)}, lower(trim(split_part({x}, ':', 1))))))"
-polluted = lambda x: f"regexp_matches({x}, {q(T.POLLUTION)})"
-numbers = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, {q(T.NUMERIC)}), lambda n: lower(n)))"
-caps = lambda x: f"list_distinct(list_transform(list_filter(regexp_extract_all({x}, {q(r'[\p{L}\p{N}_]+')}), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')), lambda n: lower(n)))"
-negs = lambda x: f"list_filter({tok(x)}, lambda t: list_contains({sql_list(T.NEGATIONS)}, t))"
-words = lambda x: f"list_filter({tok(x)}, lambda t: length(t) > 1 AND NOT list_contains({sql_list(T.STOPWORDS + T.NEGATIONS)}, t) AND NOT list_contains({numbers(x)}, t) AND NOT list_contains({caps(x)}, t))"
+explains = lambda x: f"(regexp_matches({x}, {q(SQL_EXPLAIN)}) OR (contains({x}, ':') AND list_contains({SQL_PREFIXES}, lower({strip('split_part(' + x + chr(44) + chr(39) + ':' + chr(39) + ', 1)')}))))"
+polluted = lambda x: f"regexp_matches({x}, {q(SQL_POLLUTION)})"
+numbers = lambda x: f"list_transform(regexp_extract_all({x}, {q(SQL_NUMBER)}), lambda n: lower(n))"
+caps = lambda x: f"list_transform(list_filter(regexp_extract_all({x}, {q(r'[\p{L}\p{N}_]+')}), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')), lambda n: lower(n))"
+negs = lambda x: f"list_filter({tok(x)}, lambda t: list_contains({SQL_NEGATIONS}, t))"
+words = lambda x: f"list_filter({tok(x)}, lambda t: length(t) > 1 AND NOT list_contains({SQL_STOPWORDS}, t) AND NOT list_contains({SQL_NEGATIONS}, t) AND NOT list_contains({numbers(x)}, t) AND NOT list_contains({caps(x)}, t))"
 over = lambda a, b: f"(CASE WHEN len({tok(a)}) = 0 OR len({tok(b)}) = 0 THEN 0.0 ELSE len(list_intersect({tok(a)}, {tok(b)}))::DOUBLE / len(list_distinct(list_concat({tok(a)}, {tok(b)}))) END)"
 kept = lambda a, b: f"(CASE WHEN len({a}) = 0 THEN 1.0 ELSE coalesce(list_sum(list_transform(list_distinct({a}), lambda t: least(len(list_filter({a}, lambda x: x = t)), len(list_filter({b}, lambda y: y = t))))), 0)::DOUBLE / len({a}) END)"
 english = lambda x: f"(CASE WHEN length(regexp_replace(lower({x}), {q(r'[^\p{L}]')}, '', 'g')) = 0 THEN 0.0 ELSE length(regexp_replace(lower({x}), '[^a-z]', '', 'g'))::DOUBLE / length(regexp_replace(lower({x}), {q(r'[^\p{L}]')}, '', 'g')) END)"
-unread = lambda x: f"(CASE WHEN length({x}) = 0 THEN 1.0 ELSE (length({x}) - length(regexp_replace({x}, {q(T.UNREADABLE)}, '', 'g')))::DOUBLE / length({x}) END)"
-bad = lambda x: f"(CASE WHEN {strip(x)} = '' THEN 1.0 ELSE least(1.5, (CASE WHEN contains({strip(x)}, chr(10)) THEN 0.5 ELSE 0 END) + (CASE WHEN {explains(strip(x))} OR {polluted(strip(x))} THEN 0.5 ELSE 0 END) + (CASE WHEN len({tok(x)}) > 12 THEN least(0.5, (len({tok(x)}) - 12) * 0.03) ELSE 0 END) + (CASE WHEN {english(x)} < 0.85 THEN least(0.5, 0.5 * (0.85 - {english(x)}) / 0.85) ELSE 0 END) + (CASE WHEN {unread(strip(x))} > 0.2 THEN least(0.5, 0.5 * ({unread(strip(x))} - 0.2) / 0.8) ELSE 0 END))::DOUBLE END)"
-ready = lambda x: f"(len({tok(x)}) BETWEEN 2 AND 8 AND NOT contains({x}, '?') AND NOT list_has_any({tok(x)}, {sql_list(T.QUESTION_WORDS)}))"
+unread = lambda x: f"(CASE WHEN length({x}) = 0 THEN 1.0 ELSE (length({x}) - length(regexp_replace({x}, {q(SQL_UNREADABLE)}, '', 'g')))::DOUBLE / length({x}) END)"
+bad = lambda x: f"(CASE WHEN {strip(x)} = '' THEN 1.0 ELSE least(1.5, (CASE WHEN contains({strip(x)}, chr(10)) OR contains({strip(x)}, chr(13)) THEN 0.5 ELSE 0 END) + (CASE WHEN {explains(strip(x))} OR {polluted(strip(x))} THEN 0.5 ELSE 0 END) + (CASE WHEN len({tok(x)}) > 12 THEN least(0.5, (len({tok(x)}) - 12) * 0.03) ELSE 0 END) + (CASE WHEN {english(x)} < 0.85 THEN least(0.5, 0.5 * (0.85 - {english(x)}) / 0.85) ELSE 0 END) + (CASE WHEN {unread(strip(x))} > 0.2 THEN least(0.5, 0.5 * ({unread(strip(x))} - 0.2) / 0.8) ELSE 0 END))::DOUBLE END)"
+ready = lambda x: f"(len({tok(x)}) BETWEEN 2 AND 8 AND NOT contains({x}, '?') AND NOT list_has_any({tok(x)}, {SQL_QUESTIONS}))"
 locked = lambda a, b: f"coalesce(((CASE WHEN len({numbers(a)}) > 0 THEN {kept(numbers(a), numbers(b))} ELSE 0 END) + (CASE WHEN len({caps(a)}) > 0 THEN {kept(caps(a), tok(b))} ELSE 0 END) + (CASE WHEN len({negs(a)}) > 0 THEN {kept(negs(a), tok(b))} ELSE 0 END)) / nullif((len({numbers(a)}) > 0)::INT + (len({caps(a)}) > 0)::INT + (len({negs(a)}) > 0)::INT, 0), 1.0)"
 length_sql = lambda x: f"(CASE WHEN len({tok(x)}) <= 1 OR len({tok(x)}) >= 20 THEN 0.0 WHEN len({tok(x)}) < 4 THEN (len({tok(x)}) - 1) / 3.0 WHEN len({tok(x)}) <= 12 THEN 1.0 ELSE (20 - len({tok(x)})) / 8.0 END)::DOUBLE"
-learnable_sql = lambda x: f"(NOT regexp_matches({x}, {q('[' + chr(10) + chr(13) + ']')}) AND {norm(x)} <> '' AND NOT {polluted(norm(x))} AND {english(norm(x))} >= 0.7 AND {unread(norm(x))} <= 0.25 AND len({tok(x)}) BETWEEN 3 AND 12 AND len(list_filter({tok(x)}, lambda t: NOT list_contains({sql_list(T.STOPWORDS)}, t))) >= 0.4 * len({tok(x)}) AND (len({words(norm(x))}) >= 2 OR len({numbers(norm(x))}) + len({caps(norm(x))}) + len({negs(norm(x))}) >= 1))"
+learnable_sql = lambda x: f"(NOT regexp_matches({x}, {q('[' + chr(10) + chr(13) + ']')}) AND {norm(x)} <> '' AND NOT {polluted(norm(x))} AND {english(norm(x))} >= 0.7 AND {unread(norm(x))} <= 0.25 AND len({tok(x)}) BETWEEN 3 AND 12 AND len(list_filter({tok(x)}, lambda t: NOT list_contains({SQL_STOPWORDS}, t))) >= 0.4 * len({tok(x)}) AND (len({words(norm(x))}) >= 2 OR len({numbers(norm(x))}) + len({caps(norm(x))}) + len({negs(norm(x))}) >= 1))"
+
+
+
+def cut_sql(x: str, marker: str) -> str:
+    """x up to the first of the marker, the fixed stop strings and, in any case, the fixed markers; trimmed."""
+    at = [f"nullif(instr({x}, {q(v)}), 0)" for v in [marker, *SQL_STOPS]] + [f"nullif(instr(lower({x}), {q(v)}), 0)" for v in SQL_STOP_MARKERS]
+    label = f"regexp_matches(lower({x}), '^(user query:|better bm25 query:|search query:|rewritten query:|example' || chr(10) || ')')"
+    return f"CASE WHEN {label} THEN '' ELSE {strip(f'left({x}, coalesce(least({chr(44).join(at)}) - 1, length({x})))')} END"
+
 
 SIMPLE = {
     "normalize_text": (lambda S, W: T.normalize(W), norm("raw")),
@@ -81,8 +104,8 @@ SIMPLE = {
     "english_ratio": (lambda S, W: F.round(T.english_ratio(W), 6), f"round({english('raw')}, 6)"),
     "explanation_flag": (lambda S, W: T.is_explanation(W), explains("raw")),
     "pollution_flag": (lambda S, W: T.is_polluted(W), polluted("raw")),
-    "numeric_tokens": (lambda S, W: F.array_join(F.array_sort(T.numeric_tokens(W)), " "), f"array_to_string(list_sort({numbers('raw')}), ' ')"),
-    "acronym_tokens": (lambda S, W: F.array_join(F.array_sort(T.acronyms(W)), " "), f"array_to_string(list_sort({caps('raw')}), ' ')"),
+    "numeric_tokens": (lambda S, W: F.array_join(F.array_sort(T.numeric_tokens(W)), " "), f"array_to_string(list_sort(list_distinct({numbers('raw')})), ' ')"),
+    "acronym_tokens": (lambda S, W: F.array_join(F.array_sort(T.acronyms(W)), " "), f"array_to_string(list_sort(list_distinct({caps('raw')})), ' ')"),
     "keyword_terms": (lambda S, W: F.array_join(T.keywords(S), " "), f"array_to_string({words('source')}, ' ')"),
     "keyword_preserve": (lambda S, W: F.round(T.keyword_preserve(S, W), 6), f"round({kept(words('source'), tok('raw'))}, 6)"),
     "locked_preserve": (lambda S, W: F.round(T.locked_preserve(S, W), 6), f"round({locked('source', 'raw')}, 6)"),
@@ -94,27 +117,28 @@ SIMPLE = {
     "unsafe_copy_penalty": (lambda S, W: T.unsafe_copy_penalty(S, S), f"(CASE WHEN {norm('source')} <> '' AND NOT {ready('source')} THEN 1.0 ELSE 0.0 END)::DOUBLE"),
     "retrieval_ready": (lambda S, W: T.is_retrieval_ready(S), ready("source")),
     "doc_id_sha1": (lambda S, W: F.concat(F.lit("D"), F.sha1(T.normalize(W).cast("binary"))), f"'D' || sha1({norm('raw')})"),
-    "truncate_generation": (lambda S, W: T.truncate_generation(W), "split_part(raw, chr(10), 1)"),
+    "truncate_generation": (lambda S, W: T.truncate_generation(F.concat(S, F.when(F.col("turn") % 4 == 1, "\n").when(F.col("turn") % 4 == 3, "\nEXAMPLE\n").otherwise("\nUser query: "), W), "and"), cut_sql("source || CASE turn % 4 WHEN 1 THEN chr(10) WHEN 3 THEN chr(10) || 'EXAMPLE' || chr(10) ELSE chr(10) || 'User query: ' END || raw", "and")),
+    "stop_strings": (lambda S, W: F.lit("|".join(T.stop_strings("</s>", ("\nExample", "END")))), "array_to_string(['</s>', chr(10) || 'Example', 'END', chr(10) || 'User query:', chr(10) || 'Better BM25 query:', chr(10) || 'Search query:', chr(10) || 'Rewritten query:'], '|')"),
     "postprocess_single_line": (lambda S, W: T.first_line(W), f"coalesce(list_filter(list_transform(regexp_split_to_array(split_part(raw, chr(10) || chr(10), 1), {q(chr(13) + chr(10) + '|[' + chr(10) + chr(13) + ']')}), lambda x: {norm('x')}), lambda x: x <> '')[1], '')"),
     "learnable_flag": (lambda S, W: T.is_learnable(S), learnable_sql("source")),
-    "sanitize_name": (lambda S, W: T.slug(F.substring(W, 1, 40)), f"coalesce(nullif(trim(regexp_replace(substr(raw, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'summary')"),
+    "sanitize_name": (lambda S, W: T.slug(W), "coalesce(nullif(trim(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'summary')"),
 }
 for _name, (_column, _sql) in SIMPLE.items():
     query(f"{P} SELECT conv_id, turn, {_sql} AS value FROM p", _name)(lambda s, d, c=_column: pairs(s, d).select("conv_id", "turn", c(F.col("source"), F.col("raw")).alias("value")))
 
 LINES = f"list_filter(list_transform(string_split(replace(raw, chr(13), chr(10)), chr(10)), lambda x: {norm('x')}), lambda x: x <> '')"
-CAND = lambda x: f"{norm('regexp_replace(regexp_replace(regexp_replace(regexp_replace(' + strip(x) + ', ' + q(chr(94) + chr(39) + '+|' + chr(39) + '+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^\"+|\"+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^`+|`+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^[-*0-9.)' + chr(92) + 's]+') + ', ' + q('') + ')')}"
+CAND = lambda x: f"{norm('regexp_replace(regexp_replace(regexp_replace(regexp_replace(' + strip(x) + ', ' + q(chr(94) + chr(39) + '+|' + chr(39) + '+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^\"+|\"+$') + ', ' + q('') + ', ' + q('g') + '), ' + q('^`+|`+$') + ', ' + q('') + ', ' + q('g') + '), ' + q(r'^[-*.)\]\s\x1C-\x1F\x{85}\p{Z}\p{Nd}]+') + ', ' + q('') + ')')}"
 CLEAN = f"""{P}, l AS (SELECT *, {LINES} AS lines, {norm('source')} AS own FROM p),
 e AS (SELECT conv_id, turn, own, lines, unnest(range(1, len(lines) + 1)) AS i FROM l),
-m AS (SELECT *, lines[i] AS line, {norm(f"regexp_extract(lines[i], {q(T.MARKER_LINE)}, 1)")} AS tail FROM e),
-c AS (SELECT conv_id, turn, own, i, CASE WHEN regexp_matches(line, {q(T.MARKER_LINE)}) THEN CASE WHEN tail <> '' THEN tail ELSE lines[i + 1] END
-        WHEN regexp_matches(line, {q(T.MARKER_INLINE)}) THEN regexp_extract(line, {q(T.MARKER_INLINE)}, 1)
+m AS (SELECT *, lines[i] AS line, {norm(f"regexp_extract(lines[i], {q(SQL_MARKER_LINE)}, 1)")} AS tail FROM e),
+c AS (SELECT conv_id, turn, own, i, CASE WHEN regexp_matches(line, {q(SQL_MARKER_LINE)}) THEN CASE WHEN tail <> '' THEN tail ELSE lines[i + 1] END
+        WHEN regexp_matches(line, {q(SQL_MARKER_INLINE)}) THEN regexp_extract(line, {q(SQL_MARKER_INLINE)}, 1)
         WHEN regexp_matches(line, '(?i)^user\\s+query\\s*:') OR starts_with(lower(line), 'example') OR starts_with(lower(line), 'bm25 rules') OR line[1:1] IN ('-', '*')
-          OR list_contains({sql_list(T.LABEL_LINES)}, lower(line)) OR (ends_with(line, ':') AND len(string_split(line, ' ')) <= 4) THEN NULL ELSE line END AS x FROM m),
+          OR list_contains({SQL_LABEL_LINES}, lower(line)) OR (ends_with(line, ':') AND len(string_split(line, ' ')) <= 4) THEN NULL ELSE line END AS x FROM m),
 n AS (SELECT conv_id, turn, own, i, {CAND('x')} AS x FROM c WHERE x IS NOT NULL),
 f AS (SELECT conv_id, turn, any_value(own) AS own, min(i) AS i, x FROM n WHERE x <> '' GROUP BY conv_id, turn, x),
-k AS (SELECT conv_id, turn, x, row_number() OVER (PARTITION BY conv_id, turn ORDER BY (CASE WHEN regexp_matches(x, {q(T.NOISE)}) OR {explains('x')} THEN 0 ELSE 1 END) DESC, {over('own', 'x')} DESC,
-        (CASE WHEN list_contains({sql_list(T.PARTIAL_TAILS)}, coalesce({tok('x')}[-1], '')) THEN 0 ELSE 1 END) DESC, i) AS r, i FROM f)"""
+k AS (SELECT conv_id, turn, x, row_number() OVER (PARTITION BY conv_id, turn ORDER BY (CASE WHEN regexp_matches(x, {q(SQL_NOISE)}) OR {explains('x')} THEN 0 ELSE 1 END) DESC, {over('own', 'x')} DESC,
+        (CASE WHEN list_contains({SQL_TAILS}, coalesce({tok('x')}[-1], '')) THEN 0 ELSE 1 END) DESC, i) AS r, i FROM f)"""
 
 
 @query(f"{CLEAN} SELECT p.conv_id, p.turn, CASE WHEN {norm('raw')} = '' THEN '' ELSE coalesce(k.x, {CAND('raw')}) END AS value FROM p LEFT JOIN k ON p.conv_id = k.conv_id AND p.turn = k.turn AND k.r = 1")
@@ -186,7 +210,7 @@ def flatten_passages(spark, d):
 
 # ---- retrieval --------------------------------------------------------------------------------
 
-STOP = sql_list(T.STOPWORDS)
+STOP = SQL_STOPWORDS
 ASCII = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 BM = f"""WITH dt AS (SELECT doc_id, {ASCII} AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM dt WHERE len(w) > 0),
 po AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM dt) GROUP BY ALL), cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
@@ -198,18 +222,19 @@ qs AS (SELECT qid, 'original' AS strategy, array_to_string(w[1:12], ' ') AS text
   UNION ALL SELECT qid, 'content', array_to_string(list_filter(w[1:12], lambda t: NOT list_contains({STOP}, t)), ' ') FROM bq)"""
 
 
-def hits_sql(idf: str, k1: float, b: float, k: int) -> str:
-    return f"""{BM}, qt AS (SELECT qid, strategy, term, count(*) AS qtf FROM (SELECT qid, strategy, unnest({ASCII}) AS term FROM qs) GROUP BY ALL),
+def hits_sql(idf: str, k1: float, b: float, k: int, asked: str = "qs", more: str = "") -> str:
+    return f"""{BM}{more}, qt AS (SELECT qid, strategy, term, count(*) AS qtf FROM (SELECT qid, strategy, unnest({ASCII}) AS term FROM {asked}) GROUP BY ALL),
 sc AS (SELECT qid, strategy, doc_id, round(sum(qtf * idf * tf * ({k1}::DOUBLE + 1) / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl))), 6) AS score FROM qt JOIN {idf} USING (term) JOIN po USING (term) JOIN dl USING (doc_id), cs GROUP BY qid, strategy, doc_id),
 hi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, strategy ORDER BY score DESC, doc_id)::INT AS rank FROM sc) WHERE rank <= {k})"""
 
 
 HITS = hits_sql("ok", 1.5, 0.75, 50)
-METRICS = HITS + """, qr AS (SELECT DISTINCT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), tot AS (SELECT qid, count(*) AS total FROM qr GROUP BY qid),
+METRICS_ONLY = """, qr AS (SELECT DISTINCT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), tot AS (SELECT qid, count(*) AS total FROM qr GROUP BY qid),
 fd AS (SELECT h.qid, h.strategy, min(CASE WHEN rank <= 20 THEN rank END) AS hit_rank, count(*) FILTER (rank <= 20) AS found, count(*) FILTER (rank <= 50) AS found_aux FROM hi h JOIN qr USING (qid, doc_id) GROUP BY ALL),
 me AS (SELECT q.qid, q.strategy, q.text, hit_rank, coalesce(1.0::DOUBLE / hit_rank, 0) AS mrr, coalesce(found::DOUBLE / total, 0) AS recall, coalesce(found_aux::DOUBLE / total, 0) AS recall_aux, coalesce(found, 0) AS retrieved_relevant, coalesce(total, 0) AS relevant_total,
   (CASE WHEN hit_rank IS NULL THEN 0 WHEN hit_rank <= 1 THEN 1 WHEN hit_rank <= 3 THEN 0.8 WHEN hit_rank <= 5 THEN 0.5 WHEN hit_rank <= 10 THEN 0.3 WHEN hit_rank <= 20 THEN 0.15 ELSE 0 END)::DOUBLE AS rank_bonus
   FROM qs q LEFT JOIN fd USING (qid, strategy) LEFT JOIN tot USING (qid))"""
+METRICS = HITS + METRICS_ONLY
 REWARD = METRICS + f""", o AS (SELECT qid, text AS otext, mrr AS o_mrr, recall AS o_recall, recall_aux AS o_recall_aux FROM me WHERE strategy = 'original'),
 jo AS (SELECT m.*, otext, o_mrr, o_recall, o_recall_aux, m.mrr - o_mrr AS delta_mrr, m.recall - o_recall AS delta_recall, m.recall_aux - o_recall_aux AS delta_recall_aux,
   {kept(words('otext'), tok('text'))} AS keyword_preserve, {bad('text')} AS bad_format_penalty, (CASE WHEN lower({norm('otext')}) = lower({norm('text')}) AND {norm('otext')} <> '' AND NOT {ready('otext')} THEN 1.0 ELSE 0.0 END)::DOUBLE AS unsafe_copy_penalty FROM me m JOIN o USING (qid)),
@@ -229,14 +254,21 @@ def strategies(spark, d):
 KEYS = ("qid", "strategy")
 
 
+def index(spark, d):
+    return R.Index.of(table(spark, d, "documents"), io.work_dir(spark))
+
+
 def all_hits(spark, d, variant="okapi", k=50):
-    return R.top_k(table(spark, d, "documents"), strategies(spark, d), k, variant, KEYS)
+    return R.top_k(index(spark, d), strategies(spark, d), k, variant, KEYS)
+
+
+def judged(spark, d):
+    return R.containment_qrels(index(spark, d), table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
 def all_metrics(spark, d):
-    qrels = R.containment_qrels(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"))
     q_ = strategies(spark, d)
-    return R.metrics(q_, all_hits(spark, d), qrels, KEYS).join(q_, list(KEYS))
+    return R.metrics(q_, all_hits(spark, d), judged(spark, d), KEYS).join(q_, list(KEYS))
 
 
 def all_rewards(spark, d):
@@ -255,11 +287,11 @@ def rounded_sql(src, keep, nums):
     return f" SELECT {', '.join([*keep, *[f'round({c}, 6) AS {c}' for c in nums]])} FROM {src}"
 
 
-query(f"{BM} SELECT term, df, cf FROM ts", "bm25_term_stats")(lambda s, d: R.term_stats(table(s, d, "documents")))
-query(f"{BM} SELECT doc_id, dl::INT AS dl FROM dl", "bm25_doc_lengths")(lambda s, d: R.lengths(table(s, d, "documents")))
+query(f"{BM} SELECT term, df, cf FROM ts", "bm25_term_stats")(lambda s, d: index(s, d).terms)
+query(f"{BM} SELECT doc_id, dl::INT AS dl FROM dl", "bm25_doc_lengths")(lambda s, d: index(s, d).lengths)
 query(HITS + " SELECT qid, strategy, doc_id, score, rank FROM hi WHERE rank <= 20", "bm25_topk_okapi")(lambda s, d: all_hits(s, d, k=20))
 query(hits_sql("lu", 0.9, 0.4, 20) + " SELECT qid, strategy, doc_id, score, rank FROM hi", "bm25_topk_lucene")(lambda s, d: all_hits(s, d, "lucene", 20))
-query("SELECT DISTINCT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)", "containment_qrels")(lambda s, d: R.containment_qrels(table(s, d, "documents"), table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
+query("SELECT DISTINCT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)", "containment_qrels")(judged)
 query(METRICS + rounded_sql("me", ["qid", "strategy", "hit_rank"], ["mrr"]), "mrr_at_k")(lambda s, d: rounded(all_metrics(s, d), ["qid", "strategy", "hit_rank"], ["mrr"]))
 query(METRICS + rounded_sql("me", ["qid", "strategy", "retrieved_relevant", "relevant_total"], ["recall", "recall_aux"]), "recall_at_k")(lambda s, d: rounded(all_metrics(s, d), ["qid", "strategy", "retrieved_relevant", "relevant_total"], ["recall", "recall_aux"]))
 query(METRICS + rounded_sql("me", ["qid", "strategy"], ["rank_bonus"]), "rank_bonus")(lambda s, d: rounded(all_metrics(s, d), ["qid", "strategy"], ["rank_bonus"]))
@@ -282,28 +314,38 @@ def per_qid_compare(spark, d):
     return p.select("qid", *[F.col(f"{s}_text").alias(s) for s in ("original", "short", "content")], *[f"{s}_mrr" for s in ("original", "short", "content")])
 
 
-WTL = METRICS + ", wt AS (SELECT b.strategy, count(*) FILTER (b.mrr > a.mrr + 1e-12) AS win, count(*) FILTER (abs(b.mrr - a.mrr) <= 1e-12) AS tie, count(*) FILTER (b.mrr < a.mrr - 1e-12) AS loss, count(*) AS total, avg(b.mrr) - avg(a.mrr) AS delta_mrr, avg(b.recall) - avg(a.recall) AS delta_recall, avg(b.mrr) AS mrr, avg(b.recall) AS recall FROM me a JOIN me b ON a.qid = b.qid AND a.strategy = 'original' GROUP BY b.strategy)"
+WTL = METRICS + ", wt AS (SELECT b.strategy, count(*) FILTER (b.mrr > a.mrr + 1e-12) AS win, count(*) FILTER (abs(b.mrr - a.mrr) <= 1e-12) AS tie, count(*) FILTER (b.mrr < a.mrr - 1e-12) AS loss, count(*) AS total, avg(b.mrr) - avg(a.mrr) AS delta_mrr, avg(b.recall) - avg(a.recall) AS delta_recall, avg(b.mrr) AS mrr, avg(b.recall) AS recall, avg(b.rank_bonus) AS reward_mean FROM me a JOIN me b ON a.qid = b.qid AND a.strategy = 'original' GROUP BY b.strategy)"
 
 
 def versus_original(spark, d):
     m = all_metrics(spark, d)
     a = m.where("strategy = 'original'").select("qid", F.col("mrr").alias("m0"), F.col("recall").alias("r0"))
-    g = m.join(a, "qid").groupBy("strategy").agg(F.count_if(F.col("mrr") > F.col("m0") + 1e-12).alias("win"), F.count_if(F.abs(F.col("mrr") - F.col("m0")) <= 1e-12).alias("tie"), F.count_if(F.col("mrr") < F.col("m0") - 1e-12).alias("loss"), F.count(F.lit(1)).alias("total"), (F.avg("mrr") - F.avg("m0")).alias("delta_mrr"), (F.avg("recall") - F.avg("r0")).alias("delta_recall"), F.avg("mrr").alias("mrr"), F.avg("recall").alias("recall"))
+    g = m.join(a, "qid").groupBy("strategy").agg(F.count_if(F.col("mrr") > F.col("m0") + 1e-12).alias("win"), F.count_if(F.abs(F.col("mrr") - F.col("m0")) <= 1e-12).alias("tie"), F.count_if(F.col("mrr") < F.col("m0") - 1e-12).alias("loss"), F.count(F.lit(1)).alias("total"), (F.avg("mrr") - F.avg("m0")).alias("delta_mrr"), (F.avg("recall") - F.avg("r0")).alias("delta_recall"), F.avg("mrr").alias("mrr"), F.avg("recall").alias("recall"), F.avg("rank_bonus").alias("reward_mean"))
     return g
 
 
 query(WTL + " SELECT strategy, win, tie, loss, total, round(coalesce(win::DOUBLE / nullif(total, 0), 0), 6) AS win_rate FROM wt", "win_tie_loss")(lambda s, d: versus_original(s, d).select("strategy", "win", "tie", "loss", "total", F.round(F.coalesce(F.try_divide("win", "total"), F.lit(0.0)), 6).alias("win_rate")))
 query(WTL + " SELECT strategy, round(delta_mrr, 6) AS delta_mrr, round(delta_recall, 6) AS delta_recall FROM wt", "metric_deltas")(lambda s, d: rounded(versus_original(s, d), ["strategy"], ["delta_mrr", "delta_recall"]))
-RANKED = "row_number() OVER (ORDER BY round(mrr, 9) DESC, round(recall, 9) DESC, strategy)"
+RANKED = "row_number() OVER (ORDER BY round(mrr, 9) DESC, round(recall, 9) DESC, round(reward_mean, 9) DESC, strategy)"
 
 
 def leaderboard(spark, d):
-    return versus_original(spark, d).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("mrr", 9)), F.desc(F.round("recall", 9)), "strategy")).cast("long"))
+    return reports.leaderboard(versus_original(spark, d), ["mrr", "recall", "reward_mean"], "strategy")
 
 
 query(WTL + f" SELECT {RANKED} AS rank, strategy, round(mrr, 6) AS mrr, round(recall, 6) AS recall FROM wt", "prompt_leaderboard")(lambda s, d: rounded(leaderboard(s, d), ["rank", "strategy"], ["mrr", "recall"]))
 query(WTL + f" SELECT strategy, mrr FROM (SELECT strategy, round(mrr, 6) AS mrr, {RANKED} AS r FROM wt) WHERE r = 1", "best_prompt")(lambda s, d: rounded(leaderboard(s, d).where("rank = 1"), ["strategy"], ["mrr"]))
-query(WTL + " SELECT strategy, round(delta_mrr, 6) AS delta_mrr, delta_mrr >= 0.01 AS meets_target, row_number() OVER (ORDER BY round(delta_mrr, 9) DESC, round(recall, 9) DESC, strategy DESC) AS rank FROM wt", "sweep_leaderboard")(lambda s, d: versus_original(s, d).select("strategy", F.round("delta_mrr", 6).alias("delta_mrr"), (F.col("delta_mrr") >= 0.01).alias("meets_target"), F.row_number().over(Window.orderBy(F.desc(F.round("delta_mrr", 9)), F.desc(F.round("recall", 9)), F.desc("strategy"))).cast("long").alias("rank")))
+SWEEP = WTL + ", sh AS (SELECT mrr AS short_mrr FROM wt WHERE strategy = 'short')"
+
+
+@query(SWEEP + " SELECT strategy, round(delta_mrr, 6) AS delta_mrr, round(mrr - short_mrr, 6) AS delta_short, delta_mrr >= 0.01 AS meets_target, row_number() OVER (ORDER BY round(delta_mrr, 9) DESC, round(mrr - short_mrr, 9) DESC, round(recall, 9) DESC, strategy DESC) AS rank FROM wt, sh")
+def sweep_leaderboard(spark, d):
+    w = versus_original(spark, d)
+    short = w.where("strategy = 'short'").select(F.col("mrr").alias("short_mrr"))
+    w = w.join(F.broadcast(short)).withColumn("delta_short", F.col("mrr") - F.col("short_mrr"))  # one row
+    return reports.leaderboard(w, ["delta_mrr", "delta_short", "recall"], "strategy", name_descending=True).select("strategy", F.round("delta_mrr", 6).alias("delta_mrr"), F.round("delta_short", 6).alias("delta_short"), (F.col("delta_mrr") >= 0.01).alias("meets_target"), "rank")
+
+
 query(METRICS + " SELECT strategy, round(avg(mrr), 6) AS avg_reward, round(avg((mrr > 0)::INT), 6) AS nonzero, avg(mrr) > 0.2 AND avg((mrr > 0)::INT) > 0.5 AS passed FROM me GROUP BY strategy", "threshold_gate")(lambda s, d: all_metrics(s, d).groupBy("strategy").agg(F.avg("mrr").alias("a"), F.avg((F.col("mrr") > 0).cast("int")).alias("z")).select("strategy", F.round("a", 6).alias("avg_reward"), F.round("z", 6).alias("nonzero"), ((F.col("a") > 0.2) & (F.col("z") > 0.5)).alias("passed")))
 
 # ---- cohorts ----------------------------------------------------------------------------------
@@ -344,7 +386,7 @@ def rollouts(spark, d):
 query(G + " SELECT grp, idx, round(CASE WHEN stddev_pop(reward) OVER (PARTITION BY grp) < 1e-8 THEN 0 ELSE (reward - avg(reward) OVER (PARTITION BY grp)) / (stddev_pop(reward) OVER (PARTITION BY grp) + 1e-8) END, 4) AS advantage FROM g", "advantages")(lambda s, d: groups.advantages(rollouts(s, d), "grp", "reward").select("grp", "idx", F.round("advantage", 4).alias("advantage")))
 query(G + ", q AS (SELECT grp, query, max(reward) AS hi, min(reward) AS lo FROM g GROUP BY ALL), a AS (SELECT grp, round(CASE WHEN count(*) < 2 THEN 0 ELSE max(hi) - min(lo) END, 4) AS reward_gap, count(*) = 1 AS collapsed FROM q GROUP BY grp), b AS (SELECT grp, max(reward) = min(reward) AS flat_reward, max(mrr) = min(mrr) AS flat_mrr, first(mrr ORDER BY reward DESC, idx) = max(mrr) AS best_reward_hits_best_mrr FROM g GROUP BY grp) SELECT * FROM a JOIN b USING (grp)", "group_flags")(lambda s, d: groups.flags(rollouts(s, d), "grp", "query", "reward", "mrr", "idx").withColumn("reward_gap", F.round("reward_gap", 4)))
 query(G + ", r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY reward DESC, idx) AS k FROM g) SELECT grp, idx, query, reward FROM r WHERE k = 1", "best_rewrite")(lambda s, d: groups.best(rollouts(s, d), "grp", "reward", "idx", ["idx", "query", "reward"]))
-query(G + ", r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx) AS n, max(reward) OVER w - min(reward) OVER w AS gap FROM g WINDOW w AS (PARTITION BY grp ORDER BY idx ROWS UNBOUNDED PRECEDING)), h AS (SELECT grp, min(n) FILTER (n >= 2 AND gap >= 60) AS hit_at, max(n) AS last FROM r WHERE n <= 8 GROUP BY grp) SELECT grp, coalesce(hit_at, last)::INT AS generated, hit_at IS NOT NULL AS gap_met, CASE WHEN hit_at IS NOT NULL THEN 'reward_gap_met' ELSE 'max_group_size_reached' END AS stop_reason FROM h", "gap_stop_index")(lambda s, d: groups.gap_stop(rollouts(s, d), "grp", "query", "reward", "idx", 60.0, 2, 8))
+query(G + ", o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY grp, query ORDER BY idx) = 1 THEN reward END AS own FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx) AS n, CASE WHEN count(own) OVER w < 2 THEN 0 ELSE max(own) OVER w - min(own) OVER w END AS gap FROM o WINDOW w AS (PARTITION BY grp ORDER BY idx ROWS UNBOUNDED PRECEDING)), h AS (SELECT grp, min(n) FILTER (n >= 2 AND gap >= 60) AS hit_at, max(n) AS last FROM r WHERE n <= 8 GROUP BY grp) SELECT grp, coalesce(hit_at, last)::INT AS generated, hit_at IS NOT NULL AS gap_met, CASE WHEN hit_at IS NOT NULL THEN 'threshold_reached' ELSE 'max_group_size_reached' END AS stop_reason FROM h", "gap_stop_index")(lambda s, d: groups.gap_stop(rollouts(s, d), "grp", "query", "reward", "idx", 60.0, 2, 8))
 query(G + " SELECT grp, array_to_string(list(query ORDER BY idx), ',') AS queries, count(*) AS n FROM g GROUP BY grp", "nest_group_trace")(lambda s, d: groups.nest(rollouts(s, d), "grp", "idx", ["query", "reward"]).select("grp", F.array_join("group_query", ",").alias("queries"), F.size("group_query").cast("long").alias("n")))
 query(G + " SELECT grp, (row_number() OVER (PARTITION BY grp ORDER BY idx) - 1)::INT AS idx, query, reward FROM g", "unnest_group_trace")(lambda s, d: groups.unnest(groups.nest(rollouts(s, d), "grp", "idx", ["query", "reward"]), "grp", ["query", "reward"]))
 query("SELECT vec_id, round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: least(exp(z[1]::DOUBLE - z[2]::DOUBLE), least(greatest(exp(z[1]::DOUBLE - z[2]::DOUBLE), 0.8), 1.2)))) / 32, 5) AS objective, round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: z[1]::DOUBLE - z[2]::DOUBLE)) / 32, 5) AS kl FROM embeddings", "clipped_objective")(lambda s, d: (lambda n, o: table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(scores.clipped_objective(n, o, F.lit(1.0)), F.lit(0.0), lambda a, x: a + x) / 32, 5).alias("objective"), F.round(F.aggregate(F.zip_with(n, o, lambda x, y: x - y), F.lit(0.0), lambda a, x: a + x) / 32, 5).alias("kl")))(F.slice("embedding", 1, 32).cast("array<double>"), F.slice("embedding", 33, 32).cast("array<double>")))
@@ -363,11 +405,13 @@ def steps(spark, d):
 query(L + " SELECT epoch, step, round(reward_mean, 6) AS reward_mean, round(reward_max, 6) AS reward_max, sampled, global_step_idx FROM l", "train_steps")(lambda s, d: steps(s, d).select("epoch", "step", F.round("reward_mean", 6).alias("reward_mean"), F.round("reward_max", 6).alias("reward_max"), "sampled", "global_step_idx"))
 
 
-@query(L + ", r AS (SELECT epoch, step, CASE WHEN step % 2 = 0 THEN sampled + 1 END AS sampled, reward_max - reward_mean AS spread FROM l WHERE step < 12) SELECT l.epoch, l.step, coalesce(r.sampled, l.sampled) AS sampled, round(spread, 6) AS spread FROM l LEFT JOIN r USING (epoch, step)")
+@query(L + ", r AS (SELECT epoch, step, CASE WHEN step % 2 = 0 THEN sampled + 1 END AS sampled, reward_max - reward_mean AS spread FROM l WHERE step < 12) SELECT l.epoch, l.step, CASE WHEN r.step IS NULL THEN l.sampled ELSE r.sampled END AS sampled, round(spread, 6) AS spread FROM l LEFT JOIN r USING (epoch, step)")
 def merge_steps(spark, d):
+    """The right rows come twice; the first ones, of a lower number, must not count, and later nulls must."""
     s = steps(spark, d)
-    r = s.where("step < 12").select("epoch", "step", F.when(F.col("step") % 2 == 0, F.col("sampled") + 1).alias("sampled"), (F.col("reward_max") - F.col("reward_mean")).alias("spread"))
-    return logs.merge_steps(s, r).select("epoch", "step", "sampled", F.round("spread", 6).alias("spread"))
+    r = s.where("step < 12").select("epoch", "step", F.when(F.col("step") % 2 == 0, F.col("sampled") + 1).alias("sampled"), (F.col("reward_max") - F.col("reward_mean")).alias("spread"), "global_step_idx")
+    older = r.select("epoch", "step", F.lit(-1).cast("long").alias("sampled"), F.lit(-1.0).alias("spread"), (F.col("global_step_idx") - 100_000).alias("global_step_idx"))
+    return logs.merge_steps(s, older.union(r)).select("epoch", "step", "sampled", F.round("spread", 6).alias("spread"))
 
 
 query(L + " SELECT round(corr(reward_mean, reward_max), 6) AS r FROM l", "pearson")(lambda s, d: steps(s, d).agg(F.round(logs.pearson("reward_mean", "reward_max"), 6).alias("r")))
@@ -387,30 +431,24 @@ query(L + " SELECT (epoch - (SELECT min(epoch) FROM l))::INT AS day, count(*) AS
 
 # ---- sources, sinks, streams ------------------------------------------------------------------
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one of spark.checkpoint.dir (or a temporary one, where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "rankloom-checkpoints")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 @query("SELECT item_id::VARCHAR AS id, text AS contents FROM benchmark")
 def jsonl_roundtrip(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     io.write_jsonl(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("contents")), path)
     return io.read_jsonl(spark, path, "id string, contents string", strict=True)
 
 
-@query("SELECT lang AS qid, doc_id::VARCHAR AS docid FROM documents")
+@query("SELECT n_regionkey::VARCHAR AS qid, n_nationkey::VARCHAR AS docid FROM nation")
 def qrels_json_scan(spark, d):
-    path = scratch(spark)
-    by = table(spark, d, "documents").groupBy("lang").agg(F.collect_list(F.col("doc_id").cast("string")).alias("docs"))
-    by.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("lang", "docs")))).alias("value")).write.text(path)
+    path = io.scratch(spark)
+    by = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("qid")).agg(F.collect_list(F.col("n_nationkey").cast("string")).alias("docs"))
+    by.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("qid", "docs")))).alias("value")).write.text(path)  # 25 nations: one object
     return io.read_qrels_json(spark, path)
 
 
 @query("SELECT event_type AS run_id, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def history_append(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     e = table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.col("user_id").cast("string").alias("prompt_id"), F.col("value").alias("metric"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("at"))
     io.append_history(e.where("metric < 50"), path)
     io.append_history(e.where("metric >= 50 or metric is null"), path)
@@ -424,25 +462,27 @@ def event_log(spark, d, path):
 
 
 def drained(df: DataFrame, path: str, mode: str) -> DataFrame:
-    """What a stream gives once it has read all that is there."""
-    spark, name = df.sparkSession, f"s{uuid.uuid4().hex}"
+    """What a stream gives once it has read all that is there, as a written table: rows appended, or in complete mode the
+    last batch's whole result."""
+    spark, out = df.sparkSession, f"{path}-out"
+    writer = df.writeStream.option("checkpointLocation", f"{path}-c").trigger(availableNow=True)
     if mode == "append":
-        df.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{path}-out")
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+        writer.format("parquet").option("path", out).start().awaitTermination()
+    else:
+        writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
 
 
 @query("SELECT dayofyear(ts)::INT AS epoch, hour(ts)::INT AS step, round(avg(value), 6) AS metric_mean, round(max(value), 6) AS metric_max, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_step_rollup(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     out = drained(stream.step_rollup(event_log(spark, d, path)), path, "complete")
     return out.select("epoch", "step", F.round("metric_mean", 6).alias("metric_mean"), F.round("metric_max", 6).alias("metric_max"), "n")
 
 
 @query("WITH e AS (SELECT event_type AS run, event_id, value AS m FROM events WHERE value IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) AS n, max(m) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e), f AS (SELECT *, b IS NOT NULL AND m < b AND n > 3 AND b - m >= 5 AS dropped FROM o), g AS (SELECT *, sum((NOT dropped)::INT) OVER (PARTITION BY run ORDER BY event_id) AS grp FROM f) SELECT run, event_id AS step, (CASE WHEN dropped THEN sum(dropped::INT) OVER (PARTITION BY run, grp ORDER BY event_id) ELSE 0 END)::INT AS streak FROM g")
 def stream_early_stop(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     e = table(spark, d, "events").where("value is not null").select(F.col("event_type").alias("run"), F.lit(1).alias("epoch"), F.col("event_id").cast("int").alias("step"), "ts", F.col("value").alias("metric"))
     io.write_jsonl(e.coalesce(1), path)
     return drained(stream.early_stop(stream.read_log(spark, path), threshold=5.0), path, "append").select("run", "step", "streak")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import groups, logs
+from ..sources import io
 from ..streaming import logs as stream
-from .registry import G, L, drained, event_log, query, rollouts, scratch, steps, table
+from .registry import G, L, drained, event_log, query, rollouts, steps, table
 
 # ---- groups and losses ------------------------------------------------------------------------
 
@@ -59,20 +60,20 @@ SELECT epoch, step, row_number() OVER (ORDER BY epoch, step)::INT AS global_step
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, round(avg(value), 6) AS metric_mean, count(*) AS n FROM events GROUP BY 1")
 def stream_windows(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     out = drained(stream.windows(event_log(spark, d, path), "1 day"), path, "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), F.round("metric_mean", 6).alias("metric_mean"), "n")
 
 
 @query("WITH e AS (SELECT event_type AS run, date_trunc('millisecond', ts) AS t, value FROM events), m AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY run ORDER BY t)), s AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT run, min(t)::TIMESTAMP AS began, count(*) AS n, round(max(value), 6) AS metric_max FROM s GROUP BY run, k")
 def stream_sessions(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     out = drained(stream.sessions(event_log(spark, d, path), "2 hours"), path, "complete")
     return out.select("run", F.col("session_window.start").cast("timestamp_ntz").alias("began"), "n", F.round("metric_max", 6).alias("metric_max"))
 
 
 @query("SELECT event_type AS run, dayofyear(ts)::INT AS epoch, hour(ts)::INT AS step, round(value, 6) AS metric, CASE WHEN hour(ts) < 12 THEN hour(ts) * 10 END::INT AS target FROM events")
 def stream_join_steps(spark, d):
-    path = scratch(spark)
+    path = io.scratch(spark)
     known = table(spark, d, "events").select(F.dayofyear("ts").alias("epoch"), F.hour("ts").alias("step")).distinct().where("step < 12").withColumn("target", F.col("step") * 10)
     return drained(stream.join_steps(event_log(spark, d, path), known), path, "append").select("run", "epoch", "step", F.round("metric", 6).alias("metric"), "target")

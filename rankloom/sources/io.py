@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RUN_SCHEMA = "run_id string, prompt_id string, metric double, at string"
+def work_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; on a cluster
+    that is an error, as executors don't share the driver's folders."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or os.path.join(tempfile.gettempdir(), "rankloom-checkpoints")).rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below work_dir."""
+    return f"{work_dir(spark)}/io-{uuid.uuid4().hex}"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -16,11 +31,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """Adds out: 0 to n - 1 in the order of the input. Of files: by file name, then by place in the file; of other frames:
+    by partition, which must be the same each time they are computed. Rows are counted for each block of a file, and the
+    counts of the blocks before are added: two passes, no shuffle of rows, nothing row by row in Python."""
+    try:
+        place = df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
+    except AnalysisException:  # not of files
+        place = df.select("*", F.struct(F.spark_partition_id().alias("p")).alias("_at"), F.monotonically_increasing_id().alias("_i"))
+    counts = place.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))  # a row for each block: small
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("_at", "_first", ahead.alias("_ahead")))
+    return place.join(offsets, "_at").withColumn(out, F.col("_ahead") + F.col("_i") - F.col("_first")).drop("_at", "_i", "_first", "_ahead")
+
+
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(line, text) of the lines that don't parse, by number from 1."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])).toDF("line long, text string")
+    """(line, text) of the lines that don't parse, by number from 1. Lines are numbered within the whole folder, its files
+    read one after another."""
+    text = numbered(spark.read.text(path).withColumnRenamed("value", "text"), "line").withColumn("line", F.col("line") + 1)
     parsed = F.from_json("text", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-    return numbered.where("trim(text) <> ''").withColumn("x", parsed).where("x._bad is not null").select("line", "text")
+    return text.where("trim(text) <> ''").withColumn("x", parsed).where("x._bad is not null").select("line", "text")
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -40,8 +70,31 @@ def union_rows(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, text of a JSON-lines folder, without the rows where either is blank."""
+    rows = read_jsonl(spark, path, "query_id string, text string")
+    return rows.where("trim(query_id) <> '' and trim(text) <> ''")
+
+
+def write_backend(spark: SparkSession, path: str, backend: str) -> None:
+    """Note which variant an index was built for."""
+    if backend not in ("okapi", "lucene"):
+        raise ValueError(f"unknown backend {backend}")
+    write_report(spark.createDataFrame([(backend,)], "backend string"), path)
+
+
+def read_backend(spark: SparkSession, path: str, default: str = "okapi") -> str:
+    """The noted variant, or the default where nothing is noted."""
+    try:
+        row = spark.read.schema("backend string").option("multiLine", True).json(path).first()
+    except AnalysisException:
+        return default
+    return row[0] if row and row[0] else default
+
+
 def read_qrels_json(spark: SparkSession, path: str) -> DataFrame:
-    """qid, docid of one JSON object {qid: [docid, ...]}."""
+    """qid, docid of one JSON object {qid: [docid, ...]}. Such an object is one value, so it must fit a task; larger
+    judgements go as JSON lines."""
     m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<string>>").alias("m"))
     return m.select(F.explode("m").alias("qid", "docs")).select("qid", F.explode("docs").alias("docid")).distinct()
 
@@ -75,8 +128,6 @@ def read_split(spark: SparkSession, folder: str, expression: str) -> DataFrame:
 
 
 def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
     for p in paths:
         try:
             return spark.read.parquet(p)
@@ -87,9 +138,7 @@ def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def ordinals(df: DataFrame, prefix: str = "Q", column: str = "qid") -> DataFrame:
     """Adds prefix + row index of the input's order."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    out = df.sparkSession.createDataFrame(rows, df.schema.add("_n", "long"))
-    return out.withColumn(column, F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
+    return numbered(df, "_ordinal").withColumn(column, F.concat(F.lit(prefix), F.col("_ordinal").cast("string"))).drop("_ordinal")
 
 
 def last_by_key(df: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -108,19 +157,28 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """One-row frame as an indented JSON document on the driver."""
+    """One-row frame as an indented JSON document, in any store that Spark writes to."""
     row = df.limit(2).toJSON().collect()
     if len(row) != 1:
         raise ValueError("a report is one row")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(json.loads(row[0]), f, indent=2, ensure_ascii=False)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
 
 
 def read_reports(spark: SparkSession, manifest: DataFrame, schema: str) -> DataFrame:
-    """Reports of a manifest (variant, report_path), read together and joined by file."""
-    paths = [r["report_path"] for r in manifest.select("report_path").distinct().collect()]
-    reports = spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("_path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"))
-    return manifest.withColumn("_path", F.regexp_replace("report_path", "^(file:)?/*", "/")).join(reports, "_path").drop("_path")
+    """Reports of a manifest (variant, report_path), read together and joined by file; a manifest lists 10,000 at most, as
+    Spark takes the paths from the driver. Paths are compared without their scheme and host."""
+    paths = [r["report_path"] for r in manifest.select("report_path").distinct().limit(10_001).collect()]
+    if len(paths) > 10_000:
+        raise ValueError("a manifest of over 10,000 reports")
+    bare = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?/*", "/")
+    reports = spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("_path", bare(F.col("_metadata.file_path")))
+    return manifest.withColumn("_path", bare(F.col("report_path"))).join(reports, "_path").drop("_path")
 
 
 def rewrite_host(url: Column, host: str, endpoint: str) -> Column:
