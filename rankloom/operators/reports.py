@@ -51,6 +51,20 @@ def pick(specs: DataFrame, key: str, ids: list[str] | None = None, most: int | N
     return out if most is None else out.where(F.col("place") < most)
 
 
+def rewrite_diagnostics(records: DataFrame) -> DataFrame:
+    """Rates and means over stabilised rewrites (the fields of functions.text.stabilized, and source, normalised); zeros of
+    none. reasons counts each fallback reason, sorted by name."""
+    changed = F.col("final_query") != F.col("source")
+    rates = {
+        "changed_rate": changed, "effective_rewrite_rate": changed & ~F.col("fallback_to_original"), "fallback_rate": F.col("fallback_to_original"), "raw_format_fail_rate": F.col("raw_format_penalty") > 0,
+        "raw_multiline_rate": F.col("raw_multiline"), "raw_think_rate": F.col("raw_contains_think"), "raw_label_rate": F.col("raw_contains_label"),
+    }
+    zero = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    empty = F.count_if(F.array_contains("fallback_reasons", "empty_after_clean"))  # the only reason there is
+    reasons = F.when(empty > 0, F.create_map(F.lit("empty_after_clean"), empty)).otherwise(F.create_map().cast("map<string, bigint>"))
+    return records.agg(F.count(F.lit(1)).alias("n"), *[zero(c.cast("int")).alias(n) for n, c in rates.items()], zero("final_overlap").alias("mean_final_overlap"), zero("final_term_count").alias("mean_final_terms"), reasons.alias("fallback_reason_counts"))
+
+
 def three_way(original: DataFrame, zero: DataFrame, tuned: DataFrame, key: str = "qid") -> DataFrame:
     """The rows of original with zero's and tuned's columns (names must differ); a key that either lacks is an error."""
     for name, other in (("zero", zero), ("tuned", tuned)):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import cohort, corpus, reports
 from ..operators import retrieval as R
+from ..operators.ranks import placed
 from ..sources import io
 from .registry import HITS, KEYS, METRICS_ONLY, all_hits, all_metrics, bad, caps, hits_sql, index, judged, kept, learnable_sql, negs, norm, numbers, over, q, query, ready, strategies, table, tok, words
 from .registry import locked as locked_sql
@@ -57,6 +57,20 @@ SELECT *, num_queries - num_qrels_queries AS num_empty_qrels_queries, (SELECT ro
 query("SELECT event_type AS qid, event_id::VARCHAR AS docid FROM events WHERE event_id % 3 = 1 AND value > 0", "qrels_positive_map")(
     lambda s, d: io.positive_qrels(table(s, d, "events").select(F.col("event_type").alias("qid"), F.create_map(F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 1, F.col("value").cast("string")).when(F.col("event_id") % 3 == 2, "high").otherwise("-1")).alias("judgements"))))
 
+
+
+@query("WITH j AS (SELECT DISTINCT (doc_id % 50)::VARCHAR AS qid FROM labels WHERE quality > 0 AND doc_id % 3 > 0) SELECT item_id::VARCHAR AS qid, CASE WHEN item_id % 4 = 0 THEN 'topic ' || item_id::VARCHAR ELSE trim(text) END AS text, row_number() OVER (ORDER BY item_id)::BIGINT AS place FROM benchmark WHERE item_id::VARCHAR IN (SELECT qid FROM j) AND item_id % 5 > 0")
+def topics_connector(spark, d):
+    """Topics of several fields, some of them blank, with judgements of which some are no numbers; in order of their ids."""
+    title, text = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("topic "), F.col("item_id").cast("string"))).otherwise("  "), F.when(F.col("item_id") % 5 == 0, " ").otherwise(F.col("text"))
+    topics = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.create_map(F.lit("title"), F.when(F.col("item_id") % 5 > 0, title).otherwise(""), F.lit("note"), text).alias("payload"))
+    rows = table(spark, d, "labels").groupBy((F.col("doc_id") % 50).cast("string").alias("qid"))
+    score = F.when(F.col("doc_id") % 3 == 0, "n/a").otherwise(F.col("quality").cast("string"))
+    judgements = rows.agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("docid"), score.alias("score")))).alias("judgements"))
+    queries, _ = io.topics_qrels(topics, judgements)
+    return placed(queries, reports.numeric_first(F.col("qid")), "place")
+
+
 # ---- scored rewrites --------------------------------------------------------------------------
 
 CLEANED = norm("regexp_replace('1. ' || text, " + q(r"^[-*.)\]\s\p{Nd}]+") + ", '')")

@@ -160,11 +160,20 @@ def stabilize_rewrite(spark, d):
     return x.select("conv_id", "turn", "x.final_query", "x.fallback_to_original", "x.raw_contains_label", "x.raw_multiline", F.round("x.raw_format_penalty", 6).alias("raw_format_penalty"), F.round("x.final_overlap", 6).alias("final_overlap"), "x.final_term_count")
 
 
-@query(f"{STAB} SELECT count(*) AS n, round(avg((final <> own)::INT), 6) AS changed_rate, round(avg((clean = '')::INT), 6) AS fallback_rate, round(avg((contains({strip('raw')}, chr(10)) OR contains({strip('raw')}, chr(13)))::INT), 6) AS multiline_rate, round(avg({polluted('raw')}::INT), 6) AS label_rate, round(avg({over('own', 'final')}), 6) AS mean_overlap, round(avg(len({tok('final')})), 6) AS mean_terms FROM y")
+RATES = {
+    "changed_rate": "final <> own", "effective_rewrite_rate": "final <> own AND clean <> ''", "fallback_rate": "clean = ''", "raw_format_fail_rate": f"{bad('raw')} > 0",
+    "raw_multiline_rate": f"contains({strip('raw')}, chr(10)) OR contains({strip('raw')}, chr(13))", "raw_think_rate": "regexp_matches(raw, '(?i)<think|thinking process')", "raw_label_rate": polluted("raw"),
+}
+# Every fourth answer is blank, every fifth thinks aloud.
+THINKING = P.replace("b.text AS raw", "CASE WHEN a.conv_id % 4 = 0 THEN ' ' WHEN a.conv_id % 5 = 0 THEN '<THINK> ' || b.text ELSE b.text END AS raw")
+DIAGNOSTICS = STAB.replace(P, THINKING) + f" SELECT count(*) AS n, {', '.join(f'round(avg(({x})::INT), 6) AS {n}' for n, x in RATES.items())}, round(avg({over('own', 'final')}), 6) AS mean_final_overlap, round(avg(len({tok('final')})), 6) AS mean_final_terms FROM y"
+
+
+@query(DIAGNOSTICS)
 def rewrite_diagnostics(spark, d):
-    x = pairs(spark, d).select(T.normalize(F.col("source")).alias("own"), T.stabilized(F.col("raw"), F.col("source")).alias("x"))
-    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return x.agg(F.count(F.lit(1)).alias("n"), rate(F.col("x.final_query") != F.col("own")).alias("changed_rate"), rate(F.col("x.fallback_to_original")).alias("fallback_rate"), rate(F.col("x.raw_multiline")).alias("multiline_rate"), rate(F.col("x.raw_contains_label")).alias("label_rate"), F.round(F.avg("x.final_overlap"), 6).alias("mean_overlap"), F.round(F.avg("x.final_term_count"), 6).alias("mean_terms"))
+    raw = F.when(F.col("conv_id") % 4 == 0, " ").when(F.col("conv_id") % 5 == 0, F.concat(F.lit("<THINK> "), F.col("raw"))).otherwise(F.col("raw"))
+    records = pairs(spark, d).select(T.normalize(F.col("source")).alias("source"), T.stabilized(raw, F.col("source")).alias("x")).select("source", "x.*")
+    return reports.rewrite_diagnostics(records).select("n", *[F.round(c, 6).alias(c) for c in (*RATES, "mean_final_overlap", "mean_final_terms")])
 
 
 # ---- corpus preparation -----------------------------------------------------------------------

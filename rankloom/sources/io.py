@@ -111,6 +111,14 @@ def topic_text(payload: Column) -> Column:
     return F.coalesce(*named, F.get(F.filter(F.map_values(payload), lambda x: F.trim(x) != ""), F.lit(0)))
 
 
+def topics_qrels(topics: DataFrame, judgements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries: qid, text; judgements: qid, docid) of topics (qid, payload: map) and of judgements (qid, map of docid to
+    score): positive judgements, and the topics with text that have one."""
+    positive = positive_qrels(judgements).distinct()
+    queries = topics.select("qid", topic_text(F.col("payload")).alias("text")).where("text <> ''")
+    return queries.join(positive, "qid", "left_semi"), positive
+
+
 def first_field(df: DataFrame, names: list[str], default=None) -> Column:
     return F.coalesce(*[F.col(n) for n in names if n in df.columns], F.lit(default))
 
