@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hamming, licenses, mixing, packing, quality, repeats, secrets, similarity, toxicity
+from . import fingerprints, hamming, licenses, mixing, packing, quality, repeats, secrets, similarity, tokencount, toxicity
 from .shared import table
 
 
@@ -56,8 +56,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_packing, op4_toxicity, op5_mixing, op6_ngram_join, op7_secrets, op8_licenses, op9_repeats, op10_top_k)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_packing, op4_toxicity, op5_mixing, op6_ngram_join, op7_secrets, op8_licenses, op9_repeats, op10_top_k, op11_token_counts)}
 
 
 MIX_SQL = r"""
