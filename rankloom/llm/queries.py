@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, hamming, licenses, mixing, packing, quality, repeats, secrets, similarity, tokencount, toxicity
+from . import fingerprints, hamming, hardneg, licenses, mixing, packing, quality, repeats, secrets, similarity, tokencount, toxicity
 from .shared import table
 
 
@@ -60,8 +61,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.select("vec_id", label.alias("label"), hardneg.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_packing, op4_toxicity, op5_mixing, op6_ngram_join, op7_secrets, op8_licenses, op9_repeats, op10_top_k, op11_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_packing, op4_toxicity, op5_mixing, op6_ngram_join, op7_secrets, op8_licenses, op9_repeats, op10_top_k, op11_token_counts, op12_hard_negatives)}
 
 
 MIX_SQL = r"""
@@ -103,5 +110,22 @@ SELECT query_id, rank::BIGINT AS rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": MIX_SQL, "op10_top_k": TOP_K_SQL}
+    return {"op5_mixing": MIX_SQL, "op10_top_k": TOP_K_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
