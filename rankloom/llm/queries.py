@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hamming, hardneg, licenses, mixing, packing, quality, repeats, secrets, similarity, tokencount, toxicity
+from . import erasure, fingerprints, hamming, hardneg, licenses, mixing, packing, quality, repeats, secrets, similarity, tokencount, toxicity
 from .shared import table
 
 
@@ -67,8 +67,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(rows.select("vec_id", label.alias("label"), hardneg.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0)
 
 
+def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, clicks, sales, lines = (table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines"))
+    return erasure.erase(erasure.shop_layers(clients, clicks, sales, lines), erasure.chosen_masters(clients, clicks), erasure.new_folder(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_packing, op4_toxicity, op5_mixing, op6_ngram_join, op7_secrets, op8_licenses, op9_repeats, op10_top_k, op11_token_counts, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_packing, op4_toxicity, op5_mixing, op6_ngram_join, op7_secrets, op8_licenses, op9_repeats, op10_top_k, op11_token_counts, op12_hard_negatives, op13_erasure)}
 
 
 MIX_SQL = r"""
