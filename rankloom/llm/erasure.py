@@ -34,6 +34,7 @@ class Layer:
     parent: str | None
     gives: str | None
     amount: str
+    scratch: tuple[DataFrame, ...] = ()  # written tables that only frame reads
 
     @property
     def columns(self) -> list[str]:
@@ -310,6 +311,7 @@ def erase(layers: list[Layer], keys: DataFrame, folder: str, files: int = FILES)
     sizes, at = {}, {}
     for x in layers:
         sizes[x.name], at[x.name] = lay_out(x, folder, files)
+        discard(*x.scratch)
     found: dict[str, DataFrame] = {}
     victims, written = None, []
     for layer in layers:
@@ -373,13 +375,15 @@ def shop_layers(clients: DataFrame, clicks: DataFrame, sales: DataFrame, lines:
         ("sales", sales, "client_id", "clients", "client_id", "total"),
         ("sale_lines", lines, "sale_id", "sales", "sale_id", "amount"),
     ):
-        (lead,) = fresh(frame, "lead")
+        (lead,), scratch = fresh(frame, "lead"), ()
         if name == "sale_lines":
-            owner = sales.where("sale_id is not null").groupBy("sale_id").agg(F.min("client_id").alias("c")).select("sale_id", mark("c").alias(lead))
+            # Written, so that the join is of two plain exchanges, of which Spark can split the key of a hot sale.
+            owner = materialize(sales.where("sale_id is not null").groupBy("sale_id").agg(F.min("client_id").alias("c")).select("sale_id", mark("c").alias(lead)), "erasure-owners")
+            scratch = (owner,)
             frame = frame.join(owner, "sale_id", "left").select(*[frame[f"`{c}`"] for c in frame.columns], F.coalesce(lead, F.lit(0).cast("long")).alias(lead))
         else:
             frame = frame.withColumn(lead, mark("client_id"))
-        out.append(Layer(name, frame, lead, key, parent, gives, amount))
+        out.append(Layer(name, frame, lead, key, parent, gives, amount, scratch))
     return out
 
 
