@@ -181,7 +181,8 @@ def shortlist(filters: DataFrame, keys: DataFrame, blocks: int) -> list[int]:
     asked = keys.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.xxhash64(key, F.lit(1)).alias("h_"))
     asked = asked.select("block", *[w.alias(f"m{i}") for i, w in enumerate(_bits())])
     inside = F.expr(" and ".join(f"(w{i} & m{i}) = m{i}" for i in range(WORDS)))
-    return sorted(r[0] for r in filters.join(asked, "block").where(inside).select("file_no").distinct().collect())
+    hit = filters.alias("f").join(asked.alias("k"), (F.col("f.block") == F.col("k.block")) & inside, "left_semi")
+    return sorted(r[0] for r in hit.select("file_no").distinct().collect())
 
 
 def confirm(spark: SparkSession, paths: list[str], layer: Layer, keys: DataFrame, below: list[str]) -> DataFrame:
