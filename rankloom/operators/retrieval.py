@@ -1,139 +1,89 @@
-"""BM25 as ordinary tables: a written index of postings, lengths and term statistics, top-k, and retrieval metrics."""
+"""BM25 retrieval over a written index: pruned top-k, judgements, retrieval metrics and rewards."""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
 from ..functions.text import tokens_ascii
+from ..sources.io import scratch
+from .index import LEVELS, VARIANTS, Index, _remove, impact, raw_idf
 
-# k1 and b of the variants (fixed values).
-VARIANTS = {"okapi": (1.5, 0.75), "lucene": (0.9, 0.4)}
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@dataclass(frozen=True)
-class Index:
-    """A written BM25 index: postings (term, doc_id, tf, dl, df, shard; in order of term), terms (term, df, cf), lengths
-    (doc_id, dl) and numbers of the whole corpus. All counts are as they were when it was built."""
-
-    postings: DataFrame
-    terms: DataFrame
-    lengths: DataFrame
-    n: int
-    avgdl: float
-    mean_raw: float
-    shards: int
-
-    @staticmethod
-    def build(docs: DataFrame, path: str, shard_rows: int = 1_000_000) -> Index:
-        """Write the index of docs (doc_id, text) below path, anew. Documents without tokens have no length and no posting.
-
-        Texts are read and split once; a document's tokens are counted before the shuffle. Postings are dealt by ranges
-        of (term, doc_id), so a term that every document has is no task's own, and carry its document frequency, so that
-        scoring joins once; terms in over `shard_rows` documents are marked by shards, by which a join can split them."""
-        spark = docs.sparkSession
-        _remove(spark, path)
-        t = docs.select("doc_id", tokens_ascii(F.col("text")).alias("w")).where(F.size("w") > 0)
-        t = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-        t.write.parquet(f"{path}/raw")
-        raw = spark.read.parquet(f"{path}/raw")
-        raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{path}/terms")
-        raw.groupBy("doc_id").agg(F.first("dl").alias("dl")).write.parquet(f"{path}/lengths")
-        terms = spark.read.parquet(f"{path}/terms")
-        shard = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / shard_rows)).cast("int").alias("shard")
-        whole = raw.join(terms.select("term", "df"), "term").select("term", "doc_id", "tf", "dl", "df", shard)
-        whole.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-        n, avgdl = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)), F.avg("dl")).first()
-        mean_raw, shards = terms.agg(F.avg(raw_idf(n)), F.ceil(F.max("df") / shard_rows)).first()
-        spark.createDataFrame([(n, avgdl, mean_raw, shards)], "n long, avgdl double, mean_raw double, shards long").write.parquet(f"{path}/corpus")  # last: it makes the index whole
-        _remove(spark, f"{path}/raw")
-        return Index.open(spark, path)
-
-    @staticmethod
-    def open(spark: SparkSession, path: str) -> Index:
-        """The index below path; an error if none was written there, or not to its end."""
-        try:
-            n, avgdl, mean_raw, shards = spark.read.parquet(f"{path}/corpus").first()
-        except AnalysisException as e:
-            raise FileNotFoundError(f"no whole index in {path}") from e
-        postings, terms, lengths = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "lengths"))
-        return Index(postings, terms, lengths, n, avgdl or 0.0, mean_raw or 0.0, shards or 1)
-
-    @staticmethod
-    def ensure(docs: DataFrame, path: str) -> Index:
-        """The index below path where there is a whole one, else a new one of docs. It is built beside its place and moved
-        there, so another session never meets half of it; the first to be moved stays."""
-        spark = docs.sparkSession
-        try:
-            return Index.open(spark, path)
-        except FileNotFoundError:
-            made = f"{path}-{uuid.uuid4().hex}"
-            index = Index.build(docs, made)
-            old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (made, path))
-            fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-            return Index.open(spark, path) if not fs.exists(new) and fs.rename(old, new) else index
-
-    @staticmethod
-    def of(docs: DataFrame, folder: str) -> Index:
-        """The index of a table of files, kept in folder under the files' names, sizes and times: it is built once and
-        found again as long as the files are the same."""
-        files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        count, mark = files.agg(F.count(F.lit(1)), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.hex(F.xxhash64(*files.columns))))), 256)).first()
-        return Index.ensure(docs, f"{folder}/bm25-{count}-{mark[:24]}")
-
-    def idf(self, variant: str = "okapi", epsilon: float = 0.25) -> Column:
-        """Of a term's df: Okapi's, where negative ones become a share of the mean over all terms, or Lucene's."""
-        if variant == "lucene":
-            return F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        if variant == "okapi":
-            return F.when(raw_idf(self.n) < 0, epsilon * self.mean_raw).otherwise(raw_idf(self.n))
-        raise ValueError(f"unknown variant {variant}")
-
-    def idf_table(self, variant: str = "okapi") -> DataFrame:
-        return self.terms.select("term", "df", self.idf(variant).alias("idf"))
-
-    def candidates(self, terms: DataFrame) -> DataFrame:
-        """Postings of terms (term and other columns), joined by term and shard, so that a term with very many
-        documents is as many keys as it has shards."""
-        if self.shards < 2:
-            return terms.join(self.postings.drop("shard"), "term")
-        shard_rows = self.postings.where("shard > 0").groupBy("term").agg(F.max("shard").alias("last"))
-        spread = terms.join(shard_rows, "term", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
-        return spread.join(self.postings, ["term", "shard"]).drop("shard")
-
-
-def raw_idf(n) -> Column:
-    return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-
+__all__ = ["Index", "VARIANTS", "_remove", "raw_idf"]
+# Scores are rounded to six decimals before ranks: bounds must leave that much room.
+ROOM = 2e-6
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """text, term, qtf of the different texts of queries."""
     return queries.select("text").distinct().select("text", F.explode(tokens_ascii(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def bounds(index: Index, terms: DataFrame, k: int, variant: str, text: str = "text") -> DataFrame:
+    """text, term, weight of query terms (text, term, qtf) that the index knows, and what is known of scores before any
+    posting is read: bound, the most that the term can add; rest, the most that the text's other terms can; floor, a score
+    that k documents reach for sure (those of the text's best term at some level of impact); needed: whether a document
+    can reach the floor only with this term or one of a higher bound; spare, the bounds of the terms not needed; drag, what
+    terms of a negative weight can take away.
+
+    Terms in ascending order of their bounds aren't needed as long as their bounds add up to less than the floor."""
+    top = VARIANTS[variant][0] + 1
+    known = terms.join(index.statistics.select("term", "df", F.col(f"{variant}_max").alias("most"), F.col(f"{variant}_at").alias("at")), "term")
+    level = F.size(F.filter("at", lambda x: x >= k)) - 1
+    x = known.select(text, "term", (F.col("qtf") * index.idf(variant)).alias("weight"), "most", F.greatest(level, F.lit(0)).alias("level"))
+    reach = F.col("weight") * F.col("most")
+    x = x.select(text, "term", "weight", F.greatest(reach, F.lit(0.0)).alias("bound"), F.least(reach, F.lit(0.0)).alias("below"), (F.greatest("weight", F.lit(0.0)) * F.col("level") * (top / LEVELS)).alias("sure"))
+    every = Window.partitionBy(text)
+    upward = every.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("drag", F.sum("below").over(every)).withColumn("floor", F.max("sure").over(every) + F.col("drag") - ROOM)
+    x = x.withColumn("so_far", F.sum("bound").over(upward)).withColumn("all", F.sum("bound").over(every)).withColumn("needed", F.col("so_far") >= F.col("floor"))
+    x = x.withColumn("spare", F.coalesce(F.max(F.when(~F.col("needed"), F.col("so_far"))).over(every), F.lit(0.0)))
+    return x.select(text, "term", "weight", "bound", (F.col("all") - F.col("bound")).alias("rest"), "floor", "needed", "spare", "drag")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a written table: read several times, and of a known size when joins are chosen."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scored(index: Index, texts: DataFrame, k: int, variant: str) -> DataFrame:
+    """id, doc_id, score for texts (id, text): the k best documents of each are among them, with their whole scores.
+
+    Documents come in by the postings of needed terms only, and only by postings that, with the most the other terms can
+    add, reach the floor. What the k best of these have so far is a higher floor for all, and the other terms' postings are
+    looked up only for documents that can still reach it. So the postings of a frequent word are dealt out for few
+    documents, not for all."""
+    terms = texts.select("id", F.explode(tokens_ascii(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    known = _kept(bounds(index, terms, k, variant, "id"))
+    postings = index.read(known)
+    part = (F.col("weight") * impact(variant, index.avgdl)).alias("part")
+    first = index.candidates(known.where("needed").select("id", "term", "weight", "rest", "floor", "spare", "drag"), postings)
+    first = first.select("id", "doc_id", part, "rest", "floor", "spare", "drag").where("part + rest >= floor")
+    first = first.groupBy("id", "doc_id").agg(F.sum("part").alias("score"), *[F.first(c).alias(c) for c in ("floor", "spare", "drag")])
+    first = _kept(first.where("score + spare >= floor").drop("floor"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score")))
+    best = first.withColumn("place", place).where(F.col("place") <= k).groupBy("id").agg(F.count(F.lit(1)).alias("n"), (F.min(F.col("score") + F.col("drag")) - ROOM).alias("reached")).where(F.col("n") == k)
+    first = first.join(best.select("id", "reached"), "id", "left").where("reached is null or score + spare >= reached").select("id", "doc_id", "score")
+    if known.where("not needed").isEmpty():
+        return first
+    more = index.candidates(known.where("not needed").select("id", "term", "weight"), postings).select("id", "doc_id", part)
+    more = more.join(first.select("id", "doc_id"), ["id", "doc_id"], "left_semi")
+    return first.unionByName(more.withColumnRenamed("part", "score")).groupBy("id", "doc_id").agg(F.sum("score").alias("score"))
+
+
 def top_k(index: Index, queries: DataFrame, k: int, variant: str = "okapi", keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Ranked hits of queries (keys..., text): documents that share a term, by score (6 decimals), then doc_id. Equal query
     texts are searched once; blank ones find nothing. The k best of each query are kept before the final shuffle (window
     group limit)."""
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant}")
-    k1, b = VARIANTS[variant]
-    s = index.candidates(query_terms(queries))
-    part = F.col("qtf") * index.idf(variant) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
-    s = s.groupBy("text", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "doc_id"))
+    texts = _kept(queries.select("text").distinct().select("text", F.monotonically_increasing_id().alias("id")))
+    s = scored(index, texts, k, variant).withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "doc_id"))
     s = s.withColumn("rank", rank).where(F.col("rank") <= k)
-    return queries.join(s, "text").select(*keys, "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    return queries.join(texts.join(s, "id").drop("id"), "text").select(*keys, "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def padded(hits: DataFrame, index: Index, queries: DataFrame, k: int, keys: tuple[str, ...] = ("qid",)) -> DataFrame:

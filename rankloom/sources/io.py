@@ -31,18 +31,35 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def scans_files(df: DataFrame) -> bool:
+    """Whether df is a scan of files with nothing but selections and filters above it, so that its rows still stand in the
+    order of their files."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    for node in nodes:
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.size())]
+    names = [n.nodeName() for n in nodes]
+    return names.count("LogicalRelation") == 1 and set(names) <= {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"} and bool(df.inputFiles())
+
+
 def numbered(df: DataFrame, out: str) -> DataFrame:
-    """Adds out: 0 to n - 1 in the order of the input. Of files: by file name, then by place in the file; of other frames:
-    by partition, which must be the same each time they are computed. Rows are counted for each block of a file, and the
-    counts of the blocks before are added: two passes, no shuffle of rows, nothing row by row in Python."""
-    try:
-        place = df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
-    except AnalysisException:  # not of files
-        place = df.select("*", F.struct(F.spark_partition_id().alias("p")).alias("_at"), F.monotonically_increasing_id().alias("_i"))
-    counts = place.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))  # a row for each block: small
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(counts.select("_at", "_first", ahead.alias("_ahead")))
-    return place.join(offsets, "_at").withColumn(out, F.col("_ahead") + F.col("_i") - F.col("_first")).drop("_at", "_i", "_first", "_ahead")
+    """Adds out: 0 to n - 1, dense and unique, in the order of df. Of files that are only selected from and filtered: by
+    file name, then by place in the file; of a sorted frame: as it is sorted; a frame without an order (after a join, a
+    repartition) is numbered in the order in which it happens to be written.
+
+    Rows are written once with their place in their task, so whatever made them is computed a single time; the counts of
+    the file blocks or tasks before are added. One row for each block or task is what the offsets take; no row of df is
+    moved."""
+    names = [next(n for i in range(99) if (n := f"_{c}{i or ''}") not in df.columns) for c in ("at", "task", "in")]
+    at, task, place = names
+    where = F.struct("_metadata.file_path", "_metadata.file_block_start") if scans_files(df) else F.struct(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_block_start"))
+    path = scratch(df.sparkSession)
+    df.select("*", where.alias(at), F.spark_partition_id().alias(task), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place)).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    counts = rows.groupBy(at, task).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy(at, task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(at, task, (ahead - F.col("_first")).alias("_shift"))
+    return rows.join(offsets, [at, task]).select(*[F.col(f"`{c}`") for c in df.columns if c != out], (F.col(place) + F.col("_shift")).alias(out))
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -402,3 +402,51 @@ def test_step_index_and_thirds(spark):
     assert {(r["epoch"], r["step"]): r["global_step_idx"] for r in steps.collect()} == {(0, 9): 1, (1, 1): 2, (1, 2): 3, (2, 1): 4}
     row = logs.trend_thirds(steps, "m", "global_step_idx").first()
     assert (row["first_third"], row["last_third"], row["change"]) == (1.0, 9.0, 8.0) and math.isclose(logs.best_row(steps, "m", "global_step_idx", ["epoch"]).first()["epoch"], 2)
+
+
+@pytest.fixture
+def several_files(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.range(1000).repartition(4, "id").select(F.col("id").alias("k"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_numbers_are_dense_and_unique_on_any_frame(spark, several_files):
+    df = several_files
+    frames = {
+        "plain": df, "filtered": df.where("k % 3 = 0"), "sorted": df.orderBy(F.desc("k")), "repartitioned": df.repartition(7), "ranges": df.repartitionByRange(5, "k"),
+        "joined": df.join(spark.range(500).withColumnRenamed("id", "k"), "k"), "union": df.union(df), "grouped": df.groupBy((F.col("k") % 10).alias("k")).count(), "rows": spark.range(17).toDF("k"),
+        "limited": df.orderBy("k").limit(10), "cached": df.orderBy("k").cache(), "none": df.where("k < 0"),
+    }
+    for name, frame in frames.items():
+        got = sorted(r["i"] for r in io.numbered(frame, "i").select("i").collect())
+        assert got == list(range(frame.count())), name
+    frames["cached"].unpersist()
+
+
+def test_numbers_follow_the_order(spark, several_files):
+    df = several_files
+    assert [(r["k"], r["i"]) for r in io.numbered(df.orderBy(F.desc("k")), "i").orderBy("i").collect()] == [(999 - i, i) for i in range(1000)]
+    assert [r["k"] for r in io.numbered(df.orderBy("k").limit(10).where("k > 4"), "i").orderBy("i").collect()] == [5, 6, 7, 8, 9]
+    by_file = [r["k"] for r in df.select("k", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    assert [r["k"] for r in io.numbered(df, "i").orderBy("i").collect()] == by_file
+    odd = df.where("k % 2 = 1").select("k", F.lit(1).alias("_at"), F.lit(2).alias("_in"), F.lit(3).alias("i"))
+    assert [r["k"] for r in io.numbered(odd, "i").orderBy("i").collect()] == [k for k in by_file if k % 2]
+
+
+def test_corpora_of_sorted_and_repartitioned_frames(spark, tmp_path):
+    path = str(tmp_path / "q")
+    spark.range(200).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("qid"), F.concat(F.lit("query "), F.col("id").cast("string")).alias("text")).repartition(4).write.parquet(path)
+    queries = spark.read.parquet(path)
+    docs = spark.range(200).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc_id"), F.concat(F.lit("about "), F.col("id").cast("string")).alias("text"))
+    judged = spark.range(200).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("qid"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc_id"))
+    nested = queries.select(F.col("text").alias("query"), F.struct(F.array("text").alias("passage_text"), F.array(F.lit(1)).alias("is_selected")).alias("passages"))
+    for change in (lambda f: f, lambda f: f.orderBy(F.desc(f.columns[0])), lambda f: f.repartition(9)):
+        c = corpus.from_tables(docs, change(queries), judged)
+        assert c.queries.select("query_id").distinct().count() == 200
+        text_of = {r["id"]: r["contents"] for r in c.documents.collect()}
+        pairs = {r["text"]: [text_of[x] for x in r["docs"]] for r in c.queries.join(c.judgements, "query_id").collect()}
+        assert pairs == {f"query {i}": [f"about {i}"] for i in range(200)}
+        n = corpus.from_nested(change(nested))
+        assert {r["query_id"] for r in n.queries.collect()} == {f"Q{i}" for i in range(200)}
+        assert n.queries.join(n.judgements, "query_id").join(n.documents, F.col("docs")[0] == F.col("id")).where("text = contents").count() == 200
