@@ -20,6 +20,9 @@ class RewardConfig:
     overedit_weight: float = 0.08
     keyword_floor: float = 0.45
     recall_drop: float = 0.80
+    mrr_k: int = 20
+    recall_k: int = 20
+    recall_aux_k: int = 50
 
 
 def rank_bonus(rank: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 
 def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
@@ -109,12 +113,13 @@ def epoch_sample(items: DataFrame, weights: dict[str, float], key: str, seed: in
     some = items.where(F.col("bucket").isin(*weights))
     counts = {r["bucket"]: r["n"] for r in some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a bucket
     if not counts:
-        return items.select(F.row_number().over(Window.orderBy(key)).cast("long").alias("place"), "bucket", key)
+        return placed(items.select("bucket", key), [F.col(key)], "place").select(F.col("place").cast("long").alias("place"), "bucket", key)
     table = spark.createDataFrame([(b, float(w)) for b, w in weights.items() if b in counts], "bucket string, weight double")
     quota = quotas(table, sum(counts.values()))
     draws = cyclic_draw(some.select("bucket", key), quota, key, seed)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("bucket"), F.lit(":"), F.col("slot").cast("string")).cast("binary"))
     # A schedule's slots in a bucket come in order, so the i-th place of a bucket takes its i-th draw.
-    slots = quota.where("quota > 0").select("bucket", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("slot"))
+    slots = [spark.range(1, r["quota"] + 1).select(F.lit(r["bucket"]).alias("bucket"), F.col("id").alias("slot")) for r in quota.where("quota > 0").collect()]  # a range for each bucket
+    slots = reduce(DataFrame.unionByName, slots)
     places = hash_rank(hash_rank(slots, [], order, "bucket", "place"), ["bucket"], order, "bucket", "nth")
     return places.select("bucket", F.col("nth").alias("slot"), "place").join(draws, ["bucket", "slot"]).select(F.col("place").cast("long").alias("place"), "bucket", key)

@@ -161,12 +161,13 @@ def score_rewrites(index: Index, qrels: DataFrame, rewrites: DataFrame, key: str
     """rewrites (qid, key, source, raw) -> qid, key, rewritten_query and the fields of BREAKDOWN.
 
     An answer is cleaned against its source first and then retrieved. The source's own metrics are the baseline; a blank
-    or null source has none (zeros) and its rewrite keeps everything. Equal texts, the source's too, are searched once."""
+    or null source has none (zeros) and its rewrite keeps everything. Equal texts, the source's too, are searched once. The
+    settings' cut-offs (at least 1 each) say how deep ranks count; as many documents are retrieved as the deepest asks."""
     source = F.coalesce(T.normalize(F.col("source")), F.lit(""))
     asked = rewrites.select("qid", key, source.alias("source"), T.normalize(T.clean_query(F.coalesce(F.col("raw"), F.lit("")), source)).alias("text"))
     texts = asked.select("qid", "text").union(asked.select("qid", "source")).distinct()
-    both = ("qid", "text")
-    measured = metrics(texts, top_k(index, texts.where("text <> ''"), 50, variant, both), qrels, both)
+    both, cuts = ("qid", "text"), [max(1, int(x)) for x in (cfg.mrr_k, cfg.recall_k, cfg.recall_aux_k)]
+    measured = metrics(texts, top_k(index, texts.where("text <> ''"), max(cuts), variant, both), qrels, both, *cuts)
     own = measured.select("qid", F.col("text").alias("source"), F.col("mrr").alias("o_mrr"), F.col("recall").alias("o_recall"), F.col("recall_aux").alias("o_recall_aux"), F.col("rank_bonus").alias("o_rank_bonus")).where("source <> ''")
     x = asked.join(measured, ["qid", "text"]).join(own, ["qid", "source"], "left").fillna(0.0, ["o_mrr", "o_recall", "o_recall_aux", "o_rank_bonus"])
     has, s, t = F.col("source") != "", F.col("source"), F.col("text")

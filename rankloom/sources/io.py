@@ -195,15 +195,40 @@ def write_report(df: DataFrame, path: str) -> None:
         out.close()
 
 
-def read_reports(spark: SparkSession, manifest: DataFrame, schema: str) -> DataFrame:
-    """Reports of a manifest (variant, report_path), read together and joined by file; a manifest lists 10,000 at most, as
-    Spark takes the paths from the driver. Paths are compared without their scheme and host."""
-    paths = [r["report_path"] for r in manifest.select("report_path").distinct().limit(10_001).collect()]
-    if len(paths) > 10_000:
-        raise ValueError("a manifest of over 10,000 reports")
-    bare = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?/*", "/")
-    reports = spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("_path", bare(F.col("_metadata.file_path")))
-    return manifest.withColumn("_path", bare(F.col("report_path"))).join(reports, "_path").drop("_path")
+def read_reports(spark: SparkSession, manifest: DataFrame, schema: str, missing: str = "error") -> DataFrame:
+    """The rows of a manifest (report_path and other columns) with the fields of their reports, JSON documents of a schema.
+
+    Tasks open the files, so there is no list of them on the driver and no limit to their number; any store that Arrow
+    opens will do. A file that isn't there is named in the error, or with missing="null" its row has nulls; a file that
+    isn't such a document is an error."""
+    if missing not in ("error", "null"):
+        raise ValueError(f"unknown choice {missing}")
+    names = [f"c{i}" for i in range(len(manifest.columns))]
+    at = manifest.columns.index("report_path")
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            texts = []
+            for path in batch.column(at).to_pylist():
+                try:
+                    store, place = fs.FileSystem.from_uri(path)
+                    with store.open_input_stream(place) as f:
+                        texts.append(f.read().decode())
+                except FileNotFoundError as e:
+                    if missing == "error":
+                        raise FileNotFoundError(f"no report at {path}") from e
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
+
+    plain = manifest.toDF(*names)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows = plain.where(F.col(names[at]).isNotNull()).repartition(tasks).mapInArrow(read, plain.schema.add("text", "string"))
+    parsed = rows.withColumn("x", F.from_json("text", schema, {"mode": "FAILFAST"})).drop("text")
+    fields = parsed.schema["x"].dataType.names
+    return parsed.select(*[F.col(n).alias(c) for n, c in zip(names, manifest.columns, strict=True)], *[F.col(f"x.`{f}`").alias(f) for f in fields])
 
 
 def rewrite_host(url: Column, host: str, endpoint: str) -> Column:
