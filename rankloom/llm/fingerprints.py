@@ -92,7 +92,7 @@ def with_next(df: DataFrame, key: str, cols: list[str], rows_a_cell: int = 500)
         parts, width = parts + step, width + 1
     cell = cells - 1 - F.least(F.floor(parts / max(width, 1) * cells), F.lit(cells - 1))
     df = df.withColumn("_cell", F.when(F.col(key).isNull(), cells + F.least(F.floor(after * empty), F.lit(empty - 1))).otherwise(cell).cast("long"))
-    first = df.groupBy("_cell").agg(F.min(F.struct(F.col(key).isNull().alias("n"), (-F.col(key)).alias("k"), F.col("_tie").alias("t"))).alias("first"))
+    first = df.groupBy("_cell").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.bitwise_not(F.col(key)).alias("k"), F.col("_tie").alias("t"))).alias("first"))
     # The cell before each: within stretches of 4096 cells, and for the first of a stretch the last of those before it.
     first = first.withColumn("_stretch", F.floor(F.col("_cell") / 4096))
     ends = first.groupBy("_stretch").agg(F.max("_cell").alias("_end"))
@@ -101,7 +101,7 @@ def with_next(df: DataFrame, key: str, cols: list[str], rows_a_cell: int = 500)
     ends = ends.select("_stretch", F.coalesce(F.lag("_end").over(over), whole).alias("_back"))
     ahead = F.coalesce(F.lag("_cell").over(Window.partitionBy("_stretch").orderBy("_cell")), F.col("_back"))
     first = materialize(first.join(ends, "_stretch").select("_cell", ahead.alias("_to"), F.col("first.t").alias("_first"), F.col("first.k").alias("_key")), "next")
-    opens = (F.col("_tie") == F.col("_first")) & (-F.col(key)).eqNullSafe(F.col("_key"))
+    opens = (F.col("_tie") == F.col("_first")) & F.bitwise_not(F.col(key)).eqNullSafe(F.col("_key"))
     both = df.join(first, "_cell").withColumn("_copies", F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
     both = both.select("*", F.explode("_copies").alias("_guest")).withColumn("_home", F.when(F.col("_guest"), F.col("_to")).otherwise(F.col("_cell")))
     w = Window.partitionBy("_home").orderBy(F.col("_guest"), F.col(key).desc_nulls_last(), F.col("_tie"))
