@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import codecs
 import hashlib
 import html
+import lzma
 import re
 import unicodedata
 import zlib
@@ -32,16 +34,22 @@ PERCENT = re.compile(r"(?<![A-Za-z0-9._~+/=:&?-])(?:[A-Za-z0-9._~+/=:&?-]*+%[0-9
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#\d{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]{1,7};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
-SPACED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n(?!--)[A-Za-z0-9+/_-]{4,}+)+={0,2}")
+# Lines of any width; what is joined must have 16 characters or more, as above.
+SPACED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n(?!--)[A-Za-z0-9+/_-]{2,}+)+={0,2}")
 # In no secret and no encoding: texts may be parted behind them.
 APART = re.compile(r"""[^A-Za-z0-9_.=:&?~%\\#;"'\x20\r\n+/-]""")
 STEP, LONGEST = 1 << 18, 1 << 26
 PIECES = (re.compile(r"[^/]{16,}"), re.compile(r"[^/+_-]{16,}"))
 # Secrets and encodings are all of these characters, and none is shorter.
 LEGIBLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+# The same in UTF-16 of either byte order.
+WIDE = re.compile(rb"\x00?(?:[\t\n\r\x20-\x7e]\x00){11,}[\t\n\r\x20-\x7e]\x00?")
 STANDARD = str.maketrans("-_", "+/", "\r\n=")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
-ARCHIVE = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+BZIP, XZ = re.compile(rb"BZh[1-9]1AY&SY"), b"\xfd7zXZ\x00"
+ARCHIVE = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+XZ_MEMORY = 1 << 28
+BROKEN = (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError)
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -56,12 +64,22 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 def _plain(raw: bytes) -> str | None:
-    """UTF-8 that is mostly text; the legible parts of anything else are read apart."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if 5 * sum(c.isprintable() or c.isspace() or unicodedata.category(c) == "Cf" for c in text) >= 4 * max(len(text), 1) else None
+    """UTF-8 or UTF-16 that is mostly text; the legible parts of anything else are read apart."""
+    kinds = ["utf-8"]
+    if raw[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        kinds = ["utf-16"]
+    elif len(raw) % 2 == 0 and 2 * raw[1::2].count(0) > len(raw) // 2:
+        kinds = ["utf-16-le"]
+    elif len(raw) % 2 == 0 and 2 * raw[::2].count(0) > len(raw) // 2:
+        kinds = ["utf-16-be"]
+    for kind in kinds:
+        try:
+            text = raw.decode(kind)
+        except UnicodeDecodeError:
+            continue
+        if 5 * sum(c.isprintable() or c.isspace() or unicodedata.category(c) == "Cf" for c in text) >= 4 * max(len(text), 1):
+            return text
+    return None
 
 
 def _after_last(text: str) -> int:
@@ -73,20 +91,44 @@ def _after_last(text: str) -> int:
     return 0
 
 
-def _inflate(raw: bytes, most: int) -> Iterator[str]:
-    """Text of gzip or zlib streams, one after another, in pieces of about `most` bytes. A piece ends at a character that
-    is in no secret and no encoding; where there is none in `most` characters, the next piece begins with its last half."""
-    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
-    held, rest, cut = "", raw, 0
-    while rest.startswith(MAGIC):
-        d = zlib.decompressobj(47)
+def _opened(raw: bytes):
+    """A decompressor for what raw begins with (gzip, zlib, bzip2 or xz); None for anything else."""
+    if raw.startswith(MAGIC):
+        return zlib.decompressobj(47)
+    if BZIP.match(raw):
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=XZ_MEMORY) if raw.startswith(XZ) else None
+
+
+def _bare(raw: bytes) -> bool:
+    """Whether raw is a deflate stream without a header. Nothing marks one, so it must begin with text, and if it is
+    short, end where raw ends."""
+    d = zlib.decompressobj(-15)
+    try:
+        head = d.decompress(raw, 4096)
+    except zlib.error:
+        return False
+    ended = d.eof and not d.unused_data
+    return len(head) >= 12 and (ended or len(head) == 4096) and _plain(head[: len(head) // 4 * 4] if not ended else head) is not None
+
+
+def _inflate(raw: bytes, most: int, bare: bool = False) -> Iterator[str]:
+    """Text of gzip, zlib, bzip2 or xz streams, one after another (or of one bare deflate stream), in pieces of about `most`
+    bytes. A piece ends at a character that is in no secret and no encoding; where there is none in `most` characters, the
+    next piece begins with its last half. What comes before a damaged place counts. UTF-16 in an archive is read as such."""
+    decode, held, rest, cut = None, "", raw, 0
+    while d := (zlib.decompressobj(-15) if bare and rest is raw else None if bare else _opened(rest)):
         try:
             while not d.eof:
                 out = d.decompress(rest, STEP)
-                rest = d.unconsumed_tail
+                rest = getattr(d, "unconsumed_tail", b"")
                 if not out and not rest:
                     break
-                new = decode(out)
+                if decode is None and out:
+                    wide = out[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) or 3 * out.count(0) > len(out)
+                    order = "utf-16" if out[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) else "utf-16-be" if out[:1] == b"\0" else "utf-16-le"
+                    decode = codecs.getincrementaldecoder(order if wide else "utf-8")("replace").decode
+                new = decode(out) if decode else ""
                 last = _after_last(new)
                 cut = len(held) + last if last else cut
                 held += new
@@ -97,10 +139,12 @@ def _inflate(raw: bytes, most: int) -> Iterator[str]:
                     elif len(held) >= LONGEST:
                         yield held
                         held = held[len(held) // 2 :]
-        except zlib.error:
+        except BROKEN:
+            break
+        if bare:
             break
         rest = d.unused_data.lstrip(b"\0")
-    held += decode(b"", True)
+    held += decode(b"", True) if decode else ""
     if held:
         yield held
 
@@ -140,7 +184,10 @@ def _readings(s: str, most: int) -> Iterator[tuple[int, int, str | Iterator[str]
         raw = _bytes(body[i:j])
         pieces = _inflate(raw, most)
         first = next(pieces, "")
-        return chain([first], pieces) if first else _plain(raw)
+        if first:
+            return chain([first], pieces)
+        text = _plain(raw)
+        return _inflate(raw, most, True) if text is None and _bare(raw) else text
 
     found = whole(0, len(body))
     if found is not None:
@@ -158,7 +205,7 @@ def _readings(s: str, most: int) -> Iterator[tuple[int, int, str | Iterator[str]
             break
         raw = _bytes(body[k:])
         done = [(x, y) for x, y in taken if x % 4 == k]
-        parts = [(m.start(), m.end(), m[0].decode("ascii")) for m in LEGIBLE.finditer(raw)]
+        parts = [(m.start(), m.end(), m[0].replace(b"\0", b"").decode("ascii")) for p in (LEGIBLE, WIDE) for m in p.finditer(raw)]
         for m in ARCHIVE.finditer(raw):
             if any(b <= k + m.start() * 4 // 3 < e for b, e in done):
                 continue

@@ -271,3 +271,71 @@ def test_filters_have_no_false_negatives_and_leave_files_out(spark):
     found = set(erasure.shortlist(filters, spark.createDataFrame([(k,) for k in keys], "key long"), blocks))
     holding = {k for k, ids in sure.items() if ids & set(keys)}
     assert holding <= found and len(found) <= len(holding) + 2
+
+
+# ---- layers of secrets, ids of fingerprints
+
+
+SECRET = "some words before it: password = hunter2hunter2, and some behind"
+
+
+def packed(text, how):
+    import bz2
+    import gzip
+    import lzma
+
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = text.encode()
+    return {
+        "plain": raw, "utf-16": text.encode("utf-16"), "utf-16-le": text.encode("utf-16-le"), "utf-16-be": text.encode("utf-16-be"), "gzip": gzip.compress(raw), "zlib": zlib.compress(raw),
+        "deflate": deflate.compress(raw) + deflate.flush(), "bz2": bz2.compress(raw), "xz": lzma.compress(raw), "xz of utf-16": lzma.compress(text.encode("utf-16")),
+    }[how]
+
+
+@pytest.mark.parametrize("how", ["plain", "utf-16", "utf-16-le", "utf-16-be", "gzip", "zlib", "deflate", "bz2", "xz", "xz of utf-16"])
+@pytest.mark.parametrize("width", [0, 9, 20, 36, 64, 76])
+def test_secrets_in_every_kind_of_layer(how, width):
+    import base64
+    import textwrap
+
+    from rankloom.llm import secrets
+
+    code = base64.b64encode(packed(SECRET, how)).decode()
+    body = "\n".join(textwrap.wrap(code, width)) if width else code
+    text = f"a note\n\n{body}\n\nthe end"
+    base, spans = secrets.unwrap(text)
+    added = [x for x in spans if x not in base and x[2] == "assign"]
+    assert base == secrets.scan(text) and added
+    assert any(text[s:e].strip("=\n").startswith(body[:4]) or body.startswith(text[s:e][:4]) or s >= text.index(body) for s, e, _ in added)
+    assert all(text.index(body) <= s < e <= text.index(body) + len(body) for s, e, _ in added)
+    twice = base64.b64encode(packed(code, "gzip")).decode()
+    assert any(k == "assign" for *_, k in secrets.unwrap(twice)[1])
+
+
+def test_a_secret_over_a_line_end_is_found():
+    import base64
+
+    from rankloom.llm import secrets
+
+    code = base64.b64encode(b"x" * 20 + b" token: abcdefghijkl " + b"y" * 20).decode()
+    for width in (7, 12, 30, 36, 40):
+        body = "\n".join(code[i : i + width] for i in range(0, len(code), width))
+        assert any(k == "assign" for *_, k in secrets.unwrap(f"key {body}\nend")[1]), width
+
+
+def test_prose_in_short_lines_has_no_secrets():
+    from rankloom.llm import secrets
+
+    text = "\n".join(["several", "words", "stand", "in", "lines", "of", "their", "own"] * 50)
+    assert secrets.unwrap(text) == ([], [])
+
+
+def test_fingerprints_of_the_least_id(spark):
+    from rankloom.llm import fingerprints
+
+    rows = [(-(2**63), "the first of all ids stands here"), (2**63 - 1, "the last of all ids stands there"), (0, "nothing in between"), (None, "no id")]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = [rows[1], rows[2], rows[0], rows[3]]
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(text) // 3
+        assert got[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
