@@ -72,6 +72,7 @@ class InOrder(StatefulProcessor):
         self.held = handle.getMapState("held", "step long, metric double, minute long", "n long")
         self.seen = handle.getValueState("seen", "best double, streak int, n int")
         self.ends = handle.getValueState("ends", "minute long")
+        self.taken = handle.getValueState("taken", "minute long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
@@ -95,7 +96,11 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        passed = expiredTimerInfo.getExpiryTimeInMs() // 60_000
+        # The first timer of a batch takes all that the watermark has passed; the others find that done.
+        passed = timerValues.getCurrentWatermarkInMs() // 60_000
+        if self.taken.exists() and self.taken.get()[0] >= passed:
+            return
+        self.taken.update((passed,))
         due = sorted((tuple(k), v[0]) for k, v in self.held.iterator() if k[2] < passed)
         best, streak, n = self.seen.get() if self.seen.exists() else (None, 0, 0)
         out = []
@@ -110,6 +115,7 @@ class InOrder(StatefulProcessor):
         if self.ends.exists() and self.ends.get()[0] < passed:
             self.ends.clear()
             self.seen.clear()
+            self.taken.clear()
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in STOP.split(", ")])
 
