@@ -95,7 +95,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, group_rows: int = 6
     over several tasks. Rows of one code are one entry with its k + 1 lowest ids, which is all a search can use, so
     copies of a vector don't add up in a task. Rows that repeat an id are found as often as they occur, but a query's
     own id never; equal rows ask once; if an id with different codes is a query, each code asks, under the same
-    query_id, and the k best of all are kept. Ids below 0 are found as others are. See codes() for nulls."""
+    query_id, and the k best of all are kept. Ids below 0 are found as others are. See codes() for nulls.
+    Other columns are dropped; an empty table gives no rows."""
     coded = materialize(codes(vectors), "ham-codes")
     segments = 64 // SEGMENT
     times = coded.groupBy("code", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))

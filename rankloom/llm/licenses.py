@@ -157,7 +157,8 @@ def scan_licenses(files: DataFrame, threshold: float = 0.75) -> DataFrame:
     their TF-IDF cosine reaches threshold (cosine is that of the nearest line or sentence where none does); document frequencies come from all files. A directory has the licence of its licence file with the
     highest cosine (then the first path). A file without one of its own takes that of its nearest directory upwards;
     inherited_from names the directory ('' is the root), null for an own licence or none. A null path is the root's;
-    null texts have no licence of their own; equal rows give equal results; empty input gives no rows."""
+    null texts have no licence of their own; equal rows give equal results; empty input gives no rows; very long texts are
+    read to their end; other columns are dropped. Of a directory's licence files with one cosine the first path counts."""
     base = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path"), F.lit("")).alias("path"), F.coalesce(F.col("is_license_file"), F.lit(False)).alias("is_file"), F.col("text").cast("string").alias("text"))
     documents, df = corpus_counts(base)
 

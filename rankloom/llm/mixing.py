@@ -49,7 +49,8 @@ def mix(docs: DataFrame, seed: int = 7, cycle: tuple[float, ...] = CYCLE, most_e
     without replacement by ascending key -ln(u)/weight and summed up to the budget. The document at the budget's edge
     gives just the words that are missing (boundary="words"), or is taken whole if at least half of it fits
     (boundary="documents"). Equal rows share a key and stand side by side; documents of size 0 are taken 0 times, as
-    are all of a source whose words are none; null sources form one source. Empty input gives no rows.
+    are all of a source whose words are none; null sources form one source. Empty input gives no rows; very long
+    texts are documents of many words like any; other columns are dropped.
 
     A source may hold any share of the rows: its keys are laid into 4096 cells by 1-exp(-key), cells are summed before
     any shuffle by source, and rows are ranked one by one only inside the one cell where the budget ends."""

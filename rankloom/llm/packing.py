@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, linear: flo
     A scan without a shuffle: every task tokenises its rows and packs them in blocks of about `block_tokens` (16-bit or
     32-bit ids are held for one block only), so memory doesn't grow with the input and a lost task is simply run again.
     Null text counts as empty and still has its end id; equal rows are packed as rows of their own; a null doc_id
-    stays null; empty input gives no rows. Cost of a sequence: sum over pieces of linear*n + quadratic*n*n."""
+    stays null; empty input gives no rows; very long texts are cut into pieces like any; other columns are dropped. Cost of a sequence: sum over pieces of linear*n + quadratic*n*n."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

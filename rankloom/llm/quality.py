@@ -161,7 +161,8 @@ def score_quality(docs: DataFrame, fit_rows: int = 3_000) -> DataFrame:
 
     Every document's whole text is voted on and scored; training see train(). No quality labels are used. Texts without
     words (null, empty) get eight bad votes; equal texts get equal results, null ids stay null; empty input gives no
-    rows. Two scans and a bounded sample; no shuffle but of vote counts and the sample's ids."""
+    rows; very long texts are voted on and scored as a whole; other columns are dropped. Two scans and a bounded sample;
+    no shuffle but of vote counts and the sample's ids."""
     model = train(docs, fit_rows)
 
     def run(batches: Iterator) -> Iterator:

@@ -289,7 +289,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """doc_id, held_out, score, predicted for every document, from its whole text only.
 
     Null and empty texts have no hits and get the score of such texts; equal texts get equal scores; null ids are
-    scored and count as not held out; other columns are ignored. Scoring is one scan without a shuffle."""
+    scored and count as not held out; very long texts are read to their end; other columns are ignored. Scoring is one
+    scan without a shuffle."""
     return scored(docs, train(docs, labels, **fit))
 
 

@@ -339,3 +339,26 @@ def test_fingerprints_of_the_least_id(spark):
     for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         n = len(text) // 3
         assert got[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
+
+
+def test_very_long_texts(spark):
+    """Every scan reads a text of a million words to its end."""
+    from rankloom.llm import licenses, quality, secrets, toxicity
+
+    long = "plain words of no kind " * 200_000 + "token: abcdefghijkl"
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    assert got[1]["n_assign"] == 1 and got[1]["spans"] == f"assign:{len(long) - 19}:{len(long)}"
+    counted = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs, queries.tokenizer_path()).collect()}
+    assert counted[1] > 1_000_000 and counted[3] == 0
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(docs, labels).count() == 3 and quality.score_quality(docs).count() == 3
+    files = docs.select("doc_id", F.col("doc_id").cast("string").alias("path"), "text", F.lit(False).alias("is_license_file"))
+    assert licenses.scan_licenses(files).count() == 3
+
+
+def test_hard_negatives_equal_their_sql(spark):
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    want = c.execute(queries.oracle_sql()["op12_hard_negatives"]).fetchall()
+    assert sorted(map(tuple, queries.op12_hard_negatives(spark, DATA).collect())) == sorted(want) != []
