@@ -39,7 +39,11 @@ def scans_files(df: DataFrame) -> bool:
         below = node.children()
         nodes += [below.apply(i) for i in range(below.size())]
     names = [n.nodeName() for n in nodes]
-    return names.count("LogicalRelation") == 1 and set(names) <= {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"} and bool(df.inputFiles())
+    try:
+        df.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:  # not of files
+        return False
+    return names.count("LogicalRelation") == 1 and set(names) <= {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"}
 
 
 def numbered(df: DataFrame, out: str) -> DataFrame:
