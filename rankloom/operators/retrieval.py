@@ -13,6 +13,8 @@ from .index import LEVELS, VARIANTS, Index, _remove, impact, raw_idf
 __all__ = ["Index", "VARIANTS", "_remove", "raw_idf"]
 # Scores are rounded to six decimals before ranks: bounds must leave that much room.
 ROOM = 2e-6
+# Postings of a batch of queries that are scored in one pass.
+ONE_PASS = 20_000_000
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """text, term, qtf of the different texts of queries."""
@@ -48,17 +50,21 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scored(index: Index, texts: DataFrame, k: int, variant: str) -> DataFrame:
+def scored(index: Index, texts: DataFrame, k: int, variant: str, one_pass: int = ONE_PASS) -> DataFrame:
     """id, doc_id, score for texts (id, text): the k best documents of each are among them, with their whole scores.
 
     Documents come in by the postings of needed terms only, and only by postings that, with the most the other terms can
     add, reach the floor. What the k best of these have so far is a higher floor for all, and the other terms' postings are
     looked up only for documents that can still reach it. So the postings of a frequent word are dealt out for few
-    documents, not for all."""
+    documents, not for all. Texts whose terms have at most one_pass postings together are scored in one pass, with the same
+    best: there the bounds cost more than they save."""
     terms = texts.select("id", F.explode(tokens_ascii(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    part = (F.col("weight") * impact(variant, index.avgdl)).alias("part")
+    plain = _kept(terms.join(index.statistics.select("term", "df"), "term").select("id", "term", "df", (F.col("qtf") * index.idf(variant)).alias("weight")))
+    if (plain.agg(F.sum("df")).first()[0] or 0) <= one_pass:
+        return index.candidates(plain.drop("df")).select("id", "doc_id", part).groupBy("id", "doc_id").agg(F.sum("part").alias("score"))
     known = _kept(bounds(index, terms, k, variant, "id"))
     postings = index.read(known)
-    part = (F.col("weight") * impact(variant, index.avgdl)).alias("part")
     first = index.candidates(known.where("needed").select("id", "term", "weight", "rest", "floor", "spare", "drag"), postings)
     first = first.select("id", "doc_id", part, "rest", "floor", "spare", "drag").where("part + rest >= floor")
     first = first.groupBy("id", "doc_id").agg(F.sum("part").alias("score"), *[F.first(c).alias(c) for c in ("floor", "spare", "drag")])
@@ -73,14 +79,14 @@ def scored(index: Index, texts: DataFrame, k: int, variant: str) -> DataFrame:
     return first.unionByName(more.withColumnRenamed("part", "score")).groupBy("id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def top_k(index: Index, queries: DataFrame, k: int, variant: str = "okapi", keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+def top_k(index: Index, queries: DataFrame, k: int, variant: str = "okapi", keys: tuple[str, ...] = ("qid",), one_pass: int = ONE_PASS) -> DataFrame:
     """Ranked hits of queries (keys..., text): documents that share a term, by score (6 decimals), then doc_id. Equal query
     texts are searched once; blank ones find nothing. The k best of each query are kept before the final shuffle (window
     group limit)."""
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant}")
     texts = _kept(queries.select("text").distinct().select("text", F.monotonically_increasing_id().alias("id")))
-    s = scored(index, texts, k, variant).withColumn("score", F.round("score", 6))
+    s = scored(index, texts, k, variant, one_pass).withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "doc_id"))
     s = s.withColumn("rank", rank).where(F.col("rank") <= k)
     return queries.join(texts.join(s, "id").drop("id"), "text").select(*keys, "doc_id", "score", F.col("rank").cast("int").alias("rank"))
