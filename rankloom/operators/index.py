@@ -12,6 +12,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stem import porter
 from ..functions.text import tokens_ascii
 
 # k1 and b of the variants (fixed values).
@@ -98,7 +99,7 @@ class Index:
     postings (term, doc_id, tf, dl, shard, part; partitioned by part, a hash of the term, and in order of term), statistics
     (term, df, cf, shards, and for each variant <variant>_max, its greatest impact, and <variant>_at, how many postings have
     at least i sixteenths of the greatest possible one), lengths (doc_id, dl) and numbers of the whole corpus. All counts are as they
-    were when it was built."""
+    were when it was built. With stem, terms are Porter's stems, of texts and of queries."""
 
     postings: DataFrame
     statistics: DataFrame
@@ -109,6 +110,7 @@ class Index:
     shards: int
     parts: int
     place: str
+    stem: bool = False
 
     @property
     def terms(self) -> DataFrame:
@@ -116,10 +118,10 @@ class Index:
         return self.statistics.select("term", "df", "cf")
 
     @staticmethod
-    def build(docs: DataFrame, path: str, shard_rows: int = 1_000_000, parts: int | None = None) -> Index:
+    def build(docs: DataFrame, path: str, shard_rows: int = 1_000_000, parts: int | None = None, stem: bool = False) -> Index:
         """Write the index of docs (doc_id, text) below path, in place of any that is there. Documents without tokens have
         no length and no posting."""
-        made = _write(docs, path, shard_rows, parts)
+        made = _write(docs, path, shard_rows, parts, stem)
         for g in _generations(docs.sparkSession, path):
             if g != made.place:
                 _remove(docs.sparkSession, g)
@@ -135,19 +137,23 @@ class Index:
         raise FileNotFoundError(f"no whole index in {path}")
 
     @staticmethod
-    def ensure(docs: DataFrame, path: str, content: bool = False) -> Index:
+    def ensure(docs: DataFrame, path: str, content: bool = False, stem: bool = False) -> Index:
         """The whole index below path, or else a new one of docs.
 
         An index is a generation, a folder of its own below path, and counts from the moment its manifest is there, which is
         written last. A generation that its manifest doesn't fit is damaged: a new one is written beside it, and then it
         goes. Two sessions may both write one; the first to be found whole stands, and the other's is dropped. A
-        generation without a manifest is another session's unfinished one; after a day it counts as abandoned."""
+        generation without a manifest is another session's unfinished one; after a day it counts as abandoned. A whole
+        index of the other kind of terms is an error: both kinds need paths of their own."""
         spark = docs.sparkSession
         try:
-            return Index.open(spark, path, content)
+            found = Index.open(spark, path, content)
+            if found.stem != stem:
+                raise ValueError(f"the index in {path} is {'' if found.stem else 'not '}one of stems")
+            return found
         except FileNotFoundError:
             damaged = [g for g in _generations(spark, path) if _get(spark, f"{g}/manifest.json") is not None or _abandoned(spark, g)]
-        made = _write(docs, path)
+        made = _write(docs, path, stem=stem)
         stands = Index.open(spark, path)
         if stands.place != made.place:
             _remove(spark, made.place)
@@ -157,13 +163,17 @@ class Index:
         return stands
 
     @staticmethod
-    def of(docs: DataFrame, folder: str) -> Index:
+    def of(docs: DataFrame, folder: str, stem: bool = False) -> Index:
         """The index of a table of files, kept in folder under the files' names, sizes and times: it is built once and
         found again as long as the files are the same."""
         files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
         hashed = F.xxhash64(*files.columns)
         count, a, b = files.agg(F.count(F.lit(1)), F.hex(F.coalesce(F.bit_xor(hashed), F.lit(0))), F.hex(F.coalesce(F.sum(F.shiftright(hashed, 24)), F.lit(0)))).first()
-        return Index.ensure(docs, f"{folder}/bm25-{count}-{a}-{b}")
+        return Index.ensure(docs, f"{folder}/bm25-{count}-{a}-{b}{'-porter' if stem else ''}", stem=stem)
+
+    def tokens(self, text: Column) -> Column:
+        """The terms of a text, in order."""
+        return terms_of(text, self.stem)
 
     def idf(self, variant: str = "okapi", epsilon: float = 0.25) -> Column:
         """Of a term's df: Okapi's, where negative ones become a share of the mean over all terms, or Lucene's."""
@@ -195,11 +205,15 @@ class Index:
         return spread.join(postings, ["term", "shard"]).drop("shard")
 
 
+def terms_of(text: Column, stem: bool) -> Column:
+    return porter(tokens_ascii(text)) if stem else tokens_ascii(text)
+
+
 def part_of(parts: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
 
 
-def _write(docs: DataFrame, path: str, shard_rows: int = 1_000_000, parts: int | None = None) -> Index:
+def _write(docs: DataFrame, path: str, shard_rows: int = 1_000_000, parts: int | None = None, stem: bool = False) -> Index:
     """A new generation of the index below path.
 
     Texts are read and split once. Tokens are counted within tasks before they are dealt by (term, document), so a term that
@@ -210,7 +224,7 @@ def _write(docs: DataFrame, path: str, shard_rows: int = 1_000_000, parts: int |
     docs, cores = docs.select("doc_id", "text"), spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # a small table in few files: its texts are dealt to all cores first
         docs = docs.repartition(2 * cores)
-    words = docs.select("doc_id", tokens_ascii(F.col("text")).alias("w"))
+    words = docs.select("doc_id", terms_of(F.col("text"), stem).alias("w"))
     tokens = words.select("doc_id", F.size("w").alias("dl"), F.posexplode("w").alias("at", "term"))
     raw = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.max(F.col("at") == 0).alias("first"))
     seen = _written(raw, f"{place}/raw", F.count_if("first").alias("n"), F.avg(F.when(F.col("first"), F.col("dl"))).alias("avgdl"))
@@ -239,7 +253,7 @@ def _write(docs: DataFrame, path: str, shard_rows: int = 1_000_000, parts: int |
     made["postings"] = _written(postings, f"{place}/postings", by="part")
     _remove(spark, f"{place}/raw")
 
-    numbers = {"n": n, "avgdl": avgdl, "mean_raw": made["terms"].pop("mean_raw") or 0.0, "shards": made["terms"].pop("most") or 1, "parts": parts}
+    numbers = {"n": n, "avgdl": avgdl, "mean_raw": made["terms"].pop("mean_raw") or 0.0, "shards": made["terms"].pop("most") or 1, "parts": parts, "stem": stem}
     _put(spark, f"{place}/manifest.json", json.dumps({**numbers, "tables": made, "files": _files(spark, place)}))
     return _whole(spark, place)
 
@@ -281,4 +295,4 @@ def _whole(spark: SparkSession, place: str, content: bool = False) -> Index | No
                 raise
             if tuple(row) != (x["rows"], x["mark"]):
                 return None
-    return Index(frames["postings"], frames["terms"], frames["lengths"], m["n"], m["avgdl"], m["mean_raw"], m["shards"], m["parts"], place)
+    return Index(frames["postings"], frames["terms"], frames["lengths"], m["n"], m["avgdl"], m["mean_raw"], m["shards"], m["parts"], place, m.get("stem", False))

@@ -58,7 +58,7 @@ def scored(index: Index, texts: DataFrame, k: int, variant: str, one_pass: int =
     looked up only for documents that can still reach it. So the postings of a frequent word are dealt out for few
     documents, not for all. Texts whose terms have at most one_pass postings together are scored in one pass, with the same
     best: there the bounds cost more than they save."""
-    terms = texts.select("id", F.explode(tokens_ascii(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = texts.select("id", F.explode(index.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     part = (F.col("weight") * impact(variant, index.avgdl)).alias("part")
     plain = _kept(terms.join(index.statistics.select("term", "df"), "term").select("id", "term", "df", (F.col("qtf") * index.idf(variant)).alias("weight")))
     if (plain.agg(F.sum("df")).first()[0] or 0) <= one_pass:
@@ -99,7 +99,7 @@ def padded(hits: DataFrame, index: Index, queries: DataFrame, k: int, keys: tupl
     Of n hits and k - n fillers no filler lies beyond the first k documents of the corpus: only those are looked at."""
     first = index.lengths.select("doc_id").orderBy("doc_id").limit(k)  # k rows: a bound
     found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    short = queries.where(F.size(tokens_ascii(F.col("text"))) > 0).select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    short = queries.where(F.size(index.tokens(F.col("text"))) > 0).select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
     fill = short.crossJoin(F.broadcast(first)).join(hits.select(*keys, "doc_id"), [*keys, "doc_id"], "left_anti")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")) + F.col("n")
     fill = fill.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
@@ -112,7 +112,9 @@ def containment_qrels(index: Index, docs: DataFrame, queries: DataFrame) -> Data
     Words between others in the text are whole words in the document: the rarest is looked up. A text of two words has
     none; its first word ends some word of the document. A single word lies somewhere in one. These are found by the
     endings, and by the stretches of the words' lengths, of the vocabulary. A text without an ASCII letter, digit or
-    underscore has no word to look up and no judgements."""
+    underscore has no word to look up and no judgements. The index must be of whole words, not of stems."""
+    if index.stem:
+        raise ValueError("words inside texts are looked up in an index of whole words")
     words = queries.select("qid", "text", tokens_ascii(F.col("text")).alias("w"))
     inner = words.where(F.size("w") > 2).select("qid", "text", F.explode(F.array_distinct(F.expr("slice(w, 2, size(w) - 2)"))).alias("term"))
     wanted = inner.join(index.terms, "term").groupBy("qid", "text").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
