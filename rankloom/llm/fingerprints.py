@@ -78,9 +78,29 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(df: DataFrame, key: str, cols: list[str], rows_a_cell: int = 500) -> DataFrame:
     """Adds next_<c>: c of the row that follows in descending key order (null keys last, ties by the hash of the first column);
-    the first row follows the last. Rows are laid into cells by a piecewise linear map through 64 quantiles, so that no
+    the first row follows the last. Rows equal in key and first column (128 bits of hash) are counted: one of them takes
+    its place among the others, and the rest, each followed by its like, is made of it in pieces of rows_a_cell rows, so
+    that a row that fills a third of the table is no task's own."""
+    same = ["_tie", "_tie2"]
+    marked = df.withColumn("_tie", F.xxhash64(cols[0])).withColumn("_tie2", F.xxhash64(F.lit(1), cols[0]))
+    times = materialize(marked.groupBy(F.col(key).alias("_at"), *[F.col(c).alias(f"_at{c}") for c in same]).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"), "copies")
+    if times.isEmpty():
+        return _followed(df, key, cols, rows_a_cell)
+    like = F.col(key).eqNullSafe(F.col("_at")) & (F.col("_tie") == F.col("_at_tie")) & (F.col("_tie2") == F.col("_at_tie2"))
+    marked = marked.join(times, like, "left")
+    many = materialize(marked.where("_times is not null").dropDuplicates([key, *same]).select(*df.columns, "_times"), "copied")
+    each = _followed(marked.where("_times is null").select(*df.columns).unionByName(many.drop("_times")), key, cols, rows_a_cell)
+    pieces = many.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 2) / rows_a_cell))))
+    pieces = pieces.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    rest = F.least(F.lit(rows_a_cell), F.col("_times") - 1 - F.col("_piece") * rows_a_cell)
+    again = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), rest)))
+    return each.unionByName(again.select(*df.columns, *[F.col(c).alias(f"next_{c}") for c in cols]))
+
+
+def _followed(df: DataFrame, key: str, cols: list[str], rows_a_cell: int) -> DataFrame:
+    """with_next of rows that differ in key or first column. Rows are laid into cells by a piecewise linear map through 64 quantiles, so that no
     task sorts more than about its share; the first row of each cell is also sent to the cell before it. A key that holds
-    several quantiles, and null keys, are laid out by the tie hash; only rows equal in key and text share a place."""
+    several quantiles, and null keys, are laid out by the tie hash."""
     n, some, knots = df.agg(F.count(F.lit(1)), F.count(key), F.percentile_approx(key, [i / 64 for i in range(65)], 2000)).first()
     knots = knots or []
     cells, empty = max(1, some // rows_a_cell), max(1, (n - some) // rows_a_cell)
