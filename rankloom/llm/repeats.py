@@ -161,15 +161,15 @@ def hot_windows(hot: DataFrame, depth: int) -> DataFrame:
     return single.where("times = 1").join(twice, ["h1", "h2"], "left_semi").select("uid", "s", "e").unionByName(found.where("times = 0").select("uid", "s", "e"))
 
 
-def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_000, hot_texts: int = 1_000) -> DataFrame:
+def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_000, hot_runs: int = 1_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document.
 
     Suffixes are told apart by most significant digits and only `depth` bytes deep. The first pass takes suffixes at
     anchors alone (content-chosen, every window has exactly one) with a digit of 232 bytes; groups of one drop out.
     The second pass orders the windows of the groups that are left by all their bytes; equal windows are the repeats.
     Every window takes part in exactly one group and equal windows in the same, so this is the full radix order's
-    result. Windows are compared by 128-bit hashes. The groups of digits found in over `hot_texts` texts, which could
-    each fill a task, are ordered by their next digit and then by counts (see hot_windows), with the same result.
+    result. Windows are compared by 128-bit hashes. The groups of digits with over `hot_runs` runs, in many texts or
+    in one, which could each fill a task, are ordered by their next digit and then by counts (see hot_windows), with the same result.
 
     Copies of a whole text are counted first and one of them goes on; all of a copied text of `depth` bytes or more is
     removed. Null text counts as empty (0 bytes, SHA-256 of nothing); equal rows are copies; null ids stay null; texts
@@ -180,24 +180,25 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
         import pyarrow as pa
 
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = _bytes(value)
                 parts = [d for *_, d in runs(data, depth)]
                 digits, times = np.unique(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64), return_counts=True)
-                row = (doc, hashlib.sha256(data).hexdigest(), hashlib.blake2b(data, digest_size=16).digest(), len(data), digits[times == 1], digits[times > 1])
+                row = (doc, hashlib.sha256(data).hexdigest(), hashlib.blake2b(data, digest_size=16).digest(), len(data), digits[times == 1], digits[times > 1], times[times > 1])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "sha256", "uid", "n_bytes", "once", "often"])
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "sha256", "uid", "n_bytes", "once", "often", "counts"])
 
-    rows = materialize(base.mapInArrow(first_digits, "doc_id long, sha256 string, uid binary, n_bytes long, once array<long>, often array<long>"), "rep-digits")
+    rows = materialize(base.mapInArrow(first_digits, "doc_id long, sha256 string, uid binary, n_bytes long, once array<long>, often array<long>, counts array<long>"), "rep-digits")
     texts = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"))
-    single = rows.where(F.col("n_bytes") >= depth).select("uid", "once", "often").dropDuplicates(["uid"])
-    mark = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("digit"), F.lit(n).alias("times")))
-    single = single.select("uid", F.explode(F.concat(mark("once", 1), mark("often", 2))).alias("x")).select("uid", "x.*")
+    single = rows.where(F.col("n_bytes") >= depth).select("uid", "once", "often", "counts").dropDuplicates(["uid"])
+    once = F.transform("once", lambda x: F.struct(x.alias("digit"), F.lit(1).cast("long").alias("times")))
+    often = F.zip_with("often", "counts", lambda x, n: F.struct(x.alias("digit"), n.alias("times")))
+    single = single.select("uid", F.explode(F.concat(once, often)).alias("x")).select("uid", "x.*")
     single = materialize(single, "rep-single")
-    again = single.groupBy("digit").agg(F.sum("times").alias("n")).where("n > 1").select("digit", (F.col("n") > hot_texts).alias("is_hot"))
+    again = single.groupBy("digit").agg(F.sum("times").alias("n")).where("n > 1").select("digit", (F.col("n") > hot_runs).alias("is_hot"))
     either = lambda hot: F.collect_list(F.when(F.col("is_hot") == hot, F.col("digit")))
     picked = single.join(again, "digit").groupBy("uid").agg(either(False).alias("digits"), either(True).alias("hot"))
 

@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import erasure, hardneg, queries, tokencount
+from rankloom.llm import erasure, fingerprints, hardneg, queries, repeats, tokencount
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("clients", "clicks", "sales", "sale_lines")
@@ -331,8 +331,6 @@ def test_prose_in_short_lines_has_no_secrets():
 
 
 def test_fingerprints_of_the_least_id(spark):
-    from rankloom.llm import fingerprints
-
     rows = [(-(2**63), "the first of all ids stands here"), (2**63 - 1, "the last of all ids stands there"), (0, "nothing in between"), (None, "no id")]
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     order = [rows[1], rows[2], rows[0], rows[3]]
@@ -362,3 +360,42 @@ def test_hard_negatives_equal_their_sql(spark):
     c.execute(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
     want = c.execute(queries.oracle_sql()["op12_hard_negatives"]).fetchall()
     assert sorted(map(tuple, queries.op12_hard_negatives(spark, DATA).collect())) == sorted(want) != []
+
+
+def test_a_row_repeated_over_a_third_of_the_table(spark):
+    """Copies of one row lie in many tasks, each followed by its like but the last."""
+    rows = [(i, f"own {i}") for i in range(-1000, 1000)] + [(5, "same")] * 1000 + [(None, "none")] * 300
+    df = spark.createDataFrame(rows, "k long, t string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        got = fingerprints.with_next(df, "k", ["t"], 20).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    tie = {r["t"]: r["h"] for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = Counter((k, t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
+    assert Counter((r["k"], r["t"], r["next_t"]) for r in got) == want
+    assert max(Counter(r["task"] for r in got).values()) < len(rows) / 5
+    assert max(Counter(r["task"] for r in got if r["t"] == "same").values()) <= 60
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_runs": 20}])
+def test_a_stretch_that_one_text_repeats(spark, limits):
+    """One digit has hundreds of runs in a single text, between stretches that differ."""
+    rnd = random.Random(1)
+    noise = lambda n: "".join(rnd.choices("abcdefghij", k=n))
+    fill = noise(390)
+    texts = {1: "".join(fill + noise(200) for _ in range(60)), 2: fill + noise(50) + fill, 3: noise(900), 4: ""}
+    texts[5] = noise(30) + texts[1][590:2400]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.strip_repeats(df, **limits).collect()}
+    raw = {i: t.encode() for i, t in texts.items()}
+    seen = Counter(b[s : s + 400] for b in raw.values() for s in range(len(b) - 399))
+    for i, b in raw.items():
+        cover = bytearray(len(b))
+        for s in range(len(b) - 399):
+            if seen[b[s : s + 400]] > 1:
+                cover[s : s + 400] = b"\1" * 400
+        kept = bytes(x for x, c in zip(b, cover, strict=True) if not c)
+        runs = sum(1 for j, c in enumerate(cover) if c and (j == 0 or not cover[j - 1]))
+        assert got[i] == (len(b), sum(cover), runs, hashlib.sha256(kept).hexdigest())

@@ -48,13 +48,13 @@ def brute_removed(texts, depth=400):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_texts": 1}, {"hot_texts": 3}])
+@pytest.mark.parametrize("limits", [{}, {"hot_runs": 1}, {"hot_runs": 3}])
 def test_repeats(docs, texts, limits):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.strip_repeats(docs, **limits).collect()}
     assert got == brute_removed(texts)
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_texts": 1}])
+@pytest.mark.parametrize("limits", [{}, {"hot_runs": 1}])
 def test_repeats_periodic(spark, limits):
     texts = {1: "ab" * 400, 2: "x" * 399, 3: "y" * 400, 4: "é" * 300, 5: "".join(f"{i} " for i in range(400)), 6: "q" + "".join(f"{i} " for i in range(300))}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
