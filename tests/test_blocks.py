@@ -46,3 +46,13 @@ def test_repeated_ids_and_both_joins(spark, tmp_path):
     terms = spark.createDataFrame([("red", 1), ("fox", 2), ("none", 3)], "term string, q int")
     both = [sorted((r["term"], r["q"], r["doc_id"], r["tf"]) for r in made.candidates(terms, few_terms=n).collect()) for n in (0, 10)]
     assert both[0] == both[1] == [("fox", 2, 1, 1), ("fox", 2, 4, 1), ("red", 1, 1, 3), ("red", 1, 2, 1)]
+
+
+def test_hits_and_judgements_are_written_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a red fox runs far away"), (2, "a fox, red; runs"), (3, "far red fox runs a away")], "doc_id long, text string")
+    made = R.Index.build(docs, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "red fox runs far"), (2, "a red fox runs far away"), (3, "a unicorn fox"), (4, "fox, red"), (5, "red fox runs")], "qid long, text string")
+    hits, judged = R.top_k(made, asked, 2), R.containment_qrels(made, docs, asked)
+    assert {tuple(r) for r in judged.collect()} == {(1, 1), (2, 1), (4, 2), (5, 1), (5, 3)}
+    for df in (hits, judged):  # what reads them several times finds files, neither a search nor the documents
+        assert len(df._jdf.queryExecution().executedPlan().toString().splitlines()) <= 4
