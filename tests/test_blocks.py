@@ -56,3 +56,12 @@ def test_hits_and_judgements_are_written_once(spark, tmp_path):
     assert {tuple(r) for r in judged.collect()} == {(1, 1), (2, 1), (4, 2), (5, 1), (5, 3)}
     for df in (hits, judged):  # what reads them several times finds files, neither a search nor the documents
         assert len(df._jdf.queryExecution().executedPlan().toString().splitlines()) <= 4
+
+
+def test_one_pass_deals_postings_by_document_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"red fox w{i % 7}") for i in range(100)], "doc_id long, text string")
+    made = R.Index.build(docs, str(tmp_path / "i"))
+    df = R.scored(made, spark.createDataFrame([(0, "red w3"), (1, "w3 fox")], "id long, text string"), 5, "okapi")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(id" not in plan
+    assert df.count() == 200
