@@ -58,7 +58,8 @@ def test_hits_and_judgements_are_written_once(spark, tmp_path):
         assert len(df._jdf.queryExecution().executedPlan().toString().splitlines()) <= 4
 
 
-def test_one_pass_deals_postings_by_document_only(spark, tmp_path):
+def test_one_pass_deals_postings_by_document_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "PAIRS_A_TASK", 50)  # one partition wouldn't be dealt by a key
     docs = spark.createDataFrame([(i, f"red fox w{i % 7}") for i in range(100)], "doc_id long, text string")
     made = R.Index.build(docs, str(tmp_path / "i"))
     df = R.scored(made, spark.createDataFrame([(0, "red w3"), (1, "w3 fox")], "id long, text string"), 5, "okapi")
