@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,33 @@ def test_one_pass_deals_postings_by_document_only(spark, tmp_path, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(id" not in plan
     assert df.count() == 200
+
+
+def test_a_task_gives_on_the_best_of_each_text_only(spark, tmp_path):
+    docs = spark.range(3000).select((3000 - F.col("id")).alias("doc_id"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("w"), F.col("id") % 3), F.when(F.col("id") % 500 == 0, "rare")).alias("text"))
+    made = R.Index.build(docs, str(tmp_path / "i"))
+    asked = [(0, "common w1"), (1, "rare"), (2, "common rare"), (3, "none")]
+    df = R.scored(made, spark.createDataFrame(asked, "id long, text string"), 5, "lucene", cut=True)
+    rows = df.collect()
+    assert len(rows) <= 3 * 5 * df.rdd.getNumPartitions()  # not a row for each text and document
+    best = {i: sorted((-round(r["score"], 6), r["doc_id"]) for r in rows if r["id"] == i)[:5] for i, _ in asked}
+    assert [d for _, d in best[0]] == [2, 5, 8, 11, 14] and [d for _, d in best[1]] == [d for _, d in best[2]] == [500, 1000, 1500, 2000, 2500] and not best[3]
+
+
+def test_best_of_task_equals_sorting():
+    rnd = random.Random(7)
+    for _ in range(200):
+        k, docs, few = rnd.choice([1, 2, 5, 50]), rnd.choice([3, 20, 200]), rnd.choice([0.02, 0.9])
+        names = [None, *[f"d{i:03}" for i in range(1, docs)]]
+        rows = [(t, names[d], rnd.choice([0.5, 0.25, 1.0, 1 / 3])) for t in range(rnd.randint(1, 8)) for d in range(docs) if rnd.random() < few]
+        rnd.shuffle(rows)
+        asked = [(i, t, rnd.choice([1.0, 0.5, -0.3])) for i, t in sorted({(rnd.randint(0, 9), rnd.randint(0, 8)) for _ in range(12)})]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in x], t) for i, t in enumerate((pa.int64(), pa.string(), pa.float64()))], names=["number", "doc_id", "impact"]) for x in (rows[: len(rows) // 2], rows[len(rows) // 2 :])]
+        got = [(r["id"], -round(r["score"], 6), r["doc_id"] or "") for b in R._best_of_task(*[np.array(x) for x in zip(*asked, strict=True)], k)(batches) for r in b.to_pylist()]
+        sums = Counter()
+        for i, t, w in asked:
+            for term, d, x in rows:
+                if term == t:
+                    sums[i, d or ""] += w * x
+        for i in {i for i, _, _ in asked}:
+            assert sorted((s, d) for j, s, d in got if j == i)[:k] == sorted((-round(s, 6), d) for (j, d), s in sums.items() if j == i)[:k]
