@@ -97,3 +97,15 @@ def test_best_of_task_equals_sorting():
                     sums[i, d or ""] += w * x
         for i in {i for i, _, _ in asked}:
             assert sorted((s, d) for j, s, d in got if j == i)[:k] == sorted((-round(s, 6), d) for (j, d), s in sums.items() if j == i)[:k]
+
+
+def test_a_build_deals_blocks_without_sampling_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "POSTINGS_A_TASK", 500)
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("all w"), F.col("id") % 90, F.lit(" v"), F.col("id") % 70).alias("text"))
+    # Ranges of a sort are found by reading all that is dealt one more time.
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda *a: pytest.fail("blocks are read for a sample"))
+    made = R.Index.build(docs, str(tmp_path / "i"), parts=20)
+    assert {(r["term"], r["df"]) for r in made.terms.collect()} == {("all", 1000), *((f"w{i}", 12 if i < 10 else 11) for i in range(90)), *((f"v{i}", 15 if i < 20 else 14) for i in range(70))}
+    held = {r[0]: r[1] for r in made.blocks.select("part", "_metadata.file_path").distinct().groupBy("part").count().collect()}
+    assert set(held) == {r[0] for r in made.terms.select(I.part_of(20)).distinct().collect()}
+    assert max(held.values()) <= 2  # 6 tasks: a part's terms lie in one or two of the ranges
