@@ -9,6 +9,7 @@ import re
 import shutil
 import threading
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,20 @@ def test_two_sessions_at_once(spark, stored):
     assert not errors and len(found) == 2
     assert sorted(found[0].postings.collect()) == sorted(found[1].postings.collect())
     assert R.Index.open(spark, path).n == found[0].n
+
+
+def test_damaged_content_doesnt_stand_for_its_name(spark, stored, monkeypatch):
+    names = iter(range(10**6))  # the damaged generation comes first by name
+    monkeypatch.setattr(I, "uuid", SimpleNamespace(uuid4=lambda: SimpleNamespace(hex=f"{next(names):032x}")))
+    docs, path = stored
+    first = R.Index.ensure(docs, path)
+    target = some_file(f"{first.place}/lengths")
+    data = bytearray(open(target, "rb").read())
+    middle = data.index(b"PAR1") + 40
+    data[middle : middle + 8] = b"\xff" * 8
+    open(target, "wb").write(data)
+    for crc in glob.glob(f"{first.place}/lengths/.*.crc"):
+        os.remove(crc)
+    second = R.Index.ensure(docs, path, content=True)
+    assert second.place > first.place and second.lengths.count() == first.n
+    assert [os.path.basename(p) for p in glob.glob(f"{path}/*")] == [os.path.basename(second.place)]
