@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -62,6 +63,29 @@ def test_repeats_periodic(spark, limits):
     assert got == brute_removed(texts)
 
 
+@pytest.mark.parametrize("limits", [{}, {"hot_runs": 2}])
+def test_repeats_of_planted_passages(spark, limits):
+    """Passages of over 50 words in three documents each: whole from 400 bytes on, untouched below; clean documents stay."""
+    rnd = random.Random(9)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé", k=rnd.randint(3, 9))) for _ in range(n))
+    passages = [words(rnd.randint(51, 70)) for _ in range(40)]
+    for n in range(396, 405):
+        p = words(80).encode()[: n - 3].decode(errors="ignore").rstrip()
+        passages.append(p + "x" * (n - len(p.encode())))
+    texts = {1000 + i: words(120) for i in range(30)}
+    for k, p in enumerate(passages):
+        texts |= {10 * k + j: f"{words(60)}{gap}{p}{gap}{words(60)}" for j, gap in enumerate(" \n\t")}
+    assert all(len(WORD.findall(p)) > 50 for p in passages) and {len(p.encode()) >= 400 for p in passages} == {True, False}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.strip_repeats(df, **limits).collect()}
+    assert got == brute_removed(texts)
+    for k, p in enumerate(passages):
+        n = len(p.encode())
+        assert [got[10 * k + j][1:3] for j in range(3)] == [(n, 1) if n >= 400 else (0, 0)] * 3
+    assert all(got[i][1] == 0 for i in texts if i >= 1000)
+    assert all(got[i][0] == len(t.encode()) for i, t in texts.items())  # n_bytes is the input's length, whatever is removed
+
+
 @pytest.mark.parametrize("limits", [{}, {"most": 4, "levels": 2, "tile": 4, "crowd": 2}, {"tokens_a_set": 2, "tile": 16}, {"crowd": 1}])
 def test_near_duplicates(spark, limits):
     base = " ".join(f"w{i}" for i in range(120))
