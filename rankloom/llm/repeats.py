@@ -1,4 +1,5 @@
-"""Removal of long strings that repeat anywhere in a corpus, by depth-limited radix passes over suffixes."""
+"""Removal of long strings that repeat anywhere in a corpus, by depth-limited radix passes over suffixes; count of words in
+passages that other texts hold as well, by the same passes over words."""
 
 from __future__ import annotations
 
@@ -9,9 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, mix, powers, _BYTE, _INV, _ODD
+from .shared import materialize, mix, powers, word_hashes, _BYTE, _INV, _ODD
 
-GRAM = 64
+GRAM, WORD_GRAM = 64, 12
 BLOCK = 1 << 19
 
 
@@ -32,13 +33,22 @@ def _tables(n: int) -> list[np.ndarray]:
     return _KEPT
 
 
+def _anchors(grams: np.ndarray, wide: int, starts: int) -> np.ndarray:
+    """For each of the first `starts` places the place of the least of `wide` grams from there on (leftmost if equal)."""
+    packed = (grams & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(grams), dtype=np.uint64)
+    grid = np.concatenate([packed, np.full(-len(packed) % wide, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, wide)
+    ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return (np.minimum(behind[:starts], ahead[wide - 1 : wide - 1 + starts]) & np.uint64(0xFFFFF)).astype(np.int64)
+
+
 def runs(data: np.ndarray, depth: int) -> Iterator[tuple]:
     """For the windows of `depth` bytes that start in one block after the other: (start of the block, its sums and inverse
     powers), first start, last start, start and end of the digit, and the digit of each run of windows.
 
     The anchor of a window is its 64-byte stretch of least hash (leftmost if equal), so equal windows have it at the
     same offset. The windows of an anchor fall in two: those with more of their bytes behind the anchor share the
-    digit of the bytes from it on, the others the digit of the bytes up to its end."""
+    digit of the bytes from it on, the others the digit of the bytes up to its end. Digits are even (see passages)."""
     n, wide = len(data), depth - GRAM + 1
     half = wide // 2
     for at in range(0, n - depth + 1, BLOCK):
@@ -46,21 +56,15 @@ def runs(data: np.ndarray, depth: int) -> Iterator[tuple]:
         m = len(piece)
         total, down = _prefix(piece)
         grams = mix((total[GRAM:] - total[:-GRAM]) * down[: m - GRAM + 1])
-        place = np.arange(len(grams), dtype=np.uint64)
-        packed = (grams & np.uint64(0xFFFFFFFFFFF00000)) | place
-        pad = -len(packed) % wide
-        grid = np.concatenate([packed, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, wide)
-        ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         starts = m - depth + 1
-        anchor = (np.minimum(behind[:starts], ahead[wide - 1 : wide - 1 + starts]) & np.uint64(0xFFFFF)).astype(np.int64)
+        anchor = _anchors(grams, wide, starts)
         near = (anchor - np.arange(starts)) <= half
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (near[1:] != near[:-1])]))
         last = np.concatenate([first[1:] - 1, [starts - 1]])
         a, right = anchor[first], near[first]
         lo = np.where(right, a, a - half)
         hi = np.where(right, a + depth - half, a + GRAM)
-        digit = mix((total[hi] - total[lo]) * down[lo] + right.astype(np.uint64))
+        digit = mix((total[hi] - total[lo]) * down[lo] + right.astype(np.uint64)) & ~np.uint64(1)
         yield (at, total, down), first + at, last + at, lo + at, hi + at, digit
 
 
@@ -92,6 +96,187 @@ def windows(data: np.ndarray, depth: int) -> np.ndarray:
     return np.stack([mix(one), two], axis=1)
 
 
+def passages(words: np.ndarray, width: int) -> Iterator[tuple]:
+    """For the windows of `width` word hashes that start in one block after the other: (start of the block, its sums and inverse
+    powers), and first start, last start, anchor (in the block) and digit of each run of windows. The digit is that of the
+    anchor, a window's stretch of WORD_GRAM words of least hash, and odd, so that it can't be one of bytes."""
+    gram = min(WORD_GRAM, width)
+    for at in range(0, len(words) - width + 1, BLOCK):
+        piece = words[at : at + BLOCK + width - 1]
+        m = len(piece)
+        up, down = _tables(m)
+        total = np.zeros(m + 1, dtype=np.uint64)
+        np.cumsum(piece * up[:m], out=total[1:])
+        grams = mix((total[gram:] - total[:-gram]) * down[: m - gram + 1])
+        starts = m - width + 1
+        anchor = _anchors(grams, width - gram + 1, starts)
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        last = np.concatenate([first[1:] - 1, [starts - 1]])
+        yield (at, total, down), first, last, anchor[first], (mix(grams[anchor[first]]) | np.uint64(1)).view(np.int64)
+
+
+def wanted_passages(words: np.ndarray, wanted: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Digit, hash, start and part of each window in runs of the wanted digits. The part is the next digit, of all that the
+    windows share whose anchor is about as far in (see quarters)."""
+    gram = min(WORD_GRAM, width)
+    rest = width - gram
+    q = rest // 4 + 1
+    out = [(np.zeros(0, np.int64),) * 4]
+    for (at, total, down), first, last, anchor, digit in passages(words, width):
+        i = np.flatnonzero(np.isin(digit, wanted))
+        n = last[i] - first[i] + 1
+        s = np.repeat(first[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        a, d = np.repeat(anchor[i], n), np.repeat(digit[i], n)
+        k = (a - s) // q
+        lo, hi = a - q * k, a + gram + np.maximum(0, rest - q * (k + 1) + 1)
+        part = mix(((total[hi] - total[lo]) * down[lo]) ^ mix((d + k).view(np.uint64)))
+        out.append((d, mix((total[s + width] - total[s]) * down[s]).view(np.int64), s + at, part.view(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def passage_windows(digit: np.ndarray, h: np.ndarray, s: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Of windows: digit, hash, start, length and whether a row is its window's first, by digit and start. What a window that
+    recurs in the text covers without a gap is one row."""
+    order = np.lexsort((s, h, digit))
+    digit, h, s = digit[order], h[order], s[order]
+    other = np.ones(len(s), dtype=bool)
+    other[1:] = (digit[1:] != digit[:-1]) | (h[1:] != h[:-1])
+    first = np.flatnonzero(other | (np.diff(s, prepend=s[:1]) > width))
+    last = np.concatenate([first[1:], [len(s)]])[: len(first)] - 1
+    out = digit[first], h[first], s[first], s[last] - s[first] + width, other[first]
+    order = np.lexsort((out[2], out[0]))
+    return tuple(c[order] for c in out)
+
+
+def _text(column):
+    """The binary column as strings; bytes that aren't UTF-8 stay as they are."""
+    import pyarrow as pa
+
+    kind = pa.large_string() if pa.types.is_large_binary(column.type) else pa.string()
+    return pa.Array.from_buffers(kind, len(column), column.buffers(), offset=column.offset)
+
+
+def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values packed in a binary column, and how many each row has."""
+    import pyarrow as pa
+
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind), np.diff(offsets).astype(np.int64) // np.dtype(kind).itemsize
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray):
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def passage_spans(held: DataFrame, width: int, group_windows: int) -> DataFrame:
+    """(uid, s, e) in words of what windows of `width` words that other texts hold too cover; held: (uid, body, passages,
+    hot_passages) with a text's digits that occur more than once.
+
+    A window is told by its digit and another 64-bit hash. Windows meet by digit. Of hot digits the parts that one text alone
+    has drop out; windows of the others meet only in counts and in a semi-join that can be split, once a text."""
+
+    def packed_windows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows(batch, kept):
+            digit, h, s, n = (np.concatenate(c) for c in zip(*(x[1:5] for x in kept), strict=True))
+            text = np.repeat([x[0] for x in kept], [len(x[1]) for x in kept])
+            first = np.flatnonzero(np.concatenate([[True], (digit[1:] != digit[:-1]) | (text[1:] != text[:-1])]))
+            bounds = np.append(first, len(digit))
+            cols = [pa.array(digit[first]), batch.column(0).take(pa.array(text[first])), _packed(h, bounds), _packed(s.astype(np.int32), bounds), _packed(n.astype(np.int32), bounds)]
+            return pa.RecordBatch.from_arrays(cols, names=["digit", "uid", "h", "s", "n"])
+
+        for batch in batches:
+            kept, size = [], 0
+            for k, words in word_hashes(_text(batch.column(1))):
+                found = passage_windows(*wanted_passages(words, np.asarray(batch.column(2)[k].values, dtype=np.int64), width)[:3], width)
+                if len(found[0]):
+                    kept.append((k, *found))
+                    size += len(found[0])
+                if size >= group_windows:
+                    yield rows(batch, kept)
+                    kept, size = [], 0
+            if kept:
+                yield rows(batch, kept)
+
+    def met(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def resolve(digit, uid, counts, h, s, n):
+            row = np.repeat(np.arange(len(digit)), counts)
+            order = np.lexsort((h, digit[row]))
+            a, b, r = digit[row][order], h[order], row[order]
+            start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            several = np.minimum.reduceat(r, start) != np.maximum.reduceat(r, start)
+            hit = np.zeros(len(row), dtype=bool)
+            hit[order] = np.repeat(several, np.diff(np.append(start, len(row))))
+            k = np.flatnonzero(hit)
+            r, s, e = row[k], s[k].astype(np.int64), s[k].astype(np.int64) + n[k]
+            cut = np.ones(len(k), dtype=bool)
+            cut[1:] = (r[1:] != r[:-1]) | (s[1:] > e[:-1])
+            first = np.flatnonzero(cut)
+            ends = np.maximum.reduceat(e, first) if len(first) else e
+            return pa.RecordBatch.from_arrays([uid.take(pa.array(r[first])), pa.array(s[first]), pa.array(ends)], names=["uid", "s", "e"])
+
+        pool: list[tuple] = []
+        size = 0
+
+        def pooled():
+            uid = pa.concat_arrays([x[1] for x in pool])
+            digit, counts, h, s, n = (np.concatenate([x[i] for x in pool]) for i in (0, 2, 3, 4, 5))
+            return digit, uid, counts, h, s, n
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, counts = _flat(batch.column(2), np.int64)
+            pool.append((np.asarray(batch.column(0)), batch.column(1), counts, h, _flat(batch.column(3), np.int32)[0], _flat(batch.column(4), np.int32)[0]))
+            size += len(h)
+            if size >= group_windows:
+                digit, uid, counts, h, s, n = pooled()
+                k = int(np.flatnonzero(digit != digit[-1])[-1]) + 1 if digit[0] != digit[-1] else 0
+                at = int(counts[:k].sum())
+                if k:
+                    yield resolve(digit[:k], uid[:k], counts[:k], h[:at], s[:at], n[:at])
+                pool = [(digit[k:], uid[k:], counts[k:], h[at:], s[at:], n[at:])]
+                size = len(h) - at
+        if pool:
+            yield resolve(*pooled())
+
+    def parts_of(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, words in word_hashes(_text(batch.column(1))):
+                part = np.unique(wanted_passages(words, np.asarray(batch.column(2)[k].values, dtype=np.int64), width)[3])
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(part)), pa.array(part)], names=["uid", "part"])
+
+    def single_windows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, words in word_hashes(_text(batch.column(1))):
+                *found, part = wanted_passages(words, np.asarray(batch.column(2)[k].values, dtype=np.int64), width)
+                keep = np.isin(part, np.asarray(batch.column(3)[k].values, dtype=np.int64))
+                digit, h, s, n, lead = passage_windows(*(c[keep] for c in found), width)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(digit)), *map(pa.array, (digit, h, s, s + n, lead))], names=["uid", "digit", "h", "s", "e", "lead"])
+
+    common = held.where(F.size("passages") > 0).select("uid", "body", "passages").mapInArrow(packed_windows, "digit long, uid binary, h binary, s binary, n binary")
+    spans = common.repartition("digit").sortWithinPartitions("digit").mapInArrow(met, "uid binary, s long, e long")
+    hot = held.where(F.size("hot_passages") > 0).select("uid", "body", "hot_passages")
+    if hot.limit(1).count():
+        parts = materialize(hot.mapInArrow(parts_of, "uid binary, part long"), "rep-passage-parts")
+        again = parts.groupBy("part").count().where("count > 1").select("part")
+        left = parts.join(again, "part", "left_semi").groupBy("uid").agg(F.collect_list("part").alias("parts"))
+        found = materialize(hot.join(left, "uid").select("uid", "body", "hot_passages", "parts").mapInArrow(single_windows, "uid binary, digit long, h long, s long, e long, lead boolean"), "rep-passages")
+        several = found.where("lead").groupBy("digit", "h").count().where("count > 1").select("digit", "h")
+        spans = spans.unionByName(found.join(several, ["digit", "h"], "left_semi").select("uid", "s", "e"))
+    return spans
+
+
 def _bytes(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=np.uint8) if value.is_valid else np.zeros(0, np.uint8)
 
@@ -161,8 +346,8 @@ def hot_windows(hot: DataFrame, depth: int) -> DataFrame:
     return single.where("times = 1").join(twice, ["h1", "h2"], "left_semi").select("uid", "s", "e").unionByName(found.where("times = 0").select("uid", "s", "e"))
 
 
-def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_000, hot_runs: int = 1_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document.
+def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_000, hot_runs: int = 1_000, passage: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words for every document.
 
     Suffixes are told apart by most significant digits and only `depth` bytes deep. The first pass takes suffixes at
     anchors alone (content-chosen, every window has exactly one) with a digit of 232 bytes; groups of one drop out.
@@ -172,35 +357,42 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
     in one, which could each fill a task, are ordered by their next digit and then by counts (see hot_windows), with the same result.
 
     Copies of a whole text are counted first and one of them goes on; all of a copied text of `depth` bytes or more is
-    removed. Null text counts as empty (0 bytes, SHA-256 of nothing); equal rows are copies; null ids stay null; texts
+    removed.
+
+    n_shared_words counts the words that lie in a run of `passage` words or more (over 50) which another row holds as well,
+    in whatever white space and however few bytes. Nothing is removed for it: a passage of under `depth` bytes stays.
+    Its windows of words go through the same first pass as those of bytes, then see passage_spans.
+
+    Null text counts as empty (0 bytes, SHA-256 of nothing); equal rows are copies; null ids stay null; texts
     shorter than depth keep every byte; empty input gives no rows; other columns are dropped."""
+    least = min(depth, 2 * passage - 1)  # bytes of the shortest text that can count
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
 
     def first_digits(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            cols: list[list] = [[] for _ in range(8)]
+            for doc, value, (_, words) in zip(batch.column(0).to_pylist(), batch.column(1), word_hashes(_text(batch.column(1))), strict=True):
                 data = _bytes(value)
-                parts = [d for *_, d in runs(data, depth)]
-                digits, times = np.unique(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64), return_counts=True)
-                row = (doc, hashlib.sha256(data).hexdigest(), hashlib.blake2b(data, digest_size=16).digest(), len(data), digits[times == 1], digits[times > 1], times[times > 1])
+                parts = [d.view(np.int64) for *_, d in runs(data, depth)] + [d for *_, d in passages(words, passage)]
+                digits, times = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+                row = (doc, hashlib.sha256(data).hexdigest(), hashlib.blake2b(data, digest_size=16).digest(), len(data), digits[times == 1], digits[times > 1], times[times > 1], len(words))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "sha256", "uid", "n_bytes", "once", "often", "counts"])
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "sha256", "uid", "n_bytes", "once", "often", "counts", "n_words"])
 
-    rows = materialize(base.mapInArrow(first_digits, "doc_id long, sha256 string, uid binary, n_bytes long, once array<long>, often array<long>, counts array<long>"), "rep-digits")
-    texts = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"))
-    single = rows.where(F.col("n_bytes") >= depth).select("uid", "once", "often", "counts").dropDuplicates(["uid"])
+    rows = materialize(base.mapInArrow(first_digits, "doc_id long, sha256 string, uid binary, n_bytes long, once array<long>, often array<long>, counts array<long>, n_words long"), "rep-digits")
+    texts = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), F.max("n_words").alias("n_words"))
+    single = rows.where(F.col("n_bytes") >= least).select("uid", "once", "often", "counts").dropDuplicates(["uid"])
     once = F.transform("once", lambda x: F.struct(x.alias("digit"), F.lit(1).cast("long").alias("times")))
     often = F.zip_with("often", "counts", lambda x, n: F.struct(x.alias("digit"), n.alias("times")))
     single = single.select("uid", F.explode(F.concat(once, often)).alias("x")).select("uid", "x.*")
     single = materialize(single, "rep-single")
     again = single.groupBy("digit").agg(F.sum("times").alias("n")).where("n > 1").select("digit", (F.col("n") > hot_runs).alias("is_hot"))
-    either = lambda hot: F.collect_list(F.when(F.col("is_hot") == hot, F.col("digit")))
-    picked = single.join(again, "digit").groupBy("uid").agg(either(False).alias("digits"), either(True).alias("hot"))
+    of = lambda hot, odd: F.collect_list(F.when((F.col("is_hot") == hot) & (F.col("digit").bitwiseAND(1) == odd), F.col("digit")))
+    picked = single.join(again, "digit").groupBy("uid").agg(of(False, 0).alias("digits"), of(True, 0).alias("hot"), of(False, 1).alias("passages"), of(True, 1).alias("hot_passages"))
 
     def identify(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -209,7 +401,7 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
             uid = pa.array([hashlib.blake2b(_bytes(v), digest_size=16).digest() for v in batch.column(0)], pa.binary())
             yield pa.RecordBatch.from_arrays([uid, batch.column(0)], names=["uid", "body"])
 
-    bodies = base.where(F.octet_length("body") >= depth).select("body").mapInArrow(identify, "uid binary, body binary").groupBy("uid").agg(F.first("body").alias("body"))
+    bodies = base.where(F.octet_length("body") >= least).select("body").mapInArrow(identify, "uid binary, body binary").groupBy("uid").agg(F.first("body").alias("body"))
     held = materialize(bodies.join(picked, "uid"), "rep-bodies")
 
     def second_digits(batches: Iterator) -> Iterator:
@@ -308,8 +500,13 @@ def strip_repeats(docs: DataFrame, depth: int = 400, group_windows: int = 400_00
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["uid", "removed", "runs", "kept"])
 
     done = held.select("uid", "body").join(spans, "uid").mapInArrow(cut, "uid binary, removed long, runs long, kept string")
-    done = texts.join(done, "uid", "left")
+    words = passage_spans(held, passage, group_windows).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    none = F.lit(0).cast("long")
+    grown = lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), none)).alias("n"), F.greatest(x["e"], a["end"]).alias("end"))
+    words = words.select("uid", F.aggregate("spans", F.struct(none.alias("n"), none.alias("end")), grown, lambda a: a["n"]).alias("shared"))
+    done = texts.join(done, "uid", "left").join(words, "uid", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= depth)
-    done = done.where(whole | F.col("removed").isNotNull()).select("uid", F.when(whole, F.col("n_bytes")).otherwise(F.col("removed")).alias("removed"), F.when(whole, F.lit(1)).otherwise(F.col("runs")).cast("long").alias("runs"), F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept")).alias("kept"))
+    shared = F.when((F.col("copies") > 1) & (F.col("n_words") >= passage), F.col("n_words")).otherwise(F.col("shared")).alias("shared")
+    done = done.where(whole | F.col("removed").isNotNull() | shared.isNotNull()).select("uid", shared, F.when(whole, F.col("n_bytes")).otherwise(F.col("removed")).alias("removed"), F.when(whole, F.lit(1)).otherwise(F.col("runs")).cast("long").alias("runs"), F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept")).alias("kept"))
     out = rows.select("doc_id", "sha256", "uid", "n_bytes").join(materialize(done, "rep-done"), "uid", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("runs", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("runs", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"), F.coalesce("shared", F.lit(0)).alias("n_shared_words"))

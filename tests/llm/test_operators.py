@@ -86,6 +86,45 @@ def test_repeats_of_planted_passages(spark, limits):
     assert all(got[i][0] == len(t.encode()) for i, t in texts.items())  # n_bytes is the input's length, whatever is removed
 
 
+def brute_shared(rows, width=51):
+    """For each row the words in runs of `width` words that another row holds too."""
+    words = [WORD.findall(t or "") for t in rows]
+    holders = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - width + 1):
+            holders[tuple(w[k : k + width])].add(i)
+    return [len({j for k in range(len(w) - width + 1) if len(holders[tuple(w[k : k + width])]) > 1 for j in range(k, k + width)}) for w in words]
+
+
+PASSAGE_LIMITS = [{}, {"hot_runs": 1}, {"hot_runs": 3, "group_windows": 50}, {"group_windows": 1}]
+
+
+@pytest.mark.parametrize("limits", PASSAGE_LIMITS)
+def test_shared_words(docs, texts, limits):
+    got = {r["doc_id"]: r["n_shared_words"] for r in repeats.strip_repeats(docs, **limits).collect()}
+    assert got == dict(zip(texts, brute_shared(texts.values()), strict=True)) and sum(map(bool, got.values())) > 30
+
+
+@pytest.mark.parametrize("limits", PASSAGE_LIMITS)
+def test_shared_words_of_planted_and_odd_texts(spark, limits):
+    """Passages of 49 to 70 words in other documents, most under 400 bytes: counted from 51 words on, whatever is removed."""
+    rnd = random.Random(5)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé", k=rnd.randint(1, 7))) for _ in range(n))
+    texts = [words(120) for _ in range(20)]
+    for n in range(49, 71):
+        p = words(n)
+        texts += [f"{words(30)} {p} {words(9)}", f"{p}\n{words(40)}", f"{words(5)}  " + p.replace(" ", "\t\n")]
+    own = words(60)
+    texts += [f"{own} {words(70)} {own}", "a " * 300, "a " * 50, "a " * 51 + "b", "b a " * 90, f"b a {words(3)} " * 40 + "a b " * 80, None, "", " ", "x" * 900, "x" * 900]
+    texts += [words(50)] * 2 + [words(51)] * 3 + [" ".join("abcdefghij" * 6)] * 2 + [f"x{' '.join('abcdefghij' * 6)}", words(90) + "\x00\u2028 "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shared_words"], r["n_removed"]) for r in repeats.strip_repeats(df, **limits).collect()}
+    wanted = brute_shared(texts)
+    assert [got[i][0] for i in range(len(texts))] == wanted
+    assert [wanted[20 + 3 * k + j] for k in range(22) for j in range(3)] == [n if n > 50 else 0 for n in range(49, 71) for _ in range(3)]
+    assert sum(got[i][0] > 50 and not got[i][1] for i in range(20, 86)) > 30
+
+
 @pytest.mark.parametrize("limits", [{}, {"most": 4, "levels": 2, "tile": 4, "crowd": 2}, {"tokens_a_set": 2, "tile": 16}, {"crowd": 1}])
 def test_near_duplicates(spark, limits):
     base = " ".join(f"w{i}" for i in range(120))
