@@ -47,6 +47,27 @@ def decide(best: float | None, streak: int, n: int, metric: float, threshold: fl
     return best, 0, False, "within_tolerance"
 
 
+def decide_all(best: float | None, streak: int, n: int, metric, threshold: float, patience: int, warmup: int) -> tuple:
+    """Arrays of best, streak, stop and reason after each of the metrics (an array), taken in order by decide's rule after n
+    evaluations. NaN is above all numbers, as in SQL, and a fall from it counts as a drop."""
+    import numpy as np
+
+    before = np.concatenate(([metric[0] if best is None else best], metric))
+    before = np.maximum.accumulate(before)[:-1]
+    after, nan = np.maximum(before, metric), np.isnan(before)
+    new, same = (metric > before) | (np.isnan(metric) & ~nan), (metric == before) | (np.isnan(metric) & nan)
+    if best is None:
+        new[0] = True
+    i = np.arange(len(metric))
+    warm = n + 1 + i <= warmup
+    fell = ~new & ~same & ~warm & ((before - metric >= threshold) | nan)
+    calm = np.maximum.accumulate(np.where(fell, -1 - streak, i))
+    streaks = np.where(fell, i - calm, 0).astype("int32")
+    stop = fell & (streaks >= patience)
+    reasons = np.array(["within_tolerance", "significant_drop", "significant_drop_stop", "warmup_baseline", "matched_best", "new_best"], dtype=object)
+    return after, streaks, stop, reasons[np.select([new, same, warm, stop, fell], [5, 4, 3, 2, 1], 0)]
+
+
 def early_stop(log: DataFrame, threshold: float = 0.01, patience: int = 2, warmup: int = 3) -> DataFrame:
     """Early-stop state of each run as its evaluations arrive. Within a batch they are taken by step; a row whose step
     isn't above the last one seen of its run comes too late and is left out."""

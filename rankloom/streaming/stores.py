@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
-from .logs import STOP, decide
+from .logs import STOP, decide_all
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STRAND, PIECE, BLOCK = 1 << 20, 1 << 15, 128  # rows (24 bytes each) of a strand, of its pieces, and of a block on the way to the state
 
 
 # ---- a keyed store in update mode ---------------------------------------------------------------
@@ -60,64 +60,152 @@ def fold(spark: SparkSession, store: str, keys: list[str], schema) -> None:
 
 # ---- early stop in order of steps -----------------------------------------------------------------
 
+def blocks(batches: Iterator) -> Iterator:
+    """Arrow batches of run, ts, minute, step, metric as blocks of up to BLOCK rows of one run that are near in time: run,
+    the latest ts, the earliest minute, and the rows' bytes (step, metric, minute). An end of a run is a block of no bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in (x for x in batches if x.num_rows):
+        if b["minute"].null_count or b["step"].null_count:
+            raise ValueError("an evaluation without a time or a step has no place in its run")
+        over = b["metric"].is_null()
+        runs = b["run"].dictionary_encode("encode").indices.to_numpy()
+        minute, end = b["minute"].to_numpy(), over.to_numpy(zero_copy_only=False)
+        by = np.lexsort((b["ts"].cast("int64").to_numpy(), end, runs))
+        by_run, by_end = runs[by], end[by]
+        place = np.arange(len(by))
+        new = np.concatenate(([True], (by_run[1:] != by_run[:-1]) | (by_end[1:] != by_end[:-1])))
+        starts = np.flatnonzero(new | by_end | ((place - np.maximum.accumulate(np.where(new, place, 0))) % BLOCK == 0))
+        rows = np.column_stack((b["step"].to_numpy(), b["metric"].fill_null(0.0).to_numpy().view("int64"), minute))[by][~by_end]
+        offsets = np.append((place - np.cumsum(by_end) + by_end)[starts], len(rows)).astype("int32") * 24
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+        last = by[np.append(starts[1:], len(by)) - 1]
+        yield pa.RecordBatch.from_arrays([b["run"].take(pa.array(last)), b["ts"].take(pa.array(last)), pa.array(minute[by[starts]]), packed], names=["run", "ts", "minute", "rows"])
+
+
 class InOrder(StatefulProcessor):
     """Holds a run's evaluations until the watermark has passed their minute, then takes them in order of step (then
-    metric), however they arrived. A row without a metric ends the run: once its time has passed, the state goes."""
+    metric), however they arrived. A row without a metric ends the run: once its time has passed, the state goes.
+
+    Evaluations come in blocks and are held in strands: some STRAND rows of a batch, sorted, in pieces of up to PIECE rows
+    that are each one value of the state. Those that are due are merged piece by piece, so calls to the state store go by
+    pieces, and neither a batch's nor a run's rows are in memory at once. A run has one timer, for the earliest minute
+    that it holds."""
 
     def __init__(self, threshold: float, patience: int, warmup: int):
         self.rule = threshold, patience, warmup
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "step long, metric double, minute long", "n long")
-        self.seen = handle.getValueState("seen", "best double, streak int, n int")
+        self.held = handle.getMapState("held", "strand long, piece int", "rows binary")
+        self.firsts = handle.getMapState("firsts", "strand long, piece int", "minute long")  # the earliest minute of a piece
+        self.seen = handle.getValueState("seen", "best double, streak int, n long")
         self.ends = handle.getValueState("ends", "minute long")
-        self.taken = handle.getValueState("taken", "minute long")
+        self.marks = handle.getValueState("marks", "strand long, timer long, taken long")  # the next strand, minute of the timer, minutes before it are taken
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        new: Counter = Counter()
-        minutes = set()
+        strand, timer, taken = self.marks.get() if self.marks.exists() else (0, None, None)
+        new, size, minutes = [], 0, []
         for frame in rows:
-            for ts, step, metric in zip(frame["ts"], frame["step"], frame["metric"], strict=True):
-                minute = int(pd.Timestamp(ts).timestamp() // 60)
-                minutes.add(minute)
-                if pd.isna(metric):
-                    self.ends.update((minute,))
+            for minute, block in zip(frame["minute"], frame["rows"], strict=True):
+                if block:
+                    new.append(block)
+                    size += len(block)
                 else:
-                    new[int(step), float(metric), minute] += 1
-        for at, n in new.items():
-            self.held.updateValue(at, ((self.held.getValue(at)[0] if self.held.containsKey(at) else 0) + n,))
-        for minute in minutes:
-            self.handle.registerTimer((minute + 1) * 60_000)
+                    self.ends.update((int(minute),))
+                    minutes.append(int(minute))
+                if size >= STRAND * 24:
+                    minutes += self.hold(strand, new, taken)
+                    strand, new, size = strand + 1, [], 0
+        if new:
+            minutes += self.hold(strand, new, taken)
+            strand += 1
+        if minutes and (timer is None or min(minutes) < timer):
+            if timer is not None:
+                self.handle.deleteTimer((timer + 1) * 60_000)
+            timer = min(minutes)
+            self.handle.registerTimer((timer + 1) * 60_000)
+        self.marks.update((strand, timer, taken))
         yield from ()
 
+    def hold(self, strand: int, new: list, taken: int | None) -> list[int]:
+        """Keep the blocks' rows as a strand, those of minutes that are taken apart; gives the earliest minutes."""
+        import numpy as np
+
+        rows = np.frombuffer(b"".join(new), "int64").reshape(-1, 3).T
+        if taken is not None:
+            rows = rows[:, rows[2] >= taken]
+        rows = rows[:, np.lexsort((rows[1].copy().view("float64"), rows[0]))]
+        return [self.keep((strand, i), rows[:, at : at + PIECE]) for i, at in enumerate(range(0, rows.shape[1], PIECE))]
+
+    def keep(self, at: tuple, rows) -> int:
+        first = int(rows[2].min())
+        self.held.updateValue(at, (rows.tobytes(),))
+        self.firsts.updateValue(at, (first,))
+        return first
+
+    def due(self, passed: int, at: tuple):
+        """Rows of a piece whose minute has passed; the others are kept in its place."""
+        import numpy as np
+
+        rows = np.frombuffer(self.held.getValue(at)[0], "int64").reshape(3, -1)
+        old = rows[2] < passed
+        if old.all():
+            self.held.removeKey(at)
+            self.firsts.removeKey(at)
+        else:
+            self.keep(at, rows[:, ~old])
+        return rows[0, old], rows[1, old].view("float64")
+
+    def merged(self, passed: int) -> Iterator:
+        """Steps and metrics that are due, in order: of each strand a piece is at hand, and what isn't above the last row
+        of any piece that has another after it goes."""
+        import numpy as np
+
+        left: dict = {}
+        for at in sorted((tuple(k) for k, v in self.firsts.iterator() if v[0] < passed), reverse=True):
+            left.setdefault(at[0], []).append(at)
+        hand = {s: self.due(passed, pieces.pop()) for s, pieces in left.items()}
+        while hand:
+            lasts = [(int(hand[s][0][-1]), bool(np.isnan(hand[s][1][-1])), float(hand[s][1][-1])) for s in hand if left[s]]
+            step, nan, metric = min(lasts, default=(None, True, 0.0))
+            take = []
+            for s, (steps, metrics) in list(hand.items()):
+                goes = len(steps) if step is None else int(np.count_nonzero((steps < step) | ((steps == step) & (nan | (metrics <= metric)))))
+                take.append((steps[:goes], metrics[:goes]))
+                if goes < len(steps):
+                    hand[s] = steps[goes:], metrics[goes:]
+                elif left[s]:
+                    hand[s] = self.due(passed, left[s].pop())
+                else:
+                    del hand[s]
+            steps, metrics = (np.concatenate(x) for x in zip(*take, strict=True))
+            by = np.lexsort((metrics, steps))
+            yield steps[by], metrics[by]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        # The first timer of a batch takes all that the watermark has passed; the others find that done.
         passed = timerValues.getCurrentWatermarkInMs() // 60_000
-        if self.taken.exists() and self.taken.get()[0] >= passed:
-            return
-        self.taken.update((passed,))
-        due = sorted((tuple(k), v[0]) for k, v in self.held.iterator() if k[2] < passed)
         best, streak, n = self.seen.get() if self.seen.exists() else (None, 0, 0)
-        out = []
-        for (step, metric, minute), times in due:
-            for _ in range(times):
-                n += 1
-                best, streak, stop, reason = decide(best, streak, n, metric, *self.rule)
-                out.append((key[0], step, metric, best, streak, stop, reason))
-            self.held.removeKey((step, metric, minute))
-        if due:
+        names = [x.split()[0] for x in STOP.split(", ")]
+        for steps, metrics in self.merged(passed):
+            state = decide_all(best, streak, n, metrics, *self.rule)
+            best, streak, n = float(state[0][-1]), int(state[1][-1]), n + len(metrics)
+            yield pd.DataFrame(dict(zip(names, (key[0], steps, metrics, *state), strict=True)))
+        if n:
             self.seen.update((best, streak, n))
         if self.ends.exists() and self.ends.get()[0] < passed:
             self.ends.clear()
             self.seen.clear()
-            self.taken.clear()
-        if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in STOP.split(", ")])
+        waits = [v[0] for _, v in self.firsts.iterator()] + ([self.ends.get()[0]] if self.ends.exists() else [])
+        if waits:
+            self.handle.registerTimer((min(waits) + 1) * 60_000)
+        if waits or self.seen.exists():
+            self.marks.update((self.marks.get()[0], min(waits, default=None), passed))
+        else:
+            self.marks.clear()
 
     def close(self) -> None:
         pass
@@ -126,11 +214,14 @@ class InOrder(StatefulProcessor):
 def ordered_early_stop(log: DataFrame, late: str = "1 hour", threshold: float = 0.01, patience: int = 2, warmup: int = 3) -> DataFrame:
     """Early-stop state of each run (log: run, step, ts, metric), one row for each evaluation, once the watermark has passed
     it. Evaluations may come in any order within `late`; the rows are those of the batch operator, as long as a run's
-    later steps have later times. What comes later than that is dropped; a row with a null metric ends its run and frees
-    its state. Rows of the last `late` wait until a later time is seen. Sets the session's state store to RocksDB."""
+    later steps have later times. What comes later than that is dropped once its minute was taken, and may be before; a row
+    with a null metric ends its run and frees its state. Rows of the last `late` wait until a later time is seen. Sets the
+    session's state store to RocksDB."""
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = log.select("run", F.col("step").cast("long").alias("step"), "ts", F.col("metric").cast("double").alias("metric")).withWatermark("ts", late)
-    return rows.groupBy("run").transformWithStateInPandas(InOrder(threshold, patience, warmup), STOP, "append", "eventTime")
+    rows = log.select("run", "ts", F.floor(F.unix_seconds("ts") / 60).alias("minute"), F.col("step").cast("long").alias("step"), F.col("metric").cast("double").alias("metric"))
+    packed = rows.mapInArrow(blocks, "run string, ts timestamp, minute long, rows binary").withWatermark("ts", late)
+    out = packed.groupBy("run").transformWithStateInPandas(InOrder(threshold, patience, warmup), STOP, "append", "eventTime")
+    return out.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("metric", "best")})  # pandas has NaN for null
 
 
 # ---- two logs -------------------------------------------------------------------------------------

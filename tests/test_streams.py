@@ -1,8 +1,11 @@
 """Keyed stores under replay, evaluations out of order, two streamed logs."""
 
+import json
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +85,129 @@ def test_evaluations_in_any_order_give_the_batch_rows(spark, tmp_path):
     assert len(want) == 81 and got == want
 
 
+STATES = ["run", "step", "metric", "best", "streak", "should_stop", "reason"]
+
+
+def stopped(spark, tmp_path, log, late="1 hour", **rule):
+    """Rows of the stream and of the batch operator over the files of log, one file a batch, and the query's progress."""
+    out = str(tmp_path / "out")
+    stop = stores.ordered_early_stop(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).json(log), late, **rule)
+    q = stop.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    plain = lambda df: sorted(map(tuple, df.select(STATES).collect()), key=str)
+    want = logs.early_stop(spark.read.schema(LOG).json(log), "run", "step", "metric", *rule.values())
+    return plain(spark.read.schema(stop.schema).parquet(out)), plain(want), [json.loads(p.json) for p in q.recentProgress]
+
+
+def test_evaluations_are_held_in_few_values_and_timers(spark, tmp_path):
+    rnd, log = random.Random(3), str(tmp_path / "log")
+    rows = [(run, 1, s, START + timedelta(minutes=s), round(rnd.random() * 10, 3)) for run in ("a", "b") for s in range(3000)]
+    rnd.shuffle(rows)
+    put_file(spark, rows, log)
+    put_file(spark, [(run, 1, 9999, START + timedelta(days=9), None) for run in ("a", "b")], log)
+    got, want, progress = stopped(spark, tmp_path, log, threshold=2.0)
+    assert len(want) == 6000 and got == want
+    custom = [op["customMetrics"] for p in progress for op in p["stateOperators"]]
+    assert 1 <= sum(m["numRegisteredTimers"] for m in custom) <= 8
+    assert sum(m["rocksdbPutCount"] for m in custom) < 200
+
+
+def test_time_zones_do_not_move_the_watermark(spark, tmp_path):
+    zone, log = spark.conf.get("spark.sql.session.timeZone"), str(tmp_path / "log")
+    row = lambda s: ("r", 1, s, START + timedelta(minutes=10 * s), float(s * 7 % 11))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for some in ([0, 1, 2, 3, 5, 6, 8], [4, 7, 9, 10], [1000]):  # 4 and 7 come after 8, within 3 hours
+            put_file(spark, [row(s) for s in some], log)
+        got, want, _ = stopped(spark, tmp_path, log, "3 hours", threshold=2.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(want) == 12 and got == [r for r in want if r[1] < 1000]
+
+
+def test_values_that_are_no_numbers_count_as_greatest(spark, tmp_path):
+    log = str(tmp_path / "log")
+    values = {"a": [3.0, 1.0, float("nan"), 2.0, float("nan"), 9.0, 8.0], "b": [5.0, 5.0, 1.0, 1.0, 1.0, 7.0, -1.0], None: [1.0, 2.0]}
+    put_file(spark, [(run, 1, s, START + timedelta(minutes=s), v) for run, some in values.items() for s, v in enumerate(some)], log)
+    put_file(spark, [("z", 1, 0, START + timedelta(days=2), 0.0)], log)
+    got, want, _ = stopped(spark, tmp_path, log, threshold=2.0)
+    assert len(want) == 17 and [str(r) for r in got] == [str(r) for r in want if r[0] != "z"]
+
+
+class Store(dict):
+    """A state variable in memory."""
+
+    def exists(self):
+        return () in self
+
+    def get(self):
+        return self[()]
+
+    def update(self, value):
+        self[()] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    updateValue, removeKey, iterator = dict.__setitem__, dict.__delitem__, dict.items
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Store())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_strands_and_pieces_merge_in_order(monkeypatch, seed):
+    """Batches in any order within ten minutes, in strands of 40 rows and pieces of 7, equal decide row by row."""
+    rnd = random.Random(seed)
+    for name, size in (("STRAND", 40), ("PIECE", 7), ("BLOCK", 5)):
+        monkeypatch.setattr(stores, name, size)
+    rows = [(t // 3 * 4, float(rnd.randrange(8)), t // 3) for t in range(900)]  # step, metric, minute; three of a step
+    rows.sort(key=lambda r: r[2] + rnd.random() * 10)
+    rule = (2.0, 2, 3)
+    it, handle, got, wm = stores.InOrder(*rule), Handle(), [], 0
+    it.init(handle)
+
+    def passes(to):
+        while due := [t for t in handle.timers if t <= to]:
+            assert len(handle.timers) == 1
+            for frame in it.handleExpiredTimer(("r",), SimpleNamespace(getCurrentWatermarkInMs=lambda: to), None):
+                got.extend(map(tuple, frame.values.tolist()))
+            handle.timers -= set(due)
+
+    at = 0
+    while at < len(rows):
+        some = rows[at : at + rnd.choice([1, 3, 30, 200])]
+        at += len(some)
+        arrow = pa.RecordBatch.from_pydict(
+            {"run": ["r"] * len(some), "ts": [START + timedelta(minutes=r[2]) for r in some], "minute": [r[2] for r in some], "step": [r[0] for r in some], "metric": [r[1] for r in some]})
+        frames = [b.to_pandas() for b in stores.blocks(iter([arrow]))]
+        list(it.handleInputRows(("r",), iter(frames), None))
+        wm = max(wm, max(r[2] for r in some) - 10)
+        passes(wm * 60_000)
+    ends = [b.to_pandas() for b in stores.blocks(iter([pa.RecordBatch.from_arrays([pa.array(["r"]), pa.array([START]), pa.array([5000]), pa.array([0]), pa.array([None], "double")], ["run", "ts", "minute", "step", "metric"])]))]
+    list(it.handleInputRows(("r",), iter(ends), None))
+    passes(6000 * 60_000)
+    want, best, streak = [], None, 0
+    for n, (step, metric, _) in enumerate(sorted(rows), 1):
+        best, streak, stop, reason = stream.decide(best, streak, n, metric, *rule)
+        want.append(("r", step, metric, best, streak, stop, reason))
+    assert got == want
+    assert not handle.timers and not any(handle.states.values())  # an ended run leaves nothing
+
+
 def test_two_streamed_logs_merge_like_tables(spark, tmp_path):
     left_schema, right_schema = "epoch int, step int, ts timestamp, loss double, kept double", "epoch int, step int, ts timestamp, loss double, gap double"
     at = lambda s: START + timedelta(minutes=s)
