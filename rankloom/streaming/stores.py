@@ -13,6 +13,7 @@ from .logs import STOP, decide_all
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STRAND, PIECE, BLOCK = 1 << 20, 1 << 15, 128  # rows (24 bytes each) of a strand, of its pieces, and of a block on the way to the state
+FRESH = 0, None, None, None, None, 0, 0  # the state of a run of which nothing was seen
 
 
 # ---- a keyed store in update mode ---------------------------------------------------------------
@@ -100,12 +101,11 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.held = handle.getMapState("held", "strand long, piece int", "rows binary")
         self.firsts = handle.getMapState("firsts", "strand long, piece int", "minute long")  # the earliest minute of a piece
-        self.seen = handle.getValueState("seen", "best double, streak int, n long")
-        self.ends = handle.getValueState("ends", "minute long")
-        self.marks = handle.getValueState("marks", "strand long, timer long, taken long")  # the next strand, minute of the timer, minutes before it are taken
+        # The next strand; the minutes of the timer, of the run's end, and before which all is taken; the state of decide.
+        self.state = handle.getValueState("state", "strand long, timer long, ends long, taken long, best double, streak int, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        strand, timer, taken = self.marks.get() if self.marks.exists() else (0, None, None)
+        strand, timer, ends, taken, *seen = self.state.get() or FRESH
         new, size, minutes = [], 0, []
         for frame in rows:
             for minute, block in zip(frame["minute"], frame["rows"], strict=True):
@@ -113,8 +113,8 @@ class InOrder(StatefulProcessor):
                     new.append(block)
                     size += len(block)
                 else:
-                    self.ends.update((int(minute),))
-                    minutes.append(int(minute))
+                    ends = int(minute)
+                    minutes.append(ends)
                 if size >= STRAND * 24:
                     minutes += self.hold(strand, new, taken)
                     strand, new, size = strand + 1, [], 0
@@ -126,7 +126,7 @@ class InOrder(StatefulProcessor):
                 self.handle.deleteTimer((timer + 1) * 60_000)
             timer = min(minutes)
             self.handle.registerTimer((timer + 1) * 60_000)
-        self.marks.update((strand, timer, taken))
+        self.state.update((strand, timer, ends, taken, *seen))
         yield from ()
 
     def hold(self, strand: int, new: list, taken: int | None) -> list[int]:
@@ -145,8 +145,9 @@ class InOrder(StatefulProcessor):
         self.firsts.updateValue(at, (first,))
         return first
 
-    def due(self, passed: int, at: tuple):
-        """Rows of a piece whose minute has passed; the others are kept in its place."""
+    def due(self, passed: int, at: tuple, firsts: dict):
+        """Rows of a piece whose minute has passed; the others are kept in its place. firsts: the pieces and their earliest
+        minutes, as they come to be."""
         import numpy as np
 
         rows = np.frombuffer(self.held.getValue(at)[0], "int64").reshape(3, -1)
@@ -154,19 +155,20 @@ class InOrder(StatefulProcessor):
         if old.all():
             self.held.removeKey(at)
             self.firsts.removeKey(at)
+            del firsts[at]
         else:
-            self.keep(at, rows[:, ~old])
+            firsts[at] = self.keep(at, rows[:, ~old])
         return rows[0, old], rows[1, old].view("float64")
 
-    def merged(self, passed: int) -> Iterator:
+    def merged(self, passed: int, firsts: dict) -> Iterator:
         """Steps and metrics that are due, in order: of each strand a piece is at hand, and what isn't above the last row
         of any piece that has another after it goes."""
         import numpy as np
 
         left: dict = {}
-        for at in sorted((tuple(k) for k, v in self.firsts.iterator() if v[0] < passed), reverse=True):
+        for at in sorted((at for at, first in firsts.items() if first < passed), reverse=True):
             left.setdefault(at[0], []).append(at)
-        hand = {s: self.due(passed, pieces.pop()) for s, pieces in left.items()}
+        hand = {s: self.due(passed, pieces.pop(), firsts) for s, pieces in left.items()}
         while hand:
             lasts = [(int(hand[s][0][-1]), bool(np.isnan(hand[s][1][-1])), float(hand[s][1][-1])) for s in hand if left[s]]
             step, nan, metric = min(lasts, default=(None, True, 0.0))
@@ -177,7 +179,7 @@ class InOrder(StatefulProcessor):
                 if goes < len(steps):
                     hand[s] = steps[goes:], metrics[goes:]
                 elif left[s]:
-                    hand[s] = self.due(passed, left[s].pop())
+                    hand[s] = self.due(passed, left[s].pop(), firsts)
                 else:
                     del hand[s]
             steps, metrics = (np.concatenate(x) for x in zip(*take, strict=True))
@@ -188,24 +190,23 @@ class InOrder(StatefulProcessor):
         import pandas as pd
 
         passed = timerValues.getCurrentWatermarkInMs() // 60_000
-        best, streak, n = self.seen.get() if self.seen.exists() else (None, 0, 0)
+        strand, _, ends, _, best, streak, n = self.state.get()
         names = [x.split()[0] for x in STOP.split(", ")]
-        for steps, metrics in self.merged(passed):
+        firsts = {tuple(k): v[0] for k, v in self.firsts.iterator()}
+        for steps, metrics in self.merged(passed, firsts):
             state = decide_all(best, streak, n, metrics, *self.rule)
             best, streak, n = float(state[0][-1]), int(state[1][-1]), n + len(metrics)
             yield pd.DataFrame(dict(zip(names, (key[0], steps, metrics, *state), strict=True)))
-        if n:
-            self.seen.update((best, streak, n))
-        if self.ends.exists() and self.ends.get()[0] < passed:
-            self.ends.clear()
-            self.seen.clear()
-        waits = [v[0] for _, v in self.firsts.iterator()] + ([self.ends.get()[0]] if self.ends.exists() else [])
-        if waits:
-            self.handle.registerTimer((min(waits) + 1) * 60_000)
-        if waits or self.seen.exists():
-            self.marks.update((self.marks.get()[0], min(waits, default=None), passed))
+        over = ends is not None and ends < passed
+        if over:
+            ends, best, streak, n = None, None, 0, 0
+        timer = min([*firsts.values(), *([] if ends is None else [ends])], default=None)
+        if timer is not None:
+            self.handle.registerTimer((timer + 1) * 60_000)
+        if over and timer is None:
+            self.state.clear()
         else:
-            self.marks.clear()
+            self.state.update((strand, timer, ends, passed, best, streak, n))
 
     def close(self) -> None:
         pass

@@ -137,11 +137,8 @@ def test_values_that_are_no_numbers_count_as_greatest(spark, tmp_path):
 class Store(dict):
     """A state variable in memory."""
 
-    def exists(self):
-        return () in self
-
-    def get(self):
-        return self[()]
+    def get(self, key=()):
+        return dict.get(self, key)
 
     def update(self, value):
         self[()] = value
